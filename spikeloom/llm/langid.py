@@ -1,8 +1,8 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary made of labelled texts. A text is cut into chunks,
-every chunk is compressed with every dictionary, and the language with the smallest total wins. Short texts are compressed at
-the strongest level, which finds shorter matches. The prediction is rejected (``accepted`` is false) when the runner-up is nearly as small.
+every chunk is compressed with every dictionary, and the language with the smallest total wins. The
+prediction is rejected (``accepted`` is false) when the runner-up is nearly as small.
 
 Training uses a bounded sample: for each language the ``sample_docs`` labelled documents with the smallest
 hash of their id, at most ``sample_chars`` characters of each and ``dict_bytes`` in all; sample texts whose label the other half of the sample contradicts
@@ -66,26 +66,26 @@ def compressors(content: dict[str, bytes], level: int):
     return per_worker(("langid", level, hash(tuple(sorted(content.items())))), make)
 
 
-def predict(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = 6, chunk_bytes: int = 4096, short_bytes: int = 512, min_margin: float = 0.005) -> DataFrame:
+def predict(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = 6, chunk_bytes: int = 4096, min_margin: float = 0.005) -> DataFrame:
     """id, lang_pred, score (0 to 1), margin (relative excess of the runner-up), accepted."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([src.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
     shipped = docs.sparkSession.sparkContext.broadcast(content)  # languages x dict_bytes
 
-    def one(text: str | None, tools, strong) -> tuple:
+    def one(text: str | None, tools) -> tuple:
         if text is None or not tools or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, 0.0, False
         raw = text.lower().encode()
-        lang, sizes = smallest(raw, strong if len(raw) < short_bytes else tools, chunk_bytes)
+        lang, sizes = smallest(raw, tools, chunk_bytes)
         least, *others = sorted(sizes)
         weights = [2.0 ** max(-60.0, (least - s) * chunk_bytes / max(chunk_bytes, len(raw))) for s in sizes]
         margin = (others[0] - least) / least if others else 1.0
         return lang, 1.0 / sum(weights), margin, margin >= min_margin
 
     def run(batches):
-        tools, strong = compressors(shipped.value, level), compressors(shipped.value, 19)
+        tools = compressors(shipped.value, level)
         for b in batches:
-            rows = [one(x.as_py(), tools, strong) for x in b.column(1)]
+            rows = [one(x.as_py(), tools) for x in b.column(1)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], names=schema.names)
 
