@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeloom.llm import bpe, langid, quality_rules, url_filter
+from spikeloom.llm import bpe, langid, multiset_hash, quality_rules, secret_scan, url_filter
 from spikeloom.llm.common import cut, fold, table
 
 #: The rules of the URL query.
@@ -39,6 +39,26 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = {kind: secret_scan.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind, *_ in secret_scan.RULES}
+    listing = secret_scan.listing(F.col("spans"))
+    return found.select("doc_id", *n.values(), F.sha2(listing, 256).alias("base_sha256"), listing.alias("spans"))
+
+
+def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mh = multiset_hash
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = mh.successors(docs.withColumn("tie", F.xxhash64("text")), ["text"], tie="tie")
+    n = F.length("text")
+    part = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - part), F.substring("next.text", F.lit(1), part))
+    rows = rows.select("doc_id", "text", F.col("next.text").alias("next"), edited.alias("edited"), n.cast("bigint").alias("n_chars"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(mh.fingerprint(F.col(c)).alias(f"_{c}") for c in ("text", "edited", "next")))
+    likeness = [mh.likeness(F.col("_text"), F.col(f"_{c}")).alias(f"near_{c}") for c in ("edited", "next")]
+    return rows.select("doc_id", "n_chars", "edited_sha256", mh.as_text(F.col("_text")).alias("fingerprint"), mh.as_text(F.col("_edited")).alias("edited_fingerprint"), *likeness)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut(quality_rules.measure(table(spark, sf_dir, "documents")))
     cutoffs = quality_rules.calibrate(measured, table(spark, sf_dir, "labels"))
@@ -46,7 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filter, op3_language_id, op4_byte_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_url_filter, op3_language_id, op4_byte_bpe, op6_secret_scan, op7_multiset_hash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
