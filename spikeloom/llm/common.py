@@ -31,6 +31,18 @@ def fold(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def join_unique(big: DataFrame, unique: DataFrame, keys: list[str], rows: str, share: int = 1000) -> DataFrame:
+    """``big`` joined with ``unique``, whose keys are unique and whose column ``rows`` says how many rows of ``big`` have them.
+
+    Keys with more than 1/share of all rows (fewer than ``share`` keys, whatever the data) are broadcast, so that no
+    task has to take such a key; the other keys are shuffled.
+    """
+    most = F.lit((unique.agg(F.sum(rows)).first()[0] or 0) // share)
+    hot, rest = unique.where(F.col(rows) > most).drop(rows), unique.where(F.col(rows) <= most).drop(rows)
+    spread = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
+    return big.join(F.broadcast(hot), keys).unionByName(spread)
+
+
 class WorkerCache(dict):
     """Bounded memo of a pure function; two generations, so that frequent keys stay.
 

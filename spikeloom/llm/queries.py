@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeloom.llm import bpe, langid, multiset_hash, quality_rules, secret_scan, url_filter
+from spikeloom.llm import bpe, langid, multiset_hash, quality_rules, secret_scan, simhash, url_filter
 from spikeloom.llm.common import cut, fold, table
 
 #: The rules of the URL query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2, seeds=(42,), size_ratio=None)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -66,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filter, op3_language_id, op4_byte_bpe, op6_secret_scan, op7_multiset_hash, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_language_id, op4_byte_bpe, op6_secret_scan, op7_multiset_hash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
