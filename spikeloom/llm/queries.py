@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeloom.llm import bpe, langid, multiset_hash, quality_rules, secret_scan, simhash, url_filter
+from spikeloom.llm import bpe, langid, multiset_hash, packing, quality_rules, secret_scan, simhash, url_filter
 from spikeloom.llm.common import cut, fold, table
 
 #: The rules of the URL query.
@@ -44,6 +44,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    cut_up = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+    return packing.pack(cut_up)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = {kind: secret_scan.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind, *_ in secret_scan.RULES}
@@ -71,7 +78,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_language_id, op4_byte_bpe, op6_secret_scan, op7_multiset_hash, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_language_id, op4_byte_bpe, op5_packing, op6_secret_scan, op7_multiset_hash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
