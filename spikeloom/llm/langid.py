@@ -66,10 +66,11 @@ def compressors(content: dict[str, bytes], level: int):
     return per_worker(("langid", level, hash(tuple(sorted(content.items())))), make)
 
 
-def predict(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = 6, chunk_bytes: int = 4096, min_margin: float = 0.005) -> DataFrame:
-    """id, lang_pred, score (0 to 1), margin (relative excess of the runner-up), accepted."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([src.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+def predict(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = 6, chunk_bytes: int = 4096, min_margin: float = 0.005, carry: list[str] | None = None) -> DataFrame:
+    """lang_pred, score (0 to 1), margin (relative excess of the runner-up) and accepted beside the columns ``carry``, by default the id as doc_id."""
+    kept = [F.col(id_col).alias("doc_id")] if carry is None else [F.col(c) for c in carry]
+    src = docs.select(*kept, F.col(text_col).alias("_text"))
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
     shipped = docs.sparkSession.sparkContext.broadcast(content)  # languages x dict_bytes
 
     def one(text: str | None, tools) -> tuple:
@@ -85,8 +86,8 @@ def predict(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
     def run(batches):
         tools = compressors(shipped.value, level)
         for b in batches:
-            rows = [one(x.as_py(), tools) for x in b.column(1)]
+            rows = [one(x.as_py(), tools) for x in b.columns[-1]]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], names=schema.names)
 
     return src.mapInArrow(run, schema)

@@ -76,16 +76,17 @@ def counts(text: str | None) -> tuple[int, ...]:
     )
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """One row per document: id, stratum, the COUNTS and base_failed."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", src.schema["doc_id"].dataType), T.StructField("stratum", T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTS)])
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """stratum, the COUNTS and base_failed beside the columns ``carry``, by default the id as doc_id."""
+    beside = [F.col(id_col).alias("doc_id")] if carry is None else [F.col(c) for c in carry]
+    src = docs.select(*beside, F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("_text"))
+    schema = T.StructType([*src.schema.fields[:-2], T.StructField("stratum", T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(batches):
         for b in batches:
-            rows = [counts(x.as_py()) for x in b.column(2)]
+            rows = [counts(x.as_py()) for x in b.columns[-1]]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "stratum", *COUNTS])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.int64()) for c in columns)], names=schema.names)
 
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return src.mapInArrow(run, schema).withColumn("base_failed", failed)

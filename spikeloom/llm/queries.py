@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeloom.llm import bpe, context_mixing, langid, multiset_hash, packing, quality_rules, secret_scan, simhash, url_filter
+from spikeloom.llm import bpe, context_mixing, langid, multiset_hash, packing, quality_rules, secret_scan, simhash, site_quality, url_filter
 from spikeloom.llm.common import cut, fold, table
 
 #: The rules of the URL query.
@@ -71,6 +71,10 @@ def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", "edited_sha256", mh.as_text(F.col("_text")).alias("fingerprint"), mh.as_text(F.col("_edited")).alias("edited_fingerprint"), *likeness)
 
 
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 5) == 1
     return context_mixing.score(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
@@ -83,7 +87,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_language_id, op4_byte_bpe, op5_packing, op6_secret_scan, op7_multiset_hash, op9_context_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_language_id, op4_byte_bpe, op5_packing, op6_secret_scan, op7_multiset_hash, op8_site_quality, op9_context_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
