@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -35,16 +37,19 @@ from spikeloom.llm.common import WorkerCache, cut, per_worker
 
 #: Code points on which all lower-casing, normalizing and splitting rules in use agree and whose white space is ASCII.
 PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ſ]")
+#: Among them, what the tokenizer splits off: runs of letters, single numerals, runs of others (without apostrophes, which join some endings).
+LETTERS, NUMERALS = ("".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == kind) for kind in "LN")
+SPLIT = re.compile(f"[{LETTERS}]+|[{NUMERALS}]|[^{LETTERS}{NUMERALS}\t-\r ]+").findall
 
 
 class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, by a tokenizer that never joins words across white space.
 
-    What a chunk between white space gives is kept in a bounded memo. Texts with code points outside PLAIN go
+    What a pre-token (or, in texts with apostrophes, a chunk between white space) gives is kept in a bounded memo. Texts with code points outside PLAIN go
     to the tokenizer as they are.
     """
 
-    def __init__(self, definition: str, memo: int = 300_000):
+    def __init__(self, definition: str, memo: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -53,10 +58,10 @@ class WordTokenizer:
         self.memo = WorkerCache(lambda chunk: self.ids([chunk])[0], memo)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if PLAIN.search(x) else x.lower().split() for x in texts]
+        chunks = [None if PLAIN.search(x) else x.lower().split() if "'" in x else SPLIT(x.lower()) for x in texts]
         new = list(set().union(*(c for c in chunks if c)) - self.memo.keys() - self.memo.old.keys())
         for i in range(0, len(new), 4096):
             for k, v in zip(new[i : i + 4096], self.ids(new[i : i + 4096]), strict=True):
