@@ -67,7 +67,10 @@ def compressors(content: dict[str, bytes], level: int):
 
 
 def predict(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = 6, chunk_bytes: int = 4096, min_margin: float = 0.005, carry: list[str] | None = None) -> DataFrame:
-    """lang_pred, score (0 to 1), margin (relative excess of the runner-up) and accepted beside the columns ``carry``, by default the id as doc_id."""
+    """lang_pred, score (0 to 1), margin (relative excess of the runner-up) and accepted beside the columns ``carry``, by default the id as doc_id.
+
+    ``carry`` must not have those four names; a struct of all columns avoids that.
+    """
     kept = [F.col(id_col).alias("doc_id")] if carry is None else [F.col(c) for c in carry]
     src = docs.select(*kept, F.col(text_col).alias("_text"))
     schema = T.StructType([*src.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("accepted", T.BooleanType())])

@@ -77,7 +77,10 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
-    """stratum, the COUNTS and base_failed beside the columns ``carry``, by default the id as doc_id."""
+    """stratum, the COUNTS and base_failed beside the columns ``carry``, by default the id as doc_id.
+
+    ``carry`` must not have those names; a struct of all columns avoids that.
+    """
     beside = [F.col(id_col).alias("doc_id")] if carry is None else [F.col(c) for c in carry]
     src = docs.select(*beside, F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("_text"))
     schema = T.StructType([*src.schema.fields[:-2], T.StructField("stratum", T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTS)])

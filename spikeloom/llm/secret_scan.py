@@ -56,8 +56,8 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules=RULES, version: str = RULE_VERSION, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(docs, without the text unless ``keep_text``, with blob and spans; new ledger rows: blob, version, spans).
+def scan(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules=RULES, version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+    """(docs without the text, with blob and spans; new ledger rows: blob, version, spans).
 
     ledger: rows of earlier scans, of any rule versions.
     """
@@ -74,8 +74,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text
         findings = findings.unionByName(known)
     # only blobs with findings are joined back, salted so that a blob with very many paths is spread out
     salted = findings.where(F.size("spans") > 0).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = [F.col(c) for c in docs.columns if c != text_col]
-    keyed = paths.drop(*([] if keep_text else [text_col]), "spans", "_salt").withColumn("_salt", F.pmod(F.xxhash64(*own) if own else F.lit(0), F.lit(SALTS)).cast("int"))
+    own = [F.col(c) for c in docs.columns if c not in (text_col, "blob", "spans", "_salt")]
+    keyed = paths.drop(text_col, "spans", "_salt").withColumn("_salt", F.pmod(F.xxhash64(*own) if own else F.lit(0), F.lit(SALTS)).cast("int"))
     out = keyed.join(salted, ["blob", "_salt"], "left").drop("_salt")
     return out.withColumn("spans", F.coalesce("spans", F.array().cast(SPAN))), fresh
 

@@ -80,7 +80,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     listed = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).groupBy("host", "path").agg(F.max(F.col("verdict")).alias("verdict"))
     n_rules, lengths = listed.count(), sorted(r[0] for r in listed.select(F.length("path")).distinct().collect())  # as many as path lengths
     host, path = split_url(F.col(url_col))
-    out = pages.withColumn("host", host).withColumn("path", path)
+    out = pages.drop("rule", "verdict").withColumn("host", host).withColumn("path", path)
     if not n_rules:
         return out.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     blocks = max(1, min(max_filter_bytes // (8 * WORDS), 1 << int(np.ceil(np.log2(max(1, n_rules / 32))))))
