@@ -174,7 +174,7 @@ def patterns(demand: np.ndarray, capacity: int, tolerance: float = 1e-6, rounds:
     return chosen + [(1, np.bincount(b, minlength=capacity + 1)) for b in bins]
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, unit: int = 8, bucket_rows: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, unit: int = 8, bucket_rows: int = 2_000) -> DataFrame:
     """``pieces`` with sequence_id and offset. Needs doc_id, start and length; other columns are kept.
 
     ``capacity`` is a multiple of ``unit``.
@@ -183,6 +183,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, unit: int = 8, bucket_rows: in
     sized = cut(pieces.withColumn("_class", F.when(F.col("length") == capacity, classes + 1).otherwise(F.ceil(F.col("length") / unit)).cast("int")))
     histogram = cut(sized.groupBy("_class").agg(F.count(F.lit(1)).alias("n")))
 
+    counted = [0] * (classes + 2)
+    for r in histogram.collect():  # at most classes + 1 rows
+        counted[r["_class"]] = r["n"]
+
     def solve(frames):  # at most `classes` rows, in one task with one thread
         demand = np.zeros(classes + 1, np.int64)
         for pdf in frames:
@@ -207,8 +211,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, unit: int = 8, bucket_rows: in
         to.append(v)
     shipped = spark.sparkContext.broadcast({k: [np.array(x, np.int64) for x in v] for k, v in slots.items() if v[0]})
 
-    buckets = max(1, -(-(histogram.agg(F.sum("n")).first()[0] or 0) // bucket_rows))
-    dealt = sized.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    # as many buckets for a class as its rows need
+    buckets = F.array(*(F.lit(max(1, -(-n // bucket_rows))) for n in counted))
+    dealt = sized.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.get(buckets, F.col("_class"))))
     before = dealt.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("n"))
     before = before.select("_class", "_bucket", (F.sum("n").over(W.partitionBy("_class").orderBy("_bucket")) - F.col("n")).alias("_before"))
     order = W.partitionBy("_class", "_bucket").orderBy(F.desc("length"), "doc_id", "start")
