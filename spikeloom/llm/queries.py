@@ -13,7 +13,7 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2, seeds=(42,), size_ratio=None)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2, seeds=(42,), size_ratio=None, least=None)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 

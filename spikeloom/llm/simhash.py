@@ -17,7 +17,8 @@ links reach.
    forest of them, at most one link for each fingerprint, not all pairs.
 5. Components of those links are found by star joins and joined back to the documents.
 
-With ``size_ratio`` pairs must also have shingle counts within that ratio: fingerprints are
+With ``least`` links are checked exactly: each fingerprint's links to its nearest partners and the spanning links are compared by the
+Jaccard similarity of the texts' shingle sets. With ``size_ratio`` pairs must also have shingle counts within that ratio: fingerprints are
 dealt to logarithmic size bands first, and visit the bands below that the ratio reaches. Without pruning (a large radius) the work is quadratic within a
 band, spread evenly over tasks.
 
@@ -67,14 +68,14 @@ def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,)) ->
 
 
 def fingerprints(docs: DataFrame, width: int, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, f0, f1, ... (the words of the fingerprint as bigint), n_shingles."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([src.schema["doc_id"], *(T.StructField(f"f{w}", T.LongType()) for w in range(len(seeds))), T.StructField("n_shingles", T.LongType())])
+    """doc_id, text_key, f0, f1, ... (the words of the fingerprint as bigint), n_shingles."""
+    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
+    schema = T.StructType([*src.schema.fields[:2], *(T.StructField(f"f{w}", T.LongType()) for w in range(len(seeds))), T.StructField("n_shingles", T.LongType())])
 
     def run(batches):
         for b in batches:
-            got = [fingerprint(x.as_py(), width, seeds) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[0][w] for g in got], pa.int64()) for w in range(len(seeds))), pa.array([g[1] for g in got], pa.int64())], names=schema.names)
+            got = [fingerprint(x.as_py(), width, seeds) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[0][w] for g in got], pa.int64()) for w in range(len(seeds))), pa.array([g[1] for g in got], pa.int64())], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -141,10 +142,11 @@ def shards(nodes: list, fps: np.ndarray, radius: int, at_home: bool = True) -> t
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, where, homes))
 
 
-def forest(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | None = None, ratio: float | None = None) -> np.ndarray:
-    """For each fingerprint the index of its component's representative, over the pairs (home, any) within ``radius``."""
+def forest(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | None = None, ratio: float | None = None, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint the index of its component's representative, over the pairs (home, any) within ``radius``,
+    and with ``nearest`` the index of its nearest partner (else its own)."""
     n = len(fps)
-    root = np.arange(n)
+    root, partner, apart = np.arange(n), np.arange(n), np.full(n, radius + 1)
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -170,6 +172,14 @@ def forest(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | No
         if ratio:
             fits = np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b])
             a, b = a[fits], b[fits]
+        if nearest:  # of both, the home and the other
+            d = near[x, y][fits] if ratio else near[x, y]
+            for one, two in ((a, b), (b, a)):
+                best = np.lexsort((two, d, one))
+                best = best[(one != two)[best]]
+                best = best[np.r_[True, one[best][1:] != one[best][:-1]]] if len(best) else best
+                best = best[d[best] < apart[one[best]]]
+                partner[one[best]], apart[one[best]] = two[best], d[best]
         p, q = root[a], root[b]
         if (p != q).any():
             for p, q in np.unique(np.stack([p, q], axis=1)[p != q], axis=0).tolist():
@@ -177,18 +187,19 @@ def forest(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | No
                 root[max(p, q)] = min(p, q)
             while not np.array_equal(flat := root[root], root):
                 root[:] = flat
-    return root
+    return root, partner
 
 
 #: Size bands for each factor of ``size_ratio``.
 BANDS = 4
 
 
-def link(distinct: DataFrame, radius: int, words: int, sample_rows: int = 16384, leaf: int = 4096, block: int = 65536, size_ratio: float | None = None) -> DataFrame:
+def link(distinct: DataFrame, radius: int, words: int, sample_rows: int = 16384, leaf: int = 4096, block: int = 65536, size_ratio: float | None = None, nearest: bool = False) -> DataFrame:
     """Links (a, b) of keys that span the components of the fingerprints within ``radius``.
 
     distinct: key (bigint, unique), f0, f1, ... (bigint words), size (bigint). The tree is grown from fingerprints that a hash
-    picks, one in 16, at most ``sample_rows`` of them; every fingerprint takes part in the search.
+    picks, one in 16, at most ``sample_rows`` of them; every fingerprint takes part in the search. With ``nearest`` the links of each
+    fingerprint to its nearest partners are among them.
     """
     spark, fp = distinct.sparkSession, [f"f{w}" for w in range(words)]
     total = distinct.count()
@@ -221,24 +232,54 @@ def link(distinct: DataFrame, radius: int, words: int, sample_rows: int = 16384,
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")
         keys = pdf["key"].to_numpy()
-        to = forest(pdf[fp].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(), radius, pdf["size"].to_numpy(), size_ratio)
-        linked = to != np.arange(len(to))
-        return pd.DataFrame({"a": keys[linked], "b": keys[to[linked]]})
+        found = forest(pdf[fp].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(), radius, pdf["size"].to_numpy(), size_ratio, nearest)
+        return pd.concat(pd.DataFrame({"a": np.maximum(keys, keys[to]), "b": np.minimum(keys, keys[to])})[to != np.arange(len(to))] for to in found)
 
     return spread.groupBy("shard", "block").applyInPandas(pairs, "a bigint, b bigint").where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 22, seeds: tuple[int, ...] = (42, 43), size_ratio: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, f0, f1, ... (the fingerprint's words), n_shingles, component_id (the least id of the component)."""
+def jaccard(a: str | None, b: str | None, width: int) -> float:
+    x, y = (set(shingle_hashes(t, width, (42,))[:, 0].tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def verified(links: DataFrame, groups: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The links whose texts have a Jaccard similarity of their shingle sets of at least ``least``.
+
+    groups: key and rep (doc_id, text_key), the document that stands for a fingerprint. docs: doc_id, text.
+    """
+    ends = links.select("a").union(links.select("b")).distinct().toDF("key")
+    reps = groups.join(ends, "key").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_text"))
+    texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_text")))
+    texts = cut(texts.select("key", "text").dropDuplicates(["key"]))
+    pairs = links.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches):
+        for b in batches:
+            like = [jaccard(x.as_py(), y.as_py(), width) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
+
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 26, seeds: tuple[int, ...] = (42, 43), size_ratio: float | None = 0.8, least: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, f0, f1, ... (the fingerprint's words), n_shingles, component_id (the least id of the component).
+
+    With ``least`` the links (of each fingerprint to its nearest partners, and those that span a component) are checked against the
+    texts, and only those with that Jaccard similarity count.
+    """
     fp = [f"f{w}" for w in range(len(seeds))]
-    prints = cut(fingerprints(docs, width, seeds, id_col, text_col))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    prints = cut(fingerprints(src, width, seeds))
     same = [*fp, "n_shingles"] if size_ratio else fp
     # one row for each distinct fingerprint, with the least id it occurs with
-    groups = prints.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    groups = prints.groupBy(*same).agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("rows"))
     groups = cut(groups.withColumn("key", F.xxhash64(*same) if len(same) > 1 else F.col("f0")))
-    links = link(groups.select("key", *fp, F.col("n_shingles" if size_ratio else "rows").alias("size")), radius, len(seeds), size_ratio=size_ratio, **options)
+    links = link(groups.select("key", *fp, F.col("n_shingles" if size_ratio else "rows").alias("size")), radius, len(seeds), size_ratio=size_ratio, nearest=bool(least), **options)
+    if least:
+        links = verified(cut(links), groups, src, width, least)
     named = groups.join(components(links), F.col("key") == F.col("node"), "left")
     linked = named.where("node IS NOT NULL")
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = linked.join(least, "root").select(*same, "rows", "component_id").union(named.where("node IS NULL").select(*same, "rows", "first"))
-    return join_unique(prints, cut(classes), same, "rows").select("doc_id", *fp, "n_shingles", "component_id")
+    least_id = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = linked.join(least_id, "root").select(*same, "rows", "component_id").union(named.where("node IS NULL").select(*same, "rows", "first"))
+    return join_unique(prints.drop("text_key"), cut(classes), same, "rows").select("doc_id", *fp, "n_shingles", "component_id")

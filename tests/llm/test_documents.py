@@ -155,11 +155,27 @@ def test_simhash_against_brute_force(docs, empty):
                     root = [min(p, q) if r in (p, q) else r for r in root]
         least = [min((rows[j][0] for j in range(len(rows)) if root[j] == root[i] and rows[j][0] is not None), default=None) for i in range(len(rows))]
         want = Counter((d, p[0] - (p[0] >> 63 << 64), c) for (d, _), (p, _), c in zip(rows, prints, least, strict=True))
-        found = simhash.near_duplicates(docs.where(F.coalesce(F.length("text"), F.lit(0)) < 100_000), width, radius, seeds, ratio, leaf=4)
+        found = simhash.near_duplicates(docs.where(F.coalesce(F.length("text"), F.lit(0)) < 100_000), width, radius, seeds, ratio, None, leaf=4)
         assert Counter((r["doc_id"], r["f0"], r["component_id"]) for r in found.collect()) == want
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_links_are_checked(spark):
+    rng = np.random.default_rng(8)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 400)] for _ in range(40)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)]
+    for i, b in enumerate(base):  # a close copy (similarity over 0.9) and a loose one (under 0.7)
+        for k, edits in ((100, 3), (200, 22)):
+            c = list(b)
+            for at in range(0, 400, 400 // edits):
+                c[at] = "changed"
+            rows.append((k + i, " ".join(c)))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    text = dict(rows)
+    assert all(simhash.jaccard(text[i], text[100 + i], 5) > 0.9 and simhash.jaccard(text[i], text[200 + i], 5) < 0.8 for i in range(40))
+    assert all(found[100 + i] == i and found[200 + i] == 200 + i for i in range(40))
+
+
 def test_tree_loses_no_pair(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
