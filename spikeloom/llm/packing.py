@@ -42,35 +42,39 @@ LETTERS, NUMERALS = ("".join(c for c in map(chr, range(0x180)) if unicodedata.ca
 SPLIT = re.compile(f"[{LETTERS}]+|[{NUMERALS}]|[^{LETTERS}{NUMERALS}\t-\r ]+").findall
 
 
+#: The tokenizer's model takes bytes as characters: printable ones as they are, the others from 256 on.
+BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, by a tokenizer that never joins words across white space.
 
-    What a pre-token (or, in texts with apostrophes, a chunk between white space) gives is kept in a bounded memo. Texts with code points outside PLAIN go
-    to the tokenizer as they are.
+    What the tokenizer's model gives for a pre-token (or, in texts with apostrophes, the tokenizer for a chunk between white
+    space) is kept in a bounded memo. Texts with code points outside PLAIN go to the tokenizer as they are.
     """
 
-    def __init__(self, definition: str, memo: int = 600_000):
+    def __init__(self, definition: str, memo: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_str(definition)
         self.own.encode_special_tokens = True
-        self.memo = WorkerCache(lambda chunk: self.ids([chunk])[0], memo)
+        self.model = self.own.model
+        self.memo, self.chunks = WorkerCache(self.piece, memo), WorkerCache(self.whole, memo // 10)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+    def piece(self, text: str) -> bytes:
+        own = text if text.isascii() else text.encode().decode("latin-1").translate(BYTES)
+        return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if PLAIN.search(x) else x.lower().split() if "'" in x else SPLIT(x.lower()) for x in texts]
-        new = list(set().union(*(c for c in chunks if c)) - self.memo.keys() - self.memo.old.keys())
-        for i in range(0, len(new), 4096):
-            for k, v in zip(new[i : i + 4096], self.ids(new[i : i + 4096]), strict=True):
-                self.memo[k] = v
-        out = [self.ids([x])[0] if c is None else b"".join(map(self.memo.__getitem__, c)) for x, c in zip(texts, chunks, strict=True)]
-        if len(self.memo) > self.memo.limit:
-            self.memo.old = dict(self.memo)
-            self.memo.clear()
-        return out
+    def encode(self, text: str) -> bytes:
+        if PLAIN.search(text):
+            return self.whole(text)
+        if "'" in text:
+            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+        return b"".join(map(self.memo.__getitem__, SPLIT(text.lower())))
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,8 +93,8 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, ke
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 rows, out, ids = [], [], []
-                for i, raw in enumerate(tool.encode([x or "" for x in part.column(1).to_pylist()])):
-                    raw += end
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    raw = tool.encode(text or "") + end
                     for s in range(0, len(raw), 4 * capacity):
                         p = raw[s : s + 4 * capacity]
                         rows.append(i)
