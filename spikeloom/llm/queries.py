@@ -58,6 +58,16 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n.values(), F.sha2(listing, 256).alias("base_sha256"), listing.alias("spans"))
 
 
+OP6_SQL = r"""
+WITH k(kind, rank, pat, g, least) AS (VALUES ('assign', 0, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12), ('access', 1, 'AKIA[A-Z0-9]+', 0, 18), ('hex', 2, '[0-9a-f]{16,}', 0, 16)),
+m AS (SELECT doc_id, kind, rank, least, list_transform(string_split_regex(coalesce(text, ''), pat), lambda x: length(x)) AS gaps, list_transform(regexp_extract_all(coalesce(text, ''), pat), lambda x: length(x)) AS n,
+  list_transform(CASE WHEN g = 2 THEN regexp_extract_all(coalesce(text, ''), pat, 2) ELSE regexp_extract_all(coalesce(text, ''), pat) END, lambda x: length(x)) AS held FROM documents CROSS JOIN k),
+s AS (SELECT doc_id, kind, rank, (list_sum(gaps[1:i]) + coalesce(list_sum(n[1:i - 1]), 0))::BIGINT AS first, n[i] AS len FROM m, unnest(range(1, len(n) + 1)) u(i) WHERE held[i] >= least),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || first || ':' || (first + len), ',' ORDER BY first, rank) AS spans FROM s GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN a USING (doc_id)
+"""
+
+
 def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     mh = multiset_hash
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -91,4 +101,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL}
+    return {"op2_url_filter": OP2_SQL, "op6_secret_scan": OP6_SQL}
