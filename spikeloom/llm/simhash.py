@@ -17,8 +17,10 @@ links reach.
    forest of them, at most one link for each fingerprint, not all pairs.
 5. Components of those links are found by star joins and joined back to the documents.
 
-With ``least`` links are checked exactly: each fingerprint's links to its nearest partners and the spanning links are compared by the
-Jaccard similarity of the texts' shingle sets. With ``size_ratio`` pairs must also have shingle counts within that ratio: fingerprints are
+With ``least`` a link is a pair within ``radius`` whose texts' shingle sets have at least that Jaccard similarity. Every such pair is either
+checked or lies in one component already: in each round a fingerprint's home gives its next nearest partners of other components (START,
+then GROWTH times as many), they are checked, and the components grow, until no home has partners left. So a family of copies costs a few checks
+for each member, and no pair that could join two components is passed over. With ``size_ratio`` pairs must also have shingle counts within that ratio: fingerprints are
 dealt to logarithmic size bands first, and visit the bands below that the ratio reaches. Without pruning (a large radius) the work is quadratic within a
 band, spread evenly over tasks.
 
@@ -142,18 +144,9 @@ def shards(nodes: list, fps: np.ndarray, radius: int, at_home: bool = True) -> t
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, where, homes))
 
 
-def forest(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | None = None, ratio: float | None = None, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint the index of its component's representative, over the pairs (home, any) within ``radius``,
-    and with ``nearest`` the index of its nearest partner (else its own)."""
+def within(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | None = None, ratio: float | None = None):
+    """Yields (a, b, distance) of the pairs (home, any) within ``radius``, each home's in one piece; a pair of itself is among them."""
     n = len(fps)
-    root, partner, apart = np.arange(n), np.arange(n), np.full(n, radius + 1)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     order = np.argsort(size, kind="stable") if ratio else np.arange(n)
     ranked, own = fps[order], np.flatnonzero(home[order])
     sizes = size[order] if ratio else None
@@ -168,18 +161,25 @@ def forest(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | No
         for w in range(1, fps.shape[1]):
             near += np.bitwise_count(ranked[rows, None, w] ^ ranked[None, lo:hi, w])
         x, y = np.nonzero(near <= radius)
-        a, b = order[rows[x]], order[y + lo]
+        a, b, d = order[rows[x]], order[y + lo], near[x, y]
         if ratio:
             fits = np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b])
-            a, b = a[fits], b[fits]
-        if nearest:  # of both, the home and the other
-            d = near[x, y][fits] if ratio else near[x, y]
-            for one, two in ((a, b), (b, a)):
-                best = np.lexsort((two, d, one))
-                best = best[(one != two)[best]]
-                best = best[np.r_[True, one[best][1:] != one[best][:-1]]] if len(best) else best
-                best = best[d[best] < apart[one[best]]]
-                partner[one[best]], apart[one[best]] = two[best], d[best]
+            a, b, d = a[fits], b[fits], d[fits]
+        yield a, b, d
+
+
+def forest(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | None = None, ratio: float | None = None) -> np.ndarray:
+    """For each fingerprint the index of its component's representative, over the pairs (home, any) within ``radius``."""
+    n = len(fps)
+    root = np.arange(n)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b, _ in within(fps, home, radius, size, ratio):
         p, q = root[a], root[b]
         if (p != q).any():
             for p, q in np.unique(np.stack([p, q], axis=1)[p != q], axis=0).tolist():
@@ -187,19 +187,34 @@ def forest(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | No
                 root[max(p, q)] = min(p, q)
             while not np.array_equal(flat := root[root], root):
                 root[:] = flat
-    return root, partner
+    return root
+
+
+def nearest(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | None, ratio: float | None, keys: np.ndarray, root: np.ndarray, past: np.ndarray, past_key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, distance): for each home the first ``most`` partners of other roots by (distance, key) that come after (past, past_key)."""
+    out = []
+    for a, b, d in within(fps, home, radius, size, ratio):
+        take = (root[a] != root[b]) & ((d > past[a]) | ((d == past[a]) & (keys[b] > past_key[a])))
+        a, b, d = a[take], b[take], d[take]
+        by = np.lexsort((keys[b], d, a))
+        a, b, d = a[by], b[by], d[by]
+        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
+        take = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)])) < most
+        out.append((a[take], b[take], d[take].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
 #: Size bands for each factor of ``size_ratio``.
 BANDS = 4
+#: Partners of a fingerprint that the first round checks, and how many times as many each later round.
+START, GROWTH = 8, 8
 
 
-def link(distinct: DataFrame, radius: int, words: int, sample_rows: int = 16384, leaf: int = 4096, block: int = 65536, size_ratio: float | None = None, nearest: bool = False) -> DataFrame:
-    """Links (a, b) of keys that span the components of the fingerprints within ``radius``.
+def deal_out(distinct: DataFrame, radius: int, words: int, sample_rows: int = 16384, leaf: int = 4096, block: int = 65536, size_ratio: float | None = None) -> DataFrame:
+    """key, f0, f1, ..., size, shard, block, home: the rows of each block, in which every pair within ``radius`` meets at the home of one of the two.
 
     distinct: key (bigint, unique), f0, f1, ... (bigint words), size (bigint). The tree is grown from fingerprints that a hash
-    picks, one in 16, at most ``sample_rows`` of them; every fingerprint takes part in the search. With ``nearest`` the links of each
-    fingerprint to its nearest partners are among them.
+    picks, one in 16, at most ``sample_rows`` of them; every fingerprint takes part in the search.
     """
     spark, fp = distinct.sparkSession, [f"f{w}" for w in range(words)]
     total = distinct.count()
@@ -227,22 +242,63 @@ def link(distinct: DataFrame, radius: int, words: int, sample_rows: int = 16384,
     blocks = dealt.where("home").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     spread = dealt.join(blocks, "shard").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select(*names, "shard", "block", (F.col("home") & (F.col("block") == F.col("own"))).alias("home"))
+    return spread.select(*names, "shard", "block", (F.col("home") & (F.col("block") == F.col("own"))).alias("home"))
+
+
+def link(distinct: DataFrame, radius: int, words: int, size_ratio: float | None = None, **options) -> DataFrame:
+    """Links (a, b) of keys that span the components of the fingerprints within ``radius``; ``distinct`` and options as in deal_out()."""
+    fp = [f"f{w}" for w in range(words)]
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")
         keys = pdf["key"].to_numpy()
-        found = forest(pdf[fp].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(), radius, pdf["size"].to_numpy(), size_ratio, nearest)
-        return pd.concat(pd.DataFrame({"a": np.maximum(keys, keys[to]), "b": np.minimum(keys, keys[to])})[to != np.arange(len(to))] for to in found)
+        to = forest(pdf[fp].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(), radius, pdf["size"].to_numpy(), size_ratio)
+        return pd.DataFrame({"a": keys, "b": keys[to]})[to != np.arange(len(to))]
 
+    spread = deal_out(distinct, radius, words, size_ratio=size_ratio, **options)
     return spread.groupBy("shard", "block").applyInPandas(pairs, "a bigint, b bigint").where("a <> b").distinct()
 
 
-def jaccard(a: str | None, b: str | None, width: int) -> float:
-    x, y = (set(shingle_hashes(t, width, (42,))[:, 0].tolist()) for t in (a, b))
+def checked_links(groups: DataFrame, docs: DataFrame, width: int, radius: int, words: int, least: float, size_ratio: float | None = None, **options) -> DataFrame:
+    """Links (a, b) of keys that span the components of the pairs within ``radius`` whose texts have a Jaccard similarity of at least ``least``.
+
+    groups: key, f0, f1, ..., size, rep as in verified(). A home that gives as many partners as it may is open: it goes on behind the last one.
+    """
+    fp = [f"f{w}" for w in range(words)]
+    spread = deal_out(groups.select("key", *fp, "size"), radius, words, size_ratio=size_ratio, **options)
+    now, most, kept = spread.withColumns({"root": F.col("key"), "past": F.lit(-1), "past_key": F.lit(0).cast("bigint")}), START, None
+    while True:
+        def search(pdf: pd.DataFrame) -> pd.DataFrame:
+            keys = pdf["key"].to_numpy()
+            a, b, d = nearest(pdf[fp].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(), radius, pdf["size"].to_numpy(), size_ratio, keys, *(pdf[c].to_numpy() for c in ("root", "past", "past_key")), most)
+            return pd.DataFrame({"a": keys[a], "b": keys[b], "d": d})
+
+        found = cut(now.groupBy("shard", "block").applyInPandas(search, "a bigint, b bigint, d bigint"))
+        fresh = verified(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), groups, docs, width, least)
+        kept = cut(fresh if kept is None else kept.union(fresh))
+        more = found.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("d", "b")).alias("last")).where(F.col("n") == most)
+        more = cut(more.select(F.col("a").alias("key"), F.col("last.d").cast("int").alias("past"), F.col("last.b").alias("past_key")))
+        if more.isEmpty():
+            return kept
+        roots = cut(components(kept)).toDF("key", "_root")
+        ahead = spread.join(more, "key", "left").join(roots, "key", "left")
+        ahead = ahead.select("key", *fp, "size", "shard", "block", (F.col("home") & F.col("past").isNotNull()).alias("home"), F.coalesce("_root", "key").alias("root"), F.coalesce("past", F.lit(-1)).alias("past"), F.coalesce("past_key", F.lit(0)).cast("bigint").alias("past_key"))
+        now = ahead.join(spread.where("home").join(more, "key", "left_semi").select("shard", "block").distinct(), ["shard", "block"], "left_semi")
+        most *= GROWTH
+
+
+def shingle_set(text: str | None, width: int) -> set[int]:
+    return set(shingle_hashes(text, width, (42,))[:, 0].tolist())
+
+
+def likeness(x: set[int], y: set[int]) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def jaccard(a: str | None, b: str | None, width: int) -> float:
+    return likeness(shingle_set(a, width), shingle_set(b, width))
+
+
 def verified(links: DataFrame, groups: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
     """The links whose texts have a Jaccard similarity of their shingle sets of at least ``least``.
 
@@ -255,8 +311,20 @@ def verified(links: DataFrame, groups: DataFrame, docs: DataFrame, width: int, l
     pairs = links.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
+        sets: dict[int, set[int]] = {}
+
+        def of(key: int, text: pa.Scalar) -> set[int]:
+            if key not in sets:
+                if len(sets) >= 64:
+                    sets.clear()
+                sets[key] = shingle_set(text.as_py(), width)
+            return sets[key]
+
         for b in batches:
-            like = [jaccard(x.as_py(), y.as_py(), width) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            like = []
+            for i, j, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                x, y = of(i, x), of(j, y)
+                like.append(likeness(x, y) >= least)
             yield b.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
 
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
@@ -265,8 +333,7 @@ def verified(links: DataFrame, groups: DataFrame, docs: DataFrame, width: int, l
 def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 26, seeds: tuple[int, ...] = (42, 43), size_ratio: float | None = 0.8, least: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, f0, f1, ... (the fingerprint's words), n_shingles, component_id (the least id of the component).
 
-    With ``least`` the links (of each fingerprint to its nearest partners, and those that span a component) are checked against the
-    texts, and only those with that Jaccard similarity count.
+    With ``least`` links are checked against the texts, and only those with that Jaccard similarity count.
     """
     fp = [f"f{w}" for w in range(len(seeds))]
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -275,9 +342,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 26, seeds: tu
     # one row for each distinct fingerprint, with the least id it occurs with
     groups = prints.groupBy(*same).agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("rows"))
     groups = cut(groups.withColumn("key", F.xxhash64(*same) if len(same) > 1 else F.col("f0")))
-    links = link(groups.select("key", *fp, F.col("n_shingles" if size_ratio else "rows").alias("size")), radius, len(seeds), size_ratio=size_ratio, nearest=bool(least), **options)
+    sized = groups.withColumn("size", F.col("n_shingles" if size_ratio else "rows"))
     if least:
-        links = verified(cut(links), groups, src, width, least)
+        links = checked_links(sized, src, width, radius, len(seeds), least, size_ratio, **options)
+    else:
+        links = link(sized.select("key", *fp, "size"), radius, len(seeds), size_ratio=size_ratio, **options)
     named = groups.join(components(links), F.col("key") == F.col("node"), "left")
     linked = named.where("node IS NOT NULL")
     least_id = linked.groupBy("root").agg(F.min("first").alias("component_id"))
