@@ -41,7 +41,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # five-word shingles; 128 bits, of which about 20 differ at a Jaccard similarity of 0.8, so 26 lose few; links are then checked exactly
+    # sets of five-word shingles; 128 bits, of which about 20 differ at a Jaccard similarity of 0.8, so 36 lose next to none; links are then checked exactly
     found = simhash.near_duplicates(docs)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
     return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["doc_id"])

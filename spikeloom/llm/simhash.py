@@ -58,26 +58,31 @@ def shingle_hashes(text: str | None, width: int, seeds: tuple[int, ...]) -> np.n
     return np.stack([np.fromiter((digest(joined[s:e], seed) for s, e in at), np.uint64, len(at)) for seed in seeds], axis=1)
 
 
-def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,)) -> tuple[list[int], int]:
-    """The signed 64-bit words of the fingerprint, one for each seed, and the number of shingles."""
+def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> tuple[list[int], int, int]:
+    """The signed 64-bit words of the fingerprint, one for each seed, the number of shingles, and with ``distinct``, where each
+    shingle counts once, a hash of their set (else 0)."""
     h = shingle_hashes(text, width, seeds)
     if not len(h):
-        return [0] * len(seeds), 0
+        return [0] * len(seeds), 0, 0
+    of_set = 0
+    if distinct:
+        once, at = np.unique(h[:, 0], return_index=True)
+        h, of_set = h[at], int(np.uint64(xxhash.xxh64_intdigest(once.tobytes())).astype(np.int64))
     votes = np.zeros(64 * len(seeds), np.int64)
     for i in range(0, len(h), 16384):
         votes += np.unpackbits(h[i : i + 16384].byteswap().view(np.uint8).reshape(-1, 8 * len(seeds)), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > len(h)).view(">i8").tolist(), len(h)
+    return np.packbits(2 * votes > len(h)).view(">i8").tolist(), len(h), of_set
 
 
-def fingerprints(docs: DataFrame, width: int, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, f0, f1, ... (the words of the fingerprint as bigint), n_shingles."""
+def fingerprints(docs: DataFrame, width: int, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """doc_id, text_key, f0, f1, ... (the words of the fingerprint as bigint), n_shingles, set_key."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
-    schema = T.StructType([*src.schema.fields[:2], *(T.StructField(f"f{w}", T.LongType()) for w in range(len(seeds))), T.StructField("n_shingles", T.LongType())])
+    schema = T.StructType([*src.schema.fields[:2], *(T.StructField(f"f{w}", T.LongType()) for w in range(len(seeds))), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.LongType())])
 
     def run(batches):
         for b in batches:
-            got = [fingerprint(x.as_py(), width, seeds) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[0][w] for g in got], pa.int64()) for w in range(len(seeds))), pa.array([g[1] for g in got], pa.int64())], names=schema.names)
+            got = [fingerprint(x.as_py(), width, seeds, distinct) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[0][w] for g in got], pa.int64()) for w in range(len(seeds))), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -330,15 +335,16 @@ def verified(links: DataFrame, groups: DataFrame, docs: DataFrame, width: int, l
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 26, seeds: tuple[int, ...] = (42, 43), size_ratio: float | None = 0.8, least: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 36, seeds: tuple[int, ...] = (42, 43), size_ratio: float | None = 0.8, least: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, f0, f1, ... (the fingerprint's words), n_shingles, component_id (the least id of the component).
 
-    With ``least`` links are checked against the texts, and only those with that Jaccard similarity count.
+    With ``least`` links are checked against the texts, and only those with that Jaccard similarity count; repeats of a shingle
+    don't count then, in fingerprints, n_shingles and sizes, and texts with the same shingle set are one.
     """
     fp = [f"f{w}" for w in range(len(seeds))]
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    prints = cut(fingerprints(src, width, seeds))
-    same = [*fp, "n_shingles"] if size_ratio else fp
+    prints = cut(fingerprints(src, width, seeds, distinct=bool(least)))
+    same = [*fp, "n_shingles", "set_key"] if least else [*fp, "n_shingles"] if size_ratio else fp
     # one row for each distinct fingerprint, with the least id it occurs with
     groups = prints.groupBy(*same).agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("rows"))
     groups = cut(groups.withColumn("key", F.xxhash64(*same) if len(same) > 1 else F.col("f0")))
@@ -351,4 +357,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 26, seeds: tu
     linked = named.where("node IS NOT NULL")
     least_id = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = linked.join(least_id, "root").select(*same, "rows", "component_id").union(named.where("node IS NULL").select(*same, "rows", "first"))
-    return join_unique(prints.drop("text_key"), cut(classes), same, "rows").select("doc_id", *fp, "n_shingles", "component_id")
+    return join_unique(prints.drop("text_key", *{"set_key"} - {*same}), cut(classes), same, "rows").select("doc_id", *fp, "n_shingles", "component_id")

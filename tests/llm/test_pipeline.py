@@ -47,3 +47,17 @@ def test_family_of_variants_keeps_its_links(spark):
     found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), radius=48)
     got = {r["doc_id"]: r["component_id"] for r in found.collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_repeated_passages_and_the_radius(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(20):  # a text, the same with a third of it again and again, and one at a similarity of just over 0.8
+        w = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        cut = w[:-20] + [f"z{x}" for x in rng.integers(0, 5000, 20)]
+        texts += [" ".join(w), " ".join(w + w[:66] * 3), " ".join(cut)]
+    want = linked(texts)
+    assert len(set(want)) == 20
+    found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert [got[i] for i in range(len(texts))] == want
