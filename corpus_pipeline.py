@@ -1,7 +1,8 @@
 """Corpus pipeline: language, quality rules, near-duplicates, secrets, packing.
 
 Each stage takes what the one before kept, as Parquet. Language ID corrects ``lang`` and drops what it rejects; the rules
-drop what they reject; of near-duplicates the document with the least id stays; secrets are redacted in the text; packing
+drop what they reject; of near-duplicates the document with the least id stays (a null id is the greatest; then the
+least text hash decides, then the least row); secrets are redacted in the text; packing
 returns pieces of token sequences.
 """
 
@@ -43,8 +44,11 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # sets of five-word shingles; 128 bits, of which about 20 differ at a Jaccard similarity of 0.8, so 36 lose next to none; links are then checked exactly
     found = simhash.near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["doc_id"])
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"))
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (text_key == F.col("first_key")), "left_semi")
+    return back(kept.groupBy("doc_id", text_key.alias("text_key")).agg(F.min(F.struct(*docs.columns)).alias("row")), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

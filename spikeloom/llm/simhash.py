@@ -336,7 +336,7 @@ def verified(links: DataFrame, groups: DataFrame, docs: DataFrame, width: int, l
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 36, seeds: tuple[int, ...] = (42, 43), size_ratio: float | None = 0.8, least: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, f0, f1, ... (the fingerprint's words), n_shingles, component_id (the least id of the component).
+    """doc_id, text_key, f0, f1, ... (the fingerprint's words), n_shingles, component (a key, never null), component_id (its least id).
 
     With ``least`` links are checked against the texts, and only those with that Jaccard similarity count; repeats of a shingle
     don't count then, in fingerprints, n_shingles and sizes, and texts with the same shingle set are one.
@@ -353,8 +353,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 36, seeds: tu
         links = checked_links(sized, src, width, radius, len(seeds), least, size_ratio, **options)
     else:
         links = link(sized.select("key", *fp, "size"), radius, len(seeds), size_ratio=size_ratio, **options)
-    named = groups.join(components(links), F.col("key") == F.col("node"), "left")
+    named = groups.join(components(links), F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("root", "key"))
     linked = named.where("node IS NOT NULL")
     least_id = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = linked.join(least_id, "root").select(*same, "rows", "component_id").union(named.where("node IS NULL").select(*same, "rows", "first"))
-    return join_unique(prints.drop("text_key", *{"set_key"} - {*same}), cut(classes), same, "rows").select("doc_id", *fp, "n_shingles", "component_id")
+    classes = linked.join(least_id, "root").select(*same, "rows", "component", "component_id").union(named.where("node IS NULL").select(*same, "rows", "component", "first"))
+    return join_unique(prints.drop(*{"set_key"} - {*same}), cut(classes), same, "rows").select("doc_id", "text_key", *fp, "n_shingles", "component", "component_id")

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+import corpus_pipeline
 from spikeloom.llm import simhash
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -61,3 +62,13 @@ def test_repeated_passages_and_the_radius(spark):
     found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
     got = {r["doc_id"]: r["component_id"] for r in found.collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_null_and_repeated_ids_keep_clean_documents(spark):
+    a, near_a, b, c, d, e = family(1, 0, 1) + family(1, 1, 1) + [family(1, 0, k)[0] for k in (2, 3, 4, 5)]
+    rows = [(None, a, "en", "s", 1), (None, near_a, "en", "s", 1), (None, b, "en", "s", 1), (None, b, "en", "s", 1), (None, b, "de", "s", 1),
+            (7, c, None, None, None), (7, d, "en", "s", 2), (3, e, "en", "s", 3), (None, e, "en", "s", 3), (9, None, None, "s", 0), (None, "", "en", "s", 0)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    by_text = {r["text"]: r for r in kept}
+    assert len(kept) == 6 and {b, c, d, e, None} <= {*by_text} and (a in by_text) != (near_a in by_text)
+    assert tuple(by_text[b]) == (None, b, "de", "s", 1) and tuple(by_text[c]) == rows[5] and by_text[e]["doc_id"] == 3
