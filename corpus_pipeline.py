@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spikeloom.llm import langid, packing, quality_rules, secret_scan, simhash
 from spikeloom.llm.common import cut, shared_folder, table
 
-#: Packing has no SQL equivalent; the stages are tested against brute force.
+#: Packing has no SQL equivalent; near_duplicates is tested against brute force, the other stages' operators are.
 ORACLE_SQL = None
 
 
@@ -60,7 +60,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False))
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [("language", language), ("rules", rules), ("near_duplicates", near_duplicates), ("secrets", secrets), ("pack", pack)]

@@ -72,3 +72,11 @@ def test_null_and_repeated_ids_keep_clean_documents(spark):
     by_text = {r["text"]: r for r in kept}
     assert len(kept) == 6 and {b, c, d, e, None} <= {*by_text} and (a in by_text) != (near_a in by_text)
     assert tuple(by_text[b]) == (None, b, "de", "s", 1) and tuple(by_text[c]) == rows[5] and by_text[e]["doc_id"] == 3
+
+
+def test_pack_keeps_token_ids(spark):
+    import zlib
+
+    rows = [(1, "one two three " * 2000, "en", "s", 1), (None, None, None, None, None), (2, "a b", "en", "s", 3), (2, "a b", "en", "s", 3)]
+    found = corpus_pipeline.pack(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    assert len(found) > 4 and all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in found)
