@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names for the cluster; a local one is set only where it is unset (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names for the cluster.
+
+    Where it is unset, a single-process session (``local[...]``, as in tests) gets a temporary folder; on a cluster that is an
+    error, because executors couldn't read each other's files.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spikeloom-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spikeloom-"))
     return sc.getCheckpointDir()
 
 
@@ -51,14 +59,19 @@ def join_unique(big: DataFrame, unique: DataFrame, keys: list[str], rows: str, s
 class WorkerCache(dict):
     """Bounded memo of a pure function; two generations, so that frequent keys stay.
 
-    It lives as long as the Python worker, so later tasks of the same worker find it filled.
+    It lives as long as the Python worker, so later tasks of the same worker find it filled. Keys longer than LONGEST are computed
+    each time, so ``limit`` bounds its bytes, too.
     """
 
+    LONGEST = 64
+
     def __init__(self, compute, limit: int):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.compute(key)
         got = self.old.get(key)
         if got is None:
             got = self.compute(key)
@@ -72,8 +85,12 @@ class WorkerCache(dict):
 _workers: dict = {}
 
 
-def per_worker(key, make):
-    """``make()`` once for each Python worker and key."""
-    if key not in _workers:
-        _workers[key] = make()
-    return _workers[key]
+def per_worker(key, make, most: int = 4):
+    """``make()`` once for each Python worker and key; a worker holds the ``most`` last used ones."""
+    found = _workers.pop(key, None)
+    if found is None:
+        found = make()
+    while len(_workers) >= most:
+        _workers.pop(next(iter(_workers)))
+    _workers[key] = found
+    return found

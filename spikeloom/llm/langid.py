@@ -4,13 +4,15 @@ Each language has a raw-content zstandard dictionary made of labelled texts. A t
 every chunk is compressed with every dictionary, and the language with the smallest total wins. The
 prediction is rejected (``accepted`` is false) when the runner-up is nearly as small.
 
-Training uses a bounded sample: for each language the ``sample_docs`` labelled documents with the smallest
-hash of their id, at most ``sample_chars`` characters of each and ``dict_bytes`` in all; sample texts whose label the other half of the sample contradicts
-are left out. Prediction reads whole texts.
+Training uses a bounded sample of labelled rows: for each language at most ``sample_docs`` distinct texts, those with the smallest hash of
+the text, as long as those before hold less than ``dict_bytes``. Sampled texts are used whole; texts longer than ``dict_bytes`` aren't
+sampled. Sample texts whose label the other half of the sample contradicts are left out, unless the other half hasn't that language. The
+sample is chosen by hashes alone, then its texts are fetched. Only texts and languages are learned from, never ids or sources. Prediction reads
+whole texts.
 
 Edge cases: a null text or one without any letter is ``und``, score 0, rejected. Without any labelled row
 everything is ``und``. Ties go to the language first in order. Repeated rows are predicted one by one. Extra
-columns of the input are ignored; null languages are never learned.
+columns of the input are ignored; null languages are never learned. A language whose sampled texts are all contradicted isn't learned.
 """
 
 from __future__ import annotations
@@ -27,24 +29,32 @@ from spikeloom.llm.common import per_worker
 UNDETERMINED = "und"
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 256, sample_chars: int = 4096, dict_bytes: int = 110_000, level: int = 6) -> dict[str, bytes]:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 256, dict_bytes: int = 262_144, level: int = 6) -> dict[str, bytes]:
     """Dictionary content by language, from a bounded sample of labelled rows."""
-    key = F.struct(F.xxhash64(F.col(id_col)), F.xxhash64(F.col(text_col)))
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), key.alias("key"), F.substring(text_col, 1, sample_chars).alias("text"))
-    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("key"))).where(F.col("n") <= sample_docs)
-    sample = sorted(((r["lang"], r["n"], r["text"].lower().encode()) for r in rows.select("lang", "n", "text").collect()))
+    text = F.lower(text_col)
+    rows = docs.where(F.col(lang_col).isNotNull() & F.octet_length(text).between(1, dict_bytes)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("key"), F.octet_length(text).alias("size"), text.alias("text"))
+    # a threshold on the hash leaves about four times the sample for each language, wherever its rows lie
+    there = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"))  # a row for each language
+    share = F.least(F.lit(1.0), 4.0 * sample_docs / F.col("n"))
+    some = rows.drop("text").join(F.broadcast(there), "lang").where(F.shiftrightunsigned("key", 11) < share * float(1 << 53)).groupBy("lang", "key").agg(F.max("size").alias("size"))
+    order = W.partitionBy("lang").orderBy(F.shiftrightunsigned("key", 11), "key")
+    chosen = some.withColumn("n", F.row_number().over(order)).withColumn("before", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    chosen = chosen.where((F.col("n") <= sample_docs) & (F.coalesce("before", F.lit(0)) < dict_bytes)).select("lang", "key", "n")
+    texts = rows.drop("size").join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
+    sample = sorted((r["lang"], r["n"], r["text"].encode()) for r in texts.collect())  # languages x sample_docs texts, of 2 dict_bytes in all each
     # labels err: a sample text stays if the dictionary from the other half of the sample agrees with its label
-    halves = [compressors(_content(sample, dict_bytes, half), level) for half in (0, 1)]
-    kept = [(lang, n, raw) for lang, n, raw in sample if smallest(raw, halves[1 - n % 2])[0] in (lang, None)]
-    return _content(kept, dict_bytes)
+    halves = [_content(sample, half) for half in (0, 1)]
+    tools = [compressors(h, level) for h in halves]
+    kept = [(lang, n, raw) for lang, n, raw in sample if lang not in halves[1 - n % 2] or smallest(raw, tools[1 - n % 2])[0] == lang]
+    return _content(kept)
 
 
-def _content(sample: list[tuple[str, int, bytes]], dict_bytes: int, half: int | None = None) -> dict[str, bytes]:
-    out: dict[str, bytes] = {}
+def _content(sample: list[tuple[str, int, bytes]], half: int | None = None) -> dict[str, bytes]:
+    out: dict[str, list[bytes]] = {}
     for lang, n, raw in sample:
-        if (half is None or n % 2 == half) and len(had := out.get(lang, b"")) < dict_bytes:
-            out[lang] = (had + raw + b"\n")[:dict_bytes]
-    return out
+        if half is None or n % 2 == half:
+            out.setdefault(lang, []).append(raw)
+    return {lang: b"\n".join(raws) for lang, raws in out.items()}
 
 
 def smallest(raw: bytes, tools: list, chunk_bytes: int = 4096) -> tuple[str | None, list[int]]:

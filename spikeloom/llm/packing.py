@@ -14,7 +14,8 @@
 A sequence is padded to ``capacity`` unless its tokens are a power of two in number.
 
 Edge cases: a null or empty text is the end id alone. Repeated rows are packed one by one. Very long texts give many
-full pieces. Extra input columns are ignored. An empty table gives an empty result.
+full pieces. Extra input columns are ignored by ``pieces`` and kept by ``pack``. An empty table gives an empty result. A text that
+spells a special token has that token's id, as the tokenizers library gives it.
 """
 
 from __future__ import annotations
@@ -50,28 +51,30 @@ class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, by a tokenizer that never joins words across white space.
 
     What the tokenizer's model gives for a pre-token (or, in texts with apostrophes, the tokenizer for a chunk between white
-    space) is kept in a bounded memo. Texts with code points outside PLAIN go to the tokenizer as they are.
+    space) is kept in a bounded memo. Texts with code points outside PLAIN or with added tokens go to the tokenizer as they are.
     """
 
     def __init__(self, definition: str, memo: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_str(definition)
-        self.own.encode_special_tokens = True
+        self.own, self.plain = Tokenizer.from_str(definition), Tokenizer.from_str(definition)
+        self.plain.encode_special_tokens = True  # lower-casing a text must not make special tokens
+        self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.model = self.own.model
         self.memo, self.chunks = WorkerCache(self.piece, memo), WorkerCache(self.whole, memo // 10)
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
+    def whole(self, text: str, chunk: bool = True) -> bytes:
+        tool = self.plain if chunk else self.own
+        return array("I", tool.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, text: str) -> bytes:
         own = text if text.isascii() else text.encode().decode("latin-1").translate(BYTES)
         return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if PLAIN.search(text):
-            return self.whole(text)
+        if PLAIN.search(text) or "<" in text and any(t in text for t in self.special):
+            return self.whole(text, chunk=False)
         if "'" in text:
             return b"".join(map(self.chunks.__getitem__, text.lower().split()))
         return b"".join(map(self.memo.__getitem__, SPLIT(text.lower())))
@@ -178,13 +181,16 @@ def patterns(demand: np.ndarray, capacity: int, tolerance: float = 1e-6, rounds:
     return chosen + [(1, np.bincount(b, minlength=capacity + 1)) for b in bins]
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, unit: int = 8, bucket_rows: int = 2_000) -> DataFrame:
-    """``pieces`` with sequence_id and offset. Needs doc_id, start and length; other columns are kept.
+def pack(pieces: DataFrame, capacity: int = 2048, unit: int = 8, bucket_rows: int = 500) -> DataFrame:
+    """``pieces`` with sequence_id and offset. Needs doc_id, start and length; other columns are kept, whatever their names, but for
+    columns named sequence_id or offset, which are replaced.
 
     ``capacity`` is a multiple of ``unit``.
     """
     spark, classes = pieces.sparkSession, capacity // unit
-    sized = cut(pieces.withColumn("_class", F.when(F.col("length") == capacity, classes + 1).otherwise(F.ceil(F.col("length") / unit)).cast("int")))
+    kind = F.when(F.col("length") == capacity, classes + 1).otherwise(F.ceil(F.col("length") / unit)).cast("int")
+    # the number of a row is written with it, so it stays the same when a task runs again; it spreads repeated rows and breaks ties
+    sized = cut(pieces.select(F.struct(*pieces.columns).alias("row"), F.col("doc_id").alias("_id"), "start", "length", kind.alias("_class"), F.monotonically_increasing_id().alias("_number")))
     histogram = cut(sized.groupBy("_class").agg(F.count(F.lit(1)).alias("n")))
 
     counted = [0] * (classes + 2)
@@ -217,10 +223,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, unit: int = 8, bucket_rows: in
 
     # as many buckets for a class as its rows need
     buckets = F.array(*(F.lit(max(1, -(-n // bucket_rows))) for n in counted))
-    dealt = sized.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.get(buckets, F.col("_class"))))
+    dealt = sized.withColumn("_bucket", F.pmod(F.xxhash64("_number"), F.get(buckets, F.col("_class"))))
     before = dealt.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("n"))
     before = before.select("_class", "_bucket", (F.sum("n").over(W.partitionBy("_class").orderBy("_bucket")) - F.col("n")).alias("_before"))
-    order = W.partitionBy("_class", "_bucket").orderBy(F.desc("length"), "doc_id", "start")
+    order = W.partitionBy("_class", "_bucket").orderBy(F.desc("length"), "_id", "start", "_number")
     ranked = dealt.withColumn("_n", F.row_number().over(order)).join(before, ["_class", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_n") - 1)
 
     @F.pandas_udf("sequence_id bigint, slot bigint")
@@ -235,9 +241,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, unit: int = 8, bucket_rows: in
             sequence[of], slot[of] = first[p] + past // each[p], at[p] + past % each[p]
         return pd.DataFrame({"sequence_id": sequence, "slot": slot})
 
-    placed = ranked.withColumn("_at", place("_class", "_rank")).select(*pieces.columns, "_class", "_at.sequence_id", "_at.slot")
+    placed = ranked.withColumn("_at", place("_class", "_rank")).select("row", "length", "_class", "_at.sequence_id", "_at.slot")
     alone = placed.where(F.col("_class") == classes + 1).withColumn("offset", F.lit(0).cast("bigint"))
     shared = placed.where(F.col("_class") <= classes)
     in_order = W.partitionBy("sequence_id").orderBy("slot")
     shared = shared.withColumn("offset", F.sum("length").over(in_order) - F.col("length"))
-    return alone.unionByName(shared).drop("_class", "slot")
+    kept = [F.col("row").getField(c).alias(c) for c in pieces.columns if c not in ("sequence_id", "offset")]
+    return alone.unionByName(shared).select(*kept, "sequence_id", "offset")

@@ -1,18 +1,25 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
 Each document gets a handful of counts (words, symbols, repeated lines, repeated 8-word windows) and from
-them five scores between 0 and 1. For every stratum (language) and every score a cutoff is chosen from a
-fixed grid. A cutoff is *certified* when an exact binomial test on the labelled good documents of the
-stratum shows that it rejects at most ``risk / rules`` of good documents. Cutoffs are tested from the most
-lenient to the strictest and testing stops at the first failure (fixed-sequence testing, so the grid costs
-no correction); the level is divided by the number of strata and rules (Bonferroni). By the union bound all rules
-together reject at most ``risk`` of a stratum's good documents with confidence ``1 - level``. Among the
-certified cutoffs the one with the best separation is taken; without gain the rule stays off.
+them five scores between 0 and 1. The labelled documents are dealt into two halves by the hash of their text. For
+every stratum (language) the first half selects up to ``most_rules`` rules that tell bad documents from good ones. The second half,
+which the selection hasn't seen, certifies cutoffs from a fixed grid: a cutoff is *certified* when an exact binomial test on
+its good documents shows that the rule rejects at most its share of ``risk`` (``risk`` / selected rules of the stratum).
+Cutoffs are tested from the most lenient to the strictest and testing stops at the first failure (fixed-sequence testing, so the
+grid costs no correction); the level is divided by the number of selected rules of all strata (Bonferroni). By the union
+bound all rules together reject at most ``risk`` of a stratum's good documents, in every stratum at once, with
+confidence ``1 - level``. Among the certified cutoffs the one with the best separation is taken; without gain the rule stays off.
+
+With the default risk and level, four strata of two rules need 200 good labelled documents of the second half for the first
+cutoff to be certified (0.975^n <= 0.05 / 8), one rule each 86. With fewer, only the base rule acts.
+
+The bound is about good documents that pass the base rule; those that fail it are rejected whatever their label. Equal texts count
+once in a sample, since copies are no independent evidence (bad wins among their labels).
 
 Edge cases: a null or empty text has no words and fails the base rule. A null stratum is a stratum of its
 own. A stratum without enough labelled good documents gets no cutoff and only the base rule. Repeated
-label rows of a document count once (bad wins). Repeated document rows are judged one by one. Extra input
-columns are ignored by ``measure`` and kept by ``judge``. Empty tables give empty results.
+label rows of a document count once (bad wins). Repeated document rows are judged one by one. Very long texts are read whole. Extra input
+columns are ignored by ``measure`` (or carried) and kept by ``judge``. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -41,20 +48,17 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     n = len(words)
     if n <= width:
         return 0
-    ids = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
-    rolled = np.zeros(n - width + 1, np.uint64)
-    for j in range(width):  # polynomial hash modulo 2**64 of each window
-        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + ids[j : n - width + 1 + j]
-    order = np.argsort(rolled, kind="stable")
-    ranked = rolled[order]
-    same = ranked[1:] == ranked[:-1]
-    if not same.any():
-        return 0
-    again = np.zeros(len(ranked), bool)
-    again[1:] |= same
-    again[:-1] |= same
+    names = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids, had = np.fromiter(map(names.__getitem__, words), np.int64, n), 1
+    while had < width:  # windows of twice the size have the pair of both halves' numbers; equal numbers are equal words
+        step = min(had, width - had)
+        pairs = ids[: len(ids) - step] * n + ids[step:]
+        _, ids, times = np.unique(pairs, return_inverse=True, return_counts=True)
+        if times.max() == 1:
+            return 0
+        had += step
     steps = np.zeros(n + 1, np.int64)
-    starts = order[again]
+    starts = np.flatnonzero(times[ids] > 1)
     np.add.at(steps, starts, 1)
     np.add.at(steps, starts + width, -1)
     return int((np.cumsum(steps[:n]) > 0).sum())
@@ -77,13 +81,13 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
-    """stratum, the COUNTS and base_failed beside the columns ``carry``, by default the id as doc_id.
+    """stratum, text_key (the text's hash), the COUNTS and base_failed beside the columns ``carry``, by default the id as doc_id.
 
     ``carry`` must not have those names; a struct of all columns avoids that.
     """
     beside = [F.col(id_col).alias("doc_id")] if carry is None else [F.col(c) for c in carry]
-    src = docs.select(*beside, F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("_text"))
-    schema = T.StructType([*src.schema.fields[:-2], T.StructField("stratum", T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    src = docs.select(*beside, F.col(stratum_col).cast("string").alias("stratum"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("_text"))
+    schema = T.StructType([*src.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(batches):
         for b in batches:
@@ -112,43 +116,63 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in at))
 
 
+def separation(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """By cutoff 0..BINS: the share of bad documents above it less ten times the share of good ones."""
+    above = [np.append(np.cumsum(x[::-1])[::-1][1:], 0)[: BINS + 1] / max(1, x.sum()) for x in (good, bad)]
+    return above[1] - 10 * above[0]
+
+
 def certified_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, level: float) -> float | None:
     """Cutoff t (reject scores above t) from histograms over bins 0..BINS, or None.
 
     good, bad: documents by bin. Tests t from BINS-1 downward until the exact test first fails.
     """
-    n, best, gain = int(good.sum()), None, 0.0
+    n, best, gain, gains = int(good.sum()), None, 0.0, separation(good, bad)
     if not n:
         return None
-    rejected_good, rejected_bad = np.cumsum(good[::-1])[::-1], np.cumsum(bad[::-1])[::-1]
+    rejected = np.cumsum(good[::-1])[::-1]
     for t in range(BINS - 1, 0, -1):
-        k = int(rejected_good[t + 1])
+        k = int(rejected[t + 1])
         if k > risk * n or binomial_tail(k, n, risk) > level:
             break
-        got = rejected_bad[t + 1] / max(1, bad.sum()) - 10 * k / n
-        if got > gain + 1e-12:
-            best, gain = t / BINS, got
+        if gains[t] > gain + 1e-12:
+            best, gain = t / BINS, gains[t]
     return best
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.05, level: float = 0.05, id_col: str = "doc_id", good_col: str = "quality") -> DataFrame:
+def histograms(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    good, bad = np.zeros(BINS + 2), np.zeros(BINS + 2)
+    good[pdf["bin"]], bad[pdf["bin"]] = pdf["good"], pdf["bad"]
+    return good, bad
+
+
+def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.05, level: float = 0.05, most_rules: int = 2, id_col: str = "doc_id", good_col: str = "quality") -> DataFrame:
     """(stratum, rule, cutoff) of all certified cutoffs.
 
-    labels: id, good_col (1 good, 0 bad; null rows are left out). At most strata x rules x BINS counts meet.
+    labels: id, good_col (1 good, 0 bad; null rows are left out). Two halves x rules x BINS counts of a stratum meet.
     """
     judged = labels.where(F.col(good_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(good_col).alias("good"))
-    rules = F.array(*(F.struct(F.lit(r).alias("rule"), F.least(F.lit(BINS), F.ceil(s * BINS)).cast("int").alias("bin")) for r, s in scores().items()))
-    held = measured.where(~F.col("base_failed")).join(judged, "doc_id").select("stratum", "good", F.explode(rules).alias("x"))
-    histogram = cut(held.groupBy("stratum", "x.rule", "x.bin").agg(F.sum((F.col("good") == 1).cast("long")).alias("good"), F.sum((F.col("good") == 0).cast("long")).alias("bad")))
-    tests = max(1, histogram.select("stratum").distinct().count() * len(RULES))
+    bins = F.array(*(F.least(F.lit(BINS), F.ceil(s * BINS)).cast("int") for s in scores().values()))
+    held = measured.where(~F.col("base_failed")).join(judged, "doc_id").groupBy("text_key", "stratum").agg(F.min("good").alias("good"), F.max(bins).alias("bins"))
+    rules = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col("bins")[i].alias("bin")) for i, r in enumerate(RULES)))).alias("x")
+    held = held.select("stratum", F.pmod("text_key", F.lit(2)).cast("int").alias("half"), "good", rules)
+    histogram = cut(held.groupBy("stratum", "half", "x.rule", "x.bin").agg(F.sum((F.col("good") == 1).cast("long")).alias("good"), F.sum((F.col("good") == 0).cast("long")).alias("bad")))
+
+    def select(pdf: pd.DataFrame) -> pd.DataFrame:
+        gains = sorted(((-float(separation(*histograms(own))[1:].max()), rule) for rule, own in pdf.groupby("rule")))
+        chosen = [rule for gain, rule in gains if gain < -1e-12][:most_rules]
+        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]] * len(chosen), "rule": chosen, "share": [risk / max(1, len(chosen))] * len(chosen)}).astype({"stratum": object, "rule": object, "share": float})  # empty ones, too
+
+    selected = cut(histogram.where("half = 0").groupBy("stratum").applyInPandas(select, "stratum string, rule string, share double"))
+    tests = max(1, selected.count())
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        good, bad = np.zeros(BINS + 2), np.zeros(BINS + 2)
-        good[pdf["bin"]], bad[pdf["bin"]] = pdf["good"], pdf["bad"]
-        cutoff = certified_cutoff(good, bad, risk / len(RULES), level / tests)
+        cutoff = certified_cutoff(*histograms(pdf), pdf["share"].iloc[0], level / tests)
         return pdf[["stratum", "rule"]].head(1).assign(cutoff=cutoff)
 
-    return histogram.groupBy("stratum", "rule").applyInPandas(pick, "stratum string, rule string, cutoff double").where("cutoff IS NOT NULL")
+    named = selected.select(F.col("stratum").alias("s"), F.col("rule").alias("r"), "share")
+    held_out = histogram.where("half = 1").join(named, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r"))).drop("s", "r")
+    return held_out.groupBy("stratum", "rule").applyInPandas(pick, "stratum string, rule string, cutoff double").where("cutoff IS NOT NULL")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, broadcast_rows: int = 10_000) -> DataFrame:

@@ -3,14 +3,15 @@
 Every version of a text is content-addressed by its SHA-256. A ledger holds the findings of each scanned
 (blob, rule version). A scan takes the distinct blobs of its input, leaves out the pairs that the ledger
 already has, scans each remaining blob once and joins the findings back to every path that carries
-the blob. ``scan`` returns the findings by path and the rows to append to the ledger.
+the blob. ``scan`` returns the findings by path and the rows to append to the ledger; ``unseen`` and ``findings`` are its two halves, for
+versions of a corpus that are scanned one after the other.
 
 Positions: for one rule, ``split`` gives the texts between matches and ``regexp_extract_all`` the matches;
 the running sum of both lengths is where a match starts. Offsets count code points, ends are exclusive.
 
 Edge cases: a null text counts as empty and has no findings. Repeated rows keep their own result row; equal
-texts are scanned once. Extra input columns are kept by ``scan``. Empty tables give empty results. A path
-with several versions has one row per version.
+texts are scanned once. Extra input columns are kept, but for columns named blob or spans, which are replaced. Empty tables give empty
+results. A path with several versions has one row per version. Very long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spikeloom.llm.common import cut
+
 #: Kinds, patterns, the group whose length counts, its least length. The least
 #: lengths of access and hex stand in the pattern, because a run that is too short holds no longer one.
 RULES = [
@@ -27,7 +30,6 @@ RULES = [
 ]
 RULE_VERSION = "base-1"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
-SALTS = 16
 
 
 def spans_of(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -56,28 +58,46 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def known(ledger: DataFrame, version: str) -> DataFrame:
+    return ledger.where(F.col("version") == version).groupBy("blob").agg(F.any_value("spans").alias("spans"))
+
+
+def unseen(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules=RULES, version: str = RULE_VERSION) -> DataFrame:
+    """(blob, version, spans) of the blobs of ``docs`` that the ledger doesn't have for this rule version: the only ones that are scanned."""
+    texts = docs.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    if ledger is not None:
+        texts = texts.join(known(ledger, version).select("blob"), "blob", "left_anti")
+    # one text for each blob; equal texts meet before the shuffle
+    return texts.groupBy("blob").agg(F.any_value("_text").alias("_text")).select("blob", F.lit(version).alias("version"), all_spans(F.col("_text"), rules).alias("spans"))
+
+
+def findings(docs: DataFrame, ledger: DataFrame, text_col: str = "text", version: str = RULE_VERSION, share: int = 1000) -> DataFrame:
+    """``docs`` without the text, with blob and spans out of the ledger.
+
+    Only blobs with findings are joined back. Blobs with more than 1/share of all paths (fewer than ``share`` blobs, whatever the data) are cut
+    into as many salts as their paths need.
+    """
+    found = known(ledger, version).where(F.size("spans") > 0)
+    kept = [c for c in docs.columns if c not in (text_col, "blob", "spans")]
+    row = F.struct(*kept) if kept else F.struct(F.lit(0))
+    keyed = docs.select(row.alias("_row"), blob_id(F.col(text_col)).alias("blob"))
+    counted = cut(keyed.groupBy("blob").agg(F.count(F.lit(1)).alias("n")))
+    most = (counted.agg(F.sum("n")).first()[0] or 0) // share
+    hot = counted.where(F.col("n") > most).select("blob", F.ceil(F.col("n") * 4 / max(1, most)).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = found.join(F.broadcast(hot), "blob", "left").select("blob", "spans", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    dealt = keyed.join(F.broadcast(hot), "blob", "left").select("_row", "blob", F.pmod(F.monotonically_increasing_id(), salts).cast("int").alias("salt"))
+    out = dealt.join(salted, ["blob", "salt"], "left")
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in kept), "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules=RULES, version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(docs without the text, with blob and spans; new ledger rows: blob, version, spans).
+    """(docs without the text, with blob and spans; the new ledger rows, stored: blob, version, spans).
 
     ledger: rows of earlier scans, of any rule versions.
     """
-    paths = docs.withColumn("blob", blob_id(F.col(text_col)))
-    texts = paths.select("blob", F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    known = None
-    if ledger is not None:
-        known = ledger.where(F.col("version") == version).groupBy("blob").agg(F.any_value("spans").alias("spans"))
-        texts = texts.join(known.select("blob"), "blob", "left_anti")
-    # one text for each blob; equal texts meet before the shuffle
-    fresh = texts.groupBy("blob").agg(F.any_value("_text").alias("_text")).select("blob", F.lit(version).alias("version"), all_spans(F.col("_text"), rules).alias("spans"))
-    findings = fresh.select("blob", "spans")
-    if known is not None:
-        findings = findings.unionByName(known)
-    # only blobs with findings are joined back, salted so that a blob with very many paths is spread out
-    salted = findings.where(F.size("spans") > 0).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = [F.col(c) for c in docs.columns if c not in (text_col, "blob", "spans", "_salt")]
-    keyed = paths.drop(text_col, "spans", "_salt").withColumn("_salt", F.pmod(F.xxhash64(*own) if own else F.lit(0), F.lit(SALTS)).cast("int"))
-    out = keyed.join(salted, ["blob", "_salt"], "left").drop("_salt")
-    return out.withColumn("spans", F.coalesce("spans", F.array().cast(SPAN))), fresh
+    fresh = cut(unseen(docs, ledger, text_col, rules, version))
+    return findings(docs, fresh if ledger is None else ledger.unionByName(fresh), text_col, version), fresh
 
 
 def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:

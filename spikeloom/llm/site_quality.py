@@ -47,7 +47,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30)
 def fit(labelled: DataFrame, fit_rows: int = 20_000) -> np.ndarray:
     """Weights of the features; labelled has the counts and ``good``. One task gets at most ``fit_rows`` rows."""
     xs = [f"x{i}" for i in range(len(features()))]
-    sample = labelled.orderBy(F.xxhash64("doc_id", "n_words", "word_chars"), "good").limit(fit_rows)
+    sample = labelled.orderBy(F.xxhash64("text_key", "doc_id"), "good").limit(fit_rows)
     sample = sample.select(*(c.cast("double").alias(n) for c, n in zip(features(), xs, strict=True)), F.col("good").cast("double"))
 
     def run(frames):
@@ -76,10 +76,11 @@ def logit(p: Column) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality", threshold: float = 0.5) -> DataFrame:
     """doc_id, host, path, p_document, host_posterior, path_posterior, p_quality, kept."""
-    site = F.concat(F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.lit("\t"), F.coalesce(F.col(path_col).cast("string"), F.lit("")))
-    measured = quality_rules.measure(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), site.alias("site")), stratum_col="site")
+    host, path = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (host_col, path_col))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), host.alias("host"), path.alias("path"))
+    measured = quality_rules.measure(own, stratum_col="path", carry=["doc_id", "host", "path"])
     judged = labels.where(F.col(good_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(good_col).alias("good"))
-    rows = cut(measured.join(judged, "doc_id", "left").withColumn("host", F.split_part("stratum", F.lit("\t"), F.lit(1))).withColumn("path", F.split_part("stratum", F.lit("\t"), F.lit(2))))
+    rows = cut(measured.drop("stratum").join(judged, "doc_id", "left"))
     w = fit(rows.where(F.col("good").isNotNull()))
     p = 1 / (1 + F.exp(-sum((float(a) * c for a, c in zip(w, features(), strict=True)), F.lit(0.0))))
     rows = rows.select("doc_id", "host", "path", p.alias("p_document"), F.coalesce(F.col("good").cast("double"), p).alias("e"))

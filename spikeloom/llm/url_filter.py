@@ -7,14 +7,15 @@ gets the default verdict of the method: it isn't listed, so it is allowed.
 A URL has few candidate keys: each suffix of its host at a label boundary, combined with each prefix of its
 path whose length occurs among the rules. The keys of all rules fill a blocked Bloom filter (one 512-bit
 block and eight bits for each key) that is built in parts and OR-ed, at most ``max_filter_bytes`` long, so
-its broadcast is bounded. Candidates that pass go to an exact hash join with the rules, which removes the false
-positives. Few rules are broadcast for that join; more are replicated ``salts`` times and shuffled with
+its broadcast is bounded. URLs without a candidate that passes are judged at once and never shuffled. Candidates that pass go to an exact
+hash join with the rules, which removes the false positives. Few rules are broadcast for that join; more are replicated ``salts`` times and shuffled with
 salted candidates, so a rule that fits a third of all URLs doesn't meet one task.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and no rule. Rules with null host or path are
 ignored; repeated rules count once, with block before allow. Equally long rules: the longer host wins, then
 block. Ties among repeated URL rows: each row is judged by itself. Extra input
-columns are kept (columns named host, path, rule or verdict are replaced).
+columns are kept, whatever their names (columns named host, path, rule or verdict are replaced). Very long URLs are judged whole.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spikeloom.llm.common import cut, join_unique
+
 WORDS = 8  # 64-bit words in a block
 MULTIPLIERS = np.array([2 * i * 0x1E3779B97F4A7C15 + 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for i in range(WORDS)], np.uint64)
 
@@ -80,9 +83,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     listed = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).groupBy("host", "path").agg(F.max(F.col("verdict")).alias("verdict"))
     n_rules, lengths = listed.count(), sorted(r[0] for r in listed.select(F.length("path")).distinct().collect())  # as many as path lengths
     host, path = split_url(F.col(url_col))
-    out = pages.drop("rule", "verdict").withColumn("host", host).withColumn("path", path)
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    out = pages.select(F.struct(*kept).alias("row"), host.alias("host"), path.alias("path"))
+    named = [F.col("row").getField(c).alias(c) for c in kept]
+    unlisted = F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")
     if not n_rules:
-        return out.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+        return out.select(*named, "host", "path", *unlisted)
     blocks = max(1, min(max_filter_bytes // (8 * WORDS), 1 << int(np.ceil(np.log2(max(1, n_rules / 32))))))
     shipped = spark.sparkContext.broadcast(build_bloom(listed.select(F.xxhash64("host", "path").alias("h")), blocks))
 
@@ -95,24 +101,28 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         ok = ((words[block_of(h, blocks)] & mask) == mask).all(axis=1)
         return type(hashes)(np.split(ok, np.cumsum(sizes)[:-1])) if len(sizes) else hashes
 
-    # The filter and the exact join work on distinct (host, path); map-side counting absorbs repeated URLs.
-    urls = out.where(F.col("host") != "").select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*(F.lit(n) for n in lengths)), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("k_host"), p.alias("k_path")))))
-    tried = urls.withColumn("_keys", keys).withColumn("_ok", may_contain(F.transform("_keys", lambda k: F.xxhash64(k["k_host"], k["k_path"]))))
-    passed = tried.select("host", "path", F.explode(F.transform(F.filter(F.arrays_zip("_keys", "_ok"), lambda z: z["_ok"]), lambda z: z["_keys"])).alias("k")).select("host", "path", "k.*")
-
+    keys = F.when(F.col("host") != "", F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("k_host"), p.alias("k_path"))))))
+    keys = F.coalesce(keys, F.array().cast("array<struct<k_host:string,k_path:string>>"))
+    tried = out.withColumn("keys", keys).withColumn("ok", may_contain(F.transform("keys", lambda k: F.xxhash64(k["k_host"], k["k_path"]))))
+    hits = F.transform(F.filter(F.arrays_zip("keys", "ok"), lambda z: z["ok"]), lambda z: z["keys"])
+    tried = cut(tried.select("row", "host", "path", hits.alias("hits")))
+    plain = tried.where(F.size("hits") == 0).select(*named, "host", "path", *unlisted)  # never shuffled
+
+    # the exact join works on distinct (host, path); map-side counting absorbs repeated URLs
+    possible = tried.where(F.size("hits") > 0)
+    urls = cut(possible.groupBy("host", "path").agg(F.count(F.lit(1)).alias("rows"), F.any_value("hits").alias("hits")))
+    passed = urls.select("host", "path", F.explode("hits").alias("k")).select("host", "path", "k.*")
     exact = listed.select(F.col("host").alias("k_host"), F.col("path").alias("k_path"), "verdict")
     if n_rules <= broadcast_rules:
-        hits = passed.join(F.broadcast(exact), ["k_host", "k_path"])
+        found = passed.join(F.broadcast(exact), ["k_host", "k_path"])
     else:
         salted = exact.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        hits = passed.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int")).join(salted, ["k_host", "k_path", "salt"])
+        found = passed.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int")).join(salted, ["k_host", "k_path", "salt"])
     rank = F.struct((F.length("k_host") + F.length("k_path")).alias("n"), F.length("k_host").alias("h"), "verdict", F.concat("k_host", "k_path").alias("rule"))
-    best = hits.groupBy("host", "path").agg(F.max(rank).alias("_best"))
-    columns = [c for c in out.columns if c not in ("host", "path")]
-    judged = out.where(F.col("host") != "").join(best, ["host", "path"], "left").select(*columns, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
-    plain = out.where(F.col("host") == "").select(*columns, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    best = cut(urls.drop("hits").join(found.groupBy("host", "path").agg(F.max(rank).alias("best")), ["host", "path"], "left"))
+    judged = join_unique(possible.drop("hits"), best, ["host", "path"], "rows")  # a common page is broadcast, so it meets no single task
+    judged = judged.select(*named, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
     return judged.unionByName(plain)
