@@ -65,10 +65,11 @@ def known(ledger: DataFrame, version: str) -> DataFrame:
 def unseen(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules=RULES, version: str = RULE_VERSION) -> DataFrame:
     """(blob, version, spans) of the blobs of ``docs`` that the ledger doesn't have for this rule version: the only ones that are scanned."""
     texts = docs.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    # one text for each blob; equal texts meet before the shuffle, and the ledger is taken out where they lie
+    texts = texts.groupBy("blob").agg(F.any_value("_text").alias("_text"))
     if ledger is not None:
-        texts = texts.join(known(ledger, version).select("blob"), "blob", "left_anti")
-    # one text for each blob; equal texts meet before the shuffle
-    return texts.groupBy("blob").agg(F.any_value("_text").alias("_text")).select("blob", F.lit(version).alias("version"), all_spans(F.col("_text"), rules).alias("spans"))
+        texts = texts.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
+    return texts.select("blob", F.lit(version).alias("version"), all_spans(F.col("_text"), rules).alias("spans"))
 
 
 def findings(docs: DataFrame, ledger: DataFrame, text_col: str = "text", version: str = RULE_VERSION, share: int = 1000) -> DataFrame:
