@@ -12,13 +12,13 @@ links reach.
 3. Every fingerprint has one home shard. It also visits the inside of each node where it lies outside by at most
    ``radius`` (mu < d <= mu + radius): by the triangle inequality no other shard holds a partner that doesn't
    in turn visit the fingerprint's home. So each linked pair meets in the home of one of the two.
-4. Shards are cut into blocks of at most ``block`` home fingerprints (visitors come to each block), so none grows
-   with a crowded region. A block finds its exact pairs and returns a spanning
+4. The rows of a shard, visitors too, are hashed to blocks of about ``block`` rows, and each pair of blocks is a group of its own, so a group
+   holds at most two blocks however crowded a region is. A group finds its exact pairs and returns a spanning
    forest of them, at most one link for each fingerprint, not all pairs.
 5. Components of those links are found by star joins and joined back to the documents.
 
 With ``least`` a link is a pair within ``radius`` whose texts' shingle sets have at least that Jaccard similarity. Every such pair is either
-checked or lies in one component already: in each round a fingerprint's home gives its next nearest partners of other components (START,
+checked or lies in one component already: in each round a fingerprint's home gives its next nearest partners of other components (START in each group,
 then GROWTH times as many), they are checked, and the components grow, until no home has partners left. So a family of copies costs a few checks
 for each member, and no pair that could join two components is passed over. With ``size_ratio`` pairs must also have shingle counts within that ratio: fingerprints are
 dealt to logarithmic size bands first, and visit the bands below that the ratio reaches. Without pruning (a large radius) the work is quadratic within a
@@ -26,7 +26,7 @@ band, spread evenly over tasks.
 
 Edge cases: null, empty and wordless texts have the zero fingerprint and link like any other. Fewer words than
 a shingle: the whole sequence is one. Null ids are ignored as component names. Repeated rows get a result row each.
-Extra input columns are ignored. Empty tables give empty results.
+Extra input columns are ignored. Empty tables give empty results. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -149,33 +149,37 @@ def shards(nodes: list, fps: np.ndarray, radius: int, at_home: bool = True) -> t
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, where, homes))
 
 
-def within(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | None = None, ratio: float | None = None):
-    """Yields (a, b, distance) of the pairs (home, any) within ``radius``, each home's in one piece; a pair of itself is among them."""
-    n = len(fps)
-    order = np.argsort(size, kind="stable") if ratio else np.arange(n)
-    ranked, own = fps[order], np.flatnonzero(home[order])
-    sizes = size[order] if ratio else None
-    step = max(1, (1 << 20) // max(1, n))
-    for i in range(0, len(own), step):
-        rows = own[i : i + step]
-        lo, hi = 0, n
-        if ratio:  # only fingerprints whose sizes are within the ratio
-            lo = int(np.searchsorted(sizes, np.floor(sizes[rows[0]] * ratio)))
-            hi = int(np.searchsorted(sizes, np.ceil(sizes[rows[-1]] / ratio), side="right"))
-        near = np.bitwise_count(ranked[rows, None, 0] ^ ranked[None, lo:hi, 0])
-        for w in range(1, fps.shape[1]):
-            near += np.bitwise_count(ranked[rows, None, w] ^ ranked[None, lo:hi, w])
-        x, y = np.nonzero(near <= radius)
-        a, b, d = order[rows[x]], order[y + lo], near[x, y]
-        if ratio:
-            fits = np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b])
-            a, b, d = a[fits], b[fits], d[fits]
-        yield a, b, d
-
+def within(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | None = None, ratio: float | None = None, side: np.ndarray | None = None):
+    """Yields (a, b, distance) of the pairs (home, any) within ``radius``, each home's in one piece.
 
-def forest(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | None = None, ratio: float | None = None) -> np.ndarray:
-    """For each fingerprint the index of its component's representative, over the pairs (home, any) within ``radius``."""
-    n = len(fps)
+    Pairs lie within the rows, or with ``side`` (0 or 1 for each row) between rows of different sides; a row and itself are a pair of the former.
+    """
+    for own_side in (None,) if side is None else (0, 1):
+        others = np.arange(len(fps)) if side is None else np.flatnonzero(side != own_side)
+        own = np.flatnonzero(home if side is None else home & (side == own_side))
+        if ratio:
+            others, own = others[np.argsort(size[others], kind="stable")], own[np.argsort(size[own], kind="stable")]
+        ranked, sizes, n = fps[others], size[others] if ratio else None, len(others)
+        step = max(1, (1 << 20) // max(1, n))
+        for i in range(0, len(own) if n else 0, step):
+            rows = own[i : i + step]
+            lo, hi = 0, n
+            if ratio:  # only fingerprints whose sizes are within the ratio
+                lo = int(np.searchsorted(sizes, np.floor(size[rows[0]] * ratio)))
+                hi = int(np.searchsorted(sizes, np.ceil(size[rows[-1]] / ratio), side="right"))
+            near = np.bitwise_count(fps[rows, None, 0] ^ ranked[None, lo:hi, 0])
+            for w in range(1, fps.shape[1]):
+                near += np.bitwise_count(fps[rows, None, w] ^ ranked[None, lo:hi, w])
+            x, y = np.nonzero(near <= radius)
+            a, b, d = rows[x], others[y + lo], near[x, y]
+            if ratio:
+                fits = np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b])
+                a, b, d = a[fits], b[fits], d[fits]
+            yield a, b, d
+
+
+def forest(n: int, pairs) -> np.ndarray:
+    """For each of ``n`` rows the index of its component's representative, over the pairs of within()."""
     root = np.arange(n)
 
     def find(i: int) -> int:
@@ -184,7 +188,7 @@ def forest(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | No
             i = root[i]
         return i
 
-    for a, b, _ in within(fps, home, radius, size, ratio):
+    for a, b, _ in pairs:
         p, q = root[a], root[b]
         if (p != q).any():
             for p, q in np.unique(np.stack([p, q], axis=1)[p != q], axis=0).tolist():
@@ -195,13 +199,13 @@ def forest(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | No
     return root
 
 
-def nearest(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | None, ratio: float | None, keys: np.ndarray, root: np.ndarray, past: np.ndarray, past_key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, distance): for each home the first ``most`` partners of other roots by (distance, key) that come after (past, past_key)."""
+def nearest(pairs, order: np.ndarray, root: np.ndarray, past: np.ndarray, past_order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, distance): for each home the first ``most`` partners of other roots by (distance, order) that come after (past, past_order)."""
     out = []
-    for a, b, d in within(fps, home, radius, size, ratio):
-        take = (root[a] != root[b]) & ((d > past[a]) | ((d == past[a]) & (keys[b] > past_key[a])))
+    for a, b, d in pairs:
+        take = (root[a] != root[b]) & ((d > past[a]) | ((d == past[a]) & (order[b] > past_order[a])))
         a, b, d = a[take], b[take], d[take]
-        by = np.lexsort((keys[b], d, a))
+        by = np.lexsort((order[b], d, a))
         a, b, d = a[by], b[by], d[by]
         first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
         take = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)])) < most
@@ -210,22 +214,25 @@ def nearest(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | N
 
 
 #: Size bands for each factor of ``size_ratio``.
-BANDS = 4
+BANDS = 2
 #: Partners of a fingerprint that the first round checks, and how many times as many each later round.
-START, GROWTH = 8, 8
+START, GROWTH = 4, 8
+GROUP = ["shard", "low", "high"]
 
 
-def deal_out(distinct: DataFrame, radius: int, words: int, sample_rows: int = 16384, leaf: int = 4096, block: int = 65536, size_ratio: float | None = None) -> DataFrame:
-    """key, f0, f1, ..., size, shard, block, home: the rows of each block, in which every pair within ``radius`` meets at the home of one of the two.
+def deal_out(distinct: DataFrame, radius: int, words: int, sample_rows: int = 1 << 20, leaf: int = 4096, block: int = 16384, size_ratio: float | None = None) -> DataFrame:
+    """key, f0, f1, ..., size, shard, low, high, own, home: in the groups (shard, low, high) every pair within ``radius`` meets at the home of one of the two.
 
-    distinct: key (bigint, unique), f0, f1, ... (bigint words), size (bigint). The tree is grown from fingerprints that a hash
-    picks, one in 16, at most ``sample_rows`` of them; every fingerprint takes part in the search.
+    A shard's rows are hashed to blocks of about ``block`` rows, and each pair of blocks (low <= high) is a group; own is the row's block. Pairs of rows count
+    in the group of their two blocks only, and so once. distinct: key (unique), f0, f1, ... (bigint words), size (bigint). The tree
+    is grown from fingerprints that a hash picks, one in 16, at most ``sample_rows`` of them; every fingerprint takes part in the search.
     """
     spark, fp = distinct.sparkSession, [f"f{w}" for w in range(words)]
     total = distinct.count()
-    sample = distinct.where(F.pmod(F.xxhash64("key"), F.lit(16)) == 0).orderBy(F.xxhash64("key", F.lit(1))).limit(sample_rows).select(*fp).toPandas()
-    tree = spark.sparkContext.broadcast(grow(sample.to_numpy(np.int64).view(np.uint64), total, radius, leaf))  # fewer nodes than the sample has rows
-    names = ["key", *fp, "size"]
+    share = min(1 / 16, sample_rows / max(1, total))
+    picked = distinct.where(F.shiftrightunsigned(F.xxhash64("key"), 11) < share * float(1 << 53)).select("key", *fp).toPandas().sort_values("key", kind="stable")
+    tree = spark.sparkContext.broadcast(grow(picked[fp].to_numpy(np.int64).view(np.uint64), total, radius, leaf))  # fewer nodes than the sample has rows
+    names, schema = ["key", *fp, "size"], f"key {distinct.schema['key'].dataType.simpleString()}, {', '.join(f'{c} bigint' for c in [*fp, 'size'])}"
 
     def deal(batches):
         for b in batches:
@@ -242,53 +249,66 @@ def deal_out(distinct: DataFrame, radius: int, words: int, sample_rows: int = 16
                     band = np.floor(np.log(np.maximum(size, 1)) * BANDS / -np.log(size_ratio)).astype(np.int64) - back
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(band << 32 | where), pa.array(homes)], names=[*names, "shard", "home"])
 
-    schema = f"{', '.join(f'{c} bigint' for c in names)}, shard bigint, home boolean"
-    dealt = cut(distinct.select(*names).mapInArrow(deal, schema))
-    blocks = dealt.where("home").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = cut(distinct.select(*names).mapInArrow(deal, f"{schema}, shard bigint, home boolean"))
+    blocks = dealt.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.max("home").alias("used")).where("used").drop("used")
     spread = dealt.join(blocks, "shard").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.select(*names, "shard", "block", (F.col("home") & (F.col("block") == F.col("own"))).alias("home"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.select(*names, "shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "home")
+
+
+def pairs_in(pdf: pd.DataFrame, fp: list[str], radius: int, size_ratio: float | None):
+    """The pairs of one group of deal_out()."""
+    side = None if pdf["low"].iloc[0] == pdf["high"].iloc[0] else (pdf["own"].to_numpy() == pdf["high"].to_numpy()).astype(np.int8)
+    return within(pdf[fp].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(bool), radius, pdf["size"].to_numpy(), size_ratio, side)
 
 
 def link(distinct: DataFrame, radius: int, words: int, size_ratio: float | None = None, **options) -> DataFrame:
     """Links (a, b) of keys that span the components of the fingerprints within ``radius``; ``distinct`` and options as in deal_out()."""
-    fp = [f"f{w}" for w in range(words)]
+    fp, kind = [f"f{w}" for w in range(words)], distinct.schema["key"].dataType.simpleString()
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    def span(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")
         keys = pdf["key"].to_numpy()
-        to = forest(pdf[fp].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(), radius, pdf["size"].to_numpy(), size_ratio)
+        to = forest(len(pdf), pairs_in(pdf, fp, radius, size_ratio))
         return pd.DataFrame({"a": keys, "b": keys[to]})[to != np.arange(len(to))]
 
     spread = deal_out(distinct, radius, words, size_ratio=size_ratio, **options)
-    return spread.groupBy("shard", "block").applyInPandas(pairs, "a bigint, b bigint").where("a <> b").distinct()
+    return spread.groupBy(*GROUP).applyInPandas(span, f"a {kind}, b {kind}").where("a <> b").distinct()
 
 
 def checked_links(groups: DataFrame, docs: DataFrame, width: int, radius: int, words: int, least: float, size_ratio: float | None = None, **options) -> DataFrame:
     """Links (a, b) of keys that span the components of the pairs within ``radius`` whose texts have a Jaccard similarity of at least ``least``.
 
-    groups: key, f0, f1, ..., size, rep as in verified(). A home that gives as many partners as it may is open: it goes on behind the last one.
+    groups: key, f0, f1, ..., size, rep (doc_id, text_key), the document that stands for a fingerprint. docs: doc_id, text. A home that gives
+    as many partners of a group as it may is open: it goes on behind the last one. Texts are fetched once, for the fingerprints that
+    have any partner: the first round names them all.
     """
-    fp = [f"f{w}" for w in range(words)]
-    spread = deal_out(groups.select("key", *fp, "size"), radius, words, size_ratio=size_ratio, **options)
-    now, most, kept = spread.withColumns({"root": F.col("key"), "past": F.lit(-1), "past_key": F.lit(0).cast("bigint")}), START, None
+    fp, kind = [f"f{w}" for w in range(words)], groups.schema["key"].dataType.simpleString()
+    spread = cut(deal_out(groups.select("key", *fp, "size"), radius, words, size_ratio=size_ratio, **options))
+    now, most, kept, texts = spread.withColumns({"root": F.col("key"), "past": F.lit(-1), "past_order": F.lit(0).cast("bigint")}), START, None, None
     while True:
         def search(pdf: pd.DataFrame) -> pd.DataFrame:
-            keys = pdf["key"].to_numpy()
-            a, b, d = nearest(pdf[fp].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(), radius, pdf["size"].to_numpy(), size_ratio, keys, *(pdf[c].to_numpy() for c in ("root", "past", "past_key")), most)
-            return pd.DataFrame({"a": keys[a], "b": keys[b], "d": d})
-
-        found = cut(now.groupBy("shard", "block").applyInPandas(search, "a bigint, b bigint, d bigint"))
-        fresh = verified(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), groups, docs, width, least)
+            keys, order = pdf["key"].to_numpy(), pdf["order"].to_numpy()
+            root = pd.factorize(pdf["root"])[0]
+            a, b, d = nearest(pairs_in(pdf, fp, radius, size_ratio), order, root, pdf["past"].to_numpy(), pdf["past_order"].to_numpy(), most)
+            at = [pdf[c].iloc[0] for c in ("low", "high")]
+            return pd.DataFrame({"a": keys[a], "b": keys[b], "d": d, "b_order": order[b], "low": np.full(len(a), at[0]), "high": np.full(len(a), at[1])})
+
+        found = cut(now.withColumn("order", F.xxhash64("key")).groupBy(*GROUP).applyInPandas(search, f"a {kind}, b {kind}, d bigint, b_order bigint, low int, high int"))
+        fresh = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        if texts is None:
+            texts = fetched(fresh, groups, docs)
+        fresh = verified(fresh, texts, width, least)
         kept = cut(fresh if kept is None else kept.union(fresh))
-        more = found.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("d", "b")).alias("last")).where(F.col("n") == most)
-        more = cut(more.select(F.col("a").alias("key"), F.col("last.d").cast("int").alias("past"), F.col("last.b").alias("past_key")))
+        more = found.groupBy("a", "low", "high").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("d", "b_order")).alias("last")).where(F.col("n") == most)
+        more = more.groupBy(F.col("a").alias("key")).agg(F.min("last").alias("last"))  # no group of the home has been searched less far
+        more = cut(more.select("key", F.col("last.d").cast("int").alias("past"), F.col("last.b_order").alias("past_order")))
         if more.isEmpty():
             return kept
-        roots = cut(components(kept)).toDF("key", "_root")
+        roots = components(kept).toDF("key", "_root")
         ahead = spread.join(more, "key", "left").join(roots, "key", "left")
-        ahead = ahead.select("key", *fp, "size", "shard", "block", (F.col("home") & F.col("past").isNotNull()).alias("home"), F.coalesce("_root", "key").alias("root"), F.coalesce("past", F.lit(-1)).alias("past"), F.coalesce("past_key", F.lit(0)).cast("bigint").alias("past_key"))
-        now = ahead.join(spread.where("home").join(more, "key", "left_semi").select("shard", "block").distinct(), ["shard", "block"], "left_semi")
+        ahead = ahead.select("key", *fp, "size", *GROUP, "own", (F.col("home") & F.col("past").isNotNull()).alias("home"), F.coalesce("_root", "key").alias("root"), F.coalesce("past", F.lit(-1)).alias("past"), F.coalesce("past_order", F.lit(0)).cast("bigint").alias("past_order"))
+        now = ahead.join(spread.where("home").join(more, "key", "left_semi").select(*GROUP).distinct(), GROUP, "left_semi")
         most *= GROWTH
 
 
@@ -304,21 +324,31 @@ def jaccard(a: str | None, b: str | None, width: int) -> float:
     return likeness(shingle_set(a, width), shingle_set(b, width))
 
 
-def verified(links: DataFrame, groups: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """The links whose texts have a Jaccard similarity of their shingle sets of at least ``least``.
-
-    groups: key and rep (doc_id, text_key), the document that stands for a fingerprint. docs: doc_id, text.
-    """
+def fetched(links: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, text) of the ends of links."""
     ends = links.select("a").union(links.select("b")).distinct().toDF("key")
     reps = groups.join(ends, "key").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_text"))
     texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_text")))
-    texts = cut(texts.select("key", "text").dropDuplicates(["key"]))
-    pairs = links.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    return cut(texts.groupBy("key").agg(F.any_value("text").alias("text")))
+
+
+def with_text(links: DataFrame, texts: DataFrame, end: str, to: str, most: int = 256) -> DataFrame:
+    """``links`` with the text of one end; an end of very many links is cut into salts of about ``most`` links, so no task gets them all."""
+    busy = cut(links.groupBy(end).agg(F.count(F.lit(1)).alias("n"))).select(F.col(end).alias("key"), F.ceil(F.col("n") / most).cast("int").alias("salts"))
+    salted = texts.join(busy, "key").select(F.col("key").alias(end), F.col("text").alias(to), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    dealt = links.join(busy.where("salts > 1").withColumnRenamed("key", end), end, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return dealt.join(salted, [end, "salt"]).drop("salt")
+
+
+def verified(links: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The links whose texts (key, text) have a Jaccard similarity of their shingle sets of at least ``least``."""
+    kind = links.schema["a"].dataType.simpleString()
+    pairs = with_text(with_text(links, texts, "a", "ta"), texts, "b", "tb")
 
     def run(batches):
-        sets: dict[int, set[int]] = {}
+        sets: dict = {}
 
-        def of(key: int, text: pa.Scalar) -> set[int]:
+        def of(key, text: pa.Scalar) -> set[int]:
             if key not in sets:
                 if len(sets) >= 64:
                     sets.clear()
@@ -332,7 +362,7 @@ def verified(links: DataFrame, groups: DataFrame, docs: DataFrame, width: int, l
                 like.append(likeness(x, y) >= least)
             yield b.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
 
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 36, seeds: tuple[int, ...] = (42, 43), size_ratio: float | None = 0.8, least: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -347,7 +377,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 36, seeds: tu
     same = [*fp, "n_shingles", "set_key"] if least else [*fp, "n_shingles"] if size_ratio else fp
     # one row for each distinct fingerprint, with the least id it occurs with
     groups = prints.groupBy(*same).agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("rows"))
-    groups = cut(groups.withColumn("key", F.xxhash64(*same) if len(same) > 1 else F.col("f0")))
+    whole = F.concat(*(F.unhex(F.lpad(F.hex(c), 16, "0")) for c in same))  # all words: nothing is told apart by a shorter hash
+    groups = cut(groups.withColumn("key", whole if len(same) > 1 else F.col("f0")))
     sized = groups.withColumn("size", F.col("n_shingles" if size_ratio else "rows"))
     if least:
         links = checked_links(sized, src, width, radius, len(seeds), least, size_ratio, **options)
