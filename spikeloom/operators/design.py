@@ -13,11 +13,10 @@ def direction(neuron: Column | str = "neuron", directions: int = 8) -> Column:
     return F.pmod(F.col(neuron) if isinstance(neuron, str) else neuron, F.lit(directions)).cast("int")
 
 
-def window(bins: DataFrame, times: DataFrame, before: int = 0, after: int = 3, length: int = 6) -> DataFrame:
-    """Bins from ``before`` the sample to ``after`` the lever, or to ``length + after`` past the test where no lever is."""
+def window(timed: DataFrame, before: int = 0, after: int = 3, length: int = 6) -> DataFrame:
+    """Bins (with sample, test, lever) from ``before`` the sample to ``after`` the lever, or to ``length + after`` past the test where no lever is."""
     last = F.coalesce(F.col("lever") + after, F.col("test") + length + after)
-    joined = bins.join(times, TRIAL)
-    return joined.where((F.col("bin") >= F.col("sample") - before) & (F.col("bin") <= last))
+    return timed.where((F.col("bin") >= F.col("sample") - before) & (F.col("bin") <= last))
 
 
 def event_index(event: str, offset: int = 0, size: int | None = None) -> Column:
@@ -27,16 +26,22 @@ def event_index(event: str, offset: int = 0, size: int | None = None) -> Column:
     return F.when(inside, i).otherwise(-1)
 
 
-def event_union(bins: DataFrame, times: DataFrame, directions: int = 8, size: int = 12) -> DataFrame:
-    """Two events for each bin: the sample, and the test with its directions after those of the sample.
+def two_events(directions: int = 8, size: int = 12) -> list[tuple[Column, Column]]:
+    """(timing index, feature index) of the sample, and of the test with its directions after those of the sample; needs bin, sample, test, neuron.
 
     Where the timing index is invalid the feature index is, too.
     """
-    joined = bins.join(times, TRIAL)
-    at = F.array(F.struct(F.lit(0).alias("event"), event_index("sample", 0, size).alias("ix"), direction().alias("feature")),
-                 F.struct(F.lit(1).alias("event"), event_index("test", 0, size).alias("ix"), (direction() + directions).alias("feature")))
-    rows = joined.select(*TRIAL, "bin", "y", F.explode(at).alias("e")).select(*TRIAL, "bin", "y", "e.event", "e.ix", "e.feature")
-    return rows.withColumn("feature", F.when(F.col("ix") >= 0, F.col("feature")).otherwise(-1))
+    out = []
+    for k, event in enumerate(("sample", "test")):
+        ix = event_index(event, 0, size)
+        out.append((ix, F.when(ix >= 0, direction() + k * directions).otherwise(-1)))
+    return out
+
+
+def event_union(timed: DataFrame, directions: int = 8, size: int = 12) -> DataFrame:
+    """Two rows for each bin of ``timed`` (neuron, trial, bin, y, sample, test): event, ix, feature."""
+    at = F.array(*(F.struct(F.lit(k).alias("event"), ix.alias("ix"), feature.alias("feature")) for k, (ix, feature) in enumerate(two_events(directions, size))))
+    return timed.select(*TRIAL, "bin", "y", F.explode(at).alias("e")).select(*TRIAL, "bin", "y", "e.event", "e.ix", "e.feature")
 
 
 def history(bins: DataFrame, lags: int) -> DataFrame:

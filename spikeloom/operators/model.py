@@ -54,7 +54,3 @@ def hessian(rows: DataFrame, regressors: list[Column]) -> DataFrame:
     pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"h{min(i, j)}_{max(i, j)}").alias("h")) for i in range(n) for j in range(n)))
     return sums.select(F.explode(pairs).alias("p")).select("p.*")
 
-
-def scatter(rows: DataFrame, index: str, weight: Column) -> DataFrame:
-    """Derivative by the rows of a shared factor: sums of dll times ``weight`` by index, before any product."""
-    return rows.where(F.col(index) >= 0).groupBy(index).agg(F.sum(F.col("dll") * weight).alias("g"))

@@ -64,6 +64,11 @@ def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.dense(events(spark, sf_dir))
 
 
+def timed(spark: SparkSession, sf_dir: str, lags: int = 0) -> DataFrame:
+    """Bins with their trial's event times."""
+    return trials.binned(events(spark, sf_dir), lags)
+
+
 def times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.event_times(events(spark, sf_dir))
 
@@ -78,30 +83,45 @@ def regressors() -> list[Column]:
 
 def lin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins with three lags and the linear log rate x."""
-    return design.history(bins(spark, sf_dir), 3).withColumn("x", baseline() + model.linear(regressors(), [0.1, -0.05, 0.2]))
+    return timed(spark, sf_dir, 3).withColumn("x", baseline() + model.linear(regressors(), [0.1, -0.05, 0.2]))
 
 
 def load(r: int) -> Column:
     return 0.1 * (1 + F.pmod("neuron", F.lit(3))) - 0.05 * r
 
 
+def timing(ix: Column, r: int) -> Column:
+    return model.gather(ix, [math.cos((t + 1) * (r + 1)) / 4 for t in range(STEPS)])
+
+
+def tuning(feature: Column, r: int) -> Column:
+    return model.gather(feature, [math.sin(d + 1 + r) / 2 for d in range(2 * DIRECTIONS)])
+
+
 def factor(r: int) -> tuple[Column, Column]:
     """Gathered rows of the timing and the direction factor."""
-    return (model.gather(F.col("ix"), [math.cos((t + 1) * (r + 1)) / 4 for t in range(STEPS)]),
-            model.gather(F.col("feature"), [math.sin(d + 1 + r) / 2 for d in range(2 * DIRECTIONS)]))
+    return timing(F.col("ix"), r), tuning(F.col("feature"), r)
+
+
+def both_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return design.event_union(timed(spark, sf_dir), DIRECTIONS, STEPS)
+
+
+def event_products(r: int) -> list[Column]:
+    return [timing(ix, r) * tuning(feature, r) for ix, feature in design.two_events(DIRECTIONS, STEPS)]
 
 
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = design.event_union(bins(spark, sf_dir), times(spark, sf_dir), DIRECTIONS, STEPS)
-    return rows.select("*", *((factor(r)[0] * factor(r)[1]).alias(f"a{r}") for r in range(RANK)))
+def with_group(rows: DataFrame) -> DataFrame:
+    """a0, a1: the group's products, both events summed in the row."""
+    return rows.withColumns({f"a{r}": sum(event_products(r), F.lit(0.0)) for r in range(RANK)})
 
 
 def group_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return products(spark, sf_dir).groupBy(*TRIAL, "bin").agg(*(F.sum(f"a{r}").alias(f"a{r}") for r in range(RANK)))
+    return with_group(timed(spark, sf_dir)).select(*TRIAL, "bin", *(f"a{r}" for r in range(RANK)))
 
 
 def gmlm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lin(spark, sf_dir).select(*TRIAL, "bin", "y", "x").join(group_rate(spark, sf_dir), [*TRIAL, "bin"])
+    rows = with_group(lin(spark, sf_dir))
     rows = rows.withColumn("x", F.col("x") + sum((load(r) * F.col(f"a{r}") for r in range(RANK)), F.lit(0.0)))
     return model.with_terms(rows, "poiss_exp")
 
@@ -173,23 +193,23 @@ def event_times(spark, sf_dir):
 
 @query("trial_window", "SELECT b.neuron, b.trial, b.bin, b.y FROM bins b JOIN times t USING (neuron, trial) WHERE b.bin >= t.sample AND b.bin <= coalesce(t.lever + 3, t.test + 9)")
 def trial_window(spark, sf_dir):
-    return design.window(bins(spark, sf_dir), times(spark, sf_dir)).select(*TRIAL, "bin", "y")
+    return design.window(timed(spark, sf_dir)).select(*TRIAL, "bin", "y")
 
 
 @query("event_time_index", "SELECT neuron, trial, bin, CASE WHEN bin >= sample THEN bin - sample ELSE -1 END AS ix FROM bins JOIN times USING (neuron, trial)")
 def event_time_index(spark, sf_dir):
-    return bins(spark, sf_dir).join(times(spark, sf_dir), TRIAL).select(*TRIAL, "bin", design.event_index("sample").alias("ix"))
+    return timed(spark, sf_dir).select(*TRIAL, "bin", design.event_index("sample").alias("ix"))
 
 
 @query("event_union", "SELECT neuron, trial, bin, event, ix, f AS feature FROM eu0 WHERE ix >= 0")
 def event_union(spark, sf_dir):
-    rows = design.event_union(bins(spark, sf_dir), times(spark, sf_dir), DIRECTIONS, STEPS)
+    rows = both_events(spark, sf_dir)
     return rows.where("ix >= 0").select(*TRIAL, "bin", "event", "ix", "feature")
 
 
 @query("event_cross_mask", "SELECT neuron, event, feature, count(*) AS n FROM eu GROUP BY ALL")
 def event_cross_mask(spark, sf_dir):
-    rows = design.event_union(bins(spark, sf_dir), times(spark, sf_dir), DIRECTIONS, STEPS)
+    rows = both_events(spark, sf_dir)
     return rows.groupBy("neuron", "event", "feature").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -197,7 +217,7 @@ def event_cross_mask(spark, sf_dir):
 
 @query("spike_history_lag", "SELECT neuron, trial, bin, y, h1, h2, h3 FROM hist")
 def spike_history_lag(spark, sf_dir):
-    return design.history(bins(spark, sf_dir), 3)
+    return timed(spark, sf_dir, 3).drop("sample", "test", "lever")
 
 
 @query("spike_history_basis", "SELECT neuron, trial, round(sum(h1 * cos(1) + h2 * cos(2) + h3 * cos(3)), 6) AS x0, round(sum(h1 * sin(1) + h2 * sin(2) + h3 * sin(3)), 6) AS x1 FROM hist GROUP BY ALL")
@@ -210,7 +230,7 @@ def spike_history_basis(spark, sf_dir):
 a AS (SELECT *, (ln(lag + 1.5) - (ln(1.5) + k * (ln(13.5) - ln(1.5)) / 3)) * pi() / ((ln(13.5) - ln(1.5)) / 3) / 2 AS ang FROM k)
 SELECT neuron, k::INT AS k, round(sum(y * (cos(greatest(-pi(), least(pi(), ang))) + 1) / 2), 6) AS s FROM a GROUP BY ALL""")
 def raised_cosine_basis(spark, sf_dir):
-    rows = bins(spark, sf_dir).join(times(spark, sf_dir), TRIAL).where(F.col("bin") >= F.col("sample")).withColumn("lag", (F.col("bin") - F.col("sample")).cast("double"))
+    rows = timed(spark, sf_dir).where(F.col("bin") >= F.col("sample")).withColumn("lag", (F.col("bin") - F.col("sample")).cast("double"))
     bumps = F.array(*(F.struct(F.lit(k).alias("k"), bases.raised_cosine(F.col("lag"), k, 4, 0.0, 12.0, 1.5).alias("v")) for k in range(4)))
     rows = rows.select("neuron", "y", F.explode(bumps).alias("b"))
     return rounded(rows.groupBy("neuron", F.col("b.k").alias("k")).agg(F.sum(F.col("y") * F.col("b.v")).alias("s")))
@@ -244,7 +264,7 @@ def stim_contrast_design(spark, sf_dir):
 @query("glm_design_kron", """, d AS (SELECT neuron, trial, y, cos(neuron % 8 * pi() / 4) AS c, sin(neuron % 8 * pi() / 4) AS s, CASE WHEN bin >= sample AND bin - sample < 12 THEN cos((bin - sample + 1) * 1) / 4 ELSE 0 END AS t0, CASE WHEN bin >= sample AND bin - sample < 12 THEN cos((bin - sample + 1) * 2) / 4 ELSE 0 END AS t1 FROM bins JOIN times USING (neuron, trial))
 SELECT neuron, trial, round(sum(y * c * t0), 6) AS x0, round(sum(y * c * t1), 6) AS x1, round(sum(y * s * t0), 6) AS x2, round(sum(y * s * t1), 6) AS x3 FROM d GROUP BY ALL""")
 def glm_design_kron(spark, sf_dir):
-    rows = bins(spark, sf_dir).join(times(spark, sf_dir), TRIAL).withColumn("ix", design.event_index("sample", 0, STEPS))
+    rows = timed(spark, sf_dir).withColumn("ix", design.event_index("sample", 0, STEPS))
     x = design.kron(bases.cosine_tuning(design.direction(), DIRECTIONS), [factor(r)[0] for r in range(RANK)])
     return rounded(rows.groupBy(*TRIAL).agg(*(F.sum(F.col("y") * c).alias(f"x{i}") for i, c in enumerate(x))))
 
@@ -331,7 +351,7 @@ def log_rate_linear(spark, sf_dir):
 
 @query("shared_gather", "SELECT neuron, trial, event, round(sum(CASE WHEN ix >= 0 THEN cos((ix + 1) * 1) / 4 ELSE 0 END), 6) AS t0, round(sum(CASE WHEN feature >= 0 THEN sin(feature + 1) / 2 ELSE 0 END), 6) AS u0 FROM eu GROUP BY ALL")
 def shared_gather(spark, sf_dir):
-    rows = design.event_union(bins(spark, sf_dir), times(spark, sf_dir), DIRECTIONS, STEPS)
+    rows = both_events(spark, sf_dir)
     t, u = factor(0)
     return rounded(rows.groupBy(*TRIAL, "event").agg(F.sum(t).alias("t0"), F.sum(u).alias("u0")))
 
@@ -345,7 +365,7 @@ def group_rate_rank2(spark, sf_dir):
 SELECT neuron, cell, round(sum(n * cos((ix + 1) * 1) / 4 * sin(feature + 1) / 2), 6) AS f0, round(sum(n * cos((ix + 1) * 2) / 4 * sin(feature + 2) / 2), 6) AS f1 FROM k GROUP BY ALL""")
 def khatri_rao_factor(spark, sf_dir):
     """Two modes as one: the first mode's index runs fastest."""
-    rows = design.event_union(bins(spark, sf_dir), times(spark, sf_dir), DIRECTIONS, STEPS).where("ix >= 0").withColumn("cell", F.col("ix") + STEPS * F.col("feature"))
+    rows = both_events(spark, sf_dir).where("ix >= 0").withColumn("cell", F.col("ix") + STEPS * F.col("feature"))
     flat = [[math.cos((t + 1) * (r + 1)) / 4 * math.sin(d + 1 + r) / 2 for d in range(2 * DIRECTIONS) for t in range(STEPS)] for r in range(RANK)]
     used = rows.groupBy("neuron", "cell").agg(F.count(F.lit(1)).alias("n"))
     return rounded(used.select("neuron", "cell", *((F.col("n") * model.gather(F.col("cell"), flat[r])).alias(f"f{r}") for r in range(RANK))))
@@ -364,8 +384,9 @@ def grad_v(spark, sf_dir):
 @query("grad_t_shared", """SELECT p.ix, round(sum(d.dll * (0.1 * (1 + d.neuron % 3)) * sin(p.feature + 1) / 2), 5) AS g0, round(sum(d.dll * (0.1 * (1 + d.neuron % 3) - 0.05) * sin(p.feature + 2) / 2), 5) AS g1 FROM gd d JOIN eu p USING (neuron, trial, bin) WHERE p.ix >= 0 GROUP BY ALL""")
 def grad_t_shared(spark, sf_dir):
     """Derivative by the timing mode: sums by index come first, the factor's matrix isn't touched."""
-    rows = gmlm(spark, sf_dir).select(*TRIAL, "bin", "dll").join(design.event_union(bins(spark, sf_dir), times(spark, sf_dir), DIRECTIONS, STEPS), [*TRIAL, "bin"]).where("ix >= 0")
-    return rounded(rows.groupBy("ix").agg(*(F.sum(F.col("dll") * load(r) * factor(r)[1]).alias(f"g{r}") for r in range(RANK))), 5)
+    at = F.explode(F.array(*(F.struct(ix.alias("ix"), *((F.col("dll") * load(r) * tuning(feature, r)).alias(f"g{r}") for r in range(RANK))) for ix, feature in design.two_events(DIRECTIONS, STEPS))))
+    rows = gmlm(spark, sf_dir).select(at.alias("e")).select("e.*").where("ix >= 0")
+    return rounded(rows.groupBy("ix").agg(*(F.sum(f"g{r}").alias(f"g{r}") for r in range(RANK))), 5)
 
 
 EMB_SQL = "WITH e AS (SELECT vec_id, label, embedding, (vec_id % 3)::DOUBLE AS y, list_sum(list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * sin(i + 1))) / 8 AS a FROM embeddings), d AS (SELECT *, y - exp(-0.5 + 0.2 * a) AS dll FROM e) "
@@ -491,7 +512,7 @@ def component_order(spark, sf_dir):
 SELECT neuron, ix, feature, round((0.1 * (1 + neuron % 3)) * cos((ix + 1) * 1) / 4 * sin(feature + 1) / 2 + (0.1 * (1 + neuron % 3) - 0.05) * cos((ix + 1) * 2) / 4 * sin(feature + 2) / 2, 6) AS v FROM c""")
 def reconstruct_tensor(spark, sf_dir):
     """The group's tensor at the cells that the data visit."""
-    cells = design.event_union(bins(spark, sf_dir), times(spark, sf_dir), DIRECTIONS, STEPS).where("ix >= 0").select("neuron", "ix", "feature").distinct()
+    cells = both_events(spark, sf_dir).where("ix >= 0").select("neuron", "ix", "feature").distinct()
     return rounded(cells.select("neuron", "ix", "feature", sum((load(r) * factor(r)[0] * factor(r)[1] for r in range(RANK)), F.lit(0.0)).alias("v")))
 
 
@@ -568,35 +589,35 @@ def param_combinations(spark, sf_dir):
 
 @query("glm_newton_fit")
 def glm_newton_fit(spark, sf_dir):
-    return fits.newton(design.history(bins(spark, sf_dir), 3), [F.lit(1.0), *regressors()], "poiss_exp")
+    return fits.newton(timed(spark, sf_dir, 3), [F.lit(1.0), *regressors()], "poiss_exp")
 
 
 @query("glm_unit_fits")
 def glm_unit_fits(spark, sf_dir):
-    return fits.unit_fits(design.history(bins(spark, sf_dir), 3), [F.lit(1.0), *regressors()], ["neuron"])
+    return fits.unit_fits(timed(spark, sf_dir, 3), [F.lit(1.0), *regressors()], ["neuron"])
 
 
 @query("cv_fit")
 def cv_fit(spark, sf_dir):
-    rows = design.history(bins(spark, sf_dir), 3).join(folds(spark, sf_dir), TRIAL)
+    rows = timed(spark, sf_dir, 3).join(folds(spark, sf_dir), TRIAL)
     return fits.cross_validate(rows, [F.lit(1.0), *regressors()], "fold", FOLDS)
 
 
 @query("evidence_optimization")
 def evidence_optimization(spark, sf_dir):
-    return fits.evidence(design.history(bins(spark, sf_dir), 3), [F.lit(1.0), *regressors()], ["neuron"])
+    return fits.evidence(timed(spark, sf_dir, 3), [F.lit(1.0), *regressors()], ["neuron"])
 
 
 @query("gmlm_alternating_fit")
 def gmlm_alternating_fit(spark, sf_dir):
     rows = lin(spark, sf_dir).select(*TRIAL, "bin", "y", "x")
-    events_ = design.event_union(bins(spark, sf_dir), times(spark, sf_dir), DIRECTIONS, STEPS)
+    events_ = both_events(spark, sf_dir)
     return fits.alternating_rank1(rows, events_, STEPS, 2 * DIRECTIONS)
 
 
 @query("hmc_draws")
 def hmc_draws(spark, sf_dir):
-    return fits.hmc(design.history(bins(spark, sf_dir), 3), [F.lit(1.0), *regressors()], ["neuron"])
+    return fits.hmc(timed(spark, sf_dir, 3), [F.lit(1.0), *regressors()], ["neuron"])
 
 
 @query("psis_loo")

@@ -25,19 +25,60 @@ def counts(events: DataFrame) -> DataFrame:
     return event_bins(events).groupBy("neuron", "trial", "bin").agg(F.count(F.lit(1)).cast("double").alias("y"))
 
 
+def trial_rows(events: DataFrame, bins: int = BINS) -> DataFrame:
+    """A row for each trial: ys (counts of all bins), sample, test and lever (first bins of a view, click, purchase). One scan and one shuffle."""
+    def first(kind):
+        return F.min(F.when(F.col("event_type") == kind, F.col("bin")))
+
+    counted = [F.count(F.when(F.col("bin") == b, 1)).cast("double").alias(f"y{b}") for b in range(bins)]
+    rows = event_bins(events).groupBy("neuron", "trial").agg(*counted, first("view").alias("sample"), first("click").alias("test"), first("purchase").alias("lever"))
+    return rows.select("neuron", "trial", F.array(*(f"y{b}" for b in range(bins))).alias("ys"), "sample", "test", "lever")
+
+
+def binned(events: DataFrame, lags: int = 0, bins: int = BINS) -> DataFrame:
+    """A row for each trial and bin: neuron, trial, bin, y, h1.. (counts 1..lags bins before, 0 before the trial), sample, test, lever.
+
+    Counts before a bin come out of the trial's array, so no window, sort or further shuffle is needed.
+    """
+    rows = trial_rows(events, bins).select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    history = [F.coalesce(F.when(F.col("bin") >= j, F.get("ys", F.col("bin") - j)), F.lit(0.0)).alias(f"h{j}") for j in range(1, lags + 1)]
+    return rows.select("neuron", "trial", "bin", F.get("ys", "bin").alias("y"), *history, "sample", "test", "lever")
+
+
 def dense(events: DataFrame, bins: int = BINS) -> DataFrame:
-    """One row per trial and bin. One shuffle: a trial's counts become a map that is read for each bin."""
-    by_bin = counts(events).groupBy("neuron", "trial").agg(F.map_from_entries(F.collect_list(F.struct("bin", "y"))).alias("ys"))
-    spread = by_bin.select("neuron", "trial", "ys", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return spread.select("neuron", "trial", "bin", F.coalesce(F.try_element_at("ys", "bin"), F.lit(0.0)).alias("y"))
+    """One row per trial and bin: neuron, trial, bin, y. One shuffle."""
+    return binned(events, 0, bins).select("neuron", "trial", "bin", "y")
+
+
+def check(bins: DataFrame, counts: bool = True) -> dict[str, int]:
+    """Numbers of broken rows by rule, in one pass; ``validated`` raises if there are any.
+
+    Rules: no null key, no null or non-finite y, with ``counts`` only whole y (negative ones are censored), at least one observed bin in each trial
+    and no bin twice.
+    """
+    missing = {"y", "trial", "bin", "neuron"} - set(bins.columns)
+    if missing:
+        raise ValueError(f"columns are missing: {sorted(missing)}")
+    y = F.col("y").cast("double")
+    per_trial = bins.groupBy("neuron", "trial").agg(
+        F.count_if(F.col("neuron").isNull() | F.col("trial").isNull() | F.col("bin").isNull()).alias("null_key"),
+        F.count_if(y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))).alias("bad_y"),
+        F.count_if(F.lit(counts) & (y != F.floor(y))).alias("fraction"),
+        (F.count_if(y >= 0) == 0).cast("bigint").alias("unobserved") if counts else F.lit(0).cast("bigint").alias("unobserved"),
+        (F.count(F.lit(1)) - F.count_distinct("bin")).alias("repeated"))
+    return per_trial.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("null_key", "bad_y", "fraction", "unobserved", "repeated"))).first().asDict()
+
+
+def validated(bins: DataFrame, counts: bool = True) -> DataFrame:
+    broken = {k: v for k, v in check(bins, counts).items() if v}
+    if broken:
+        raise ValueError(f"rows break rules: {broken}")
+    return bins
 
 
 def event_times(events: DataFrame) -> DataFrame:
     """First bins of the sample (view), test (click) and lever (purchase) event of each trial, null where there is none."""
-    def first(kind):
-        return F.min(F.when(F.col("event_type") == kind, F.col("bin")))
-
-    return event_bins(events).groupBy("neuron", "trial").agg(first("view").alias("sample"), first("click").alias("test"), first("purchase").alias("lever"))
+    return trial_rows(events, 0).select("neuron", "trial", "sample", "test", "lever")
 
 
 def write_draws(draws: DataFrame, path: str, mode: str = "append") -> None:

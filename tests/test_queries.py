@@ -116,7 +116,7 @@ def test_sampler_finds_a_known_posterior(spark):
 
 def test_alternating_fit_raises_the_likelihood(spark):
     rows = queries.lin(spark, SF).select("neuron", "trial", "bin", "y", "x")
-    both = design.event_union(queries.bins(spark, SF), queries.times(spark, SF), 8, 12)
+    both = design.event_union(queries.timed(spark, SF), 8, 12)
     value = {(r["mode"], r["ix"]): r["value"] for r in fits.alternating_rank1(rows, both, 12, 16).collect()}
     pdf, cells = rows.toPandas(), both.where("ix >= 0").toPandas()
     cells["v"] = [value["ix", a] * value["feature", b] for a, b in zip(cells["ix"], cells["feature"], strict=True)]
