@@ -16,6 +16,14 @@ def raised_cosine(lag: Column, k: int, count: int, first: float, last: float, st
     return (F.cos(F.greatest(F.lit(-math.pi), F.least(F.lit(math.pi), at))) + 1) / 2
 
 
+def raised_cosine_at(lag: float, k: int, count: int, first: float, last: float, stretch: float) -> float:
+    """The same of one number."""
+    low, high = math.log(first + stretch), math.log(last + stretch)
+    step = (high - low) / (count - 1)
+    at = (math.log(lag + stretch) - (low + k * step)) * math.pi / step / 2
+    return (math.cos(max(-math.pi, min(math.pi, at))) + 1) / 2
+
+
 def spline_weights(u: Column, tension: float = 0.5) -> list[Column]:
     """Cardinal spline weights of the knots before, at, after and past the segment that holds u in 0..1."""
     s, u2, u3 = tension, u * u, u * u * u

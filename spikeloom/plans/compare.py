@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
@@ -18,10 +19,42 @@ def log_sum_exp(rows: DataFrame, x: str, keys: list[str]) -> DataFrame:
     return out.select(*keys, (F.col("m") + F.log("s")).alias("lse"), (F.col("m") + F.log(F.col("s") / F.col("n"))).alias("lme"))
 
 
+def log_sum_exp_pair(a: Column, b: Column) -> Column:
+    """log(exp(a) + exp(b)); one missing side leaves the other."""
+    both = F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+    return F.coalesce(F.when(a == b, a + math.log(2)).otherwise(both), a, b)
+
+
+def log_mean_exp(values: Column) -> Column:
+    """Of an array."""
+    top = F.array_max(values)
+    return top + F.log(F.aggregate(values, F.lit(0.0), lambda s, v: s + F.exp(v - top)) / F.size(values))
+
+
 def waic(draws: DataFrame, ll: str, keys: list[str]) -> DataFrame:
-    """- log mean exp(ll) + var(ll) of each unit."""
-    spread = draws.groupBy(*keys).agg(F.var_samp(ll).alias("v"))
-    return log_sum_exp(draws, ll, keys).join(spread, keys).select(*keys, (F.col("v") - F.col("lme")).alias("waic"))
+    """- log mean exp(ll) + var(ll) of each unit, out of one group-by; null for a single draw, which has no variance."""
+    own = draws.groupBy(*keys).agg(F.collect_list(ll).alias("_all"), F.var_samp(ll).alias("_v"))
+    return own.select(*keys, (F.col("_v") - log_mean_exp(F.col("_all"))).alias("waic"))
+
+
+def percentiles(rows: DataFrame, x: str, keys: list[str], qs: list[float]) -> DataFrame:
+    """q0, q1, ...: quantiles by ``keys`` where the k-th of n values is the quantile (k - 0.5) / n, linear between, constant outside."""
+    own = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(x)).alias("_all"))
+    n = F.size("_all")
+    out = []
+    for i, q in enumerate(qs):
+        at = F.greatest(F.lit(1.0), F.least(n.cast("double"), q * n + 0.5))
+        low = F.floor(at).cast("int")
+        a, b = F.get("_all", low - 1), F.get("_all", F.least(low, n - 1))
+        out.append((a + (b - a) * (at - low)).alias(f"q{i}"))
+    return own.select(*keys, *out)
+
+
+def ellipse(cc: Column, cs: Column, ss: Column) -> dict[str, Column]:
+    """Axes, area and angle (degrees, of the longer axis in the plane of cosine and sine) of c cos + s sin, from the inner products of the vectors c and s."""
+    middle, spread = (cc + ss) / 2, F.sqrt((cc - ss) * (cc - ss) / 4 + cs * cs)
+    major, minor = F.sqrt(middle + spread), F.sqrt(F.greatest(middle - spread, F.lit(0.0)))
+    return {"major": major, "minor": minor, "area": math.pi * major * minor, "angle": F.degrees(F.atan2(2 * cs, cc - ss)) / 2}
 
 
 def tail_size(n: int) -> int:
@@ -49,40 +82,52 @@ def pareto_fit(x: np.ndarray) -> tuple[float, float]:
     k = np.log1p(-b[:, None] * x).mean(axis=1)
     profile = n * (np.log(-b / k) - k - 1)
     weight = 1 / np.exp(np.clip(profile[None, :] - profile[:, None], -700, 700)).sum(axis=1)
+    weight[weight < 10 * np.finfo(float).eps] = 0.0
     best = (b * weight).sum() / weight.sum()
     shape = np.log1p(-best * x).mean()
     return float((n * shape + 5) / (n + 10)), float(-shape / best)
 
 
 def smoothed(lw: np.ndarray) -> tuple[np.ndarray, float]:
-    """Pareto-smoothed log weights (normalized) and the tail's shape; tails of four or fewer stay as they are (shape infinite)."""
+    """Pareto-smoothed log weights (normalized) and the tail's shape. The tail are the weights strictly above the largest one outside the
+    tail's nominal size, so draws that tie with it (as repeats after rejected proposals do) stay out; tails of four or fewer stay as they are
+    (shape infinite)."""
     lw = lw - lw.max()
-    size = tail_size(len(lw))
     order = np.argsort(lw, kind="stable")
-    k = math.inf
+    edge = max(lw[order[-min(tail_size(len(lw)), len(lw) - 1) - 1]], math.log(np.finfo(float).tiny))
+    top = order[lw[order] > edge]
+    size, k = len(top), math.inf
     if size > 4:
-        edge = max(lw[order[-size - 1]], -700.0)
-        top = order[-size:]
-        over = np.exp(lw[top]) - math.exp(edge)
-        if over.max() > 0 and (over > 0).all():
-            k, scale = pareto_fit(over)
-            if k >= 1 / 3:
-                p = (np.arange(size) + 0.5) / size
-                quantile = scale * np.expm1(-k * np.log1p(-p)) / k
-                lw = lw.copy()
-                lw[top] = np.minimum(np.log(quantile + math.exp(edge)), 0.0)
+        k, scale = pareto_fit(np.exp(lw[top]) - math.exp(edge))
+        if k >= 1 / 3:
+            p = (np.arange(size) + 0.5) / size
+            quantile = scale * np.expm1(-k * np.log1p(-p)) / k
+            lw = lw.copy()
+            lw[top] = np.minimum(np.log(quantile + math.exp(edge)), 0.0)
     return lw - (lw.max() + math.log(np.exp(lw - lw.max()).sum())), k
 
 
 def psis_loo(draws: DataFrame, ll: str, keys: list[str]) -> DataFrame:
-    """loo and pareto_k of each unit; a unit's draws (as many as the sampler keeps) meet in one group."""
-    types = dict(draws.dtypes)
+    """loo and pareto_k of each unit. A unit's draws (as many as the sampler keeps) are one array in one row; a unit needs two draws."""
+    own = draws.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(ll).cast("double"))).alias("_all"))
+    schema = T.StructType([*(own.schema[k] for k in keys), T.StructField("loo", T.DoubleType()), T.StructField("pareto_k", T.DoubleType())])
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("draw")[ll].to_numpy()
+    def one(values: np.ndarray) -> tuple[float, float]:
+        if len(values) < 2:
+            raise ValueError("a unit has fewer than two draws")
         weights, k = smoothed(-values)
         total = weights + values
-        loo = total.max() + math.log(np.exp(total - total.max()).sum())
-        return pd.DataFrame([[*key, loo, k]], columns=[*keys, "loo", "pareto_k"])
+        return total.max() + math.log(np.exp(total - total.max()).sum()), k
+
+    def run(batches):
+        for b in batches:
+            ends, flat = b.column(len(keys)).offsets.to_numpy(), b.column(len(keys)).values.to_numpy(zero_copy_only=False)
+            found = [one(flat[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=schema.names)
+
+    return own.mapInArrow(run, schema)
+
 
-    return draws.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", loo double, pareto_k double")
+def loo_summary(found: DataFrame, bad: float = 0.7) -> DataFrame:
+    """Sum of loo, the number of units whose shape is ``bad`` or worse, and the number of units."""
+    return found.agg(F.sum("loo").alias("loo"), F.count_if(F.col("pareto_k") >= bad).alias("bad"), F.count(F.lit(1)).alias("units"))

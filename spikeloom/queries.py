@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spikeloom.functions import bases, priors
+from spikeloom.functions import bases, likelihood, priors
 from spikeloom.functions.likelihood import LIKELIHOODS
 from spikeloom.operators import design, model
 from spikeloom.plans import compare, fits
@@ -620,6 +620,92 @@ def hmc_draws(spark, sf_dir):
     return fits.hmc(timed(spark, sf_dir, 3), [F.lit(1.0), *regressors()], ["neuron"])
 
 
-@query("psis_loo")
+PSIS_SQL = DRAW_SQL + """, z0 AS (SELECT neuron, trial, list(ll ORDER BY ll DESC) AS lls, list(-ll ORDER BY ll DESC) AS raw, count(*) AS n FROM dr GROUP BY ALL),
+z1 AS (SELECT *, list_transform(raw, lambda v: v - raw[n]) AS lw FROM z0), z2 AS (SELECT *, greatest(lw[n - 8], ln(2.2250738585072014e-308)) AS edge FROM z1),
+z3 AS (SELECT *, list_transform(list_filter(lw, lambda v: v > edge), lambda v: exp(v) - exp(edge)) AS x FROM z2), z4 AS (SELECT *, len(x) AS k, 30 + floor(sqrt(len(x)))::INT AS m FROM z3),
+z5 AS (SELECT *, CASE WHEN k > 4 THEN list_transform(range(1, m + 1), lambda j: 1 / x[k] + (1 - sqrt(m / (j - 0.5))) / (3 * x[floor(k / 4 + 0.5)::INT])) END AS b FROM z4),
+z6 AS (SELECT *, list_transform(b, lambda c: list_avg(list_transform(x, lambda v: ln(1 - c * v)))) AS s FROM z5),
+z7 AS (SELECT *, list_transform(range(1, m + 1), lambda i: k * (ln(-b[i] / s[i]) - s[i] - 1)) AS l FROM z6 WHERE k > 4),
+z8 AS (SELECT *, list_transform(l, lambda a: 1 / list_sum(list_transform(l, lambda c: exp(least(700, greatest(-700, c - a)))))) AS w FROM z7),
+z9 AS (SELECT *, list_sum(list_transform(range(1, m + 1), lambda i: b[i] * w[i])) / list_sum(w) AS best FROM z8),
+z10 AS (SELECT *, list_avg(list_transform(x, lambda v: ln(1 - best * v))) AS shape FROM z9), z11 AS (SELECT *, (k * shape + 5) / (k + 10) AS kk, -shape / best AS scale FROM z10),
+z12 AS (SELECT neuron, trial, lls, lw, edge, n, kk, CASE WHEN kk >= 1 / 3.0 THEN list_transform(range(1, n + 1), lambda i: CASE WHEN i <= n - k THEN lw[i] ELSE least(0, ln(scale * (pow(1 - (i - (n - k) - 0.5) / k, -kk) - 1) / kk + exp(edge))) END) ELSE lw END AS lw2 FROM z11
+  UNION ALL SELECT neuron, trial, lls, lw, edge, n, 'inf'::DOUBLE, lw FROM z4 WHERE k <= 4),
+loo AS (SELECT neuron, trial, kk AS pareto_k, ln(list_sum(list_transform(range(1, n + 1), lambda i: exp(lw2[i] + lls[i] - lls[1])))) + lls[1] - ln(list_sum(list_transform(lw2, lambda v: exp(v)))) AS loo FROM z12) """
+
+
+@query("psis_loo", PSIS_SQL + "SELECT neuron, trial, round(loo, 4) AS loo, round(pareto_k, 4) AS pareto_k FROM loo")
 def psis_loo(spark, sf_dir):
-    return compare.psis_loo(draws(spark, sf_dir), "ll", TRIAL)
+    return rounded(compare.psis_loo(draws(spark, sf_dir), "ll", TRIAL), 4)
+
+
+@query("loo_diagnostics", PSIS_SQL + "SELECT round(sum(loo), 2) AS loo, count(*) FILTER (pareto_k >= 0.7) AS bad, count(*) AS units FROM loo")
+def loo_diagnostics(spark, sf_dir):
+    return rounded(compare.loo_summary(compare.psis_loo(draws(spark, sf_dir), "ll", TRIAL)), 2)
+
+
+@query("waic_mean", DRAW_SQL + "SELECT round(avg(waic), 5) AS waic FROM (SELECT -(max(ll) + ln(sum(exp(ll - m)) / count(*))) + var_samp(ll) AS waic FROM (SELECT *, max(ll) OVER (PARTITION BY neuron, trial) AS m FROM dr) GROUP BY neuron, trial)")
+def waic_mean(spark, sf_dir):
+    return rounded(compare.waic(draws(spark, sf_dir), "ll", TRIAL).agg(F.avg("waic").alias("waic")), 5)
+
+
+@query("draw_variance_moments", DRAW_SQL + "SELECT neuron, trial, round(avg(ll), 6) AS mean, round(var_pop(ll), 6) AS v FROM dr GROUP BY ALL")
+def draw_variance_moments(spark, sf_dir):
+    """E[x^2] - E[x]^2, without its cancellation."""
+    return rounded(draws(spark, sf_dir).groupBy(*TRIAL).agg(F.avg("ll").alias("mean"), F.var_pop("ll").alias("v")))
+
+
+@query("posterior_percentiles", DRAW_SQL + """, o AS (SELECT neuron, list(ll ORDER BY ll) AS v, count(*) AS n FROM dr GROUP BY 1), a AS (SELECT *, [greatest(1.0::DOUBLE, least(n::DOUBLE, q * n + 0.5)) FOR q IN [0.005::DOUBLE, 0.025, 0.5, 0.975, 0.995]] AS ats FROM o)
+SELECT neuron, """ + ", ".join(f"round(v[floor(ats[{i + 1}])::INT] + (v[least(n, floor(ats[{i + 1}])::INT + 1)] - v[floor(ats[{i + 1}])::INT]) * (ats[{i + 1}] - floor(ats[{i + 1}])), 6) AS q{i}" for i in range(5)) + " FROM a")
+def posterior_percentiles(spark, sf_dir):
+    """Percentiles by the midpoint definition, (k - 0.5) / n."""
+    return rounded(compare.percentiles(draws(spark, sf_dir), "ll", ["neuron"], [0.005, 0.025, 0.5, 0.975, 0.995]))
+
+
+@query("log_sum_exp_pair", "SELECT neuron, round(sum(greatest(x, 0.1 * y) + ln(1 + exp(-abs(x - 0.1 * y)))), 6) AS s FROM lin GROUP BY 1")
+def log_sum_exp_pair(spark, sf_dir):
+    return rounded(lin(spark, sf_dir).groupBy("neuron").agg(F.sum(compare.log_sum_exp_pair(F.col("x"), 0.1 * F.col("y"))).alias("s")))
+
+
+@query("safe_exponentials", "SELECT neuron, round(sum(exp(least(90, x))), 6) AS e, round(sum(exp(least(20, x)) - 1), 6) AS m FROM lin GROUP BY 1")
+def safe_exponentials(spark, sf_dir):
+    return rounded(lin(spark, sf_dir).groupBy("neuron").agg(F.sum(likelihood.safe_exp(F.col("x"))).alias("e"), F.sum(likelihood.safe_expm1(F.col("x"), 20.0)).alias("m")))
+
+
+SUBSPACE_SQL = """, sd AS (SELECT b.neuron, b.bin, f.fold, y, day(strptime(b.trial, '%Y-%m-%d')) % 8 AS d FROM bins b JOIN fold f USING (neuron, trial)),
+cs AS (SELECT neuron, k.k AS draw, bin, sum(y * cos(d * pi() / 4)) AS c, sum(y * sin(d * pi() / 4)) AS s, sum(CASE WHEN d < 4 THEN y ELSE -y END) AS g FROM sd CROSS JOIN range(5) k(k) WHERE fold <> k.k GROUP BY ALL),
+gr AS (SELECT neuron, draw, sum(c * c) AS cc, sum(c * s) AS cs, sum(s * s) AS ss, sqrt(sum(g * g)) AS category FROM cs GROUP BY ALL), ax AS (SELECT *, (cc + ss) / 2 AS mid, sqrt((cc - ss) * (cc - ss) / 4 + cs * cs) AS spread FROM gr),
+el AS (SELECT neuron, draw, sqrt(mid + spread) AS major, sqrt(greatest(mid - spread, 0)) AS minor, pi() * sqrt(mid + spread) * sqrt(greatest(mid - spread, 0)) AS area, category FROM ax) """
+
+
+def subspace(spark, sf_dir):
+    """For each neuron and draw (all folds but one): the plane that cosine and sine tuning to the day's direction span over the bins, and the norm of the category's contrast."""
+    rows = bins(spark, sf_dir).withColumn("d", F.dayofmonth(F.to_date("trial")) % DIRECTIONS).withColumn("fold", F.pmod(F.col("neuron") + F.dayofmonth(F.to_date("trial")), F.lit(FOLDS)))
+    cos, sin = bases.cosine_tuning(F.col("d"), DIRECTIONS)
+    sums = {"c": F.col("y") * cos, "s": F.col("y") * sin, "g": F.col("y") * bases.contrast(F.col("d"), DIRECTIONS)}
+    by_fold = rows.groupBy("neuron", "bin", "fold").agg(*(F.sum(v).alias(n) for n, v in sums.items()))  # before the folds are spread to draws
+    draws_ = by_fold.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).where("fold <> draw").groupBy("neuron", "draw", "bin").agg(*(F.sum(n).alias(n) for n in sums))
+    products = draws_.groupBy("neuron", "draw").agg(F.sum(F.col("c") * F.col("c")).alias("cc"), F.sum(F.col("c") * F.col("s")).alias("cs"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("category"))
+    return products.select("neuron", "draw", *(v.alias(n) for n, v in compare.ellipse(F.col("cc"), F.col("cs"), F.col("ss")).items()), "category")
+
+
+@query("subspace_metrics", SUBSPACE_SQL + "SELECT neuron, draw::INT AS draw, round(major, 5) AS major, round(minor, 4) AS minor, round(area, 4) AS area, round(category, 5) AS category FROM el")
+def subspace_metrics(spark, sf_dir):
+    return subspace(spark, sf_dir).select("neuron", "draw", F.round("major", 5).alias("major"), F.round("minor", 4).alias("minor"), F.round("area", 4).alias("area"), F.round("category", 5).alias("category"))
+
+
+@query("subspace_percentiles", SUBSPACE_SQL + ", o AS (SELECT neuron, list(major ORDER BY major) AS v FROM el GROUP BY 1 HAVING count(*) = 5) SELECT neuron, round(v[1], 5) AS q0, round(v[3], 5) AS q1, round(v[5], 5) AS q2 FROM o")
+def subspace_percentiles(spark, sf_dir):
+    own = subspace(spark, sf_dir)
+    every = own.groupBy("neuron").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == FOLDS)
+    return rounded(compare.percentiles(own.join(every, "neuron", "left_semi"), "major", ["neuron"], [0.025, 0.5, 0.975]), 5)
+
+
+@query("neuron_filters", """, u AS (SELECT DISTINCT neuron FROM ev) SELECT neuron, t.t::INT AS t, round(sum((0.1 * (1 + neuron % 3) - 0.05 * r.r) * cos((k.k + 1) * (r.r + 1)) / 4 * (cos(greatest(-pi(), least(pi(), (ln(t.t + 1.5) - (ln(1.5) + k.k * (ln(13.5) - ln(1.5)) / 3)) * pi() / ((ln(13.5) - ln(1.5)) / 3) / 2))) + 1) / 2), 6) AS v
+FROM u CROSS JOIN range(12) t(t) CROSS JOIN range(4) k(k) CROSS JOIN range(2) r(r) GROUP BY ALL""")
+def neuron_filters(spark, sf_dir):
+    """The timing filters B T of each component, weighted by the neuron's loads: the trace that a fit is shown by."""
+    weights = [[math.cos((k + 1) * (r + 1)) / 4 for k in range(4)] for r in range(RANK)]
+    curve = [[sum(bases.raised_cosine_at(t, k, 4, 0.0, 12.0, 1.5) * weights[r][k] for k in range(4)) for t in range(STEPS)] for r in range(RANK)]  # B T before any row is touched
+    units = trials.event_bins(events(spark, sf_dir)).select("neuron").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
+    return rounded(units.select("neuron", "t", sum((load(r) * model.gather(F.col("t"), curve[r]) for r in range(RANK)), F.lit(0.0)).alias("v")))

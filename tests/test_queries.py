@@ -1,5 +1,6 @@
 """Every registered model query against its SQL, and the fits against NumPy."""
 
+import math
 import os
 from pathlib import Path
 
@@ -138,6 +139,72 @@ def test_psis_on_a_conjugate_model():
         assert np.logaddexp.reduce(weights + values) == pytest.approx(exact, abs=0.02) and k < 0.7
 
 
+def test_psis_with_ties(spark):
+    rng = np.random.default_rng(3)
+    values = rng.normal(0, 1, 400)
+    _, k = compare.smoothed(-values)
+    order = np.argsort(values)
+    size = compare.tail_size(400)
+    tied = values.copy()
+    tied[order[size - 1]] = tied[order[size]]  # the tail's last draw repeats the cutoff, as after a rejected proposal
+    weights, k_tied = compare.smoothed(-tied)
+    assert math.isfinite(k) and math.isfinite(k_tied) and abs(k - k_tied) < 0.1
+    assert np.exp(weights).sum() == pytest.approx(1.0)
+    assert compare.smoothed(np.zeros(50))[1] == math.inf and compare.smoothed(np.array([0.0, -1.0]))[1] == math.inf
+    rows = spark.createDataFrame([(u, i, float(v)) for u, vs in (("a", values), ("b", tied)) for i, v in enumerate(vs)], "unit string, draw int, ll double")
+    got = {r["unit"]: r for r in compare.psis_loo(rows, "ll", ["unit"]).collect()}
+    assert got["a"]["pareto_k"] == pytest.approx(k) and got["b"]["pareto_k"] == pytest.approx(k_tied)
+    assert compare.psis_loo(rows.limit(0), "ll", ["unit"]).count() == 0
+
+
+def test_dataset_rules(spark):
+    good = [(1, "a", b, float(b % 2)) for b in range(4)] + [(1, "b", 0, -1.0), (1, "b", 1, 0.0)]
+    broken = {"null_key": (None, "a", 9, 1.0), "bad_y": (1, "a", 9, float("nan")), "fraction": (1, "a", 9, 0.5), "unobserved": (2, "a", 0, -1.0), "repeated": (1, "a", 0, 1.0)}
+    schema = "neuron int, trial string, bin int, y double"
+    assert trials.validated(spark.createDataFrame(good, schema)).count() == 6
+    for rule, row in broken.items():
+        assert trials.check(spark.createDataFrame([*good, row], schema))[rule] == 1
+        with pytest.raises(ValueError, match=rule):
+            trials.validated(spark.createDataFrame([*good, row], schema))
+    with pytest.raises(ValueError, match="missing"):
+        trials.check(spark.createDataFrame(good, schema).drop("bin"))
+    assert trials.check(spark.createDataFrame([(1, "a", 0, 0.5)], schema), counts=False)["fraction"] == 0
+
+
+@pytest.mark.parametrize("name", ["gaussian_terms", "half_t_terms", "inverse_gamma_terms", "inverse_gaussian_terms"])
+def test_prior_derivatives(spark, name):
+    from spikeloom.functions import priors
+
+    f = getattr(priors, name)
+    args = {"gaussian_terms": lambda x, h: (x, h), "half_t_terms": lambda x, h: (x, 3.0, h), "inverse_gamma_terms": lambda x, h: (x, 2.5, 1.5), "inverse_gaussian_terms": lambda x, h: (x, 1.2, 0.7)}[name]
+    h = 1e-5
+    rows = spark.createDataFrame([(x, s) for x in (-3.0, -0.4, 0.0, 0.7, 2.5) for s in (-1.0, 0.3)], "x double, s double")
+    at = {(i, j): f(*args(F.col("x") + i * h, F.col("s") + j * h)) for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))}
+    for r in rows.select(*(c.alias(f"v{i}_{j}_{k}") for (i, j), cs in at.items() for k, c in enumerate(cs))).collect():
+        dx = (r["v1_0_0"] - r["v-1_0_0"]) / (2 * h)
+        assert dx == pytest.approx(r["v0_0_1"], rel=1e-5, abs=1e-6)
+        if name in ("inverse_gamma_terms", "inverse_gaussian_terms", "half_t_terms"):
+            assert (r["v1_0_1"] - r["v-1_0_1"]) / (2 * h) == pytest.approx(r["v0_0_2"], rel=1e-5, abs=1e-6)
+        if name in ("gaussian_terms", "half_t_terms"):
+            ds = (r["v0_1_0"] - r["v0_-1_0"]) / (2 * h)
+            assert ds == pytest.approx(r["v0_0_3" if name == "half_t_terms" else "v0_0_2"], rel=1e-5, abs=1e-6)
+
+
+def test_half_t_has_a_tail(spark):
+    from spikeloom.functions import priors
+
+    r = spark.range(1).select(priors.half_t(F.lit(800.0), 3.0, 1.0).alias("a"), priors.half_t(F.lit(801.0), 3.0, 1.0).alias("b"), priors.half_t(F.lit(-800.0), 3.0, 1.0).alias("c")).first()
+    assert r["a"] - r["b"] == pytest.approx(3.0) and math.isfinite(r["c"])
+
+
+def test_log_factorial_is_exact_and_fast(spark):
+    from spikeloom.functions.likelihood import lgamma_count
+
+    ys = [0.0, 1.0, 5.0, 31.0, 32.0, 33.0, 100.0, 1e5, 1e9]
+    got = [r[0] for r in spark.createDataFrame([(y,) for y in ys], "y double").select(lgamma_count(F.col("y"))).collect()]
+    assert got == [pytest.approx(math.lgamma(y + 1), rel=1e-13, abs=1e-13) for y in ys]
+
+
 def test_draws_round_trip(spark, tmp_path):
     draws = spark.range(2500).select(F.col("id").alias("iter"), F.lit("w").alias("block"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.rand(1).alias("value"))
     trials.write_draws(draws, str(tmp_path / "draws"))
