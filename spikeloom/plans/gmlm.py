@@ -236,7 +236,8 @@ class Prepared:
         """The block's log likelihood; derivatives are added to ``sums``, those of ``blocks`` alone."""
         x, groups = self.rate(block)
         ll, dll = numeric(self.spec.kind, x, block.y, self.spec.dt)
-        dll = dll * block.w
+        w = block.w if "noise" not in self.params else block.w * self.params["noise"][block.neuron]
+        dll = dll * w
         p = self.spec.neurons
         if "W" in blocks:
             sums["W"] += np.bincount(block.neuron, weights=dll, minlength=p)
@@ -268,7 +269,7 @@ class Prepared:
                 for k, s in enumerate(mine):
                     if f"{g.name}.T{s}" in blocks:
                         sums[f"{g.name}.T{s}"] += np.einsum("ftr,fr->tr", khatri_rao_jacobian(self.modes[j][d], k), by)
-        return float((ll * block.w).sum())
+        return float((ll * w).sum())
 
 
 def to_block(batch: pa.RecordBatch, spec: Spec, fold: bool = False) -> Block:
@@ -483,8 +484,10 @@ def lockstep(asking: list[Generator], answer: Callable[[list[int], list[np.ndarr
 class Model:
     """A model over rows, which it holds in memory until ``close``."""
 
-    def __init__(self, rows: DataFrame, spec: Spec, priors: Iterable[Prior] = ()):
+    def __init__(self, rows: DataFrame, spec: Spec, priors: Iterable[Prior] = (), scaling: tuple | None = None):
+        """scaling: (forward, backward) between the parameters that are fitted or sampled and the natural ones, as ``horseshoe.chain`` makes it."""
         self.spec, self.priors, self.rows = spec, list(priors), rows.persist()
+        self.forward, self.backward = scaling or (lambda p: p, lambda p, g: g)
 
     def close(self) -> None:
         self.rows.unpersist()
@@ -494,7 +497,8 @@ class Model:
         return evaluate(self.rows, self.spec, [verify(self.spec, params)], blocks)[0]
 
     def log_posterior(self, params: Params, blocks: Iterable[str] | None = None) -> dict:
-        ll, grads = self.log_likelihood(params, blocks)
+        ll, grads = self.log_likelihood(self.forward(params), blocks)
+        grads = self.backward(params, grads)
         lp, more = prior_sum(self.priors, params)
         return {"log_likelihood": ll, "log_prior": lp, "log_posterior": ll + lp, "gradient": {k: grads[k] + more.get(k, 0.0) for k in grads}}
 
@@ -502,9 +506,10 @@ class Model:
         """What lockstep() asks: values and gradients by the chosen blocks of the vectors, of the i-th fit in turn."""
         def run(at, points):
             sets = [devectorize(self.spec, x, starts[i], blocks) for i, x in zip(at, points, strict=True)]
-            found = evaluate(self.rows, self.spec, sets, blocks, [held[i] for i in at] if held else None)
+            found = evaluate(self.rows, self.spec, [self.forward(p) for p in sets], None if "H" in blocks else blocks, [held[i] for i in at] if held else None)
             out = []
             for p, (ll, grads) in zip(sets, found, strict=True):
+                grads = self.backward(p, grads)
                 lp, more = prior_sum(self.priors, p) if prior else (0.0, {})
                 full = {k: grads.get(k, np.zeros(self.spec.shapes()[k])) + more.get(k, 0.0) for k in blocks}
                 out.append((ll + lp, vectorize(self.spec, full, blocks)))
