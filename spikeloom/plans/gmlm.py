@@ -118,7 +118,7 @@ def devectorize(spec: Spec, vector: np.ndarray, params: Params | None = None, bl
 
 def as_table(spark, spec: Spec, params: Params) -> DataFrame:
     """(block, row, col, value) of all parameters."""
-    rows = [(k, i, j, float(v)) for k in spec.shapes() for (i, j), v in np.ndenumerate(params[k].reshape(params[k].shape[0] if params[k].ndim else 1, -1))]
+    rows = [(k, i, j, float(v)) for k in spec.shapes() for (i, j), v in np.ndenumerate(params[k] if params[k].ndim == 2 else params[k][:, None])]
     return spark.createDataFrame(rows, "block string, row int, col int, value double")
 
 

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spikeloom.functions import bases, likelihood, priors
+from spikeloom.functions import bases, basis_sets, likelihood, priors, stimulus
 from spikeloom.functions.likelihood import LIKELIHOODS
-from spikeloom.operators import design, model
-from spikeloom.plans import compare, fits
+from spikeloom.operators import builders, design, model
+from spikeloom.plans import compare, fits, gmlm, horseshoe
 from spikeloom.sources import trials
 
 TRIAL = ["neuron", "trial"]
@@ -120,7 +121,7 @@ def group_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_group(timed(spark, sf_dir)).select(*TRIAL, "bin", *(f"a{r}" for r in range(RANK)))
 
 
-def gmlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tensor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_group(lin(spark, sf_dir))
     rows = rows.withColumn("x", F.col("x") + sum((load(r) * F.col(f"a{r}") for r in range(RANK)), F.lit(0.0)))
     return model.with_terms(rows, "poiss_exp")
@@ -373,19 +374,19 @@ def khatri_rao_factor(spark, sf_dir):
 
 @query("gmlm_trial_ll", "SELECT neuron, trial, round(sum(y * x - exp(x)), 6) AS ll FROM gm GROUP BY ALL")
 def gmlm_trial_ll(spark, sf_dir):
-    return rounded(gmlm(spark, sf_dir).groupBy(*TRIAL).agg(F.sum("ll").alias("ll")))
+    return rounded(tensor_rows(spark, sf_dir).groupBy(*TRIAL).agg(F.sum("ll").alias("ll")))
 
 
 @query("grad_v", "SELECT neuron, round(sum(dll * a0), 6) AS g0, round(sum(dll * a1), 6) AS g1 FROM gd GROUP BY ALL")
 def grad_v(spark, sf_dir):
-    return rounded(model.gradient(gmlm(spark, sf_dir), [F.col("a0"), F.col("a1")], ["neuron"]))
+    return rounded(model.gradient(tensor_rows(spark, sf_dir), [F.col("a0"), F.col("a1")], ["neuron"]))
 
 
 @query("grad_t_shared", """SELECT p.ix, round(sum(d.dll * (0.1 * (1 + d.neuron % 3)) * sin(p.feature + 1) / 2), 5) AS g0, round(sum(d.dll * (0.1 * (1 + d.neuron % 3) - 0.05) * sin(p.feature + 2) / 2), 5) AS g1 FROM gd d JOIN eu p USING (neuron, trial, bin) WHERE p.ix >= 0 GROUP BY ALL""")
 def grad_t_shared(spark, sf_dir):
     """Derivative by the timing mode: sums by index come first, the factor's matrix isn't touched."""
     at = F.explode(F.array(*(F.struct(ix.alias("ix"), *((F.col("dll") * load(r) * tuning(feature, r)).alias(f"g{r}") for r in range(RANK))) for ix, feature in design.two_events(DIRECTIONS, STEPS))))
-    rows = gmlm(spark, sf_dir).select(at.alias("e")).select("e.*").where("ix >= 0")
+    rows = tensor_rows(spark, sf_dir).select(at.alias("e")).select("e.*").where("ix >= 0")
     return rounded(rows.groupBy("ix").agg(*(F.sum(f"g{r}").alias(f"g{r}") for r in range(RANK))), 5)
 
 
@@ -585,6 +586,350 @@ def param_combinations(spark, sf_dir):
     return units.select("neuron", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("neuron", (F.col("i") % 3).cast("int").alias("a"), F.floor(F.col("i") / 3).cast("int").alias("b"))
 
 
+# ---- the general model
+
+def closed_form(spec: gmlm.Spec, ids: list[int]) -> gmlm.Params:
+    """The parameters of the head of this module, in the general model's blocks."""
+    p, out = np.array(ids), gmlm.empty_params(spec)
+    out["W"] = -1 + 0.05 * (p % 7)
+    out["B"] = np.tile([[0.1], [-0.05], [0.2]], (1, len(p)))
+    out["g.V"] = np.stack([0.1 * (1 + p % 3) - 0.05 * r for r in range(RANK)], axis=1)
+    out["g.T0"] = np.array([[math.cos((t + 1) * (r + 1)) / 4 for r in range(RANK)] for t in range(STEPS)])
+    out["g.T1"] = np.array([[math.sin(d + 1 + r) / 2 for r in range(RANK)] for d in range(2 * DIRECTIONS)])
+    return out
+
+
+def general(spark, sf_dir) -> tuple[DataFrame, gmlm.Spec, gmlm.Params]:
+    """Rows, structure and parameters of the general model with one group of two shared factors."""
+    rows = timed(spark, sf_dir, 3)
+    pairs = design.two_events(DIRECTIONS, STEPS)
+    rows = rows.join(builders.neuron_index(rows), "neuron").withColumn("fold", F.pmod(F.col("neuron") + F.dayofmonth(F.to_date("trial")), F.lit(FOLDS)))
+    rows = rows.select(*TRIAL, "bin", "neuron_ix", "y", "fold", F.lit(1.0).alias("w"), F.array(*regressors()).alias("x_lin"), F.array(*(ix.cast("bigint") for ix, _ in pairs)).alias("ix"), F.array(*(d.cast("bigint") for _, d in pairs)).alias("feature"))
+    ids = [r["neuron"] for r in builders.neuron_index(events(spark, sf_dir).select(F.col("user_id").alias("neuron"))).orderBy("neuron_ix").collect()]  # the model's units
+    spec = gmlm.Spec(len(ids), 3, (gmlm.Group("g", (STEPS, 2 * DIRECTIONS), (0, 1), (gmlm.Factor("ix", STEPS), gmlm.Factor("feature", 2 * DIRECTIONS)), RANK, 2),))
+    return rows, spec, closed_form(spec, ids)
+
+
+@query("log_rate_block", "SELECT neuron, trial, bin, round(x, 6) AS x FROM gm")
+def log_rate_block(spark, sf_dir):
+    rows, spec, params = general(spark, sf_dir)
+    return rounded(gmlm.rates(rows, spec, params, [*TRIAL, "bin"]).select(*TRIAL, "bin", "x"))
+
+
+@query("gmlm_trial_ll_block", "SELECT neuron, trial, round(sum(y * x - exp(x)), 6) AS ll FROM gm GROUP BY ALL")
+def gmlm_trial_ll_block(spark, sf_dir):
+    rows, spec, params = general(spark, sf_dir)
+    return rounded(gmlm.trial_ll(rows, spec, params, TRIAL))
+
+
+GRAD_SQL = """, nix AS (SELECT neuron, (row_number() OVER (ORDER BY neuron) - 1)::INT AS i FROM (SELECT DISTINCT neuron FROM ev)), gr AS (SELECT d.*, x.i, h.h1, h.h2 FROM gd d JOIN nix x USING (neuron) JOIN hist h USING (neuron, trial, bin)),
+gp AS (SELECT d.dll, d.neuron, p.ix, p.feature FROM gd d JOIN eu p USING (neuron, trial, bin) WHERE p.ix >= 0),
+ga AS (SELECT 'W' AS block, i AS row, 0 AS col, sum(dll) AS value FROM gr GROUP BY i
+  UNION ALL SELECT 'B', 0, i, sum(dll * h1) FROM gr GROUP BY i UNION ALL SELECT 'B', 1, i, sum(dll * h2) FROM gr GROUP BY i UNION ALL SELECT 'B', 2, i, sum(dll * cos(bin * pi() / 12)) FROM gr GROUP BY i
+  UNION ALL SELECT 'g.V', i, 0, sum(dll * a0) FROM gr GROUP BY i UNION ALL SELECT 'g.V', i, 1, sum(dll * a1) FROM gr GROUP BY i
+  UNION ALL SELECT 'g.T0', ix, 0, sum(dll * (0.1 * (1 + neuron % 3)) * sin(feature + 1) / 2) FROM gp GROUP BY ix UNION ALL SELECT 'g.T0', ix, 1, sum(dll * (0.1 * (1 + neuron % 3) - 0.05) * sin(feature + 2) / 2) FROM gp GROUP BY ix
+  UNION ALL SELECT 'g.T1', feature, 0, sum(dll * (0.1 * (1 + neuron % 3)) * cos(ix + 1) / 4) FROM gp GROUP BY feature UNION ALL SELECT 'g.T1', feature, 1, sum(dll * (0.1 * (1 + neuron % 3) - 0.05) * cos((ix + 1) * 2) / 4) FROM gp GROUP BY feature) """
+
+
+@query("gmlm_gradient", GRAD_SQL + "SELECT block, row, col, round(value, 4) AS value FROM ga WHERE abs(value) > 1e-9")
+def gmlm_gradient(spark, sf_dir):
+    """Log likelihood and every derivative, out of one job."""
+    rows, spec, params = general(spark, sf_dir)
+    _, grads = gmlm.evaluate(rows, spec, [params])[0]
+    return gmlm.as_table(spark, spec, {**grads, "H": np.zeros(0)}).where("abs(value) > 1e-9").withColumn("value", F.round("value", 4))
+
+
+@query("gmlm_derivative_selection", GRAD_SQL + "SELECT block, row, col, round(value, 4) AS value FROM ga WHERE block = 'g.V' AND abs(value) > 1e-9")
+def gmlm_derivative_selection(spark, sf_dir):
+    """Only the loads' derivatives are computed."""
+    rows, spec, params = general(spark, sf_dir)
+    _, grads = gmlm.evaluate(rows, spec, [params], ["g.V"])[0]
+    return gmlm.as_table(spark, spec, {**gmlm.empty_params(spec), **grads}).where("abs(value) > 1e-9").withColumn("value", F.round("value", 4))
+
+
+@query("gmlm_log_posterior", """, nn AS (SELECT DISTINCT neuron FROM ev), pr AS (SELECT sum(-0.5 * v * v - 0.5 * ln(2 * pi())) AS lp FROM (
+  SELECT 0.1 * (1 + neuron % 3) - 0.05 * r.r AS v FROM nn CROSS JOIN range(2) r(r) UNION ALL SELECT cos((t.t + 1) * (r.r + 1)) / 4 FROM range(12) t(t) CROSS JOIN range(2) r(r) UNION ALL SELECT sin(d.d + 1 + r.r) / 2 FROM range(16) d(d) CROSS JOIN range(2) r(r)))
+SELECT round(ll, 3) AS log_likelihood, round(lp, 3) AS log_prior, round(ll + lp, 3) AS log_posterior FROM (SELECT sum(y * x - exp(x)) AS ll FROM gm), pr""")
+def gmlm_log_posterior(spark, sf_dir):
+    rows, spec, params = general(spark, sf_dir)
+    model = gmlm.Model(rows, spec, [gmlm.gaussian_prior({"g.V": 0.0, "g.T0": 0.0}), gmlm.gaussian_prior({"g.T1": 0.0})])
+    try:
+        found = model.log_posterior(params, ["W"])
+    finally:
+        model.close()
+    return spark.createDataFrame([tuple(round(found[k], 3) for k in ("log_likelihood", "log_prior", "log_posterior"))], "log_likelihood double, log_prior double, log_posterior double")
+
+
+@query("gmlm_constant_mle", "SELECT (row_number() OVER (ORDER BY neuron) - 1)::INT AS row, round(ln(sum(y)) - ln(count(*)), 3) AS value FROM bins GROUP BY neuron")
+def gmlm_constant_mle(spark, sf_dir):
+    """The optimizer on a model whose maximum is known: only weights are free, the rest is 0."""
+    rows, spec, _ = general(spark, sf_dir)
+    model = gmlm.Model(rows, gmlm.Spec(spec.neurons, 0))
+    try:
+        found = model.fit([gmlm.empty_params(model.spec) | {"W": np.full(spec.neurons, -1.0)}], blocks={"W"}, tolerance=1e-12)[0]
+    finally:
+        model.close()
+    return gmlm.as_table(spark, model.spec, found["params"]).where("block = 'W'").select("row", F.round("value", 3).alias("value"))
+
+
+def fitted(spark, sf_dir, work):
+    rows, spec, params = general(spark, sf_dir)
+    start = gmlm.random_params(spec, 1) | {k: params[k] for k in ("W", "B")}
+    model = gmlm.Model(rows, spec, horseshoe.group_priors(spec, {}))
+    try:
+        return work(model, start)
+    finally:
+        model.close()
+
+
+def fit_table(spark, model, found):
+    out = gmlm.as_table(spark, model.spec, found["params"])
+    return out.withColumns({"value_at": F.lit(found["value"]), "converged": F.lit(found["converged"])})
+
+
+@query("gmlm_mle")
+def gmlm_mle(spark, sf_dir):
+    return fitted(spark, sf_dir, lambda model, start: fit_table(spark, model, model.fit([start], steps=30, tolerance=1e-5)[0]))
+
+
+@query("gmlm_map")
+def gmlm_map(spark, sf_dir):
+    """From two starts side by side; the better one."""
+    def work(model, start):
+        return fit_table(spark, model, max(model.fit([start, gmlm.random_params(model.spec, 2, mean=-1.0)], prior=True, steps=30, tolerance=1e-5), key=lambda f: f["value"]))
+
+    return fitted(spark, sf_dir, work)
+
+
+@query("gmlm_alternating_fit")
+def gmlm_alternating_fit(spark, sf_dir):
+    return fitted(spark, sf_dir, lambda model, start: fit_table(spark, model, model.alternate(start, prior=True, sweeps=3, steps=8, tolerance=1e-4)))
+
+
+@query("gmlm_cv")
+def gmlm_cv(spark, sf_dir):
+    """Held-out log likelihoods of trials; the fits of all folds go side by side."""
+    return fitted(spark, sf_dir, lambda model, start: cut_rows(spark, model.cross_validate(start, FOLDS, TRIAL, prior=True, steps=12, tolerance=1e-4)))
+
+
+def cut_rows(spark, df: DataFrame) -> DataFrame:
+    """``df`` as it is now, so that the rows it was made from may be let go."""
+    return df.persist() if df.count() >= 0 else df
+
+
+# ---- builders and bases
+
+STIM, RESPONSE, HISTORY = builders.cosine_table(STEPS, 2), builders.cosine_table(6, 2, -2), np.array([[math.cos(j), math.sin(j)] for j in (1, 2, 3)])
+TUNING = stimulus.design(np.arange(8) * 45.0, np.arange(8) // 4, "cosine", True, True, True)
+BUILD_SQL = """, bd0 AS (SELECT h.neuron, h.trial, h.bin, h.y, t.sample, t.test, t.lever, (h.neuron % 8)::INT AS d, h1 * cos(1) + h2 * cos(2) + h3 * cos(3) AS k0, h1 * sin(1) + h2 * sin(2) + h3 * sin(3) AS k1 FROM hist h JOIN times t USING (neuron, trial)),
+bd AS (SELECT *, CASE WHEN bin - sample BETWEEN 0 AND 11 THEN bin - sample ELSE -1 END AS s_ix, CASE WHEN bin - test BETWEEN 0 AND 11 THEN bin - test ELSE -1 END AS t_ix, CASE WHEN bin - lever + 2 BETWEEN 0 AND 5 THEN bin - lever + 2 ELSE -1 END AS r_ix FROM bd0) """
+AT_SQL = "CASE WHEN {ix} >= 0 THEN cos(({ix} + 1) * {k}) / 4 ELSE 0 END"
+
+
+def model_rows(spark, sf_dir, onsets=False):
+    return builders.gmlm_rows(timed(spark, sf_dir, 3), HISTORY, STIM, RESPONSE, DIRECTIONS, onsets)
+
+
+@query("gmlm_builder", BUILD_SQL + "SELECT neuron, trial, bin, y, round(k0, 6) AS k0, round(k1, 6) AS k1, s_ix, t_ix, CASE WHEN s_ix >= 0 THEN d ELSE -1 END AS s_dir, CASE WHEN t_ix >= 0 THEN d + 8 ELSE -1 END AS t_dir, r_ix FROM bd")
+def gmlm_builder(spark, sf_dir):
+    rows = model_rows(spark, sf_dir)
+    return rows.select(*TRIAL, "bin", "y", *(F.round(F.get("x_lin", F.lit(i)), 6).alias(f"k{i}") for i in range(2)), *(F.get(c, F.lit(i)).alias(n) for n, c, i in (("s_ix", "stim_ix", 0), ("t_ix", "stim_ix", 1), ("s_dir", "dir_ix", 0), ("t_dir", "dir_ix", 1), ("r_ix", "resp_ix", 0))))
+
+
+@query("gmlm_builder_onsets", BUILD_SQL + "SELECT neuron, trial, " + ", ".join(f"round(sum(y * {e}), 6) AS x{i}" for i, e in enumerate(["k0", "k1", *(AT_SQL.format(ix=ix, k=k) for ix in ("s_ix", "t_ix") for k in (1, 2))])) + " FROM bd GROUP BY ALL")
+def gmlm_builder_onsets(spark, sf_dir):
+    rows = model_rows(spark, sf_dir, True)
+    return rounded(rows.groupBy(*TRIAL).agg(*(F.sum(F.col("y") * F.get("x_lin", F.lit(i))).alias(f"x{i}") for i in range(6))))
+
+
+CAT_SQL, SIN_SQL, COS_SQL = "CASE WHEN d {op} 4 THEN 1 ELSE 0 END", "sin(d * pi() / 4)", "cos(d * pi() / 4)"
+GLM_X = [" + ".join(f"({CAT_SQL.format(op=op)} * {AT_SQL.format(ix=ix, k=k)})" for ix in [ixs]) for ixs in ("s_ix", "t_ix") for op in ("<", ">=") for k in (1, 2)]
+GLM_X += [f"{w} * ({AT_SQL.format(ix='s_ix', k=k)} + {AT_SQL.format(ix='t_ix', k=k)})" for w in (SIN_SQL, COS_SQL) for k in (1, 2)]
+GLM_X += [AT_SQL.format(ix="r_ix", k=k) for k in (1, 2)] + ["k0", "k1", "1"]
+
+
+@query("glm_design_full", BUILD_SQL + "SELECT neuron, trial, " + ", ".join(f"round(sum((y + 1) * ({e})), 5) AS x{i}" for i, e in enumerate(GLM_X)) + " FROM bd GROUP BY ALL")
+def glm_design_full(spark, sf_dir):
+    rows, groups = builders.glm_design(timed(spark, sf_dir, 3), HISTORY, STIM, RESPONSE, TUNING.stacked(), DIRECTIONS)
+    n = sum(size for _, size in groups.values())
+    return rounded(rows.groupBy(*TRIAL).agg(*(F.sum((F.col("y") + 1) * F.get("x", F.lit(i))).alias(f"x{i}") for i in range(n))), 5)
+
+
+DYN_SQL = BUILD_SQL + """, dy AS (SELECT neuron, trial, bin, y, (0.1 * (1 + neuron % 3)) * ((k0 + 0.5 * k1) * ({sd} * {s} + {td} * {t}) + (k0 - k1) * {r}) AS x FROM bd) """.format(s=AT_SQL.format(ix="s_ix", k=1), t=AT_SQL.format(ix="t_ix", k=1), r=AT_SQL.format(ix="r_ix", k=2), sd="sin(d + 1)", td="sin(d + 9)")
+
+
+@query("dynamic_history_rate", DYN_SQL + "SELECT neuron, trial, round(sum(x), 6) AS x FROM dy GROUP BY ALL")
+def dynamic_history_rate(spark, sf_dir):
+    """Groups whose kernel is the spike history: by the stimulus' timing and direction, and by the response's timing."""
+    rows = model_rows(spark, sf_dir)
+    ids = [r["neuron"] for r in rows.select("neuron", "neuron_ix").distinct().orderBy("neuron_ix").collect()]  # the model's units
+    spec = builders.gmlm_spec(len(ids), HISTORY, STIM, RESPONSE, np.eye(16), {"stimulus_history": 1, "response_history": 1})
+    params, load_ = gmlm.empty_params(spec), 0.1 * (1 + np.array(ids) % 3)[:, None]
+    params |= {"stimulus_history.V": load_, "stimulus_history.T0": np.array([[1.0], [0.5]]), "stimulus_history.T1": np.array([[1.0], [0.0]]), "stimulus_history.T2": np.sin(np.arange(16) + 1.0)[:, None]}
+    params |= {"response_history.V": load_, "response_history.T0": np.array([[1.0], [-1.0]]), "response_history.T1": np.array([[0.0], [1.0]])}
+    return rounded(gmlm.rates(rows, spec, params, TRIAL).groupBy(*TRIAL).agg(F.sum("x").alias("x")))
+
+
+@query("spline_basis_ends", """, kn(i, k) AS (VALUES (0, -1.0::DOUBLE), (1, 3), (2, 7), (3, 12), (4, 18), (5, 24)), sg AS (SELECT i, k, lead(k) OVER w AS k1, lag(k) OVER w AS kp, lead(k, 2) OVER w AS k2 FROM kn WINDOW w AS (ORDER BY i)),
+us AS (SELECT b.neuron, b.y, s.*, (b.bin - k) / (k1 - k) AS u FROM bins b JOIN sg s ON b.bin > s.k AND b.bin <= s.k1), hs AS (SELECT *, u * u * u - 2 * u * u + u AS h10, u * u * u - u * u AS h11 FROM us),
+sp AS (SELECT neuron, i AS j, y * (2 * u * u * u - 3 * u * u + 1) AS v FROM hs UNION ALL SELECT neuron, i + 1, y * (3 * u * u - 2 * u * u * u) FROM hs
+  UNION ALL SELECT neuron, i + g, y * g * 0.5 * h10 / ((k1 - kp) / CASE WHEN i = 4 THEN k1 - k ELSE 1 END) FROM hs CROSS JOIN (VALUES (1), (-1)) q(g) WHERE i > 0
+  UNION ALL SELECT neuron, i + 1 + g, y * g * 0.5 * h11 / ((k2 - k) / CASE WHEN i = 0 THEN k1 - k ELSE 1 END) FROM hs CROSS JOIN (VALUES (1), (-1)) q(g) WHERE i < 4)
+SELECT neuron, j::INT AS j, round(sum(v), 6) AS s FROM sp GROUP BY ALL""")
+def spline_basis_ends(spark, sf_dir):
+    """Spline regressors with their flat ends: counts by bin first, then the basis."""
+    basis = basis_sets.cardinal_spline(np.arange(trials.BINS, dtype=float), [-1.0, 3.0, 7.0, 12.0, 18.0, 24.0])
+    by_bin = bins(spark, sf_dir).groupBy("neuron", "bin").agg(F.sum("y").alias("y"))
+    parts = F.array(*(F.struct(F.lit(j).alias("j"), (F.col("y") * model.gather(F.col("bin"), column.tolist())).alias("v")) for j, column in enumerate(basis.T)))
+    return rounded(by_bin.select("neuron", F.explode(parts).alias("p")).groupBy("neuron", F.col("p.j").alias("j")).agg(F.sum("p.v").alias("s")))
+
+
+@query("cosine_basis_set")
+def cosine_basis_set(spark, sf_dir):
+    """Each neuron's event-triggered counts on the stimulus and response bases of a recording in hours."""
+    return on_bases(spark, sf_dir, basis_sets.cosine_set(100.0, 1500.0, 5, 2))
+
+
+@query("spline_basis_set")
+def spline_basis_set(spark, sf_dir):
+    return on_bases(spark, sf_dir, basis_sets.spline_set(100.0))
+
+
+def on_bases(spark, sf_dir, sets):
+    parts = []
+    for name, event in (("stim", "sample"), ("response", "lever")):
+        b = sets[name]
+        parts += [F.struct(F.lit(name).alias("basis"), F.lit(k).alias("k"), (F.col("y") * v).alias("v")) for k, v in enumerate(builders.basis_at(b, builders.event_rows(b, event)))]
+    rows = timed(spark, sf_dir).select("neuron", F.explode(F.array(*parts)).alias("p"))
+    return rounded(rows.groupBy("neuron", "p.basis", "p.k").agg(F.sum("p.v").alias("s")))
+
+
+@query("stim_design_cosine", BUILD_SQL + "SELECT neuron, trial, " + ", ".join(f"round(sum(y * {e}), 6) AS f{i}" for i, e in enumerate(["CASE WHEN s_ix >= 0 AND d < 4 THEN 1 ELSE 0 END", "CASE WHEN s_ix >= 0 AND d >= 4 THEN 1 ELSE 0 END", "CASE WHEN t_ix >= 0 AND d < 4 THEN 1 ELSE 0 END", "CASE WHEN t_ix >= 0 AND d >= 4 THEN 1 ELSE 0 END", "sin(d * pi() / 4) * ((s_ix >= 0)::INT + (t_ix >= 0)::INT)", "cos(d * pi() / 4) * ((s_ix >= 0)::INT + (t_ix >= 0)::INT)"])) + " FROM bd GROUP BY ALL")
+def stim_design_cosine(spark, sf_dir):
+    """Features of both periods: categories of each, one sine and cosine."""
+    table_, pairs = TUNING.stacked(), design.two_events(DIRECTIONS, STEPS)
+    features = [sum((model.gather(d, column.tolist()) for _, d in pairs), F.lit(0.0)) for column in table_.T]
+    return rounded(timed(spark, sf_dir).groupBy(*TRIAL).agg(*(F.sum(F.col("y") * f).alias(f"f{i}") for i, f in enumerate(features))))
+
+
+@query("stim_contrast_scaled", "SELECT neuron, trial, round(sum(y), 6) AS f0, round(sum(CASE WHEN neuron % 8 < 4 THEN y ELSE -y END), 6) AS f1, round(sum(y * sin(neuron % 8 * pi() / 4)) * sqrt(2), 6) AS f2, round(sum(y * cos(neuron % 8 * pi() / 4)) * sqrt(2), 6) AS f3 FROM bins GROUP BY ALL")
+def stim_contrast_scaled(spark, sf_dir):
+    """Contrast coding, each feature with a root mean square of one over directions."""
+    x = stimulus.contrast_design(np.arange(8) * 45.0, np.arange(8) // 4, None, False)[:, :, 0]
+    sums = bins(spark, sf_dir).groupBy(*TRIAL).agg(F.sum("y").alias("y"))
+    return rounded(sums.select(*TRIAL, *((F.col("y") * model.gather(design.direction(), column.tolist())).alias(f"f{i}") for i, column in enumerate(x.T))))
+
+
+# ---- priors with derivatives, over tables of coefficients
+
+COEF_SQL = f""", co AS (SELECT neuron, neuron % 2 AS component, neuron % 3 AS mode, w AS x, -0.3 AS g, 0.1 * (neuron % 3) AS m, 0.2 * sin(neuron) AS l FROM {RATES_SQL}) """
+
+
+def coefficients(spark, sf_dir):
+    """A coefficient for each neuron with log scales in closed form: global, of its mode, and its own."""
+    p = F.col("neuron")
+    return rates(spark, sf_dir).select("neuron", F.pmod(p, F.lit(2)).alias("component"), F.pmod(p, F.lit(3)).alias("mode"), F.col("w").alias("x"), F.lit(-0.3).alias("g"), (0.1 * F.pmod(p, F.lit(3))).alias("m"), (0.2 * F.sin(p)).alias("l"))
+
+
+def named(columns: dict) -> list[Column]:
+    return [c.alias(n) for n, c in columns.items()]
+
+
+@query("prior_gaussian_gradient", COEF_SQL + "SELECT neuron, round(-0.5 * x * x * exp(-2 * l) - 0.5 * ln(2 * pi()) - l, 6) AS lp, round(-x * exp(-2 * l), 6) AS dx, round(x * x * exp(-2 * l) - 1, 6) AS dh FROM co")
+def prior_gaussian_gradient(spark, sf_dir):
+    return rounded(coefficients(spark, sf_dir).select("neuron", *named(dict(zip(("lp", "dx", "dh"), priors.gaussian_terms(F.col("x"), F.col("l")), strict=True)))))
+
+
+HALF_T_SQL = "(ln(2) + lgamma(2) - lgamma(1.5) - 0.5 * ln(3 * pi()) - ({s}) - 2 * ln(1 + exp(2 * (({x}) - ({s}))) / 3) + ({x}))"
+HALF_T_DX = "(1 - 4 / (1 + 3 * exp(-2 * (({x}) - ({s})))))"
+
+
+@query("prior_half_t_gradient", COEF_SQL + f"SELECT neuron, round({HALF_T_SQL.format(x='x', s='m')}, 6) AS lp, round({HALF_T_DX.format(x='x', s='m')}, 6) AS dx, round(-{HALF_T_DX.format(x='x', s='m')}, 6) AS ds FROM co")
+def prior_half_t_gradient(spark, sf_dir):
+    lp, dx, _, ds = priors.half_t_terms(F.col("x"), 3.0, F.col("m"))
+    return rounded(coefficients(spark, sf_dir).select("neuron", *named({"lp": lp, "dx": dx, "ds": ds})))
+
+
+@query("prior_inverse_gamma_gradient", COEF_SQL + "SELECT neuron, round(3 * ln(2) - lgamma(3) - 3 * x - 2 * exp(-x), 5) AS lp, round(2 * exp(-x) - 3, 5) AS dx FROM co")
+def prior_inverse_gamma_gradient(spark, sf_dir):
+    lp, dx, _ = priors.inverse_gamma_terms(F.col("x"), 3.0, 2.0)
+    return rounded(coefficients(spark, sf_dir).select("neuron", *named({"lp": lp, "dx": dx})), 5)
+
+
+@query("prior_inverse_gaussian", COEF_SQL + "SELECT neuron, round(0.5 * ln(2) - 0.5 * ln(2 * pi()) - 0.5 * x - (exp(x) - 1.5) * (exp(x) - 1.5) / (1.5 * 1.5 * exp(x)), 5) AS lp, round(-0.5 - exp(x) / 2.25 + exp(-x), 5) AS dx FROM co")
+def prior_inverse_gaussian(spark, sf_dir):
+    lp, dx, _ = priors.inverse_gaussian_terms(F.col("x"), 1.5, 2.0)
+    return rounded(coefficients(spark, sf_dir).select("neuron", *named({"lp": lp, "dx": dx})), 5)
+
+
+SD_SQL = "(g + m + l - 0.5 * ln(1 + exp(2 * (g + m + l - 0.4))))"
+
+
+@query("prior_horseshoe", COEF_SQL + f", hs AS (SELECT *, {SD_SQL} AS h, 1 / (1 + exp(-2 * (g + m + l - 0.4))) AS q FROM co) SELECT neuron, round(-0.5 * x * x * exp(-2 * h) - 0.5 * ln(2 * pi()) - h, 5) AS lp, round(-x * exp(-2 * h), 5) AS d_x, round((x * x * exp(-2 * h) - 1) * (1 - q), 5) AS d_local, round((x * x * exp(-2 * h) - 1) * q, 5) AS d_slab FROM hs")
+def prior_horseshoe(spark, sf_dir):
+    found = priors.horseshoe_terms(F.col("x"), F.col("g"), F.col("m"), F.col("l"), 0.4)
+    return rounded(coefficients(spark, sf_dir).select("neuron", *named({k: found[k] for k in ("lp", "d_x", "d_local", "d_slab")})), 5)
+
+
+@query("prior_horseshoe_rescaled", COEF_SQL + f", hs AS (SELECT *, {SD_SQL} AS h, 1 / (1 + exp(-2 * (g + m + l - 0.4))) AS q FROM co) SELECT neuron, round(x * exp(h), 6) AS x, round(exp(h), 6) AS by_z, round(x * exp(h) * (1 - q), 6) AS by_scale, round(x * exp(h) * q, 6) AS by_slab FROM hs")
+def prior_horseshoe_rescaled(spark, sf_dir):
+    """Non-centred draws brought to their natural scale, and the chain rule back."""
+    found = priors.rescaled(F.col("x"), F.col("g"), F.col("m"), F.col("l"), 0.4)
+    return rounded(coefficients(spark, sf_dir).select("neuron", *named(dict(zip(("x", "by_z", "by_scale", "by_slab"), found, strict=True)))))
+
+
+@query("prior_horseshoe_hierarchical", COEF_SQL + f"SELECT mode, round(sum({HALF_T_SQL.format(x='l', s='m')} + {HALF_T_SQL.format(x='m', s='g')}), 5) AS lp, round(sum({HALF_T_DX.format(x='l', s='m')}), 5) AS d_local, round(sum({HALF_T_DX.format(x='m', s='g')} - {HALF_T_DX.format(x='l', s='m')}), 5) AS d_mode, round(sum(-{HALF_T_DX.format(x='m', s='g')}), 5) AS d_global FROM co GROUP BY mode")
+def prior_horseshoe_hierarchical(spark, sf_dir):
+    found = priors.hierarchical_half_t(F.col("l"), F.col("m"), F.col("g"))
+    rows = coefficients(spark, sf_dir).select("mode", *named(found))
+    return rounded(priors.total(rows, ["mode"], list(found)), 5)
+
+
+@query("prior_scaled_gaussian", COEF_SQL + """, g1 AS (SELECT component, mode, count(*) AS n, sum(x * x) AS xx FROM co GROUP BY ALL), sc AS (SELECT 'all_group' AS structure, 0.2 AS h, * FROM g1 UNION ALL SELECT 'group', 0.2 + 0.1 * component, * FROM g1 UNION ALL SELECT 'std', 0.2 - 0.1 * mode, * FROM g1)
+SELECT structure, component, round(sum(-0.5 * xx * exp(-2 * h) - n * (0.5 * ln(2 * pi()) + h)), 4) AS lp, round(sum(xx * exp(-2 * h) - n), 4) AS d_h FROM sc GROUP BY ALL""")
+def prior_scaled_gaussian(spark, sf_dir):
+    """Variance structures: one scale for all, one for each component, one for each mode."""
+    own, out = coefficients(spark, sf_dir), None
+    for structure, key, h in (("all_group", [], F.lit(0.2)), ("group", ["component"], 0.2 + 0.1 * F.col("component")), ("std", ["mode"], 0.2 - 0.1 * F.col("mode"))):
+        scales = own.select(*key, h.alias("h")).distinct()
+        terms_ = priors.scaled_gaussian(own, scales, structure).withColumn("structure", F.lit(structure))
+        sums = priors.total(terms_, ["structure", "component"], ["lp", "d_h"])
+        out = sums if out is None else out.unionByName(sums)
+    return rounded(out, 4)
+
+
+@query("prior_fixed_variance", COEF_SQL + "SELECT mode, count(*) AS n, round(sum(-0.5 * x * x * exp(-0.5) - 0.5 * ln(2 * pi()) - 0.25), 5) AS lp, round(exp(0.5), 6) AS variance FROM co GROUP BY mode")
+def prior_fixed_variance(spark, sf_dir):
+    """A Gaussian of fixed scale on whole modes, with the modes' variance."""
+    rows = coefficients(spark, sf_dir).withColumn("lp", priors.gaussian(F.col("x"), 0.25))
+    return rows.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("lp"), 5).alias("lp"), F.round(F.lit(math.exp(0.5)), 6).alias("variance"))
+
+
+@query("prior_stimulus_gaussian", f""", cv AS (SELECT neuron, w AS a, w * cos(neuron) AS b FROM {RATES_SQL}) SELECT neuron, round(-0.5 * (1.25 * a * a - 2 * 0.5 * a * b + 1.0 * b * b) / (1.25 * 1.0 - 0.25) - ln(2 * pi()) - 0.5 * ln(1.25 * 1.0 - 0.25), 5) AS lp, round(-(1.25 * a - 0.5 * b), 5) AS d0, round(-(b - 0.5 * a), 5) AS d1 FROM cv""")
+def prior_stimulus_gaussian(spark, sf_dir):
+    """Correlated coefficients: N(0, S) with S = [[1, 0.5], [0.5, 1.25]]; its inverse root is applied in the row."""
+    cov = np.array([[1.0, 0.5], [0.5, 1.25]])
+    inverse, logdet = np.linalg.inv(cov), gmlm.log_det(cov)
+    x = [F.col("w"), F.col("w") * F.cos("neuron")]
+    pulled = [sum((float(inverse[i, j]) * x[j] for j in range(2)), F.lit(0.0)) for i in range(2)]
+    lp = -0.5 * (x[0] * pulled[0] + x[1] * pulled[1]) - math.log(2 * math.pi) - 0.5 * logdet
+    return rounded(rates(spark, sf_dir).select("neuron", lp.alias("lp"), (-pulled[0]).alias("d0"), (-pulled[1]).alias("d1")), 5)
+
+
+KERNEL_SQL = "(exp(2 * -0.2) * (1 + (exp(0.1) + 4) * x) * pow(1 - x, exp(0.1) + 4))"
+
+
+@query("prior_polar_kernel", f", dp AS (SELECT (neuron % 8) AS i, sum(y) AS y FROM bins GROUP BY 1), ang AS (SELECT a.i, b.i AS j, a.y AS ya, b.y AS yb, least(abs(a.i - b.i), 8 - abs(a.i - b.i)) / 4.0 AS x FROM dp a JOIN dp b ON true) SELECT i::INT AS direction, round(sum(yb * {KERNEL_SQL}), 4) AS smooth FROM ang GROUP BY 1")
+def prior_polar_kernel(spark, sf_dir):
+    """Counts by direction, smoothed with the polar kernel that the directions' prior has."""
+    angles = np.arange(8) * math.pi / 4
+    piece = stimulus.Piece("smooth", np.eye(8), np.arccos(np.clip(np.cos(angles[:, None] - angles), -1, 1)))
+    kernel, _ = stimulus.covariance([piece], np.array([-0.2, 0.1]))
+    by_direction = bins(spark, sf_dir).groupBy(design.direction().alias("d")).agg(F.sum("y").alias("y"))
+    parts = F.array(*(F.struct(F.lit(i).alias("direction"), (F.col("y") * model.gather(F.col("d"), kernel[i].tolist())).alias("v")) for i in range(8)))
+    return rounded(by_direction.select(F.explode(parts).alias("p")).groupBy("p.direction").agg(F.sum("p.v").alias("smooth")), 4)
+
+
 # ---- fits and sampling (iterative: checked by tests, without SQL)
 
 @query("glm_newton_fit")
@@ -608,8 +953,8 @@ def evidence_optimization(spark, sf_dir):
     return fits.evidence(timed(spark, sf_dir, 3), [F.lit(1.0), *regressors()], ["neuron"])
 
 
-@query("gmlm_alternating_fit")
-def gmlm_alternating_fit(spark, sf_dir):
+@query("gmlm_alternating_rank1")
+def gmlm_alternating_rank1(spark, sf_dir):
     rows = lin(spark, sf_dir).select(*TRIAL, "bin", "y", "x")
     events_ = both_events(spark, sf_dir)
     return fits.alternating_rank1(rows, events_, STEPS, 2 * DIRECTIONS)
