@@ -85,8 +85,8 @@ class WorkerCache(dict):
 _workers: dict = {}
 
 
-def per_worker(key, make, most: int = 4):
-    """``make()`` once for each Python worker and key; a worker holds the ``most`` last used ones."""
+def per_worker(key, make, most: int = 1):
+    """``make()`` once for each Python worker and key; a worker holds the ``most`` last used ones, so stages don't pile up their tools."""
     found = _workers.pop(key, None)
     if found is None:
         found = make()

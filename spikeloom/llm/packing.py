@@ -54,19 +54,18 @@ class WordTokenizer:
     space) is kept in a bounded memo. Texts with code points outside PLAIN or with added tokens go to the tokenizer as they are.
     """
 
-    def __init__(self, definition: str, memo: int = 500_000):
+    def __init__(self, definition: str, memo: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.own, self.plain = Tokenizer.from_str(definition), Tokenizer.from_str(definition)
-        self.plain.encode_special_tokens = True  # lower-casing a text must not make special tokens
+        self.own = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.model = self.own.model
         self.memo, self.chunks = WorkerCache(self.piece, memo), WorkerCache(self.whole, memo // 10)
 
     def whole(self, text: str, chunk: bool = True) -> bytes:
-        tool = self.plain if chunk else self.own
-        return array("I", tool.encode(text, add_special_tokens=False).ids).tobytes()
+        self.own.encode_special_tokens = chunk  # lower-casing a chunk must not make special tokens
+        return array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, text: str) -> bytes:
         own = text if text.isascii() else text.encode().decode("latin-1").translate(BYTES)

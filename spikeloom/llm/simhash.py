@@ -35,6 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -325,11 +326,18 @@ def jaccard(a: str | None, b: str | None, width: int) -> float:
 
 
 def fetched(links: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """(key, text) of the ends of links."""
+    """(key, text) of the ends of links, the text as compressed bytes: it is sent along with each link."""
     ends = links.select("a").union(links.select("b")).distinct().toDF("key")
     reps = groups.join(ends, "key").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_text"))
     texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_text")))
-    return cut(texts.groupBy("key").agg(F.any_value("text").alias("text")))
+    once = texts.groupBy("key").agg(F.any_value("text").alias("text"))
+
+    def run(batches):
+        tool = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tool.compress(x.as_py().encode()) for x in b.column(1)], pa.binary())], names=["key", "text"])
+
+    return cut(once.select("key", "text").mapInArrow(run, f"key {groups.schema['key'].dataType.simpleString()}, text binary"))
 
 
 def with_text(links: DataFrame, texts: DataFrame, end: str, to: str, most: int = 256) -> DataFrame:
@@ -341,18 +349,18 @@ def with_text(links: DataFrame, texts: DataFrame, end: str, to: str, most: int =
 
 
 def verified(links: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The links whose texts (key, text) have a Jaccard similarity of their shingle sets of at least ``least``."""
+    """The links whose texts (key, compressed text) have a Jaccard similarity of their shingle sets of at least ``least``."""
     kind = links.schema["a"].dataType.simpleString()
     pairs = with_text(with_text(links, texts, "a", "ta"), texts, "b", "tb")
 
     def run(batches):
-        sets: dict = {}
+        sets, tool = {}, zstandard.ZstdDecompressor()
 
         def of(key, text: pa.Scalar) -> set[int]:
             if key not in sets:
                 if len(sets) >= 64:
                     sets.clear()
-                sets[key] = shingle_set(text.as_py(), width)
+                sets[key] = shingle_set(tool.decompress(text.as_py()).decode(), width)
             return sets[key]
 
         for b in batches:
