@@ -689,27 +689,27 @@ def fit_table(spark, model, found):
 
 @query("gmlm_mle")
 def gmlm_mle(spark, sf_dir):
-    return fitted(spark, sf_dir, lambda model, start: fit_table(spark, model, model.fit([start], steps=30, tolerance=1e-5)[0]))
+    return fitted(spark, sf_dir, lambda model, start: fit_table(spark, model, model.fit([start], steps=150, tolerance=1e-7)[0]))
 
 
 @query("gmlm_map")
 def gmlm_map(spark, sf_dir):
     """From two starts side by side; the better one."""
     def work(model, start):
-        return fit_table(spark, model, max(model.fit([start, gmlm.random_params(model.spec, 2, mean=-1.0)], prior=True, steps=30, tolerance=1e-5), key=lambda f: f["value"]))
+        return fit_table(spark, model, max(model.fit([start, gmlm.random_params(model.spec, 2, mean=-1.0)], prior=True, steps=150, tolerance=1e-7), key=lambda f: f["value"]))
 
     return fitted(spark, sf_dir, work)
 
 
 @query("gmlm_alternating_fit")
 def gmlm_alternating_fit(spark, sf_dir):
-    return fitted(spark, sf_dir, lambda model, start: fit_table(spark, model, model.alternate(start, prior=True, sweeps=3, steps=8, tolerance=1e-4)))
+    return fitted(spark, sf_dir, lambda model, start: fit_table(spark, model, model.alternate(start, prior=True, sweeps=8, steps=8, tolerance=1e-5)))
 
 
 @query("gmlm_cv")
 def gmlm_cv(spark, sf_dir):
     """Held-out log likelihoods of trials; the fits of all folds go side by side."""
-    return fitted(spark, sf_dir, lambda model, start: cut_rows(spark, model.cross_validate(start, FOLDS, TRIAL, prior=True, steps=12, tolerance=1e-4)))
+    return fitted(spark, sf_dir, lambda model, start: cut_rows(spark, model.cross_validate(start, FOLDS, TRIAL, prior=True, steps=40, tolerance=1e-6)))
 
 
 def cut_rows(spark, df: DataFrame) -> DataFrame:
@@ -775,13 +775,13 @@ us AS (SELECT b.neuron, b.y, s.*, (b.bin - k) / (k1 - k) AS u FROM bins b JOIN s
 sp AS (SELECT neuron, i AS j, y * (2 * u * u * u - 3 * u * u + 1) AS v FROM hs UNION ALL SELECT neuron, i + 1, y * (3 * u * u - 2 * u * u * u) FROM hs
   UNION ALL SELECT neuron, i + g, y * g * 0.5 * h10 / ((k1 - kp) / CASE WHEN i = 4 THEN k1 - k ELSE 1 END) FROM hs CROSS JOIN (VALUES (1), (-1)) q(g) WHERE i > 0
   UNION ALL SELECT neuron, i + 1 + g, y * g * 0.5 * h11 / ((k2 - k) / CASE WHEN i = 0 THEN k1 - k ELSE 1 END) FROM hs CROSS JOIN (VALUES (1), (-1)) q(g) WHERE i < 4)
-SELECT neuron, j::INT AS j, round(sum(v), 6) AS s FROM sp GROUP BY ALL""")
+SELECT neuron, j::INT AS j, round(sum(v), 4) AS s FROM sp GROUP BY ALL""")
 def spline_basis_ends(spark, sf_dir):
     """Spline regressors with their flat ends: counts by bin first, then the basis."""
     basis = basis_sets.cardinal_spline(np.arange(trials.BINS, dtype=float), [-1.0, 3.0, 7.0, 12.0, 18.0, 24.0])
     by_bin = bins(spark, sf_dir).groupBy("neuron", "bin").agg(F.sum("y").alias("y"))
     parts = F.array(*(F.struct(F.lit(j).alias("j"), (F.col("y") * model.gather(F.col("bin"), column.tolist())).alias("v")) for j, column in enumerate(basis.T)))
-    return rounded(by_bin.select("neuron", F.explode(parts).alias("p")).groupBy("neuron", F.col("p.j").alias("j")).agg(F.sum("p.v").alias("s")))
+    return rounded(by_bin.select("neuron", F.explode(parts).alias("p")).groupBy("neuron", F.col("p.j").alias("j")).agg(F.sum("p.v").alias("s")), 4)
 
 
 @query("cosine_basis_set")
