@@ -23,11 +23,17 @@ def solve(hessian: np.ndarray, gradient: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(-hessian, gradient, rcond=None)[0]
 
 
-def newton(rows: DataFrame, regressors: list[Column], kind: str, ridge: float = 0.0, steps: int = 8, tolerance: float = 1e-8) -> DataFrame:
-    """(parameter, estimate, se) of one model for all rows: a job per step, at most regressors^2 numbers each."""
+def distinct_rows(rows: DataFrame, regressors: list[Column], keys: list[str] = ()) -> DataFrame:
+    """Distinct (keys, y, r0, r1, ...) with their number n, so equal bins count once; counted before the shuffle."""
+    names = [f"r{i}" for i in range(len(regressors))]
+    return rows.select(*keys, F.col("y").cast("double").alias("y"), *(r.cast("double").alias(n) for r, n in zip(regressors, names, strict=True))).groupBy(*keys, "y", *names).agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+def newton(rows: DataFrame, regressors: list[Column], kind: str, ridge: float = 0.0, steps: int = 50, tolerance: float = 1e-8) -> DataFrame:
+    """(parameter, estimate, se, converged) of one model for all rows: a job per step, at most regressors^2 numbers each."""
     n = len(regressors)
-    data = rows.select(F.col("y"), *(r.cast("double").alias(f"r{i}") for i, r in enumerate(regressors))).groupBy("y", *(f"r{i}" for i in range(n))).agg(F.count(F.lit(1)).alias("n")).persist()
-    at, w = [F.col(f"r{i}") for i in range(n)], np.zeros(n)
+    data = distinct_rows(rows, regressors).persist()
+    at, w, converged = [F.col(f"r{i}") for i in range(n)], np.zeros(n), False
     try:
         for _ in range(steps):
             _, dll, d2ll = terms(kind, model.linear(at, w.tolist()), F.col("y"))
@@ -38,17 +44,17 @@ def newton(rows: DataFrame, regressors: list[Column], kind: str, ridge: float =
             move = solve(hessian, gradient)
             w = w + np.clip(move, -2, 2)
             if np.abs(move).max() < tolerance:
+                converged = True
                 break
         se = np.sqrt(np.maximum(0.0, np.diag(np.linalg.pinv(-hessian))))
     finally:
         data.unpersist()
-    return rows.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(w, se, strict=True))], "parameter int, estimate double, se double")
+    return rows.sparkSession.createDataFrame([(i, float(a), float(b), converged) for i, (a, b) in enumerate(zip(w, se, strict=True))], "parameter int, estimate double, se double, converged boolean")
 
 
 def unit_rows(rows: DataFrame, regressors: list[Column], keys: list[str]) -> DataFrame:
     """Distinct (unit, y, regressors) with their number; counted before the shuffle."""
-    names = [f"r{i}" for i in range(len(regressors))]
-    return rows.where("y >= 0").select(*keys, "y", *(r.cast("double").alias(n) for r, n in zip(regressors, names, strict=True))).groupBy(*keys, "y", *names).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return distinct_rows(rows.where("y >= 0"), regressors, keys)
 
 
 def poisson(w: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, precision: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
@@ -96,19 +102,51 @@ def unit_fits(rows: DataFrame, regressors: list[Column], keys: list[str], precis
     return _per_unit(rows, regressors, keys, fit, "parameter bigint, estimate double, log_post double")
 
 
-def cross_validate(rows: DataFrame, regressors: list[Column], fold: str, folds: int, precision: float = 1e-3) -> DataFrame:
-    """(held, train_ll, test_ll): each fold is left out once; all fits run in one job. Rows with a null fold take no part."""
-    names = [f"r{i}" for i in range(len(regressors))]
-    own = unit_rows(rows.where(F.col(fold).isNotNull()), regressors, [fold])
-    spread = own.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+def cross_validate(rows: DataFrame, regressors: list[Column], fold: str, folds: int, precision: float = 1e-3, steps: int = 50, tolerance: float = 1e-10) -> DataFrame:
+    """(held, train_ll, test_ll, converged): each fold is left out once. Rows with a null fold take no part.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, x, y, n = int(pdf["held"].iloc[0]), pdf[names].to_numpy(), pdf["y"].to_numpy(), pdf["n"].to_numpy()
-        test = (pdf[fold] == held).to_numpy()
-        w, ll, _ = maximum(x[~test], y[~test], n[~test], precision)
-        return pd.DataFrame({"held": [held], "train_ll": [ll], "test_ll": [poisson(w, x[test], y[test], n[test])[0]]})
+    All fits go side by side: a step is one job that sums every fit's gradient and curvature over the rows of the other folds, where they lie. Log
+    posteriors are those of ``poisson``.
+    """
+    k = len(regressors)
+    data = distinct_rows(rows.where(F.col(fold).isNotNull() & (F.col("y") >= 0)), regressors, [fold]).persist()
+    at, n, y = [F.col(f"r{i}") for i in range(k)], F.col("n"), F.col("y")
+    w, open_, scale = np.zeros((folds, k)), set(range(folds)), np.ones(folds)
+    last, moves, converged = np.full(folds, -np.inf), np.zeros((folds, k)), np.zeros(folds, bool)
+
+    def sums_of(fits: list[int], more: bool) -> np.ndarray:
+        columns = []
+        for h in fits:
+            z = F.least(F.lit(90.0), F.greatest(F.lit(-90.0), model.linear(at, w[h].tolist())))
+            ll, r, out = n * (y * z - F.exp(z)), n * F.exp(z), F.col(fold) != h
+            columns += [F.sum(F.when(out, ll)), F.sum(F.when(~out, ll))]
+            if more:
+                columns += [F.sum(F.when(out, (n * y - r) * a)) for a in at] + [F.sum(F.when(out, r * at[i] * at[j])) for i in range(k) for j in range(k)]
+        return np.array([v or 0.0 for v in data.agg(*columns).first()]).reshape(len(fits), -1)
 
-    return spread.groupBy("held").applyInPandas(run, "held bigint, train_ll double, test_ll double")
+    try:
+        for _ in range(steps):
+            fits = sorted(open_)
+            if not fits:
+                break
+            for h, s in zip(fits, sums_of(fits, True), strict=True):
+                post = s[0] - 0.5 * precision * w[h] @ w[h]
+                if post < last[h] - 1e-9 * (1 + abs(last[h])):  # too far: back half of the way
+                    scale[h] /= 2
+                    w[h] -= scale[h] * moves[h]
+                    continue
+                if post - last[h] < tolerance * (1 + abs(post)):
+                    open_.discard(h)
+                    converged[h] = True
+                last[h], scale[h] = post, 1.0
+                moves[h] = solve(-s[2 + k :].reshape(k, k) - precision * np.eye(k), s[2 : 2 + k] - precision * w[h])
+                if h in open_:
+                    w[h] = w[h] + moves[h]
+        found = sums_of(list(range(folds)), False)
+    finally:
+        data.unpersist()
+    out = [(h, float(found[h, 0] - 0.5 * precision * w[h] @ w[h]), float(found[h, 1]), bool(converged[h])) for h in range(folds)]
+    return rows.sparkSession.createDataFrame(out, "held bigint, train_ll double, test_ll double, converged boolean")
 
 
 def evidence(rows: DataFrame, regressors: list[Column], keys: list[str], grid: int = 13) -> DataFrame:
@@ -178,19 +216,20 @@ def hmc(rows: DataFrame, regressors: list[Column], keys: list[str], warmup: int
     return _per_unit(rows, regressors, keys, fit, "iter bigint, parameter bigint, value double, accepted boolean")
 
 
-def alternating_rank1(rows: DataFrame, events: DataFrame, times: int, features: int, sweeps: int = 3, ridge: float = 1.0) -> DataFrame:
-    """(mode, ix, value): rank-one tensor group t[ix] u[feature] on top of the log rate x, by alternating Poisson Newton steps.
+def alternating_rank1(rows: DataFrame, events: DataFrame, times: int, features: int, sweeps: int = 30, ridge: float = 1.0, tolerance: float = 1e-4) -> DataFrame:
+    """(mode, ix, value, converged): rank-one tensor group t[ix] u[feature] on top of the log rate x, by alternating Poisson Newton steps.
 
     Each conditional model is a GLM with a one-hot regressor, whose gradient and diagonal curvature are sums by index; a job for
-    each half step. After each sweep the magnitude is spread evenly over both modes.
+    each half step. After each sweep the magnitude is spread evenly over both modes. Ends when no value moves by more than ``tolerance``.
     """
     keys = ["neuron", "trial", "bin"]
     own = events.where("ix >= 0").select(*keys, "ix", "feature")
-    joined = rows.join(own.groupBy(*keys).agg(F.collect_list(F.struct("ix", "feature")).alias("e")), keys)
-    data = joined.groupBy(F.round("x", 3).alias("x"), "y", "e").agg(F.count(F.lit(1)).alias("n")).persist()  # equal bins count once
-    modes = {"ix": np.full(times, 0.1), "feature": np.full(features, 0.1)}
+    joined = rows.join(own.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ix", "feature"))).alias("e")), keys)
+    data = joined.groupBy("x", "y", "e").agg(F.count(F.lit(1)).alias("n")).persist()  # equal bins count once
+    modes, converged = {"ix": np.full(times, 0.1), "feature": np.full(features, 0.1)}, False
     try:
         for _ in range(sweeps):
+            before = {m: v.copy() for m, v in modes.items()}
             for mine, other in (("ix", "feature"), ("feature", "ix")):
                 def value(m, i):
                     return F.get(F.array(*(F.lit(float(v)) for v in modes[m])), i)
@@ -205,7 +244,10 @@ def alternating_rank1(rows: DataFrame, events: DataFrame, times: int, features:
             if a > 0 and b > 0:
                 modes["ix"] *= np.sqrt(b / a)
                 modes["feature"] *= np.sqrt(a / b)
+            if max(np.abs(modes[m] - before[m]).max() for m in modes) < tolerance:
+                converged = True
+                break
     finally:
         data.unpersist()
-    found = [(m, i, float(v)) for m, values in modes.items() for i, v in enumerate(values)]
-    return rows.sparkSession.createDataFrame(found, "mode string, ix int, value double")
+    found = [(m, i, float(v), converged) for m, values in modes.items() for i, v in enumerate(values)]
+    return rows.sparkSession.createDataFrame(found, "mode string, ix int, value double, converged boolean")

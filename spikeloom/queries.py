@@ -7,6 +7,7 @@ a daily cosine for the linear part; T[t,r] = cos((t+1)(r+1))/4, U[d,r] = sin(d+1
 
 from __future__ import annotations
 
+import dataclasses
 import math
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import Window as W
 from spikeloom.functions import bases, basis_sets, likelihood, priors, stimulus
 from spikeloom.functions.likelihood import LIKELIHOODS
 from spikeloom.operators import builders, design, model
-from spikeloom.plans import compare, fits, gmlm, horseshoe
+from spikeloom.plans import compare, fits, gmlm, horseshoe, sampler
 from spikeloom.sources import trials
 
 TRIAL = ["neuron", "trial"]
@@ -543,7 +544,8 @@ def psis_tail_select(spark, sf_dir):
 
 @query("draw_variance_mass", DRAW_SQL + "SELECT neuron, trial, round(1 / var_samp(ll), 6) AS mass FROM dr GROUP BY ALL")
 def draw_variance_mass(spark, sf_dir):
-    return rounded(draws(spark, sf_dir).groupBy(*TRIAL).agg((1 / F.var_samp("ll")).alias("mass")))
+    """Null for draws without any spread."""
+    return rounded(draws(spark, sf_dir).groupBy(*TRIAL).agg(F.try_divide(F.lit(1.0), F.var_samp("ll")).alias("mass")))
 
 
 @query("posterior_quantiles", DRAW_SQL + "SELECT neuron, round(quantile_cont(ll, 0.025), 6) AS q0, round(quantile_cont(ll, 0.5), 6) AS q1, round(quantile_cont(ll, 0.975), 6) AS q2 FROM dr GROUP BY 1")
@@ -572,11 +574,15 @@ def acceptance_trailing(spark, sf_dir):
     return rounded(bins(spark, sf_dir).select(*TRIAL, "bin", F.avg(F.when(F.col("y") > 0, 1.0).otherwise(0.0)).over(last).alias("rate")))
 
 
+def sse_posterior(spark, sf_dir):
+    error = F.col("y") - F.col("x")
+    return lin(spark, sf_dir).groupBy("neuron").agg((2 + F.count(F.lit(1)) / 2.0).alias("shape"), (1 + 0.5 * F.sum(error * error)).alias("rate"))
+
+
 @query("sse_precision_posterior", "SELECT neuron, round(2 + count(*) / 2.0, 6) AS shape, round(1 + 0.5 * sum((y - x) * (y - x)), 6) AS rate FROM lin GROUP BY 1")
 def sse_precision_posterior(spark, sf_dir):
     """Gamma posterior of each neuron's noise precision under a Gamma(2, 1) prior."""
-    error = F.col("y") - F.col("x")
-    return rounded(lin(spark, sf_dir).groupBy("neuron").agg((2 + F.count(F.lit(1)) / 2.0).alias("shape"), (1 + 0.5 * F.sum(error * error)).alias("rate")))
+    return rounded(sse_posterior(spark, sf_dir))
 
 
 @query("param_combinations", ", u AS (SELECT DISTINCT neuron FROM ev) SELECT neuron, a.a::INT AS a, b.b::INT AS b FROM u CROSS JOIN range(3) a(a) CROSS JOIN range(2) b(b)")
@@ -689,14 +695,14 @@ def fit_table(spark, model, found):
 
 @query("gmlm_mle")
 def gmlm_mle(spark, sf_dir):
-    return fitted(spark, sf_dir, lambda model, start: fit_table(spark, model, model.fit([start], steps=150, tolerance=1e-7)[0]))
+    return fitted(spark, sf_dir, lambda model, start: fit_table(spark, model, model.fit([start], steps=300)[0]))
 
 
 @query("gmlm_map")
 def gmlm_map(spark, sf_dir):
     """From two starts side by side; the better one."""
     def work(model, start):
-        return fit_table(spark, model, max(model.fit([start, gmlm.random_params(model.spec, 2, mean=-1.0)], prior=True, steps=150, tolerance=1e-7), key=lambda f: f["value"]))
+        return fit_table(spark, model, max(model.fit([start, gmlm.random_params(model.spec, 2, mean=-1.0)], prior=True, steps=300), key=lambda f: f["value"]))
 
     return fitted(spark, sf_dir, work)
 
@@ -709,7 +715,7 @@ def gmlm_alternating_fit(spark, sf_dir):
 @query("gmlm_cv")
 def gmlm_cv(spark, sf_dir):
     """Held-out log likelihoods of trials; the fits of all folds go side by side."""
-    return fitted(spark, sf_dir, lambda model, start: cut_rows(spark, model.cross_validate(start, FOLDS, TRIAL, prior=True, steps=40, tolerance=1e-6)))
+    return fitted(spark, sf_dir, lambda model, start: cut_rows(spark, model.cross_validate(start, FOLDS, TRIAL, prior=True, steps=60, tolerance=1e-5)))
 
 
 def cut_rows(spark, df: DataFrame) -> DataFrame:
@@ -717,6 +723,56 @@ def cut_rows(spark, df: DataFrame) -> DataFrame:
     return df.persist() if df.count() >= 0 else df
 
 
+def sampled(spark, sf_dir) -> dict[str, DataFrame]:
+    """Two chains of the general model under a regularized horseshoe, with scaling steps; a short run, cut into two blocks and gone on with."""
+    rows, spec, params = general(spark, sf_dir)
+    size = horseshoe.Scales(spec, spec.groups[0]).size
+    spec = dataclasses.replace(spec, hyper=size)
+    scales = horseshoe.Scales(spec, spec.groups[0])
+    priors_ = [scales.prior, gmlm.gaussian_prior({"W": 0.0, "B": 0.0})]
+    model = gmlm.Model(rows, spec, priors_, horseshoe.chain([scales]))
+    starts = [gmlm.random_params(spec, k) | {"W": params["W"], "B": params["B"], "H": scales.draw(np.random.default_rng(k))} for k in range(2)]
+    own = sampler.settings(6, 4, schedule=[(1, 6)], mass=[], block=5, first_step=0.005, least_step=0.005, length=0.02, most_steps=4)
+    try:
+        return sampler.sample(model, starts, own, trials.shared_folder(spark, "chains"), TRIAL, [sampler.scaling_step(spec, 0, priors_)])
+    finally:
+        model.close()
+
+
+@query("gmlm_sampler_draws")
+def gmlm_sampler_draws(spark, sf_dir):
+    """Draws of all parameters, scaled and natural, as the sink holds them."""
+    return sampled(spark, sf_dir)["draws"]
+
+
+@query("gmlm_sampler_trial_ll")
+def gmlm_sampler_trial_ll(spark, sf_dir):
+    """The sink of trial log likelihoods under the draws after the warm-up."""
+    return sampled(spark, sf_dir)["trial_ll"]
+
+
+@query("noise_precision_draws")
+def noise_precision_draws(spark, sf_dir):
+    """Conjugate draws of each neuron's noise precision."""
+    rows = sse_posterior(spark, sf_dir)
+    return sampler.unit_draws(rows, ["neuron"], ["shape", "rate"], 20, lambda rng, shape, rate: np.array([rng.gamma(shape, 1 / rate)]), ["precision"])
+
+
+@query("gig_draws")
+def gig_draws(spark, sf_dir):
+    """Generalized inverse Gaussian draws of a variance for each neuron: p from its bins, a = 1, b from its squared errors."""
+    rows = sse_posterior(spark, sf_dir).select("neuron", (1.0 - F.col("shape")).alias("p"), F.lit(1.0).alias("a"), (2 * F.col("rate")).alias("b"))
+    return sampler.unit_draws(rows, ["neuron"], ["p", "a", "b"], 20, lambda rng, p, a, b: np.array([sampler.generalized_inverse_gaussian(rng, p, a, b)]), ["variance"])
+
+
+@query("dirichlet_draws")
+def dirichlet_draws(spark, sf_dir):
+    """Shares of event types by neuron, under a uniform prior."""
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    counted = trials.event_bins(events(spark, sf_dir)).groupBy("neuron").agg(*((1 + F.count_if(F.col("event_type") == k)).alias(k) for k in kinds))
+    return sampler.unit_draws(counted, ["neuron"], kinds, 10, lambda rng, *n: sampler.dirichlet(rng, np.array(n)), [f"share_{k}" for k in kinds])
+
+
 # ---- builders and bases
 
 STIM, RESPONSE, HISTORY = builders.cosine_table(STEPS, 2), builders.cosine_table(6, 2, -2), np.array([[math.cos(j), math.sin(j)] for j in (1, 2, 3)])

@@ -6,6 +6,10 @@ events are filled with 0.
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that ``spark.checkpoint.dir`` names for the cluster; a session of one process may do without and gets a temporary one."""
+    top = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="spikeloom-")
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
 def event_bins(events: DataFrame) -> DataFrame:
     """neuron, trial (date text), bin, event_type, value of each event."""
     return events.select(F.col("user_id").alias("neuron"), F.date_format("ts", "yyyy-MM-dd").alias("trial"), F.hour("ts").alias("bin"), "event_type", "value")

@@ -2,6 +2,10 @@
 
 import math
 import os
+import re
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -41,9 +45,14 @@ def test_against_sql(spark, tables, name):
         assert all(x == pytest.approx(y, abs=2e-6) if isinstance(x, float) else x == y for x, y in zip(a, b, strict=True)), (a, b)
 
 
-def test_registry_works_without_the_optional_part():
+def test_registry_works_without_the_optional_part(tmp_path):
     root = Path(__spark_entry__.__file__).parent
-    assert not [p for p in (root / "spikeloom").rglob("*.py") if "llm" not in p.parts and "llm" in p.read_text()]
+    shutil.copytree(root / "spikeloom", tmp_path / "spikeloom", ignore=lambda d, names: [n for n in names if n in ("llm", "__pycache__")])
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; from spikeloom import queries as q; assert set(e.queries()) == set(q.QUERIES) and set(e.oracle_sql()) == set(q.SQL); print('whole')"
+    alone = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert "whole" in alone.stdout, alone.stderr
+    assert not [p for p in (root / "spikeloom").rglob("*.py") if "llm" not in p.parts and re.search(r"\bllm\b", p.read_text())]
     assert set(queries.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
@@ -104,7 +113,7 @@ def test_folds_are_not_leaked(spark):
     for k in range(3):
         train, test = held[held["fold"] != k], held[held["fold"] == k]
         w, ll, _ = fits.maximum(design_of(train), train["y"].to_numpy(), np.ones(len(train)))
-        assert got[k]["train_ll"] == pytest.approx(ll) and got[k]["test_ll"] == pytest.approx(fits.poisson(w, design_of(test), test["y"].to_numpy(), np.ones(len(test)))[0])
+        assert got[k]["converged"] and got[k]["train_ll"] == pytest.approx(ll) and got[k]["test_ll"] == pytest.approx(fits.poisson(w, design_of(test), test["y"].to_numpy(), np.ones(len(test)))[0])
 
 
 def test_sampler_finds_a_known_posterior(spark):
@@ -126,6 +135,17 @@ def test_alternating_fit_raises_the_likelihood(spark):
     assert ll(pdf["x"] + pdf["v"]) > ll(pdf["x"])
 
 
+def test_registered_samples(spark):
+    draws = queries.QUERIES["gmlm_sampler_draws"](spark, SF).toPandas()
+    assert set(draws["iter"]) == set(range(1, 11)) and set(draws["chain"]) == {0, 1} and np.isfinite(draws["natural"]).all()
+    assert np.allclose(draws.loc[draws["block"] == "W", "value"], draws.loc[draws["block"] == "W", "natural"])
+    gig = queries.QUERIES["gig_draws"](spark, SF).toPandas().groupby("neuron")["variance"].mean()
+    want = queries.QUERIES["sse_precision_posterior"](spark, SF).toPandas().set_index("neuron")
+    assert np.allclose(gig, (want["rate"] / (want["shape"] - 2))[gig.index], rtol=0.2)
+    shares = queries.QUERIES["dirichlet_draws"](spark, SF).toPandas()
+    assert np.allclose(shares.filter(like="share_").sum(axis=1), 1.0)
+
+
 def test_psis_on_a_conjugate_model():
     rng = np.random.default_rng(1)
     y = rng.normal(0, 1, 30)
