@@ -385,7 +385,7 @@ def test_mixing_is_a_distribution(spark):
     for (edge, word), key, _, zeros, ones in context_mixing.edges(every, np.array([vocabulary[w] for w in every]), {}):
         cost = context_mixing.bits_of(key, zeros, ones, model.tables, model.weights, model.refined, model.bits)
         for e, w in zip(np.asarray(edge).tolist(), np.asarray(word).tolist(), strict=True):
-            if int(key[e]) >> 8 & 0xFFFF == int.from_bytes(b"qu", "big") and int(key[e]) >> 24 & 0xFFFF == 0x2020:
+            if int(key[e]) >> 8 & 0xFFFF == int.from_bytes(b"qu", "big") and int(key[e]) >> 24 & 0xFF == 0x20:
                 share[int(key[e]) & 255] = 2.0 ** -cost[e]
     assert len(share) == 224 and 0.9 < sum(share.values()) <= 1.0 and len(c) == 224
 
