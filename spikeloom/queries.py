@@ -592,6 +592,26 @@ def param_combinations(spark, sf_dir):
     return units.select("neuron", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i")).select("neuron", (F.col("i") % 3).cast("int").alias("a"), F.floor(F.col("i") / 3).cast("int").alias("b"))
 
 
+@query("dataset_rules", "SELECT 0::BIGINT AS null_key, sum((y IS NULL OR isnan(y))::INT)::BIGINT AS bad_y, sum((y <> floor(y))::INT)::BIGINT AS fraction, (SELECT count(*) FROM (SELECT neuron, trial FROM bins GROUP BY ALL HAVING count(*) FILTER (y >= 0) = 0)) AS unobserved, (count(*) - count(DISTINCT (neuron, trial, bin)))::BIGINT AS repeated FROM bins")
+def dataset_rules(spark, sf_dir):
+    """Numbers of rows that break the rules of a model's data set."""
+    found = trials.check(bins(spark, sf_dir))
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} bigint" for k in found))
+
+
+@query("incidence", """, off AS (SELECT neuron, trial, sum(n) OVER (PARTITION BY neuron ORDER BY trial) - n AS first FROM (SELECT neuron, trial, count(*) AS n FROM bins GROUP BY ALL)) SELECT neuron, ix, (first + bin)::BIGINT AS observation, event FROM eu JOIN off USING (neuron, trial) WHERE ix >= 0""")
+def incidence(spark, sf_dir):
+    """The sparse matrix of a shared factor: for each index the observations (numbered within the neuron) that have it."""
+    return both_events(spark, sf_dir).where("ix >= 0").join(trial_offsets(spark, sf_dir), TRIAL).select("neuron", "ix", (F.col("first") + F.col("bin")).alias("observation"), "event")
+
+
+@query("ll_sq_err_linear", "SELECT neuron, trial, round(sum(-(x - y) * (x - y)), 6) AS ll, round(sum(2 * (y - x)), 6) AS dll FROM lin GROUP BY ALL")
+def ll_sq_err_linear(spark, sf_dir):
+    """Squared errors by the linear models' convention, without the half."""
+    ll, dll, _ = likelihood.terms("sq_err", F.col("x"), F.col("y"), scale=1.0)
+    return rounded(lin(spark, sf_dir).groupBy(*TRIAL).agg(F.sum(ll).alias("ll"), F.sum(dll).alias("dll")))
+
+
 # ---- the general model
 
 def closed_form(spec: gmlm.Spec, ids: list[int]) -> gmlm.Params:
@@ -773,6 +793,14 @@ def dirichlet_draws(spark, sf_dir):
     return sampler.unit_draws(counted, ["neuron"], kinds, 10, lambda rng, *n: sampler.dirichlet(rng, np.array(n)), [f"share_{k}" for k in kinds])
 
 
+@query("tensor_loadings")
+def tensor_loadings(spark, sf_dir):
+    """Higher-order singular vectors of the group's tensor, by axis (0: neurons, then the modes)."""
+    _, spec, params = general(spark, sf_dir)
+    rows = [(axis, i, r, float(u[i, r]), float(values[r])) for axis, (u, values) in enumerate(gmlm.loadings(spec, params, 0)) for i, r in np.ndindex(u.shape)]
+    return spark.createDataFrame(rows, "axis int, row int, component int, loading double, singular_value double")
+
+
 # ---- builders and bases
 
 STIM, RESPONSE, HISTORY = builders.cosine_table(STEPS, 2), builders.cosine_table(6, 2, -2), np.array([[math.cos(j), math.sin(j)] for j in (1, 2, 3)])
@@ -1009,6 +1037,24 @@ def evidence_optimization(spark, sf_dir):
     return fits.evidence(timed(spark, sf_dir, 3), [F.lit(1.0), *regressors()], ["neuron"])
 
 
+@query("evidence_by_group")
+def evidence_by_group(spark, sf_dir):
+    """Log standard deviations of the constant, history and cosine weights with the greatest Laplace evidence."""
+    own = fits.Evidence(timed(spark, sf_dir, 3), [F.lit(1.0), *regressors()], fits.group_covariance([1, 2, 1]))
+    try:
+        found = own.maximum(np.zeros(3), steps=40)
+    finally:
+        own.close()
+    return spark.createDataFrame([(i, float(h), found["value"], found["converged"]) for i, h in enumerate(found["h"])], "hyperparameter int, h double, log_evidence double, converged boolean")
+
+
+@query("evidence_cv")
+def evidence_cv(spark, sf_dir):
+    rows = timed(spark, sf_dir, 3).withColumn("fold", F.pmod(F.col("neuron") + F.dayofmonth(F.to_date("trial")), F.lit(FOLDS)))
+    found = fits.evidence_cross_validated(rows, [F.lit(1.0), *regressors()], fits.group_covariance([1, 3]), np.zeros(2), "fold", FOLDS, steps=20)
+    return spark.createDataFrame([(f["held"], f["value"], f["test_ll"], f["converged"]) for f in found], "held int, log_evidence double, test_ll double, converged boolean")
+
+
 @query("gmlm_alternating_rank1")
 def gmlm_alternating_rank1(spark, sf_dir):
     rows = lin(spark, sf_dir).select(*TRIAL, "bin", "y", "x")

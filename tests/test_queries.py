@@ -116,6 +116,31 @@ def test_folds_are_not_leaked(spark):
         assert got[k]["converged"] and got[k]["train_ll"] == pytest.approx(ll) and got[k]["test_ll"] == pytest.approx(fits.poisson(w, design_of(test), test["y"].to_numpy(), np.ones(len(test)))[0])
 
 
+def test_evidence_and_its_gradient(spark):
+    rows = timed_rows(spark)
+    own = fits.Evidence(rows, [F.lit(1.0), *queries.regressors()], fits.group_covariance([1, 2, 1]))
+    h, step = np.array([0.3, -1.0, -0.5]), 1e-4
+    value, grad = own.value(h)
+    for i in range(3):
+        up, down = (own.value(h + s * step * (np.arange(3) == i))[0] for s in (1, -1))
+        assert grad[i] == pytest.approx((up - down) / (2 * step), rel=1e-4, abs=1e-5)
+    found = own.maximum(h, steps=40)
+    assert found["converged"] and found["value"] >= value and np.abs(own.value(found["h"])[1]).max() < 0.1
+    own.close()
+
+
+def timed_rows(spark):
+    return queries.timed(spark, SF, 3)
+
+
+def test_evidence_of_folds_is_not_leaked(spark):
+    rows = timed_rows(spark).withColumn("fold", F.pmod(F.xxhash64("neuron", "trial"), F.lit(2)))
+    args = ([F.lit(1.0), *queries.regressors()], fits.group_covariance([1, 3]), np.zeros(2), "fold", 2)
+    one = fits.evidence_cross_validated(rows, *args, steps=6)
+    other = fits.evidence_cross_validated(rows.withColumn("y", F.when(F.col("fold") == 0, F.col("y") + 3).otherwise(F.col("y"))), *args, steps=6)
+    assert np.allclose(one[0]["w"], other[0]["w"]) and one[0]["value"] == pytest.approx(other[0]["value"]) and one[0]["test_ll"] != other[0]["test_ll"]
+
+
 def test_sampler_finds_a_known_posterior(spark):
     rows = spark.createDataFrame([(1, float(y)) for y in np.random.default_rng(0).poisson(3.0, 400)], "neuron int, y double")
     draws = fits.hmc(rows, [F.lit(1.0)], ["neuron"], warmup=200, keep=600, precision=1e-3).toPandas()
