@@ -80,3 +80,33 @@ def test_pack_keeps_token_ids(spark):
     rows = [(1, "one two three " * 2000, "en", "s", 1), (None, None, None, None, None), (2, "a b", "en", "s", 3), (2, "a b", "en", "s", 3)]
     found = corpus_pipeline.pack(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
     assert len(found) > 4 and all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in found)
+
+
+def test_recall_of_near_pairs(spark):
+    """Over a thousand pairs of a similarity from 0.8 up, nearly all are joined, and nothing else is."""
+    rng = np.random.default_rng(9)
+    rows, near, apart = [], [], []
+    for i in range(1600):
+        w = [f"w{x}" for x in rng.integers(0, 9000, rng.integers(60, 200))]
+        c = list(w)
+        for at in rng.choice(len(c), rng.integers(1, 4), replace=False).tolist():
+            c[at] = f"v{i}"
+        rows += [(i, " ".join(w)), (10_000 + i, " ".join(c))]
+        (near if simhash.jaccard(rows[-2][1], rows[-1][1], 5) >= 0.8 else apart).append(i)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(near) > 1000 and len(apart) > 50
+    assert sum(found[10_000 + i] == i for i in near) >= 0.99 * len(near) and all(found[10_000 + i] == 10_000 + i for i in apart)
+
+
+def test_groups_of_a_crowded_shard_are_bounded(spark):
+    rng = np.random.default_rng(10)
+    rows = [(k, int(a), int(b), int(s)) for k, (a, b, s) in enumerate(zip(rng.integers(-(1 << 62), 1 << 62, 3000), rng.integers(-(1 << 62), 1 << 62, 3000), rng.integers(95, 105, 3000)))]
+    spread = simhash.deal_out(spark.createDataFrame(rows, "key bigint, f0 bigint, f1 bigint, size bigint"), 36, 2, block=200, size_ratio=0.8).toPandas()
+    sizes = spread.groupby(["shard", "low", "high"]).size()
+    assert sizes.max() <= 2 * 200 * 1.5 and len(sizes) > 100  # hashed blocks are even but for chance
+    pairs = set()
+    for _, g in spread.groupby(["shard", "low", "high"]):
+        a, b = g[g["own"] == g["low"].iloc[0]], g[g["own"] == g["high"].iloc[0]]
+        pairs |= {(x, y) for x, h in zip(a["key"], a["home"]) for y, k in zip(b["key"], b["home"]) if h or k}
+    keys = spread["key"].unique()
+    assert all((x, y) in pairs or (y, x) in pairs for x in keys[:60] for y in keys[:60] if x < y)
