@@ -44,8 +44,16 @@ from spikeloom.llm.common import cut, join_unique
 from spikeloom.llm.components import components
 
 
+def mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Further 64 bits of hashes, by the finalizer of SplitMix64."""
+    z = h + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def shingle_hashes(text: str | None, width: int, seeds: tuple[int, ...]) -> np.ndarray:
-    """[shingles, seeds] XXH64 of the space-joined shingles, repeats included."""
+    """[shingles, seeds]: XXH64 of the space-joined shingles, repeats included, with the first seed; the others mix it further."""
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros((0, len(seeds)), np.uint64)
@@ -54,9 +62,10 @@ def shingle_hashes(text: str | None, width: int, seeds: tuple[int, ...]) -> np.n
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     k = min(width, len(words))
-    at = list(zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True))
-    digest = xxhash.xxh64_intdigest
-    return np.stack([np.fromiter((digest(joined[s:e], seed) for s, e in at), np.uint64, len(at)) for seed in seeds], axis=1)
+    at = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
+    digest, first = xxhash.xxh64_intdigest, seeds[0]
+    h = np.fromiter((digest(joined[s:e], first) for s, e in at), np.uint64, len(words) - k + 1)
+    return np.stack([h, *(mixed(h, seed) for seed in seeds[1:])], axis=1)
 
 
 def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> tuple[list[int], int, int]:
@@ -373,7 +382,7 @@ def verified(links: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 36, seeds: tuple[int, ...] = (42, 43), size_ratio: float | None = 0.8, least: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 46, seeds: tuple[int, ...] = (42, 43, 44), size_ratio: float | None = 0.8, least: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, text_key, f0, f1, ... (the fingerprint's words), n_shingles, component (a key, never null), component_id (its least id).
 
     With ``least`` links are checked against the texts, and only those with that Jaccard similarity count; repeats of a shingle

@@ -138,8 +138,10 @@ def test_simhash_against_brute_force(docs, empty):
         w = words(text)
         shingles = [b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
         out = []
-        for seed in seeds:
-            h = [xxhash.xxh64_intdigest(s, seed) for s in shingles]
+        for k, seed in enumerate(seeds):
+            h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+            if k:
+                h = simhash.mixed(np.array(h, np.uint64), seed).tolist()
             out.append(sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)))
         return tuple(out), len(shingles)
 

@@ -45,7 +45,7 @@ def test_family_of_variants_keeps_its_links(spark):
     texts = family(400, 5) + family(100, 3, seed=12)
     want = linked(texts)
     assert 20 < len(set(want)) < 480
-    found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), radius=48)
+    found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), radius=80)
     got = {r["doc_id"]: r["component_id"] for r in found.collect()}
     assert [got[i] for i in range(len(texts))] == want
 
