@@ -3,7 +3,11 @@
 Each stage takes what the one before kept, as Parquet. Language ID corrects ``lang`` and drops what it rejects; the rules
 drop what they reject; of near-duplicates the document with the least id stays (a null id is the greatest; then the
 least text hash decides, then the least row); secrets are redacted in the text; packing
-returns pieces of token sequences.
+returns pieces of token sequences with their ids.
+
+Edge cases of all stages: null and empty texts have no letter and go in the first stage; a stage that gets them all the same keeps one
+of them as near duplicates of each other, and packs an end id for each. Null and repeated ids are told apart by their texts. Repeated rows are near duplicates. Ties of ids and
+texts are broken by the whole row. Extra columns are kept, whatever their names. Very long texts are read whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 from spikeloom.llm import langid, packing, quality_rules, secret_scan, simhash
 from spikeloom.llm.common import cut, shared_folder, table
 
-#: Packing has no SQL equivalent; near_duplicates is tested against brute force, the other stages' operators are.
+#: Compression, fingerprints and packing have no SQL equivalent; stages and whole runs are tested against brute force.
 ORACLE_SQL = None
 
 
@@ -42,7 +46,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # sets of five-word shingles; 128 bits, of which about 20 differ at a Jaccard similarity of 0.8, so 36 lose next to none; links are then checked exactly
+    # sets of five-word shingles; 192 bits, of which 29 +- 5 differ at a Jaccard similarity of 0.8, so a radius of 46 loses one pair in some thousands there; links are then checked exactly
     found = simhash.near_duplicates(docs)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
     first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"))
