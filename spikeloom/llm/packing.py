@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, ke
     shipped = docs.sparkSession.sparkContext.broadcast(definition)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     longs = ["start", "length", "ids_crc32", "doc_tokens"]
-    schema = T.StructType([src.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in longs), *([T.StructField("ids", T.ArrayType(T.LongType()))] if keep_ids else [])])
+    schema = T.StructType([src.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in longs), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else [])])
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -102,9 +102,9 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, ke
                         rows.append(i)
                         out.append((s // 4, len(p) // 4, zlib.crc32(p), len(raw) // 4))
                         if keep_ids:
-                            ids.append(np.frombuffer(p, "<u4").astype(np.int64))
+                            ids.append(np.frombuffer(p, "<u4").astype(np.int32))
                 columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), *(pa.array(c, pa.int64()) for c in columns), *([pa.array(ids, pa.list_(pa.int64()))] if keep_ids else [])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), *(pa.array(c, pa.int64()) for c in columns), *([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else [])], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -226,6 +226,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, unit: int = 8, bucket_rows: in
     before = dealt.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("n"))
     before = before.select("_class", "_bucket", (F.sum("n").over(W.partitionBy("_class").orderBy("_bucket")) - F.col("n")).alias("_before"))
     order = W.partitionBy("_class", "_bucket").orderBy(F.desc("length"), "_id", "start", "_number")
+    # only slim rows are ranked; what a piece carries (its ids) is joined at the end, by the row's number
+    dealt = dealt.select("_id", "start", "length", "_class", "_number", "_bucket")
     ranked = dealt.withColumn("_n", F.row_number().over(order)).join(before, ["_class", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_n") - 1)
 
     @F.pandas_udf("sequence_id bigint, slot bigint")
@@ -240,10 +242,11 @@ def pack(pieces: DataFrame, capacity: int = 2048, unit: int = 8, bucket_rows: in
             sequence[of], slot[of] = first[p] + past // each[p], at[p] + past % each[p]
         return pd.DataFrame({"sequence_id": sequence, "slot": slot})
 
-    placed = ranked.withColumn("_at", place("_class", "_rank")).select("row", "length", "_class", "_at.sequence_id", "_at.slot")
+    placed = ranked.withColumn("_at", place("_class", "_rank")).select("_number", "length", "_class", "_at.sequence_id", "_at.slot")
     alone = placed.where(F.col("_class") == classes + 1).withColumn("offset", F.lit(0).cast("bigint"))
     shared = placed.where(F.col("_class") <= classes)
     in_order = W.partitionBy("sequence_id").orderBy("slot")
     shared = shared.withColumn("offset", F.sum("length").over(in_order) - F.col("length"))
+    laid = alone.unionByName(shared).select("_number", "sequence_id", "offset")
     kept = [F.col("row").getField(c).alias(c) for c in pieces.columns if c not in ("sequence_id", "offset")]
-    return alone.unionByName(shared).select(*kept, "sequence_id", "offset")
+    return sized.select("_number", "row").join(laid, "_number").select(*kept, "sequence_id", "offset")

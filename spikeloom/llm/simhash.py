@@ -230,7 +230,7 @@ START, GROWTH = 4, 8
 GROUP = ["shard", "low", "high"]
 
 
-def deal_out(distinct: DataFrame, radius: int, words: int, sample_rows: int = 1 << 20, leaf: int = 4096, block: int = 16384, size_ratio: float | None = None) -> DataFrame:
+def deal_out(distinct: DataFrame, radius: int, words: int, sample_rows: int = 1 << 20, leaf: int = 4096, block: int = 65536, size_ratio: float | None = None) -> DataFrame:
     """key, f0, f1, ..., size, shard, low, high, own, home: in the groups (shard, low, high) every pair within ``radius`` meets at the home of one of the two.
 
     A shard's rows are hashed to blocks of about ``block`` rows, and each pair of blocks (low <= high) is a group; own is the row's block. Pairs of rows count
@@ -316,9 +316,10 @@ def checked_links(groups: DataFrame, docs: DataFrame, width: int, radius: int, w
         if more.isEmpty():
             return kept
         roots = components(kept).toDF("key", "_root")
-        ahead = spread.join(more, "key", "left").join(roots, "key", "left")
-        ahead = ahead.select("key", *fp, "size", *GROUP, "own", (F.col("home") & F.col("past").isNotNull()).alias("home"), F.coalesce("_root", "key").alias("root"), F.coalesce("past", F.lit(-1)).alias("past"), F.coalesce("past_order", F.lit(0)).cast("bigint").alias("past_order"))
-        now = ahead.join(spread.where("home").join(more, "key", "left_semi").select(*GROUP).distinct(), GROUP, "left_semi")
+        # only groups that hold an open home
+        busy = spread.join(spread.where("home").join(more, "key", "left_semi").select(*GROUP).distinct(), GROUP, "left_semi")
+        ahead = busy.join(more, "key", "left").join(roots, "key", "left")
+        now = ahead.select("key", *fp, "size", *GROUP, "own", (F.col("home") & F.col("past").isNotNull()).alias("home"), F.coalesce("_root", "key").alias("root"), F.coalesce("past", F.lit(-1)).alias("past"), F.coalesce("past_order", F.lit(0)).cast("bigint").alias("past_order"))
         most *= GROWTH
 
 
