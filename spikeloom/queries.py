@@ -854,15 +854,15 @@ def dynamic_history_rate(spark, sf_dir):
     return rounded(gmlm.rates(rows, spec, params, TRIAL).groupBy(*TRIAL).agg(F.sum("x").alias("x")))
 
 
-@query("spline_basis_ends", """, kn(i, k) AS (VALUES (0, -1.0::DOUBLE), (1, 3), (2, 7), (3, 12), (4, 18), (5, 24)), sg AS (SELECT i, k, lead(k) OVER w AS k1, lag(k) OVER w AS kp, lead(k, 2) OVER w AS k2 FROM kn WINDOW w AS (ORDER BY i)),
+@query("spline_basis_ends", """, kn(i, k) AS (VALUES (0, -1.0::DOUBLE), (1, 3.1), (2, 7.3), (3, 12.7), (4, 18.9), (5, 24)), sg AS (SELECT i, k, lead(k) OVER w AS k1, lag(k) OVER w AS kp, lead(k, 2) OVER w AS k2 FROM kn WINDOW w AS (ORDER BY i)),
 us AS (SELECT b.neuron, b.y, s.*, (b.bin - k) / (k1 - k) AS u FROM bins b JOIN sg s ON b.bin > s.k AND b.bin <= s.k1), hs AS (SELECT *, u * u * u - 2 * u * u + u AS h10, u * u * u - u * u AS h11 FROM us),
 sp AS (SELECT neuron, i AS j, y * (2 * u * u * u - 3 * u * u + 1) AS v FROM hs UNION ALL SELECT neuron, i + 1, y * (3 * u * u - 2 * u * u * u) FROM hs
   UNION ALL SELECT neuron, i + g, y * g * 0.5 * h10 / ((k1 - kp) / CASE WHEN i = 4 THEN k1 - k ELSE 1 END) FROM hs CROSS JOIN (VALUES (1), (-1)) q(g) WHERE i > 0
   UNION ALL SELECT neuron, i + 1 + g, y * g * 0.5 * h11 / ((k2 - k) / CASE WHEN i = 0 THEN k1 - k ELSE 1 END) FROM hs CROSS JOIN (VALUES (1), (-1)) q(g) WHERE i < 4)
 SELECT neuron, j::INT AS j, round(sum(v), 4) AS s FROM sp GROUP BY ALL""")
 def spline_basis_ends(spark, sf_dir):
-    """Spline regressors with their flat ends: counts by bin first, then the basis."""
-    basis = basis_sets.cardinal_spline(np.arange(trials.BINS, dtype=float), [-1.0, 3.0, 7.0, 12.0, 18.0, 24.0])
+    """Spline regressors with their flat ends: counts by bin first, then the basis. The knots lie between bins, where no sum ends on a rounding tie."""
+    basis = basis_sets.cardinal_spline(np.arange(trials.BINS, dtype=float), [-1.0, 3.1, 7.3, 12.7, 18.9, 24.0])
     by_bin = bins(spark, sf_dir).groupBy("neuron", "bin").agg(F.sum("y").alias("y"))
     parts = F.array(*(F.struct(F.lit(j).alias("j"), (F.col("y") * model.gather(F.col("bin"), column.tolist())).alias("v")) for j, column in enumerate(basis.T)))
     return rounded(by_bin.select("neuron", F.explode(parts).alias("p")).groupBy("neuron", F.col("p.j").alias("j")).agg(F.sum("p.v").alias("s")), 4)
