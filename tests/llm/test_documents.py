@@ -122,7 +122,7 @@ def test_binomial_and_cutoffs():
 def test_quality_judgement(spark):
     unlike = WORDS + [f"{w}y" for w in WORDS]
     clean, junk = " ".join(unlike), " ".join(f"{w} ###" for w in unlike)
-    rows = [(i, junk if i % 10 == 0 else clean, ["en", None][i % 10 == 9], None, None) + (None,) * 6 for i in range(3000)]
+    rows = [(i, f"{junk if i % 10 == 0 else clean} x{i}", ["en", None][i % 10 == 9], None, None) + (None,) * 6 for i in range(3000)]  # equal texts would count once
     docs = spark.createDataFrame(rows, SCHEMA)
     labels = spark.createDataFrame([(i, int(i % 10 != 0)) for i in range(3000)] + [(0, 1), (1, None), (None, 1)], "doc_id bigint, quality int")
     measured = quality_rules.measure(docs)
