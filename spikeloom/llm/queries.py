@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeloom.llm import bpe, context_mixing, langid, multiset_hash, packing, quality_rules, secret_scan, simhash, site_quality, url_filter
+from spikeloom.llm import bpe, context_mixing, langid, multiset_hash, packing, plane_clusters, quality_rules, secret_scan, simhash, site_quality, url_filter
 from spikeloom.llm.common import cut, fold, table
 
 #: The rules of the URL query.
@@ -98,9 +98,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(measured, cutoffs).select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept", "rejected_by")
 
 
+def op13_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = plane_clusters.cluster(table(spark, sf_dir, "embeddings"))
+    names = spark.createDataFrame([(c, plane_clusters.digest(x)) for c, x in enumerate(centroids)], "cluster int, centroid_sha256 string")  # a row for each centroid
+    return found.join(F.broadcast(names), "cluster")
+
+
+def _op13_sql(k: int = 16, rounds: int = 3) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v.x, c, list_sum(list_transform(list_zip(v.x, c{r}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN c{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT c, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS m FROM a{r}, range(1, 65) t(i) GROUP BY c, i)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, list(m ORDER BY i) AS x FROM m{r} GROUP BY c UNION ALL SELECT c, x FROM c{r} WHERE c NOT IN (SELECT c FROM m{r}))")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS c, x FROM v QUALIFY c < {k}),
+{", ".join(steps)}
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_language_id, op4_byte_bpe, op5_packing, op6_secret_scan, op7_multiset_hash, op8_site_quality, op9_context_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_language_id, op4_byte_bpe, op5_packing, op6_secret_scan, op7_multiset_hash, op8_site_quality, op9_context_mixing, op10_quality_rules, op13_plane_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op6_secret_scan": OP6_SQL}
+    return {"op2_url_filter": OP2_SQL, "op6_secret_scan": OP6_SQL, "op13_plane_clusters": _op13_sql()}
