@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeloom.llm import bpe, context_mixing, langid, multiset_hash, packing, plane_clusters, quality_rules, secret_scan, simhash, site_quality, url_filter
+from spikeloom.llm import bpe, context_mixing, langid, multiset_hash, packing, plane_clusters, quality_rules, secret_scan, simhash, site_quality, token_alignment, url_filter
 from spikeloom.llm.common import cut, fold, table
 
 #: The rules of the URL query.
@@ -98,6 +98,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(measured, cutoffs).select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept", "rejected_by")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizers = token_alignment.Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    return token_alignment.looked_up(cut(token_alignment.encoded(table(spark, sf_dir, "documents"), tokenizers)), tokenizers)
+
+
 def op13_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, centroids = plane_clusters.cluster(table(spark, sf_dir, "embeddings"))
     names = spark.createDataFrame([(c, plane_clusters.digest(x)) for c, x in enumerate(centroids)], "cluster int, centroid_sha256 string")  # a row for each centroid
@@ -120,7 +127,7 @@ SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c)):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_language_id, op4_byte_bpe, op5_packing, op6_secret_scan, op7_multiset_hash, op8_site_quality, op9_context_mixing, op10_quality_rules, op13_plane_clusters)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_language_id, op4_byte_bpe, op5_packing, op6_secret_scan, op7_multiset_hash, op8_site_quality, op9_context_mixing, op10_quality_rules, op12_token_alignment, op13_plane_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
