@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -92,5 +93,6 @@ def per_worker(key, make, most: int = 1):
         found = make()
     while len(_workers) >= most:
         _workers.pop(next(iter(_workers)))
+        gc.collect()  # tools and their memos hold each other
     _workers[key] = found
     return found

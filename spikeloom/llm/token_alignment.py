@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens, and document counts of linked token pairs under a minimal perfect hash.
 
 Both tokenizers cut the same bytes. Where both cut, a group ends; a token of one is linked with each token of the other whose bytes overlap its own. Texts fall
-into chunks at spaces behind a character that isn't white space, where both tokenizers always cut, so what a chunk gives is kept in a bounded memo of the worker.
+into chunks at spaces behind a character that isn't white space, and at signs behind a letter, where both tokenizers always cut (the vocabulary is asked), so what a chunk gives is kept in a bounded memo of the worker.
 
 1. The documents are encoded once into a table. First pass: tasks align their documents and count, for each pair of ids, the documents that hold it linked. A task's counts leave it as sorted arrays, one for each of
    PARTS parts of the pairs.
@@ -21,7 +21,6 @@ their own, null ids are kept. Extra input columns are ignored. An empty table gi
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 import os
@@ -49,7 +48,8 @@ MOST_PAIRS = 1 << 22
 #: Documents that are aligned at once.
 BATCH = 256
 COUNTS, SUMS = ["n_a", "n_b", "n_groups", "n_links"], ["n_best", "count_sum"]
-#: Chunks of which all engines agree on letters, numerals and white space; the byte-level sign for a space.
+#: A letter before chunks without a space, letters behind which chunks may begin, chunks of which all engines agree on letters, numerals and white space, and the byte-level sign for a space.
+STOP, LETTER = "z", "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 PLAIN, BLANK = re.compile("[\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch, chr(BYTES[32])
 #: Distinct pairs that a task holds before it lets them go.
 HELD = 1 << 20
@@ -116,6 +116,11 @@ class Hash:
 
 # ---- alignment
 
+def width_of(*sizes: int) -> str:
+    """Kind of the unsigned words that hold ids: 16 bits if they are enough."""
+    return "H" if max(sizes) <= 1 << 16 else "I"
+
+
 class Encoders:
     """Ids of both tokenizers. definition: of the byte-level tokenizer; model: of the piece model.
 
@@ -124,7 +129,7 @@ class Encoders:
 
     LONGEST = 64
 
-    def __init__(self, definition: str, model: bytes, pattern: str, memo: int = 120_000):
+    def __init__(self, definition: str, model: bytes, pattern: str, memo: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import regex
         import sentencepiece
@@ -139,12 +144,16 @@ class Encoders:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_SIGN, " ").encode() for i, p in enumerate(pieces)]
         self.space = self.b.piece_to_id(SPACE_SIGN)
-        # a piece with a space behind something else could cross chunks
+        self.stop = len(self.b.encode(STOP))
+        self.kind = width_of(len(self.bytes_a), len(self.bytes_b))
+        # a piece with a space behind something else could cross chunks, and so could one with a sign behind a letter
         self.chunked = not any(SPACE_SIGN in p.lstrip(SPACE_SIGN) for p in pieces)
-        self.split = re.compile(r"(?<=\S)(?= )").split
+        own = [p for i, p in enumerate(pieces) if not (self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_byte(i))]
+        inside = {y for p in own for x, y in zip(p, p[1:], strict=False) if x.isalpha()}
+        signs = re.escape("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in inside))
+        self.split = re.compile(rf"(?<=\S)(?= )|(?<=[{LETTER}])(?=[{signs}])" if signs else r"(?<=\S)(?= )").split
         self.pieces, self.model = regex.compile(pattern).findall, self.a.model
         self.memo, self.now, self.old = memo, ({}, {}), ({}, {})
-        gc.disable()  # nothing here makes cycles, and full collections would walk the memo again and again
         self.piece_memo = WorkerCache(self.piece, memo)
 
     def piece(self, text: str) -> tuple[int, ...]:
@@ -153,18 +162,23 @@ class Encoders:
 
     def first_ids(self, text: str) -> list[int]:
         """The chunk's ids; pre-tokens of other than plain letters and marks are left to the tokenizer, which knows its own white space and letters."""
-        if text[1:].isalpha() and text[0] == " ":
+        if text[text[0] == " " :].isalpha():
             return self.piece(text)
         if PLAIN(text):
             return list(chain.from_iterable(map(self.piece_memo.__getitem__, self.pieces(text))))
         return self.a.encode(text, add_special_tokens=False).ids
 
+    def pieces_of(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of the piece model, which puts a space before whatever it gets; of a chunk without one, those behind the space and a letter of its own."""
+        found = self.b.encode([c[1:] if c[0] == " " else f"{STOP}{c}" for c in chunks], num_threads=1)
+        return [ids if c[0] == " " and len(c) > 1 else [self.space] if c == " " else ids[self.stop :] for c, ids in zip(chunks, found, strict=True)]
+
     def checked(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
         """Both kinds of ids as bytes, None if they spell something else."""
         raw = text.encode()
         if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
             return None
-        return array("I", a).tobytes(), array("I", b).tobytes()
+        return array(self.kind, a).tobytes(), array(self.kind, b).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """For each text both kinds of ids; none of either for texts without tokens."""
@@ -181,15 +195,12 @@ class Encoders:
                     new.append(c)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            ids_b = self.b.encode([c[1:] if len(c) > 1 else "" for c in part], num_threads=1)
+            ids_b = self.pieces_of(part)
             ids_a = list(map(self.first_ids, part))
-            for k, c in enumerate(part):
-                if c == " ":
-                    ids_b[k] = [self.space]
             raw = "".join(part).encode()
             fine = all(b"".join(map(own.__getitem__, chain.from_iterable(ids))) == raw for own, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
             for c, a, b in zip(part, ids_a, ids_b, strict=True):
-                now_a[c], now_b[c] = array("I", a).tobytes(), array("I", b).tobytes()
+                now_a[c], now_b[c] = array(self.kind, a).tobytes(), array(self.kind, b).tobytes()
                 if not fine and self.checked(c, a, b) is None:
                     odd.add(c)
         out = []
@@ -209,7 +220,7 @@ class Names:
     """Lengths of tokens, and their ids as they are listed in groups, behind which stands one sign or another."""
 
     def __init__(self, length_a: np.ndarray, length_b: np.ndarray):
-        self.length_a, self.length_b = length_a, length_b
+        self.length_a, self.length_b, self.kind = length_a, length_b, np.dtype(width_of(len(length_a), len(length_b)))
         self.listed = [f"{i}{sign}".encode() for n, signs in ((len(length_a), ",|"), (len(length_b), ",;")) for sign in signs for i in range(n)]
 
 
@@ -276,7 +287,7 @@ def encoders(shipped) -> Encoders:
 
 
 def encoded(docs: DataFrame, tokenizers: Tokenizers, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, a, b: the ids of both kinds as little-endian 32-bit words."""
+    """doc_id, a, b: the ids of both kinds as unsigned words (``width_of``)."""
     src, shipped = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizers.ship(docs.sparkSession)
     schema = T.StructType([src.schema["doc_id"], *(T.StructField(c, T.BinaryType()) for c in "ab")])
 
@@ -305,8 +316,8 @@ def names_of(shipped) -> Names:
 
 def align_rows(a: pa.Array, b: pa.Array, names: Names, codes_too: bool = True) -> tuple[Aligned, np.ndarray, np.ndarray]:
     """Of rows of ``encoded``; with the numbers of tokens."""
-    (raw_a, raw_b), (n_a, n_b) = (a.to_pylist(), b.to_pylist()), ((pc.binary_length(x).to_numpy(zero_copy_only=False) // 4).astype(np.int64) for x in (a, b))
-    ids = [np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (raw_a, raw_b)]
+    (raw_a, raw_b), (n_a, n_b) = (a.to_pylist(), b.to_pylist()), ((pc.binary_length(x).to_numpy(zero_copy_only=False) // names.kind.itemsize).astype(np.int64) for x in (a, b))
+    ids = [np.frombuffer(b"".join(x), names.kind).astype(np.int64) for x in (raw_a, raw_b)]
     return align(*ids, n_a, n_b, names, codes_too), n_a, n_b
 
 
