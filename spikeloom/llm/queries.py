@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeloom.llm import bpe, context_mixing, langid, multiset_hash, packing, plane_clusters, quality_rules, secret_scan, simhash, site_quality, token_alignment, url_filter
+from spikeloom.llm import bpe, context_mixing, langid, multiset_hash, packing, plane_clusters, quality_rules, secret_scan, simhash, site_quality, substring_dedup, token_alignment, url_filter
 from spikeloom.llm.common import cut, fold, table
 
 #: The rules of the URL query.
@@ -98,6 +98,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(measured, cutoffs).select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept", "rejected_by")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -127,7 +131,7 @@ SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c)):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_language_id, op4_byte_bpe, op5_packing, op6_secret_scan, op7_multiset_hash, op8_site_quality, op9_context_mixing, op10_quality_rules, op12_token_alignment, op13_plane_clusters)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_language_id, op4_byte_bpe, op5_packing, op6_secret_scan, op7_multiset_hash, op8_site_quality, op9_context_mixing, op10_quality_rules, op11_substring_dedup, op12_token_alignment, op13_plane_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
