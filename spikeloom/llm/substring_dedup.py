@@ -9,9 +9,9 @@ next, and so on until none survives. Words covered by a window of the first leng
 3. A bucket tells each array which of its windows occur in other arrays, one bit a window, and the bits go back to the bundle.
 4. First level: a filter of 31 bits within the bucket, which a window that repeats always passes; those that pass are compared by a second hash of 64 bits, beside
    the bits of the bucket, with the least id of the bundle's documents that hold it. Further levels compare the second hash alone.
-5. State between levels is the texts with surviving windows and a bit for each word, written as a table.
+5. State between levels is the passages that surviving windows cover, with a bit for each word where one begins, written as a table.
 
-A bucket holds at most an entry for each bundle and window, so no window, passage or copied text makes a large group. Buckets are 128 Ki windows up to 2,048 buckets, then grow to 4 Mi windows,
+A bucket holds at most an entry for each bundle and window, so no window, passage or copied text makes a large group. Buckets are 128 Ki windows up to 256 buckets, then grow to 4 Mi windows,
 then their number grows; an array shrinks to a row of a few entries at some hundred TB.
 
 Edge cases: null, empty and wordless texts have no words and the hash of the empty text. Texts of fewer than ``least`` words lose nothing. A null id counts as greater than all others. Rows with the same id are
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from spikeloom.llm.common import cut, per_worker
 
 #: Words of a bundle; windows of a bucket, at least and at most.
-BUNDLE, SMALL_BUCKET, LARGE_BUCKET, MANY = 1 << 20, 1 << 17, 1 << 22, 2048
+BUNDLE, SMALL_BUCKET, LARGE_BUCKET, MANY = 1 << 20, 1 << 17, 1 << 22, 256
 NO_ID = (1 << 63) - 1
 #: Bytes of a word that the table of places has; longer words are hashed one by one.
 LONGEST = 64
@@ -57,8 +57,8 @@ class Words:
         self.bases = [0x9E3779B97F4A7C15, 0xD1342543DE82EF95]
         self.powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * 2
 
-    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of words of lines, the words' numbers by line, and the line of each word. Words are parted by one space or line end."""
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of words of lines, the words' numbers by line, the line of each word, where it begins and its bytes. Words are parted by one space or line end."""
         raw = np.frombuffer(data, np.uint8)
         gap = np.r_[-1, np.flatnonzero((raw == 32) | (raw == 10)), len(raw)]
         start, size = gap[:-1] + 1, np.diff(gap) - 1
@@ -67,14 +67,14 @@ class Words:
         own = size > 0  # lines without words have an empty piece
         start, size, line = start[own], size[own], line[own]
         if not len(size):
-            return np.zeros(0, np.uint64), np.zeros(int(line_end.sum()), np.int64), line
+            return np.zeros(0, np.uint64), np.zeros(int(line_end.sum()), np.int64), line, start, size
         first = np.cumsum(size) - size
         at = np.arange(int(size.sum())) - np.repeat(first, size)  # of a byte in its word
         h = np.add.reduceat(self.byte[raw[np.repeat(start, size) + at]] * self.place[at % LONGEST], first)
         h = mixed(h + size.astype(np.uint64) * np.uint64(self.bases[0]))
         for i in np.flatnonzero(size > LONGEST).tolist():
             h[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + size[i]])
-        return h, np.bincount(line, minlength=int(line_end.sum())), line
+        return h, np.bincount(line, minlength=int(line_end.sum())), line, start, size
 
     def windows(self, h: np.ndarray, length: int, which: int) -> np.ndarray:
         """Of all windows of ``length`` words, by differences of prefix sums."""
@@ -125,7 +125,8 @@ class Level:
 
     def __init__(self, data: bytes, ids: np.ndarray, alive: np.ndarray | None, length: int, buckets: int, stage: str):
         own = tool()
-        self.h, self.sizes, line = own.words(data)
+        self.h, self.sizes, line, self.start, self.bytes = own.words(data)
+        self.data = data
         self.line, self.ids, self.length = line, ids, length
         n = len(self.h) - length + 1
         at = np.flatnonzero(line[:n] == line[length - 1 :]) if n > 0 else np.zeros(0, np.int64)
@@ -160,7 +161,7 @@ class Level:
 
 ENTRIES = "bundle string, bucket bigint, value binary, least binary, many binary"
 ANSWERS = "bundle string, bucket bigint, again binary, later binary"
-STATE = "bundle string, level int, ids array<bigint>, docs array<int>, data binary, alive binary, shared array<int>, removed binary"
+STATE = "bundle string, level int, ids array<bigint>, docs array<int>, places array<int>, sizes array<int>, data binary, alive binary, removed binary"
 
 
 def numbers(column, kind) -> list[np.ndarray]:
@@ -223,13 +224,20 @@ def answers(found: DataFrame, stage: str) -> DataFrame:
     return found.groupBy("bucket").applyInArrow(run, ANSWERS)
 
 
+def covering(at: np.ndarray, length: int, words: int) -> np.ndarray:
+    """Whether each word is in a window that begins at one of the places ``at``."""
+    steps = np.bincount(at, minlength=words + 1) - np.bincount(at + length, minlength=words + 1)
+    return np.cumsum(steps)[:words] > 0
+
+
 def marked(state: DataFrame, found: DataFrame, length: int, buckets: int, stage: str) -> DataFrame:
-    """The next state: documents with surviving windows; after the first stage, too, the removed words of documents that share windows."""
-    empty = pa.schema([("bundle", pa.string()), ("level", pa.int32()), ("ids", pa.list_(pa.int64())), ("docs", pa.list_(pa.int32())), ("data", pa.binary()), ("alive", pa.binary()), ("shared", pa.list_(pa.int32())), ("removed", pa.binary())])
+    """The next state: the passages that surviving windows cover, by document and place; after the first stage, too, which of their words are removed."""
+    lists = [("ids", pa.int64()), ("docs", pa.int32()), ("places", pa.int32()), ("sizes", pa.int32())]
+    schema = pa.schema([("bundle", pa.string()), ("level", pa.int32()), *((c, pa.list_(t)) for c, t in lists), ("data", pa.binary()), ("alive", pa.binary()), ("removed", pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return empty.empty_table()
+            return schema.empty_table()
         r = left.to_pylist()[0]
         own = level_of(r, zstandard.ZstdDecompressor(), length, buckets, stage)
         there, at = own.cuts()
@@ -241,24 +249,27 @@ def marked(state: DataFrame, found: DataFrame, length: int, buckets: int, stage:
             again[s : s + n] = np.unpackbits(np.frombuffer(x, np.uint8), count=n)
             if y is not None:
                 later[s : s + n] = np.unpackbits(np.frombuffer(y, np.uint8), count=n)
+        places = own.at[again[own.of]]
+        if not len(places):
+            return schema.empty_table()
         alive = np.zeros(len(own.h), bool)
-        alive[own.at[again[own.of]]] = True
-        kept = np.unique(own.line[alive])  # documents that go on
-        numbers_of = np.array(r["docs"], np.int64) if r.get("docs") is not None else np.arange(len(own.sizes))
+        alive[places] = True
+        kept = covering(places, length, len(own.h))
+        word = np.flatnonzero(kept)
+        new = np.r_[True, (np.diff(word) > 1) | (np.diff(own.line[word]) > 0)]  # where a passage begins
+        first, last = word[new], word[np.r_[new[1:], True]]
+        line = own.line[first]
+        inside = first - (np.cumsum(own.sizes) - own.sizes)[line]
+        docs, base = (np.array(r[c], np.int64) for c in ("docs", "places")) if "docs" in r else (np.arange(len(own.sizes)), np.zeros(len(own.sizes), np.int64))
         removed = None
         if stage == "first":
             gone = own.at[later[own.of] | (own.ids[own.line[own.at]] > own.least[own.of])]
-            edge = np.bincount(gone, minlength=len(own.h) + 1) - np.bincount(gone + length, minlength=len(own.h) + 1)[: len(own.h) + 1]
-            covered = np.cumsum(edge)[: len(own.h)] > 0
-            removed = np.packbits(covered[np.isin(own.line, kept)]).tobytes()
-        goes_on = np.isin(own.line, kept)
-        lines = zstandard.ZstdDecompressor().decompress(r["data"]).split(b"\n")
-        data = zstandard.ZstdCompressor(level=1).compress(b"\n".join([lines[k] for k in kept.tolist()]))
-        if not len(kept):
-            return empty.empty_table()
-        docs = numbers_of[kept].tolist()
-        row = {"bundle": r["bundle"], "level": length, "ids": [r["ids"][k] for k in kept.tolist()], "docs": docs, "data": data, "alive": np.packbits(alive[goes_on]).tobytes(), "shared": None if stage == "filter" else docs, "removed": removed}
-        return pa.Table.from_pylist([row], schema=empty)
+            removed = np.packbits(covering(gone, length, len(own.h))[kept]).tobytes()
+        ends = own.start[last] + own.bytes[last]
+        data = b"\n".join([own.data[s:e] for s, e in zip(own.start[first].tolist(), ends.tolist(), strict=True)])
+        ids = [r["ids"][k] for k in line.tolist()]
+        row = {"bundle": r["bundle"], "level": length, "ids": ids, "docs": docs[line].tolist(), "places": (base[line] + inside).tolist(), "sizes": (last - first + 1).tolist(), "data": zstandard.ZstdCompressor(level=1).compress(data), "alive": np.packbits(alive[kept]).tobytes(), "removed": removed}
+        return pa.Table.from_pylist([row], schema=schema)
 
     return state.groupBy("bundle").cogroup(found.groupBy("bundle")).applyInArrow(run, STATE)
 
@@ -268,7 +279,7 @@ def number_of_buckets(words: int) -> int:
 
 
 def levels(docs: DataFrame, least: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
-    """The bundles, and for each level from ``least`` on a table of bundles: docs that share windows of that length (by number), and at the first level their removed words."""
+    """The bundles, and for each level from ``least`` on a table of them: passages that windows of that length cover (number of the document, place, size), and at the first level their removed words."""
     whole = cut(bundles(docs, id_col, text_col))
     buckets = number_of_buckets(whole.agg(F.sum("n_words")).first()[0] or 0)
 
@@ -303,13 +314,12 @@ def dedup(docs: DataFrame, least: int = 13, id_col: str = "doc_id", text_col: st
         sizes = [line.count(b" ") + 1 if line else 0 for line in lines]
         removed, longest = {}, [0] * len(lines)
         for m in right.to_pylist():
-            for k in m["shared"]:
+            bits, at = np.unpackbits(np.frombuffer(m["removed"] or b"", np.uint8)), 0
+            for k, place, size in zip(m["docs"], m["places"], m["sizes"], strict=True):
                 longest[k] = max(longest[k], m["level"])
-            if m["removed"] is not None:
-                bits, at = np.unpackbits(np.frombuffer(m["removed"], np.uint8)), 0
-                for k in m["shared"]:
-                    removed[k] = bits[at : at + sizes[k]]
-                    at += sizes[k]
+                if m["removed"] is not None:
+                    removed.setdefault(k, np.zeros(sizes[k], np.uint8))[place : place + size] |= bits[at : at + size]
+                    at += size
         rows = []
         for k, line in enumerate(lines):
             gone = int(removed[k].sum()) if k in removed else 0
@@ -318,4 +328,4 @@ def dedup(docs: DataFrame, least: int = 13, id_col: str = "doc_id", text_col: st
         n, gone, kept, longest = zip(*rows, strict=True)
         return pa.table([pa.array(r["ids"], pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, kind), pa.array(longest, pa.int64())], names=schema.names)
 
-    return whole.groupBy("bundle").cogroup(marks.select("bundle", "level", "shared", "removed").groupBy("bundle")).applyInArrow(run, schema)
+    return whole.groupBy("bundle").cogroup(marks.select("bundle", "level", "docs", "places", "sizes", "removed").groupBy("bundle")).applyInArrow(run, schema)
