@@ -97,6 +97,45 @@ def terms(kind: str, x: Column, y: Column, dt: float = 1.0, scale: float = 0.5)
     return tuple(F.when(y >= 0, t).otherwise(0.0) for t in LIKELIHOODS[kind](x, y, F.lit(float(dt))))
 
 
+def third(kind: str, x: Column, y: Column, dt: float = 1.0) -> Column:
+    """Third derivative of the log likelihood by x; censored counts have none."""
+    if kind == "sq_err":
+        return F.lit(0.0)
+    k, z = F.floor(y).cast("double"), x + math.log(dt)
+    if kind == "poiss_softrec":
+        s, p = softplus(x), sigmoid(x)
+        q, t = p * (1 - p), p / s
+        out = q * (1 - 2 * p) * (k / s - dt) - 3 * k * t * q / s + 2 * k * t * t * t
+    else:
+        r = bounded_exp(z)
+        out = -r
+        if kind == "poiss_refractory":
+            out = -(1 - k / 2) * r
+        if kind == "trunc_poiss":
+            ratio = r / F.expm1(r)
+            bend = ratio * (1 - r - ratio)
+            out = F.when(y >= 1, F.when(z <= TINY, F.lit(0.0)).otherwise(bend * (1 - r - ratio) - ratio * (r + bend))).otherwise(out)
+    return F.when(y >= 0, out).otherwise(0.0)
+
+
+def curvature(kind: str, x: np.ndarray, y: np.ndarray, dt: float = 1.0) -> np.ndarray:
+    """Second derivative of arrays, as in ``terms``."""
+    if kind == "sq_err":
+        return np.full(len(x), -1.0)
+    k, z = np.floor(y), x + math.log(dt)
+    if kind == "poiss_softrec":
+        s, p = np.where(x > LINEAR, x, np.log1p(np.exp(np.minimum(x, LINEAR)))), 1 / (1 + np.exp(np.clip(-x, -CLAMP, CLAMP)))
+        out = p * (1 - p) * (k / s - dt) - k * (p / s) ** 2
+    else:
+        r = np.exp(np.clip(z, -CLAMP, CLAMP))
+        out = -r * (1 - k / 2) if kind == "poiss_refractory" else -r
+        if kind == "trunc_poiss":
+            safe = np.where(z <= TINY, 1.0, np.minimum(r, 700.0))
+            ratio = safe / np.expm1(safe)
+            out = np.where(y >= 1, np.where(z <= TINY, 0.0, ratio * (1 - safe - ratio)), -r)
+    return np.where(y >= 0, out, 0.0)
+
+
 def numeric(kind: str, x: np.ndarray, y: np.ndarray, dt: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Log likelihood and derivative of arrays, for blocks of bins inside a task; as in ``terms``."""
     if kind == "sq_err":

@@ -15,6 +15,7 @@ and for trial sums the trial's keys. Negative counts are censored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Generator, Iterable
 from dataclasses import dataclass, field
@@ -232,6 +233,13 @@ class Prepared:
             groups.append((parts, a))
         return x, groups
 
+    def weighted(self, block: Block, ll: np.ndarray) -> np.ndarray:
+        """The bins' log likelihoods with their weights; with noise precisions as log densities of normal errors."""
+        if "noise" not in self.params:
+            return ll * block.w
+        noise = self.params["noise"][block.neuron]
+        return block.w * (noise * ll + 0.5 * np.log(noise / (2 * math.pi)))
+
     def add(self, block: Block, sums: dict[str, np.ndarray], blocks: set[str]) -> float:
         """The block's log likelihood; derivatives are added to ``sums``, those of ``blocks`` alone."""
         x, groups = self.rate(block)
@@ -269,7 +277,7 @@ class Prepared:
                 for k, s in enumerate(mine):
                     if f"{g.name}.T{s}" in blocks:
                         sums[f"{g.name}.T{s}"] += np.einsum("ftr,fr->tr", khatri_rao_jacobian(self.modes[j][d], k), by)
-        return float((ll * w).sum())
+        return float(self.weighted(block, ll).sum())
 
 
 def to_block(batch: pa.RecordBatch, spec: Spec, fold: bool = False) -> Block:
@@ -486,7 +494,7 @@ class Model:
 
     def __init__(self, rows: DataFrame, spec: Spec, priors: Iterable[Prior] = (), scaling: tuple | None = None):
         """scaling: (forward, backward) between the parameters that are fitted or sampled and the natural ones, as ``horseshoe.chain`` makes it."""
-        self.spec, self.priors, self.rows = spec, list(priors), rows.persist()
+        self.spec, self.priors, self.scaling, self.rows = spec, list(priors), scaling, rows.persist()
         self.forward, self.backward = scaling or (lambda p: p, lambda p, g: g)
 
     def close(self) -> None:
@@ -517,31 +525,90 @@ class Model:
 
         return run
 
-    def fit(self, starts: list[Params], prior: bool = False, blocks: Iterable[str] | None = None, held: list | None = None, **options) -> list[dict]:
-        """Maximum likelihood (or with ``prior`` a posteriori) fits from several starts or for several held folds, side by side: params, value, steps, converged."""
-        chosen = {k for k in self.spec.shapes() if k != "H" and (blocks is None or k in blocks)}
-        found = lockstep([lbfgs(vectorize(self.spec, verify(self.spec, p), chosen), **options) for p in starts], self.answer(starts, chosen, held, prior))
-        return [{"params": normalize(self.spec, devectorize(self.spec, f.pop("x"), p, chosen)), **f} for f, p in zip(found, starts, strict=True)]
+    def fit(self, starts: list[Params], prior: bool = False, blocks: Iterable[str] | None = None, held: list | None = None, hyper: bool = False, **options) -> list[dict]:
+        """Maximum likelihood (or with ``prior`` a posteriori) fits from several starts or for several held folds, side by side: params, value, steps, converged.
 
-    def alternate(self, start: Params, prior: bool = False, sweeps: int = 10, tolerance: float = 1e-6, **options) -> dict:
-        """Fits one mode after the other, each with weights and loads held or free in turn: every conditional model is a linear one."""
-        turns = [{"W", "B", *(f"{g.name}.V" for g in self.spec.groups)}, *({f"{g.name}.T{s}"} for g in self.spec.groups for s in range(len(g.modes)))]
-        params, value, converged = start, -math.inf, False
+        With ``hyper`` the hyperparameters H are fitted, too. Only maximum likelihood fits of all natural parameters are normalized: under a prior the point itself is the result.
+        """
+        chosen = {k for k in self.spec.shapes() if (k != "H" and (blocks is None or k in blocks)) or (k == "H" and hyper and self.spec.hyper)}
+        found = lockstep([lbfgs(vectorize(self.spec, verify(self.spec, p), chosen), **options) for p in starts], self.answer(starts, chosen, held, prior))
+        free = not prior and blocks is None and self.scaling is None
+        points = [devectorize(self.spec, f.pop("x"), p, chosen) for f, p in zip(found, starts, strict=True)]
+        return [{"params": normalize(self.spec, p) if free else p, **f} for f, p in zip(found, points, strict=True)]
+
+    def curvature(self, params: Params, directions: np.ndarray, prior: bool = True, blocks: Iterable[str] | None = None, step: float = 1e-4, at_once: int = 64) -> np.ndarray:
+        """Products of the Hessian of the log posterior (or likelihood) by ``blocks`` with directions [m, n], by central differences of gradients.
+
+        A job answers ``at_once`` points; each direction has two.
+        """
+        chosen = {k for k in self.spec.shapes() if (blocks is None or k in blocks) and (k != "H" or self.spec.hyper)}
+        x = vectorize(self.spec, verify(self.spec, params), chosen)
+        size = step * np.maximum(1.0, np.abs(x).max(initial=0.0)) / np.maximum(np.abs(directions).max(axis=1, initial=1e-300), 1e-300)
+        points = [x + sign * h * d for d, h in zip(directions, size, strict=True) for sign in (1, -1)]
+        answer, slopes = self.answer([params] * len(points), chosen, None, prior), []
+        for i in range(0, len(points), at_once):
+            part = list(range(i, min(i + at_once, len(points))))
+            slopes += [g for _, g in answer(part, [points[k] for k in part])]
+        return np.array([(slopes[2 * i] - slopes[2 * i + 1]) / (2 * h) for i, h in enumerate(size)]).reshape(len(directions), len(x))
+
+    def hessian(self, params: Params, prior: bool = True, blocks: Iterable[str] | None = None, **options) -> np.ndarray:
+        """Estimate of the whole Hessian, made symmetric: for models of some thousand parameters; larger ones take products (``curvature``) or ``lanczos``."""
+        chosen = {k for k in self.spec.shapes() if (blocks is None or k in blocks) and (k != "H" or self.spec.hyper)}
+        h = self.curvature(params, np.eye(sum(math.prod(self.spec.shapes()[k]) for k in chosen)), prior, chosen, **options)
+        return (h + h.T) / 2
+
+    def lanczos(self, params: Params, steps: int = 20, prior: bool = True, blocks: Iterable[str] | None = None, seed: int = 0, **options) -> tuple[np.ndarray, np.ndarray]:
+        """Ritz values and vectors [n, k] of the Hessian, whose extreme ones come near its own; a product for each step, with full reorthogonalization."""
+        chosen = {k for k in self.spec.shapes() if (blocks is None or k in blocks) and (k != "H" or self.spec.hyper)}
+        n = sum(math.prod(self.spec.shapes()[k]) for k in chosen)
+        q = np.random.default_rng(seed).standard_normal(n)
+        basis, diagonal, beside = [q / np.linalg.norm(q)], [], []
+        for k in range(min(steps, n)):
+            w = self.curvature(params, basis[k][None], prior, chosen, **options)[0]
+            diagonal.append(float(w @ basis[k]))
+            for _ in range(2):
+                w = w - np.array(basis).T @ (np.array(basis) @ w)
+            size = float(np.linalg.norm(w))
+            if size < 1e-8 * max(1.0, max(map(abs, diagonal))) or k + 1 == min(steps, n):
+                break
+            beside.append(size)
+            basis.append(w / size)
+        values, vectors = np.linalg.eigh(np.diag(diagonal) + np.diag(beside, 1) + np.diag(beside, -1))
+        return values, np.array(basis).T @ vectors
+
+    def schedule(self, kind: str = "modes", hyper: bool = False) -> list[set[str]]:
+        """Blocks that are fitted in turn: "all" at once; "modes": weights and loads, then each mode; "combinations": for every choice of one mode (or the loads) of each
+        group, these with W and B, so that each conditional model is a linear one. Hyperparameters come last."""
+        spec = self.spec
+        names = [[f"{g.name}.V", *(f"{g.name}.T{s}" for s in range(len(g.modes)))] for g in spec.groups if g.rank]
+        if kind == "all":
+            turns = [{k for k in spec.shapes() if k != "H"}]
+        elif kind == "modes":
+            turns = [{"W", "B", *(n[0] for n in names)}, *({m} for n in names for m in n[1:])]
+        elif kind == "combinations":
+            turns = [{"W", "B", *choice} for choice in itertools.product(*names)]
+        else:
+            raise ValueError(f"no schedule {kind}")
+        return turns + [{"H"}] * bool(hyper and spec.hyper)
+
+    def alternate(self, start: Params, prior: bool = False, sweeps: int = 10, tolerance: float = 1e-6, kind: str = "modes", hyper: bool = False, **options) -> dict:
+        """Fits the blocks of a ``schedule`` in turn."""
+        params, value, converged = verify(self.spec, start), -math.inf, False
         for sweep in range(sweeps):
             before = value
-            for blocks in turns:
+            for blocks in self.schedule(kind, hyper):
                 found = lockstep([lbfgs(vectorize(self.spec, params, blocks), **options)], self.answer([params], blocks, None, prior))[0]
                 params, value = devectorize(self.spec, found["x"], params, blocks), found["value"]
-            params = normalize(self.spec, params)
             if value - before <= tolerance * (1 + abs(value)):
                 converged = True
                 break
+        params = params if prior or self.scaling is not None else normalize(self.spec, params)
         return {"params": params, "value": value, "steps": sweep + 1, "converged": converged}
 
     def cross_validate(self, start: Params, folds: int, keys: list[str], prior: bool = False, **options) -> DataFrame:
         """``keys``, fold, ll of every trial under the fit that hasn't seen its fold (column fold); all fits go side by side."""
         fits = self.fit([start] * folds, prior, None, list(range(folds)), **options)
-        scored = [trial_ll(self.rows.where(F.col("fold") == k), self.spec, f["params"], [*keys, "fold"]) for k, f in enumerate(fits)]
+        scored = [trial_ll(self.rows.where(F.col("fold") == k), self.spec, self.forward(f["params"]), [*keys, "fold"]) for k, f in enumerate(fits)]
         out = scored[0]
         for s in scored[1:]:
             out = out.unionByName(s)

@@ -121,9 +121,20 @@ def test_fits_and_folds(spark):
     at_truth = model.log_likelihood(truth, [])[0]
     assert mle["converged"] and max(mle["value"], again["value"]) > at_truth
     assert model.log_likelihood(mle["params"], [])[0] == pytest.approx(mle["value"])  # normalization changes no rate
-    best = model.fit([start], prior=True)[0]
-    gradient = gmlm.vectorize(spec, model.log_posterior(best["params"])["gradient"], [k for k in spec.shapes() if k != "H"])
-    assert best["value"] <= mle["value"] and np.isfinite(gradient).all()
+    best = model.fit([start], prior=True, tolerance=1e-10)[0]
+    free = [k for k in spec.shapes() if k != "H"]
+    found = model.log_posterior(best["params"])
+    gradient = gmlm.vectorize(spec, found["gradient"], free)
+    # the result is the mode itself, and the value is its own
+    assert best["value"] <= mle["value"] and np.abs(gradient).max() < 1e-3 * abs(best["value"]) and found["log_posterior"] == pytest.approx(best["value"], rel=1e-9)
+    hessian, x = model.hessian(best["params"]), gmlm.vectorize(spec, best["params"], free)
+    assert np.linalg.eigvalsh(hessian).max() < 1e-3
+    values, vectors = model.lanczos(best["params"], steps=len(x))
+    assert values.min() == pytest.approx(np.linalg.eigvalsh(hessian).min(), rel=1e-3) and vectors.shape[0] == len(x)
+    for kind in ("combinations", "all"):
+        turned = model.alternate(start, prior=True, sweeps=4, kind=kind, steps=20)
+        assert turned["value"] > best["value"] - 20
+    assert {frozenset(t) for t in model.schedule("combinations")} == {frozenset({"W", "B", k}) for k in ("g.V", "g.T0", "g.T1")}
     turns = model.alternate(start, sweeps=6, steps=20)
     assert turns["value"] > model.log_likelihood(start, [])[0] and turns["value"] > at_truth - 30
     scored = model.cross_validate(start, 3, ["trial"], prior=True, steps=8).toPandas()
@@ -185,3 +196,59 @@ def test_blocks_read_arrow_lists():
     spec = gmlm.Spec(2, 2, (gmlm.Group("g", (1,), (0,), (gmlm.Factor("f0"),), 1, 2),))
     block = gmlm.to_block(batch.slice(1), spec)
     assert block.x_lin.tolist() == [[3.0, 4.0]] and block.factors["f0"].tolist() == [[[3.0], [4.0]]]
+
+
+def test_fit_by_neuron(spark, monkeypatch):
+    from spikeloom.plans import by_neuron
+
+    DataFrame = type(spark.range(1))
+    monkeypatch.setattr(by_neuron, "SHARE", 60)  # neurons of several salts
+    spec, block, truth = made(SCENARIOS[3], "poiss_exp", rank=1, n=800)
+    block.w[:] = 1.0
+    block.y = np.random.default_rng(2).poisson(np.exp(gmlm.Prepared(spec, truth).rate(block)[0]) * spec.dt).astype(float)
+    block.y[:5] = -1.0
+    rows = frame(spark, spec, block)
+    ridge = {"W": 0.1, "B": 0.2, "g.V": 0.5, "g.T0": 0.5, "g.T1": 0.5}
+    model = gmlm.Model(rows, spec, [gmlm.gaussian_prior({k: -0.5 * np.log(v) for k, v in ridge.items()})])
+    start = gmlm.random_params(spec, 5)
+    constant = gmlm.prior_sum(model.priors, gmlm.empty_params(spec))[0]
+    best = model.fit([start, truth], prior=True, tolerance=1e-12, steps=500)
+    sizes = []
+    collect, pandas = DataFrame.collect, DataFrame.toPandas
+    monkeypatch.setattr(DataFrame, "collect", lambda self: sizes.append(len(out := collect(self))) or out)
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: sizes.append(len(out := pandas(self))) or out)
+    own = by_neuron.Fit(rows, spec, start, precision=ridge)
+    found = own.run(25, 1e-9)
+    assert max(sizes) <= 1 + max(n + n * n for n in (truth[k].size for k in own.modes))  # nothing by neuron
+    monkeypatch.undo()
+    assert found["converged"] and found["value"] + constant == pytest.approx(max(b["value"] for b in best), rel=1e-6)
+    table = own.parameters().toPandas()
+    params = gmlm.empty_params(spec)
+    for block_, i, j, v in table.itertuples(index=False):
+        params[block_][(i, j) if params[block_].ndim == 2 else i] = v
+    assert model.log_posterior(params)["log_posterior"] == pytest.approx(found["value"] + constant, rel=1e-9)
+    before = own.sums(None)[0]
+    own.normalize()
+    assert own.sums(None)[0] == pytest.approx(before, rel=1e-9)
+    own.close()
+    model.close()
+
+
+@pytest.mark.parametrize("scenario", range(len(SCENARIOS)))
+@pytest.mark.parametrize("kind", ["poiss_softrec", "sq_err"])
+def test_regressors_of_neurons_and_modes(scenario, kind):
+    from spikeloom.plans import by_neuron
+
+    spec, block, params = made(SCENARIOS[scenario], kind)
+    theta = np.concatenate([params["W"][:, None], params["B"].T, params["g.V"]], axis=1)[block.neuron]
+    z, parts = by_neuron.features(spec, params, block)
+    x = gmlm.Prepared(spec, params).rate(block)[0]
+    assert np.allclose((z * theta).sum(axis=1), x)
+    from spikeloom.functions.likelihood import numeric
+
+    sums = {k: np.zeros(s) for k, s in spec.shapes().items()}
+    gmlm.Prepared(spec, params).add(block, sums, set(sums))
+    _, slope = numeric(kind, x, block.y, spec.dt)
+    for s in range(len(spec.groups[0].modes)):
+        m = by_neuron.mode_features(spec, params, block, parts, theta, 0, s)
+        assert np.allclose((m.T @ (slope * block.w)).reshape(sums[f"g.T{s}"].shape, order="F"), sums[f"g.T{s}"])

@@ -182,6 +182,111 @@ def test_noise_step_draws_the_precision(spark):
     model.close()
 
 
+def test_noise_reaches_every_evaluation(spark, tmp_path, monkeypatch):
+    model, means, rows = normal_model(spark)
+    model.priors.append(sampler.noise_prior())
+    seen, real = [], gmlm.evaluate
+    monkeypatch.setattr(gmlm, "evaluate", lambda r, s, sets, *a: seen.extend("noise" in p for p in sets) or real(r, s, sets, *a))
+    own = sampler.settings(20, 60, schedule=[(2, 20)], mass=[], block=30, length=0.3, most_steps=3, first_step=0.05, jumps=(1,))
+    start = [gmlm.empty_params(model.spec)]
+    sampler.sample(model, start, sampler.settings(20, 10, **{k: getattr(own, k) for k in ("schedule", "mass", "block", "length", "most_steps", "first_step", "jumps")}), str(tmp_path / "n"), ["neuron_ix", "trial"], [sampler.noise_step(model)])
+    first = len(seen)
+    run = sampler.sample(model, start, own, str(tmp_path / "n"), ["neuron_ix", "trial"], [sampler.noise_step(model)])  # the noise is part of the state
+    assert all(seen[first + 1 :]) and sum(seen) > 100
+    draws = run["draws"].where("iter > 20 AND block = 'noise'").toPandas()
+    assert len(draws) == 2 * 60
+    for p in range(2):
+        y = np.array([r[2] for r in rows if r[1] == p])
+        want = (2 + (len(y) - 1) / 2) / (1 + ((y - y.mean()) ** 2).sum() / 2)
+        assert draws.loc[draws["row"] == p, "value"].mean() == pytest.approx(want, rel=0.12)
+    # trial log likelihoods are normal log densities under the draw's precision
+    at = run["draws"].where("iter = 50").toPandas().set_index(["block", "row"])["natural"]
+    ll = run["trial_ll"].where("iter = 50").toPandas().set_index(["neuron_ix", "trial"])["ll"]
+    y = np.array([r[2] for r in rows if r[1] == 1 and r[0] == 3])
+    tau, w = at["noise", 1], at["W", 1]
+    assert ll[1, 3] == pytest.approx(float((0.5 * np.log(tau / (2 * np.pi)) - 0.5 * tau * (y - w) ** 2).sum()))
+    model.close()
+
+
+def test_summary_of_a_stored_run(spark, tmp_path):
+    import duckdb
+
+    from spikeloom.plans import compare
+
+    model, *_ = normal_model(spark)
+    own = sampler.settings(10, 30, schedule=[(2, 10)], mass=[], block=15, length=0.2, most_steps=3, first_step=0.03)
+    path = str(tmp_path / "s")
+    run = sampler.sample(model, [gmlm.empty_params(model.spec), gmlm.empty_params(model.spec) | {"W": np.ones(2)}], own, path, ["neuron_ix", "trial"])
+    found = sampler.summary(run, ["neuron_ix", "trial"], 10).first().asDict()
+    con = duckdb.connect()
+    want = con.sql(f"""WITH ll AS (SELECT * FROM '{path}/trial_ll/*/*.parquet' WHERE iter > 10), it AS (SELECT * FROM '{path}/iterations/*/*.parquet' WHERE iter > 10)
+      SELECT (SELECT avg(w) FROM (SELECT -ln(avg(exp(ll))) + var_pop(ll) AS w FROM ll GROUP BY neuron_ix, trial)) AS waic, (SELECT count(*) FROM (SELECT DISTINCT neuron_ix, trial FROM ll)) AS trials,
+      avg(accepted::INT) AS accept_rate, sum(lost::INT) AS early_rejects, avg(lost::INT) AS early_reject_share, count(*) AS draws, count(DISTINCT chain) AS chains FROM it""").df().iloc[0].to_dict()
+    for k, v in want.items():
+        assert found[k] == pytest.approx(v), k
+    loo = compare.psis_loo(run["trial_ll"].where("iter > 10"), "ll", ["neuron_ix", "trial"]).toPandas()
+    assert found["loo"] == pytest.approx(loo["loo"].sum()) and found["bad"] == (loo["pareto_k"] >= 0.7).sum()
+    rate = sampler.trailing_acceptance(run, 5).toPandas().sort_values(["chain", "iter"])
+    acc = run["iterations"].toPandas().sort_values(["chain", "iter"])
+    assert np.allclose(rate["rate"], acc.groupby("chain")["accepted"].transform(lambda v: v.astype(float).rolling(5, min_periods=1).mean()))
+    model.close()
+
+
+def test_sinks_hold_many_parameters(spark):
+    rng = np.random.default_rng(0)
+    drawn = [(c, it, {"W": rng.normal(size=5), "g.V": rng.normal(size=(3, 2)), "H": np.zeros(0)}, {"W": rng.normal(size=5), "g.V": rng.normal(size=(3, 2))}) for c in range(2) for it in range(1, 4)]
+    rows = {tuple(r)[:5]: tuple(r)[5:] for r in sampler.draw_rows(spark, drawn).collect()}
+    assert len(rows) == 2 * 3 * 11
+    for c, it, params, natural in drawn:
+        for k in ("W", "g.V"):
+            for (i, j), v in np.ndenumerate(params[k].reshape(len(params[k]), -1)):
+                assert rows[c, it, k, i, j] == (v, natural[k].reshape(len(params[k]), -1)[i, j])
+    big = [(0, it, {"W": np.zeros(100_000)}, {"W": np.ones(100_000)}) for it in range(20)]
+    assert sampler.draw_rows(spark, big).agg(F.count("value"), F.sum("natural")).first()[:] == (2_000_000, 2_000_000.0)
+
+
+@pytest.mark.parametrize("warmup", [500, 4_000, 10_000, 15_000, 20_000, 25_000, 30_000, 35_000, 40_000, 50_000, 60_000])
+def test_schedules(warmup):
+    own = sampler.settings(warmup, 100)
+    adapting = {d for a, b in own.schedule for d in (a, b)}
+    assert all(not sampler.scaled_at(d, own) for d in adapting) and all(sampler.scaled_at(d, own) for d in (warmup + 1, warmup + 100))
+    for a, b in own.scale_ranges:
+        assert a <= b <= warmup and sampler.scaled_at(a, own) and sampler.scaled_at(b, own)
+        assert not any(x <= d <= y for x, y in own.schedule for d in (a, b))
+    assert sampler.settings(debug=True).jumps == (100, 1_000) and own.jumps == ()
+
+
+def test_jumps_reach_the_mode_and_leave_hyperparameters(spark, tmp_path):
+    model, means, _ = normal_model(spark)
+    own = sampler.settings(1, 0, schedule=[], block=5, length=1e-6, most_steps=1, first_step=1e-9, least_step=1e-9, jumps=(1,))
+    run = sampler.sample(model, [gmlm.empty_params(model.spec) | {"W": np.array([5.0, -5.0])}], own, str(tmp_path / "j"), ["neuron_ix"])
+    at = run["draws"].where("block = 'W'").orderBy("row").toPandas()["value"].to_numpy()
+    assert np.allclose(at, means * 120 / (120 + math.exp(-2.0)), atol=1e-3)
+    model.close()
+
+
+def test_hyperparameters_of_the_mode(spark):
+    model, _, rows = normal_model(spark)
+    spec = gmlm.Spec(2, 0, kind="sq_err", hyper=1)
+    scale = horseshoe.BlockScale(spec, "W", 0)
+    own = gmlm.Model(model.rows, spec, [scale.prior], horseshoe.chain([scale]))
+    start = gmlm.empty_params(spec) | {"W": np.array([0.3, -0.2]), "H": np.array([0.2])}
+    best = own.fit([start], prior=True, hyper=True, tolerance=1e-12)[0]
+    found = own.log_posterior(best["params"])
+    assert best["converged"] and found["log_posterior"] == pytest.approx(best["value"]) and max(np.abs(found["gradient"][k]).max() for k in ("W", "H")) < 1e-2
+    assert best["params"]["H"][0] != 0.2 and best["value"] > own.fit([start], prior=True)[0]["value"]
+
+    def value(p):
+        out = own.log_posterior(p)
+        return out["log_posterior"], {k: out["gradient"][k] for k in ("W", "H")}
+
+    check(value, start, rel=1e-4)
+    hessian = own.hessian(best["params"])
+    assert hessian.shape == (3, 3) and np.linalg.eigvalsh(hessian).max() < 0
+    own.close()
+    model.close()
+
+
 def test_scaling_step_keeps_rates_and_the_prior():
     spec = gmlm.Spec(3, 0, (gmlm.Group("g", (4,), (0,), (gmlm.Factor("a", 4),), 1),))
     priors = [gmlm.gaussian_prior({"g.V": 0.0, "g.T0": 0.0})]
@@ -196,7 +301,7 @@ def test_scaling_step_keeps_rates_and_the_prior():
     assert np.mean(norms) == pytest.approx(3.0, abs=0.45)
 
 
-@pytest.mark.parametrize(("p", "a", "b"), [(0.5, 2.0, 3.0), (-1.5, 1.0, 0.2), (3.0, 0.5, 4.0), (0.0, 1.0, 1.0), (0.1, 0.01, 0.02)])
+@pytest.mark.parametrize(("p", "a", "b"), [(2.0, 3.0, 0.0), (-2.5, 0.0, 3.0), (0.5, 2.0, 3.0), (-1.5, 1.0, 0.2), (3.0, 0.5, 4.0), (0.0, 1.0, 1.0), (0.1, 0.01, 0.02)])
 def test_generalized_inverse_gaussian(p, a, b):
     rng = np.random.default_rng(4)
     x = np.array([sampler.generalized_inverse_gaussian(rng, p, a, b) for _ in range(8000)])
