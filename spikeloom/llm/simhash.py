@@ -18,8 +18,11 @@ links reach.
 5. Components of those links are found by star joins and joined back to the documents.
 
 With ``least`` a link is a pair within ``radius`` whose texts' shingle sets have at least that Jaccard similarity. Every such pair is either
-checked or lies in one component already: in each round a fingerprint's home gives its next nearest partners of other components (START in each group,
-then GROWTH times as many), they are checked, and the components grow, until no home has partners left. So a family of copies costs a few checks
+checked or lies in one component already: in each round a fingerprint's home gives its next partners of other components (START in each group,
+then GROWTH times as many), they are checked, and the components grow, until no home has partners left. A second sketch beside the fingerprint, ROUNDS * 64
+minimum hashes of one bit each, estimates a pair's similarity: pairs whose estimate is more than SPREADS standard deviations below ``least``
+(at that similarity one pair in some hundred thousand) are dropped before their texts are sent. Partners near the middle of the group come first, so the copies of one text, which
+are more like it than like each other, meet at that text. So a family of copies costs a few checks
 for each member, and no pair that could join two components is passed over. With ``size_ratio`` pairs must also have shingle counts within that ratio: fingerprints are
 dealt to logarithmic size bands first, and visit the bands below that the ratio reaches. Without pruning (a large radius) the work is quadratic within a
 band, spread evenly over tasks.
@@ -68,31 +71,82 @@ def shingle_hashes(text: str | None, width: int, seeds: tuple[int, ...]) -> np.n
     return np.stack([h, *(mixed(h, seed) for seed in seeds[1:])], axis=1)
 
 
-def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> tuple[list[int], int, int]:
+#: Hash rounds of the second sketch, each with 64 bins; how far below the wanted similarity an estimate may lie, in standard deviations.
+ROUNDS, SPREADS = 8, 4.5
+#: Fingerprints of a group by which the middle of its families is found.
+CENTRES = 256
+
+
+def minimum_sketch(h: np.ndarray) -> bytes:
+    """Of distinct shingle hashes: for each round, 64 bins' lowest bits of the least hash in them, and which bins have any."""
+    out = np.zeros(2 * ROUNDS, np.uint64)
+    if len(h):
+        for r in range(ROUNDS):
+            z = mixed(h, 1000 + r)
+            at, least = (z >> np.uint64(58)).astype(np.int64), np.full(64, np.iinfo(np.uint64).max, np.uint64)
+            np.minimum.at(least, at, z)
+            full = np.zeros(64, bool)
+            full[at] = True
+            out[r], out[ROUNDS + r] = (np.packbits(x).view(">u8")[0] for x in ((least & np.uint64(1)).astype(bool) & full, full))
+    return out.astype("<u8").tobytes()
+
+
+def estimated(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard similarities of sketches [n, 2 * ROUNDS], and the variances of the estimates at 0.8. Bins that both have agree where the least hashes do, and in half of the others."""
+    both = a[:, ROUNDS:] & b[:, ROUNDS:]
+    shared = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+    equal = np.bitwise_count(~(a[:, :ROUNDS] ^ b[:, :ROUNDS]) & both).sum(axis=1, dtype=np.int64)
+    any_ = np.maximum(1, np.bitwise_count(a[:, ROUNDS:] | b[:, ROUNDS:]).sum(axis=1, dtype=np.int64))
+    return (2 * equal - shared) / any_, 0.36 / any_
+
+
+def likely(a: np.ndarray, b: np.ndarray, sketch: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pairs may have the similarity ``least``."""
+    found, variance = estimated(sketch[a], sketch[b])
+    return found >= least - SPREADS * np.sqrt(variance)
+
+
+def centrality(fps: np.ndarray, order: np.ndarray, radius: int) -> np.ndarray:
+    """Mean distance of each fingerprint to CENTRES fixed ones of the group, none counting for more than just outside the radius: low in the middle of a family that is a large part of its group."""
+    centres = fps[np.argsort(order, kind="stable")[:CENTRES]]
+    out = np.zeros(len(fps))
+    for i in range(0, len(fps), 1 << 12):
+        out[i : i + (1 << 12)] = np.minimum(distance(fps[i : i + (1 << 12), None], centres[None]), radius + 1).mean(axis=1)
+    return out
+
+
+def ranked(pairs, central: np.ndarray):
+    """The pairs of within() with a rank in place of the distance: the distance and how far the partner is from the middle of its group."""
+    for a, b, d in pairs:
+        yield a, b, np.round(4 * (d + central[b])).astype(np.int64)
+
+
+def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> tuple[list[int], int, int, bytes]:
     """The signed 64-bit words of the fingerprint, one for each seed, the number of shingles, and with ``distinct``, where each
-    shingle counts once, a hash of their set (else 0)."""
+    shingle counts once, a hash of their set (else 0) and their second sketch (else nothing)."""
     h = shingle_hashes(text, width, seeds)
     if not len(h):
-        return [0] * len(seeds), 0, 0
-    of_set = 0
+        return [0] * len(seeds), 0, 0, bytes(16 * ROUNDS if distinct else 0)
+    of_set, sketch = 0, b""
     if distinct:
         once, at = np.unique(h[:, 0], return_index=True)
         h, of_set = h[at], int(np.uint64(xxhash.xxh64_intdigest(once.tobytes())).astype(np.int64))
+        sketch = minimum_sketch(once)
     votes = np.zeros(64 * len(seeds), np.int64)
     for i in range(0, len(h), 16384):
         votes += np.unpackbits(h[i : i + 16384].byteswap().view(np.uint8).reshape(-1, 8 * len(seeds)), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > len(h)).view(">i8").tolist(), len(h), of_set
+    return np.packbits(2 * votes > len(h)).view(">i8").tolist(), len(h), of_set, sketch
 
 
 def fingerprints(docs: DataFrame, width: int, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
-    """doc_id, text_key, f0, f1, ... (the words of the fingerprint as bigint), n_shingles, set_key."""
+    """doc_id, text_key, f0, f1, ... (the words of the fingerprint as bigint), n_shingles, set_key, and with ``distinct`` sketch."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
-    schema = T.StructType([*src.schema.fields[:2], *(T.StructField(f"f{w}", T.LongType()) for w in range(len(seeds))), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.LongType())])
+    schema = T.StructType([*src.schema.fields[:2], *(T.StructField(f"f{w}", T.LongType()) for w in range(len(seeds))), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.LongType()), *([T.StructField("sketch", T.BinaryType())] if distinct else [])])
 
     def run(batches):
         for b in batches:
             got = [fingerprint(x.as_py(), width, seeds, distinct) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[0][w] for g in got], pa.int64()) for w in range(len(seeds))), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[0][w] for g in got], pa.int64()) for w in range(len(seeds))), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), *([pa.array([g[3] for g in got], pa.binary())] if distinct else [])], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -210,7 +264,7 @@ def forest(n: int, pairs) -> np.ndarray:
 
 
 def nearest(pairs, order: np.ndarray, root: np.ndarray, past: np.ndarray, past_order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, distance): for each home the first ``most`` partners of other roots by (distance, order) that come after (past, past_order)."""
+    """(a, b, rank): for each home the first ``most`` partners of other roots by (rank, order) that come after (past, past_order)."""
     out = []
     for a, b, d in pairs:
         take = (root[a] != root[b]) & ((d > past[a]) | ((d == past[a]) & (order[b] > past_order[a])))
@@ -231,7 +285,7 @@ GROUP = ["shard", "low", "high"]
 
 
 def deal_out(distinct: DataFrame, radius: int, words: int, sample_rows: int = 1 << 20, leaf: int = 4096, block: int = 65536, size_ratio: float | None = None) -> DataFrame:
-    """key, f0, f1, ..., size, shard, low, high, own, home: in the groups (shard, low, high) every pair within ``radius`` meets at the home of one of the two.
+    """key, f0, f1, ..., size, (sketch,) shard, low, high, own, home: in the groups (shard, low, high) every pair within ``radius`` meets at the home of one of the two.
 
     A shard's rows are hashed to blocks of about ``block`` rows, and each pair of blocks (low <= high) is a group; own is the row's block. Pairs of rows count
     in the group of their two blocks only, and so once. distinct: key (unique), f0, f1, ... (bigint words), size (bigint). The tree
@@ -242,7 +296,8 @@ def deal_out(distinct: DataFrame, radius: int, words: int, sample_rows: int = 1
     share = min(1 / 16, sample_rows / max(1, total))
     picked = distinct.where(F.shiftrightunsigned(F.xxhash64("key"), 11) < share * float(1 << 53)).select("key", *fp).toPandas().sort_values("key", kind="stable")
     tree = spark.sparkContext.broadcast(grow(picked[fp].to_numpy(np.int64).view(np.uint64), total, radius, leaf))  # fewer nodes than the sample has rows
-    names, schema = ["key", *fp, "size"], f"key {distinct.schema['key'].dataType.simpleString()}, {', '.join(f'{c} bigint' for c in [*fp, 'size'])}"
+    more = ["sketch"] * ("sketch" in distinct.columns)
+    names, schema = ["key", *fp, "size", *more], f"key {distinct.schema['key'].dataType.simpleString()}, {', '.join([*(f'{c} bigint' for c in [*fp, 'size']), *(f'{c} binary' for c in more)])}"
 
     def deal(batches):
         for b in batches:
@@ -289,25 +344,30 @@ def link(distinct: DataFrame, radius: int, words: int, size_ratio: float | None
 def checked_links(groups: DataFrame, docs: DataFrame, width: int, radius: int, words: int, least: float, size_ratio: float | None = None, **options) -> DataFrame:
     """Links (a, b) of keys that span the components of the pairs within ``radius`` whose texts have a Jaccard similarity of at least ``least``.
 
-    groups: key, f0, f1, ..., size, rep (doc_id, text_key), the document that stands for a fingerprint. docs: doc_id, text. A home that gives
+    groups: key, f0, f1, ..., size, sketch, rep (doc_id, text_key), the document that stands for a fingerprint. docs: doc_id, text. A home that gives
     as many partners of a group as it may is open: it goes on behind the last one. Texts are fetched once, for the fingerprints that
     have any partner: the first round names them all.
     """
     fp, kind = [f"f{w}" for w in range(words)], groups.schema["key"].dataType.simpleString()
-    spread = cut(deal_out(groups.select("key", *fp, "size"), radius, words, size_ratio=size_ratio, **options))
+    spread = cut(deal_out(groups.select("key", *fp, "size", "sketch"), radius, words, size_ratio=size_ratio, **options))
     now, most, kept, texts = spread.withColumns({"root": F.col("key"), "past": F.lit(-1), "past_order": F.lit(0).cast("bigint")}), START, None, None
     while True:
         def search(pdf: pd.DataFrame) -> pd.DataFrame:
             keys, order = pdf["key"].to_numpy(), pdf["order"].to_numpy()
             root = pd.factorize(pdf["root"])[0]
-            a, b, d = nearest(pairs_in(pdf, fp, radius, size_ratio), order, root, pdf["past"].to_numpy(), pdf["past_order"].to_numpy(), most)
+            sketch = np.frombuffer(b"".join(pdf["sketch"]), "<u8").reshape(len(pdf), -1)
+            central = centrality(pdf[fp].to_numpy(np.int64).view(np.uint64), order, radius)
+            a, b, d = nearest(ranked(pairs_in(pdf, fp, radius, size_ratio), central), order, root, pdf["past"].to_numpy(), pdf["past_order"].to_numpy(), most)
             at = [pdf[c].iloc[0] for c in ("low", "high")]
-            return pd.DataFrame({"a": keys[a], "b": keys[b], "d": d, "b_order": order[b], "low": np.full(len(a), at[0]), "high": np.full(len(a), at[1])})
+            return pd.DataFrame({"a": keys[a], "b": keys[b], "d": d, "b_order": order[b], "likely": likely(a, b, sketch, least), "low": np.full(len(a), at[0]), "high": np.full(len(a), at[1])})
 
-        found = cut(now.withColumn("order", F.xxhash64("key")).groupBy(*GROUP).applyInPandas(search, f"a {kind}, b {kind}, d bigint, b_order bigint, low int, high int"))
-        fresh = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        found = cut(now.withColumn("order", F.xxhash64("key")).groupBy(*GROUP).applyInPandas(search, f"a {kind}, b {kind}, d bigint, b_order bigint, likely boolean, low int, high int"))
+        fresh = found.where("likely").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        ends = fresh.select("a").union(fresh.select("b")).distinct().toDF("key")
         if texts is None:
-            texts = fetched(fresh, groups, docs)
+            texts = fetched(ends, groups, docs)
+        elif not (missing := cut(ends.join(texts, "key", "left_anti"))).isEmpty():
+            texts = texts.unionByName(fetched(missing, groups, docs))
         fresh = verified(fresh, texts, width, least)
         kept = cut(fresh if kept is None else kept.union(fresh))
         more = found.groupBy("a", "low", "high").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("d", "b_order")).alias("last")).where(F.col("n") == most)
@@ -319,7 +379,7 @@ def checked_links(groups: DataFrame, docs: DataFrame, width: int, radius: int, w
         # only groups that hold an open home
         busy = spread.join(spread.where("home").join(more, "key", "left_semi").select(*GROUP).distinct(), GROUP, "left_semi")
         ahead = busy.join(more, "key", "left").join(roots, "key", "left")
-        now = ahead.select("key", *fp, "size", *GROUP, "own", (F.col("home") & F.col("past").isNotNull()).alias("home"), F.coalesce("_root", "key").alias("root"), F.coalesce("past", F.lit(-1)).alias("past"), F.coalesce("past_order", F.lit(0)).cast("bigint").alias("past_order"))
+        now = ahead.select("key", *fp, "size", "sketch", *GROUP, "own", (F.col("home") & F.col("past").isNotNull()).alias("home"), F.coalesce("_root", "key").alias("root"), F.coalesce("past", F.lit(-1)).alias("past"), F.coalesce("past_order", F.lit(0)).cast("bigint").alias("past_order"))
         most *= GROWTH
 
 
@@ -335,9 +395,8 @@ def jaccard(a: str | None, b: str | None, width: int) -> float:
     return likeness(shingle_set(a, width), shingle_set(b, width))
 
 
-def fetched(links: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
+def fetched(ends: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
     """(key, text) of the ends of links, the text as compressed bytes: it is sent along with each link."""
-    ends = links.select("a").union(links.select("b")).distinct().toDF("key")
     reps = groups.join(ends, "key").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_text"))
     texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_text")))
     once = texts.groupBy("key").agg(F.any_value("text").alias("text"))
@@ -394,7 +453,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 46, seeds: tu
     prints = cut(fingerprints(src, width, seeds, distinct=bool(least)))
     same = [*fp, "n_shingles", "set_key"] if least else [*fp, "n_shingles"] if size_ratio else fp
     # one row for each distinct fingerprint, with the least id it occurs with
-    groups = prints.groupBy(*same).agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("rows"))
+    groups = prints.groupBy(*same).agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("rows"), *([F.any_value("sketch").alias("sketch")] if least else []))
     whole = F.concat(*(F.unhex(F.lpad(F.hex(c), 16, "0")) for c in same))  # all words: nothing is told apart by a shorter hash
     groups = cut(groups.withColumn("key", whole if len(same) > 1 else F.col("f0")))
     sized = groups.withColumn("size", F.col("n_shingles" if size_ratio else "rows"))
@@ -406,4 +465,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 46, seeds: tu
     linked = named.where("node IS NOT NULL")
     least_id = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = linked.join(least_id, "root").select(*same, "rows", "component", "component_id").union(named.where("node IS NULL").select(*same, "rows", "component", "first"))
-    return join_unique(prints.drop(*{"set_key"} - {*same}), cut(classes), same, "rows").select("doc_id", "text_key", *fp, "n_shingles", "component", "component_id")
+    return join_unique(prints.drop("sketch", *{"set_key"} - {*same}), cut(classes), same, "rows").select("doc_id", "text_key", *fp, "n_shingles", "component", "component_id")
