@@ -13,11 +13,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spikeloom.functions.likelihood import terms
+from spikeloom.functions.likelihood import terms, third
 from spikeloom.operators import model
+from spikeloom.plans.by_neuron import ascent
 from spikeloom.plans.gmlm import lbfgs, lockstep, log_det
 
 
@@ -35,16 +37,24 @@ def newton(rows: DataFrame, regressors: list[Column], kind: str, ridge: float =
     """(parameter, estimate, se, converged) of one model for all rows: a job per step, at most regressors^2 numbers each."""
     n = len(regressors)
     data = distinct_rows(rows, regressors).persist()
-    at, w, converged = [F.col(f"r{i}") for i in range(n)], np.zeros(n), False
+    at, w, move, converged = [F.col(f"r{i}") for i in range(n)], np.zeros(n), np.zeros(n), False
+    last = -np.inf
+    upper = np.triu_indices(n)
     try:
         for _ in range(steps):
-            _, dll, d2ll = terms(kind, model.linear(at, w.tolist()), F.col("y"))
-            own = data.withColumn("dll", dll * F.col("n")).withColumn("d2ll", d2ll * F.col("n"))
-            sums = own.agg(*(F.sum(F.col("dll") * a) for a in at), *(F.sum(F.col("d2ll") * a * b) for a in at for b in at)).first()
-            gradient = np.array([s or 0.0 for s in sums[:n]]) - ridge * w
-            hessian = np.array([s or 0.0 for s in sums[n:]]).reshape(n, n) - ridge * np.eye(n)
-            move = solve(hessian, gradient)
-            w = w + np.clip(move, -2, 2)
+            value, dll, d2ll = terms(kind, model.linear(at, w.tolist()), F.col("y"))
+            own = data.withColumns({"ll": value * F.col("n"), "dll": dll * F.col("n"), "d2ll": d2ll * F.col("n")})
+            sums = [s or 0.0 for s in own.agg(F.sum("ll"), *(F.sum(F.col("dll") * a) for a in at), *(F.sum(F.col("d2ll") * at[i] * at[j]) for i, j in zip(*upper, strict=True))).first()]
+            post = sums[0] - 0.5 * ridge * w @ w
+            if not post >= last - 1e-9 * (1 + abs(last)):  # too far (or not finite): back half of the way
+                move = move / 2
+                w = w - move
+                continue
+            last, gradient, hessian = post, np.array(sums[1 : 1 + n]) - ridge * w, np.zeros((n, n))
+            hessian[upper] = sums[1 + n :]
+            hessian = hessian + np.triu(hessian, 1).T - ridge * np.eye(n)
+            move = ascent(hessian, gradient)
+            w = w + move
             if np.abs(move).max() < tolerance:
                 converged = True
                 break
@@ -112,19 +122,32 @@ def cross_validate(rows: DataFrame, regressors: list[Column], fold: str, folds:
     """
     k = len(regressors)
     data = distinct_rows(rows.where(F.col(fold).isNotNull() & (F.col("y") >= 0)), regressors, [fold]).persist()
-    at, n, y = [F.col(f"r{i}") for i in range(k)], F.col("n"), F.col("y")
     w, open_, scale = np.zeros((folds, k)), set(range(folds)), np.ones(folds)
     last, moves, converged = np.full(folds, -np.inf), np.zeros((folds, k)), np.zeros(folds, bool)
 
     def sums_of(fits: list[int], more: bool) -> np.ndarray:
-        columns = []
-        for h in fits:
-            z = F.least(F.lit(90.0), F.greatest(F.lit(-90.0), model.linear(at, w[h].tolist())))
-            ll, r, out = n * (y * z - F.exp(z)), n * F.exp(z), F.col(fold) != h
-            columns += [F.sum(F.when(out, ll)), F.sum(F.when(~out, ll))]
-            if more:
-                columns += [F.sum(F.when(out, (n * y - r) * a)) for a in at] + [F.sum(F.when(out, r * at[i] * at[j])) for i in range(k) for j in range(k)]
-        return np.array([v or 0.0 for v in data.agg(*columns).first()]).reshape(len(fits), -1)
+        """For each fit the log likelihood of the rows it sees and of the others, and with ``more`` gradient and curvature; a task sums its rows first."""
+        weights = w[fits]
+
+        def run(batches):
+            total = np.zeros((len(fits), 2 + (k + k * k) * more))
+            for b in batches:
+                at, y, *x, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+                x = np.stack(x, axis=1)
+                for i, h in enumerate(fits):
+                    z = np.clip(x @ weights[i], -90, 90)
+                    r, seen = np.exp(z) * n, at != h
+                    ll = n * y * z - r
+                    total[i, :2] += ll[seen].sum(), ll[~seen].sum()
+                    if more:
+                        own = x[seen]
+                        total[i, 2 : 2 + k] += own.T @ (n * y - r)[seen]
+                        total[i, 2 + k :] += ((own * r[seen, None]).T @ own).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "v"])
+
+        own = data.select(F.col(fold).cast("double"), "y", *(f"r{i}" for i in range(k)), "n")
+        found = own.mapInArrow(run, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas().sort_values("at")["v"].to_numpy()
+        return found.reshape(len(fits), -1) if len(found) else np.zeros((len(fits), 2 + (k + k * k) * more))
 
     try:
         for _ in range(steps):
@@ -190,57 +213,74 @@ def group_covariance(sizes: list[int]) -> Covariance:
     return covariance
 
 
+def precision_of(covariance: Covariance) -> Callable:
+    """h -> (precision, its derivatives, log determinant, rank) of a covariance; a singular one counts on its range."""
+    def precision(h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], float, int]:
+        s, slopes = covariance(h)
+        values, vectors = np.linalg.eigh(s)
+        kept = values > 1e-12 * max(values.max(initial=0.0), 1e-300)
+        inverse = (vectors[:, kept] / values[kept]) @ vectors[:, kept].T
+        return inverse, [-inverse @ d @ inverse for d in slopes], -float(np.log(values[kept]).sum()), int(kept.sum())
+
+    return precision
+
+
 class Evidence:
-    """Laplace evidence of a Poisson model under a Gaussian prior whose covariance has hyperparameters, and its gradient by them.
+    """Laplace evidence of a model of any likelihood under a Gaussian prior whose covariance has hyperparameters, and its gradient by them.
 
-    The inner fit is a distributed Newton; one more job gives what the curvature's own change with the mode adds, so the gradient is exact.
+    The inner fit is a distributed Newton; one more job gives what the curvature's own change with the mode adds, by the likelihood's third derivative, so the gradient is
+    exact. ``covariance`` gives covariance and derivatives, or has a method ``precision`` (as ``filters.Composed``), where coefficients may be without a prior.
     """
 
-    def __init__(self, rows: DataFrame, regressors: list[Column], covariance: Covariance):
-        self.k, self.covariance = len(regressors), covariance
-        self.data = distinct_rows(rows.where("y >= 0"), regressors).persist()
+    def __init__(self, rows: DataFrame, regressors: list[Column], covariance: Covariance, kind: str = "poiss_exp", dt: float = 1.0, scale: float = 0.5):
+        self.k, self.kind, self.dt, self.scale = len(regressors), kind, dt, scale
+        self.precision = getattr(covariance, "precision", None) or precision_of(covariance)
+        self.data = distinct_rows(rows if kind == "sq_err" else rows.where("y >= 0"), regressors).persist()
         self.at, self.w = [F.col(f"r{i}") for i in range(self.k)], np.zeros(self.k)
+        self.upper = np.triu_indices(self.k)
 
     def close(self) -> None:
         self.data.unpersist()
 
     def _sums(self, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        z = F.least(F.lit(90.0), F.greatest(F.lit(-90.0), model.linear(self.at, w.tolist())))
-        r, n, y = F.col("n") * F.exp(z), F.col("n"), F.col("y")
-        got = [v or 0.0 for v in self.data.agg(F.sum(n * y * z - r), *(F.sum((n * y - r) * a) for a in self.at), *(F.sum(r * a * b) for a in self.at for b in self.at)).first()]
-        return got[0], np.array(got[1 : 1 + self.k]), np.array(got[1 + self.k :]).reshape(self.k, self.k)
+        ll, slope, bend = terms(self.kind, model.linear(self.at, w.tolist()), F.col("y"), self.dt, self.scale)
+        own = self.data.withColumns({"ll": ll * F.col("n"), "slope": slope * F.col("n"), "bend": -bend * F.col("n")})
+        got = [v or 0.0 for v in own.agg(F.sum("ll"), *(F.sum(F.col("slope") * a) for a in self.at), *(F.sum(F.col("bend") * self.at[i] * self.at[j]) for i, j in zip(*self.upper, strict=True))).first()]
+        curve = np.zeros((self.k, self.k))
+        curve[self.upper] = got[1 + self.k :]
+        return got[0], np.array(got[1 : 1 + self.k]), curve + np.triu(curve, 1).T
 
     def fit(self, h: np.ndarray, steps: int = 50, tolerance: float = 1e-10) -> tuple[np.ndarray, float, np.ndarray]:
         """Maximum a posteriori weights, the log posterior there, and the log likelihood's curvature."""
-        inverse = np.linalg.inv(self.covariance(h)[0])
-        constant = 0.5 * log_det(inverse) - 0.5 * self.k * np.log(2 * np.pi)
+        prior, _, logdet, rank = self.precision(h)
+        constant = 0.5 * logdet - 0.5 * rank * np.log(2 * np.pi)
         w, last, move = self.w, -np.inf, np.zeros(self.k)
         for _ in range(steps):
             ll, g, curve = self._sums(w)
-            post = ll - 0.5 * w @ inverse @ w + constant
-            if post < last - 1e-9 * (1 + abs(last)):
+            post = ll - 0.5 * w @ prior @ w + constant
+            if not post >= last - 1e-9 * (1 + abs(last)):
                 move = move / 2
                 w = w - move
                 continue
             if post - last < tolerance * (1 + abs(post)):
                 break
-            last, move = post, np.linalg.solve(curve + inverse, g - inverse @ w)
+            last, move = post, ascent(-curve - prior, g - prior @ w)
             w = w + move
         self.w = w  # the next fit starts here
         return w, post, curve
 
     def value(self, h: np.ndarray) -> tuple[float, np.ndarray]:
-        covariance, slopes = self.covariance(h)
+        prior, slopes, _, _ = self.precision(h)
         w, post, curve = self.fit(h)
-        inverse = np.linalg.inv(covariance)
-        whole = np.linalg.inv(curve + inverse)
-        evidence = post + 0.5 * self.k * np.log(2 * np.pi) - 0.5 * log_det(curve + inverse)
-        by_inverse = [-inverse @ d @ inverse for d in slopes]
-        moves = [-whole @ b @ w for b in by_inverse]  # of the mode
+        whole = np.linalg.inv(curve + prior)
+        evidence = post + 0.5 * self.k * np.log(2 * np.pi) - 0.5 * log_det(curve + prior)
+        moves = [-whole @ b @ w for b in slopes]  # of the mode
         leverage = sum((float(whole[i, j]) * self.at[i] * self.at[j] for i in range(self.k) for j in range(self.k)), F.lit(0.0))
-        r = F.col("n") * F.exp(F.least(F.lit(90.0), model.linear(self.at, w.tolist())))
-        bends = self.data.agg(*(F.sum(r * leverage * model.linear(self.at, m.tolist())) for m in moves)).first()
-        grad = [0.5 * np.trace(covariance @ b) - 0.5 * w @ b @ w - 0.5 * np.trace(whole @ b) - 0.5 * (bend or 0.0) for b, bend in zip(by_inverse, bends, strict=True)]
+        change = -third(self.kind, model.linear(self.at, w.tolist()), F.col("y"), self.dt) * F.col("n")
+        own = self.data.withColumn("change", change * leverage)
+        bends = own.agg(*(F.sum(F.col("change") * model.linear(self.at, m.tolist())) for m in moves)).first() if moves else []
+        root = np.linalg.pinv(prior)
+        grad = [0.5 * np.trace(root @ b) - 0.5 * w @ b @ w - 0.5 * np.trace(whole @ b) - 0.5 * (bend or 0.0) for b, bend in zip(slopes, bends, strict=True)]
         return float(evidence), np.array(grad)
 
     def maximum(self, h: np.ndarray, **options) -> dict:
@@ -250,12 +290,12 @@ class Evidence:
         return {"h": found["x"], "value": found["value"], "steps": found["steps"], "converged": found["converged"], "w": w}
 
 
-def evidence_cross_validated(rows: DataFrame, regressors: list[Column], covariance: Covariance, h: np.ndarray, fold: str, folds: int, **options) -> list[dict]:
+def evidence_cross_validated(rows: DataFrame, regressors: list[Column], covariance: Covariance, h: np.ndarray, fold: str, folds: int, kind: str = "poiss_exp", **options) -> list[dict]:
     """For each fold the evidence's hyperparameters and weights without it, and its held-out log likelihood. Rows without a fold take no part."""
     out = []
     for k in range(folds):
-        own = Evidence(rows.where(F.col(fold).isNotNull() & (F.col(fold) != k)), regressors, covariance)
-        held = Evidence(rows.where(F.col(fold) == k), regressors, covariance)
+        own = Evidence(rows.where(F.col(fold).isNotNull() & (F.col(fold) != k)), regressors, covariance, kind)
+        held = Evidence(rows.where(F.col(fold) == k), regressors, covariance, kind)
         try:
             found = own.maximum(h, **options)
             out.append({"held": k, **found, "test_ll": float(held._sums(found["w"])[0])})

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from spikeloom.functions import bases, basis_sets, likelihood, priors, stimulus
 from spikeloom.functions.likelihood import LIKELIHOODS
 from spikeloom.operators import builders, design, model
-from spikeloom.plans import compare, fits, gmlm, horseshoe, sampler
+from spikeloom.plans import by_neuron, compare, filters, fits, gmlm, horseshoe, sampler
 from spikeloom.sources import trials
 
 TRIAL = ["neuron", "trial"]
@@ -224,8 +224,9 @@ def spike_history_lag(spark, sf_dir):
 
 @query("spike_history_basis", "SELECT neuron, trial, round(sum(h1 * cos(1) + h2 * cos(2) + h3 * cos(3)), 6) AS x0, round(sum(h1 * sin(1) + h2 * sin(2) + h3 * sin(3)), 6) AS x1 FROM hist GROUP BY ALL")
 def spike_history_basis(spark, sf_dir):
-    rows = design.history_basis(bins(spark, sf_dir), [[math.cos(j), math.sin(j)] for j in (1, 2, 3)])
-    return rounded(rows.groupBy(*TRIAL).agg(F.sum("x0").alias("x0"), F.sum("x1").alias("x1")))
+    """The counts before a bin come out of its trial's array, without a window."""
+    rows = timed(spark, sf_dir, 3)
+    return rounded(rows.groupBy(*TRIAL).agg(*(F.sum(sum(wave(j) * F.col(f"h{j}") for j in (1, 2, 3))).alias(f"x{i}") for i, wave in enumerate((math.cos, math.sin)))))
 
 
 @query("raised_cosine_basis", """, k AS (SELECT b.neuron, b.trial, b.y, b.bin - t.sample AS lag, i.k FROM bins b JOIN times t USING (neuron, trial) CROSS JOIN range(4) i(k) WHERE b.bin >= t.sample),
@@ -385,10 +386,12 @@ def grad_v(spark, sf_dir):
 
 @query("grad_t_shared", """SELECT p.ix, round(sum(d.dll * (0.1 * (1 + d.neuron % 3)) * sin(p.feature + 1) / 2), 5) AS g0, round(sum(d.dll * (0.1 * (1 + d.neuron % 3) - 0.05) * sin(p.feature + 2) / 2), 5) AS g1 FROM gd d JOIN eu p USING (neuron, trial, bin) WHERE p.ix >= 0 GROUP BY ALL""")
 def grad_t_shared(spark, sf_dir):
-    """Derivative by the timing mode: sums by index come first, the factor's matrix isn't touched."""
-    at = F.explode(F.array(*(F.struct(ix.alias("ix"), *((F.col("dll") * load(r) * tuning(feature, r)).alias(f"g{r}") for r in range(RANK))) for ix, feature in design.two_events(DIRECTIONS, STEPS))))
-    rows = tensor_rows(spark, sf_dir).select(at.alias("e")).select("e.*").where("ix >= 0")
-    return rounded(rows.groupBy("ix").agg(*(F.sum(f"g{r}").alias(f"g{r}") for r in range(RANK))), 5)
+    """Derivative by the timing mode: rates are done before events are spread, and events that aren't there go before they are weighted."""
+    pairs = design.two_events(DIRECTIONS, STEPS)
+    flat = tensor_rows(spark, sf_dir).select("dll", *(load(r).alias(f"v{r}") for r in range(RANK)), *(c.alias(f"{n}{e}") for e, pair in enumerate(pairs) for n, c in zip(("ix", "f"), pair, strict=True)))
+    at = F.explode(F.array(*(F.struct(F.col(f"ix{e}").alias("ix"), F.col(f"f{e}").alias("f")) for e in range(len(pairs)))))
+    rows = flat.select("dll", *(f"v{r}" for r in range(RANK)), at.alias("e")).where("e.ix >= 0").groupBy("e.ix", "e.f").agg(*(F.sum(F.col("dll") * F.col(f"v{r}")).alias(f"s{r}") for r in range(RANK)))
+    return rounded(rows.groupBy("ix").agg(*(F.sum(F.col(f"s{r}") * tuning(F.col("f"), r)).alias(f"g{r}") for r in range(RANK))), 5)
 
 
 EMB_SQL = "WITH e AS (SELECT vec_id, label, embedding, (vec_id % 3)::DOUBLE AS y, list_sum(list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * sin(i + 1))) / 8 AS a FROM embeddings), d AS (SELECT *, y - exp(-0.5 + 0.2 * a) AS dll FROM e) "
@@ -715,7 +718,15 @@ def fit_table(spark, model, found):
 
 @query("gmlm_mle")
 def gmlm_mle(spark, sf_dir):
-    return fitted(spark, sf_dir, lambda model, start: fit_table(spark, model, model.fit([start], steps=300)[0]))
+    """Neurons' parameters are fitted where they lie; only the modes are on the driver."""
+    rows, spec, _ = general(spark, sf_dir)
+    own = by_neuron.Fit(rows, spec, gmlm.random_params(spec, 1), precision={"B": 1e-4, "g.V": 1e-4})  # counts of a few bins don't fix all coefficients of a neuron
+    try:
+        found = own.run(12, 1e-6)
+        own.normalize()
+    finally:
+        own.close()
+    return own.parameters().withColumns({"value_at": F.lit(found["value"]), "converged": F.lit(found["converged"])})
 
 
 @query("gmlm_map")
@@ -739,12 +750,20 @@ def gmlm_cv(spark, sf_dir):
 
 
 def cut_rows(spark, df: DataFrame) -> DataFrame:
-    """``df`` as it is now, so that the rows it was made from may be let go."""
-    return df.persist() if df.count() >= 0 else df
+    """``df`` as it is now, in a table, so that the rows it was made from may be let go."""
+    df.write.parquet(path := trials.shared_folder(spark, "rows"))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Runs of this process, by application and folder: a run's queries read the same sinks.
+RUNS: dict[tuple, str] = {}
 
 
 def sampled(spark, sf_dir) -> dict[str, DataFrame]:
     """Two chains of the general model under a regularized horseshoe, with scaling steps; a short run, cut into two blocks and gone on with."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in RUNS:
+        return sampler.stored(spark, RUNS[key])
     rows, spec, params = general(spark, sf_dir)
     size = horseshoe.Scales(spec, spec.groups[0]).size
     spec = dataclasses.replace(spec, hyper=size)
@@ -753,10 +772,13 @@ def sampled(spark, sf_dir) -> dict[str, DataFrame]:
     model = gmlm.Model(rows, spec, priors_, horseshoe.chain([scales]))
     starts = [gmlm.random_params(spec, k) | {"W": params["W"], "B": params["B"], "H": scales.draw(np.random.default_rng(k))} for k in range(2)]
     own = sampler.settings(6, 4, schedule=[(1, 6)], mass=[], block=5, first_step=0.005, least_step=0.005, length=0.02, most_steps=4)
+    path = trials.shared_folder(spark, "chains")
     try:
-        return sampler.sample(model, starts, own, trials.shared_folder(spark, "chains"), TRIAL, [sampler.scaling_step(spec, 0, priors_)])
+        found = sampler.sample(model, starts, own, path, TRIAL, [sampler.scaling_step(spec, 0, priors_)])
     finally:
         model.close()
+    RUNS[key] = path
+    return found
 
 
 @query("gmlm_sampler_draws")
@@ -771,6 +793,91 @@ def gmlm_sampler_trial_ll(spark, sf_dir):
     return sampled(spark, sf_dir)["trial_ll"]
 
 
+@query("gmlm_sampler_summary")
+def gmlm_sampler_summary(spark, sf_dir):
+    """WAIC, PSIS-LOO with its diagnostics, acceptance and early rejections of the stored run."""
+    return sampler.summary(sampled(spark, sf_dir), TRIAL, 6)
+
+
+@query("gmlm_sampler_acceptance")
+def gmlm_sampler_acceptance(spark, sf_dir):
+    return sampler.trailing_acceptance(sampled(spark, sf_dir))
+
+
+@query("gmlm_sampler_magnitudes")
+def gmlm_sampler_magnitudes(spark, sf_dir):
+    """Components' magnitudes in every draw."""
+    return sampler.magnitudes(sampled(spark, sf_dir), "g")
+
+
+def line_model(spark, sf_dir, priors_, **more) -> gmlm.Model:
+    """A constant for each line number with normal errors: quantities in tens."""
+    lines = trials.table(spark, sf_dir, "lineitem")
+    rows = lines.select(F.col("l_returnflag").alias("trial"), (F.col("l_linenumber") - 1).cast("bigint").alias("neuron_ix"), (F.col("l_quantity").cast("double") / 10).alias("y"), F.lit(1.0).alias("w"))
+    return gmlm.Model(rows, gmlm.Spec(7, 0, kind="sq_err", **more), priors_)
+
+
+@query("noise_sampler", "WITH s AS (SELECT l_linenumber - 1 AS row, count(*) AS n, count(*) * var_pop(l_quantity::DOUBLE / 10) AS ss FROM lineitem GROUP BY 1) SELECT row::INT AS row, round((2 + (n - 1) / 2.0) / (1 + ss / 2), 5) AS conjugate_mean, 1.0::DOUBLE AS ratio FROM s")
+def noise_sampler(spark, sf_dir):
+    """Means of constants drawn by Hamiltonian steps with noise precisions drawn by Gibbs steps, beside the precision's conjugate mean; their ratio to one digit."""
+    model = line_model(spark, sf_dir, [gmlm.gaussian_prior({"W": 3.0}), sampler.noise_prior()])
+    own = sampler.settings(6, 24, schedule=[(2, 6)], mass=[], block=30, first_step=0.01, least_step=0.005, length=0.03, most_steps=3, jumps=(1,))
+    try:
+        run = sampler.sample(model, [gmlm.empty_params(model.spec)], own, trials.shared_folder(spark, "chains"), ["neuron_ix"], [sampler.noise_step(model)])
+        y, n = F.col("y"), F.count(F.lit(1))
+        exact = model.rows.groupBy(F.col("neuron_ix").cast("int").alias("row")).agg(((2 + (n - 1) / 2) / (1 + n * F.var_pop(y) / 2)).alias("conjugate_mean"))
+        drawn = run["draws"].where("block = 'noise' AND iter > 6").groupBy("row").agg(F.avg("value").alias("mean"))
+        return cut_rows(spark, exact.join(drawn, "row").select("row", F.round("conjugate_mean", 5).alias("conjugate_mean"), F.round(F.col("mean") / F.col("conjugate_mean"), 1).alias("ratio")))
+    finally:
+        model.close()
+
+
+@query("map_conjugate", "SELECT (l_linenumber - 1)::INT AS row, round(sum(l_quantity::DOUBLE / 10) / (count(*) + 0.25), 4) AS estimate, round(-(count(*) + 0.25), 2) AS curvature FROM lineitem GROUP BY 1")
+def map_conjugate(spark, sf_dir):
+    """A posteriori mode and the Hessian's diagonal there of a model with closed form."""
+    model = line_model(spark, sf_dir, [gmlm.gaussian_prior({"W": math.log(2.0)})])
+    try:
+        best = model.fit([gmlm.empty_params(model.spec)], prior=True, tolerance=1e-14)[0]["params"]
+        curvature = np.diag(model.hessian(best, blocks={"W"}))
+    finally:
+        model.close()
+    return spark.createDataFrame([(i, round(float(v), 4), round(float(c), 2)) for i, (v, c) in enumerate(zip(best["W"], curvature, strict=True))], "row int, estimate double, curvature double")
+
+
+EVIDENCE_AT = (-1.0, -0.25, 0.5)
+
+
+@query("evidence_squared_error", "WITH s AS (SELECT count(*)::DOUBLE AS n, sum(l_discount::DOUBLE * 100) AS g, sum((l_discount::DOUBLE * 100) * (l_discount::DOUBLE * 100)) AS q FROM lineitem), h AS (SELECT h, exp(2 * h) AS s FROM (VALUES (-1.0::DOUBLE), (-0.25), (0.5)) t(h)) "
+       "SELECT h, round(-0.5 * q + 0.5 * g * g / (n + 1 / s) - 0.5 * ln(1 + s * n), 2) AS log_evidence, round(2 * s * (0.5 * g * g / (s * s) / ((n + 1 / s) * (n + 1 / s)) - 0.5 * n / (1 + s * n)), 4) AS gradient FROM s, h")
+def evidence_squared_error(spark, sf_dir):
+    """Evidence and its gradient of a constant with normal errors, whose closed form is known."""
+    lines = trials.table(spark, sf_dir, "lineitem").select((F.col("l_discount").cast("double") * 100).alias("y"))
+    own = fits.Evidence(lines, [F.lit(1.0)], fits.group_covariance([1]), "sq_err")
+    try:
+        found = [(h, *own.value(np.array([h]))) for h in EVIDENCE_AT]
+    finally:
+        own.close()
+    return spark.createDataFrame([(h, round(v, 2), round(float(g[0]), 4)) for h, v, g in found], "h double, log_evidence double, gradient double")
+
+
+@query("prior_composed_filters", ", w AS (SELECT neuron, avg(y) AS a, avg(h1) AS b, avg(h2) AS c, avg(h3) AS d, avg(y * y) AS e FROM hist GROUP BY 1) SELECT neuron, round(-0.5 * (a * a + b * b) * exp(-0.4) - 0.4 - ln(2 * pi()) - 0.5 * (c * c + d * d) * exp(1.0) + 1.0 - ln(2 * pi()), 6) AS lp, round(-a * exp(-0.4), 6) AS d_lever, round(-c * exp(1.0), 6) AS d_history, round((a * a + b * b) * exp(-0.4) - 2, 6) AS h_lever FROM w")
+def prior_composed_filters(spark, sf_dir):
+    """Log density and derivatives of each neuron's five weights under a composed prior: two parts with a scale of their own, and a constant without any."""
+    import pyarrow as pa
+
+    own = filters.Composed([filters.independent("lever", 2, None), filters.independent("history", 2, None), filters.free("constant", 1)])
+    rows = timed(spark, sf_dir, 3).groupBy("neuron").agg(*(F.avg(c).alias(n) for n, c in zip("abcde", (F.col("y"), F.col("h1"), F.col("h2"), F.col("h3"), F.col("y") * F.col("y")), strict=True)))
+    h = np.array([0.2, -0.5])
+
+    def run(batches):
+        for b in batches:
+            found = [own.log_prior(np.array(w), h) for w in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+            columns = [[f[0] for f in found], [f[1][0] for f in found], [f[1][2] for f in found], [f[2][0] for f in found]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.float64()) for c in columns)], names=["neuron", "lp", "d_lever", "d_history", "h_lever"])
+
+    return rounded(rows.mapInArrow(run, f"neuron {rows.schema['neuron'].dataType.simpleString()}, lp double, d_lever double, d_history double, h_lever double"))
+
+
 @query("noise_precision_draws")
 def noise_precision_draws(spark, sf_dir):
     """Conjugate draws of each neuron's noise precision."""
@@ -1028,7 +1135,7 @@ def glm_unit_fits(spark, sf_dir):
 
 @query("cv_fit")
 def cv_fit(spark, sf_dir):
-    rows = timed(spark, sf_dir, 3).join(folds(spark, sf_dir), TRIAL)
+    rows = timed(spark, sf_dir, 3).withColumn("fold", F.pmod(F.col("neuron") + F.dayofmonth(F.to_date("trial")), F.lit(FOLDS)))
     return fits.cross_validate(rows, [F.lit(1.0), *regressors()], "fold", FOLDS)
 
 
