@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from spikeloom.sources.trials import shared_folder
+
 
 def log_sum_exp(rows: DataFrame, x: str, keys: list[str]) -> DataFrame:
     """lse and lme (log of sum and mean of exponentials) by ``keys``; NaN and null are left out, maxima are shifted out."""
@@ -37,17 +39,59 @@ def waic(draws: DataFrame, ll: str, keys: list[str]) -> DataFrame:
     return own.select(*keys, (F.col("_v") - log_mean_exp(F.col("_all"))).alias("waic"))
 
 
-def percentiles(rows: DataFrame, x: str, keys: list[str], qs: list[float]) -> DataFrame:
-    """q0, q1, ...: quantiles by ``keys`` where the k-th of n values is the quantile (k - 0.5) / n, linear between, constant outside."""
-    own = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(x)).alias("_all"))
-    n = F.size("_all")
-    out = []
-    for i, q in enumerate(qs):
-        at = F.greatest(F.lit(1.0), F.least(n.cast("double"), q * n + 0.5))
-        low = F.floor(at).cast("int")
-        a, b = F.get("_all", low - 1), F.get("_all", F.least(low, n - 1))
-        out.append((a + (b - a) * (at - low)).alias(f"q{i}"))
-    return own.select(*keys, *out)
+#: Values of a unit that are ordered in one place.
+FEW = 4096
+#: Bins of a unit in each round of ``ranked_values``.
+BINS = 256
+
+
+def percentiles(rows: DataFrame, x: str, keys: list[str], qs: list[float], few: int = FEW) -> DataFrame:
+    """q0, q1, ...: quantiles by ``keys`` where the k-th of n values is the quantile (k - 0.5) / n, linear between, constant outside.
+
+    Equal values are counted first. Units of up to ``few`` different values are ordered by a window; if there are larger ones, the values at the ranks in question are found by
+    counts in bins (``ranked_values``), so no row or task holds a unit's values. Both are exact.
+    """
+    values = rows.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    totals = values.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_many"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    at = [F.greatest(F.lit(1.0), F.least(F.col("_total").cast("double"), q * F.col("_total") + 0.5)) for q in qs]
+    low = [F.floor(a).cast("bigint") for a in at]
+    high = [F.least(b + 1, F.col("_total")) for b in low]
+    if (totals.agg(F.max("_many")).first()[0] or 0) <= few:
+        unit = W.partitionBy(*keys)
+        upto = values.select(*keys, "_x", F.sum("_n").over(unit).alias("_total"), F.sum("_n").over(unit.orderBy("_x")).alias("_upto"))
+        ranks = [F.min(F.when(F.col("_upto") >= r, F.col("_x"))).alias(f"_{n}{i}") for n, rs in (("b", low), ("t", high)) for i, r in enumerate(rs)]
+        own = upto.groupBy(*keys, "_total").agg(*ranks)
+        pairs = [(F.col(f"_b{i}"), F.col(f"_t{i}")) for i in range(len(qs))]
+    else:
+        wanted = F.explode(F.array_distinct(F.array(*low, *high))).alias("_rank")
+        found = ranked_values(values, totals.select(*keys, "_low", "_high", wanted), keys)
+        own = totals.join(found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_at")), keys)  # two entries a quantile
+        pairs = [(F.element_at("_at", b), F.element_at("_at", t)) for b, t in zip(low, high, strict=True)]
+    return own.select(*keys, *((v + (u - v) * (a - b)).alias(f"q{i}") for i, (a, b, (v, u)) in enumerate(zip(at, low, pairs, strict=True))))
+
+
+def ranked_values(values: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """(``keys``, _rank, _x): the values at wanted ranks. values: ``keys``, _x, _n (how often). wanted: ``keys``, _rank, _low, _high (of the unit).
+
+    Each round counts the values between a rank's bounds in BINS bins, whose one that has the rank gives the next bounds; when BINS different values are left at most, they are ordered.
+    """
+    spark, place = values.sparkSession, [*keys, "_rank"]
+    wanted = wanted.withColumn("_before", F.lit(0).cast("bigint"))
+    while True:
+        inside = values.join(wanted, keys).where(F.col("_x").between(F.col("_low"), F.col("_high")))
+        size = F.col("_high") - F.col("_low")
+        b = F.when(size > 0, F.least(F.lit(BINS - 1), F.floor((F.col("_x") - F.col("_low")) / size * BINS))).otherwise(0).cast("int")
+        counted = inside.groupBy(*place, "_before", b.alias("_bin")).agg(F.sum("_n").alias("_c"), F.count(F.lit(1)).alias("_many"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+        before = F.col("_before") + F.sum("_c").over(W.partitionBy(*place).orderBy("_bin")) - F.col("_c")  # over BINS rows at most
+        hit = counted.select(*place, before.alias("_before"), "_c", "_many", "_low", "_high").where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_c"))).drop("_c")
+        hit.write.parquet(path := shared_folder(spark, "ranks"))
+        wanted = spark.read.schema(hit.schema).parquet(path)
+        if (wanted.agg(F.max("_many")).first()[0] or 0) <= BINS:
+            break
+        wanted = wanted.drop("_many")
+    inside = values.join(wanted.drop("_many"), keys).where(F.col("_x").between(F.col("_low"), F.col("_high")))
+    upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*place).orderBy("_x"))
+    return inside.select(*place, "_x", upto.alias("_upto")).where(F.col("_upto") >= F.col("_rank")).groupBy(*place).agg(F.min("_x").alias("_x"))
 
 
 def ellipse(cc: Column, cs: Column, ss: Column) -> dict[str, Column]:

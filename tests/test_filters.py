@@ -78,3 +78,19 @@ def test_evidence_gradient_of_every_likelihood(spark, kind):
     up, down = own.value(h + step)[0], own.value(h - step)[0]
     assert np.isfinite(value) and gradient[0] == pytest.approx((up - down) / (2 * step), rel=2e-3, abs=1e-4)
     own.close()
+
+
+def test_percentiles_without_a_units_values_in_a_row(spark):
+    from spikeloom.plans import compare
+
+    rng = np.random.default_rng(4)
+    rows = [(0, float(v)) for v in rng.normal(size=5000)] + [(1, float(v)) for v in np.exp(20 * rng.normal(size=3000))] + [(2, float(v)) for v in rng.integers(0, 5, 400)] + [(3, 7.5), (4, None), (5, 1.0), (5, 2.0)]
+    frame = spark.createDataFrame(rows, "unit int, x double").repartition(3)
+    qs = [0.0, 0.01, 0.25, 0.5, 0.999, 1.0]
+    some = {r["unit"]: r[1:] for r in compare.percentiles(frame, "x", ["unit"], qs, few=10_000).collect()}
+    binned = {r["unit"]: r[1:] for r in compare.percentiles(frame, "x", ["unit"], qs, few=1).collect()}
+    assert set(some) == set(binned) == {0, 1, 2, 3, 5}
+    for u in some:
+        x = np.sort([v for k, v in rows if k == u])
+        want = np.interp(np.array(qs) * len(x) + 0.5, np.arange(1, len(x) + 1), x)
+        assert np.allclose(some[u], want, rtol=1e-12) and np.allclose(binned[u], want, rtol=1e-12)
