@@ -161,6 +161,39 @@ def loadings(spec: Spec, params: Params, group: int) -> list[tuple[np.ndarray, n
     return out
 
 
+def loadings_table(rows: DataFrame, keys: list[str], rank: int) -> DataFrame:
+    """(``keys``, block, row, component, loading, singular_value): higher-order singular vectors of a tensor's unfoldings, as ``loadings``, for every value of ``keys`` (draws, chains).
+
+    rows: ``keys``, block (the loads and the modes of one group), row, col, value. Blocks meet as sums of products only, rank^2 numbers each, so loads of any number of
+    neurons stay where they are. A vector's sign makes its sum positive.
+    """
+    vectors = rows.groupBy(*keys, "block", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda v: v["value"]).alias("x"))  # ``rank`` numbers
+    at = [F.get("x", F.lit(r)) for r in range(rank)]
+    sums = vectors.groupBy(*keys, "block").agg(F.array(*(F.sum(a * b) for a in at for b in at)).alias("gram"), F.array(*(F.sum(a) for a in at)).alias("sum"))
+    packed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "gram", "sum"))).alias("blocks"))  # as many as the group has blocks
+    own = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def turns(batches):
+        for b in batches:
+            at, names, matrix, size = [], [], [], []
+            for i, blocks in enumerate(b.column(len(keys)).to_pylist()):
+                grams = [np.array(x["gram"]).reshape(rank, rank) for x in blocks]
+                for k, x in enumerate(blocks):
+                    values, basis = np.linalg.eigh(math.prod((g for j, g in enumerate(grams) if j != k), start=np.ones((rank, rank))))
+                    root = basis * np.sqrt(np.maximum(values, 0))
+                    squares, turn = np.linalg.eigh(root.T @ grams[k] @ root)
+                    squares, turn = np.maximum(squares[::-1], 0), turn[:, ::-1]
+                    s = np.sqrt(squares)
+                    m = root @ turn * np.where(s > 1e-12 * max(s.max(), 1e-300), 1 / np.maximum(s, 1e-300), 0.0)
+                    m = m * np.where(np.array(x["sum"]) @ m < 0, -1.0, 1.0)
+                    at.append(i), names.append(x["block"]), matrix.append(m.ravel().tolist()), size.append(s.tolist())
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in b.columns[: len(keys)]), pa.array(names, pa.string()), pa.array(matrix, pa.list_(pa.float64())), pa.array(size, pa.list_(pa.float64()))], names=[*keys, "block", "m", "s"])
+
+    turned = packed.mapInArrow(turns, f"{own + ', ' if own else ''}block string, m array<double>, s array<double>")
+    found = [F.struct(F.lit(r).alias("component"), sum((F.get("x", F.lit(q)) * F.get("m", F.lit(q * rank + r)) for q in range(rank)), F.lit(0.0)).alias("loading"), F.get("s", F.lit(r)).alias("singular_value")) for r in range(rank)]
+    return vectors.join(turned, [*keys, "block"]).select(*keys, "block", "row", F.explode(F.array(*found)).alias("f")).select(*keys, "block", "row", "f.*")
+
+
 # ---- one block of bins
 
 def khatri_rao(modes: list[np.ndarray]) -> np.ndarray:

@@ -902,10 +902,9 @@ def dirichlet_draws(spark, sf_dir):
 
 @query("tensor_loadings")
 def tensor_loadings(spark, sf_dir):
-    """Higher-order singular vectors of the group's tensor, by axis (0: neurons, then the modes)."""
-    _, spec, params = general(spark, sf_dir)
-    rows = [(axis, i, r, float(u[i, r]), float(values[r])) for axis, (u, values) in enumerate(gmlm.loadings(spec, params, 0)) for i, r in np.ndindex(u.shape)]
-    return spark.createDataFrame(rows, "axis int, row int, component int, loading double, singular_value double")
+    """Higher-order singular vectors of the group's tensor in every draw of the sampler's sink."""
+    own = sampled(spark, sf_dir)["draws"].where(F.col("block").startswith("g."))
+    return gmlm.loadings_table(own.withColumn("value", F.col("natural")), ["chain", "iter"], RANK)
 
 
 # ---- builders and bases

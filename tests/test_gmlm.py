@@ -165,6 +165,22 @@ def test_normalization_and_loadings():
     assert np.allclose(q["m.T0"] @ q["m.V"].T, p["m.T0"] @ p["m.V"].T)
 
 
+def test_loadings_of_stored_draws(spark):
+    spec, _, _ = made(SCENARIOS[2], "poiss_exp", rank=2, neurons=9)
+    blocks = ["g.V", "g.T0", "g.T1"]
+    sets = [gmlm.random_params(spec, k, 1.0) for k in range(3)]
+    rows = [(d, k, i, j, float(v)) for d, p in enumerate(sets) for k in blocks for (i, j), v in np.ndenumerate(p[k])]
+    found = gmlm.loadings_table(spark.createDataFrame(rows, "draw int, block string, row int, col int, value double").repartition(3), ["draw"], 2).toPandas()
+    for d, p in enumerate(sets):
+        for k, (u, s) in zip(blocks, gmlm.loadings(spec, p, 0), strict=True):
+            own = found[(found["draw"] == d) & (found["block"] == k)]
+            for r in range(min(2, len(s))):
+                mine = own[own["component"] == r].sort_values("row")
+                assert np.allclose(mine["singular_value"], s[r], atol=1e-7)
+                if s[r] > 1e-6:
+                    assert np.allclose(mine["loading"], u[:, r] * np.sign(u[:, r].sum()), atol=1e-6)
+
+
 def test_specs_and_parameters_are_checked():
     with pytest.raises(ValueError, match="columns"):
         gmlm.Spec(1, 0, (gmlm.Group("g", (3,), (0,), (gmlm.Factor("f", 4),), 1),))
