@@ -351,6 +351,7 @@ def checked_links(groups: DataFrame, docs: DataFrame, width: int, radius: int, w
     fp, kind = [f"f{w}" for w in range(words)], groups.schema["key"].dataType.simpleString()
     spread = cut(deal_out(groups.select("key", *fp, "size", "sketch"), radius, words, size_ratio=size_ratio, **options))
     now, most, kept, texts = spread.withColumns({"root": F.col("key"), "past": F.lit(-1), "past_order": F.lit(0).cast("bigint")}), START, None, None
+    roots = None
     while True:
         def search(pdf: pd.DataFrame) -> pd.DataFrame:
             keys, order = pdf["key"].to_numpy(), pdf["order"].to_numpy()
@@ -368,14 +369,15 @@ def checked_links(groups: DataFrame, docs: DataFrame, width: int, radius: int, w
             texts = fetched(ends, groups, docs)
         elif not (missing := cut(ends.join(texts, "key", "left_anti"))).isEmpty():
             texts = texts.unionByName(fetched(missing, groups, docs))
-        fresh = verified(fresh, texts, width, least)
-        kept = cut(fresh if kept is None else kept.union(fresh))
+        new = cut(verified(fresh, texts, width, least))
+        kept = new if kept is None else kept.union(new)
         more = found.groupBy("a", "low", "high").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("d", "b_order")).alias("last")).where(F.col("n") == most)
         more = more.groupBy(F.col("a").alias("key")).agg(F.min("last").alias("last"))  # no group of the home has been searched less far
         more = cut(more.select("key", F.col("last.d").cast("int").alias("past"), F.col("last.b_order").alias("past_order")))
         if more.isEmpty():
             return kept
-        roots = components(kept).toDF("key", "_root")
+        if roots is None or not new.isEmpty():  # else the components are those of the round before
+            roots = cut(components(kept).toDF("key", "_root"))
         # only groups that hold an open home
         busy = spread.join(spread.where("home").join(more, "key", "left_semi").select(*GROUP).distinct(), GROUP, "left_semi")
         ahead = busy.join(more, "key", "left").join(roots, "key", "left")
