@@ -4,15 +4,15 @@ Each language has a raw-content zstandard dictionary made of labelled texts. A t
 every chunk is compressed with every dictionary, and the language with the smallest total wins. The
 prediction is rejected (``accepted`` is false) when the runner-up is nearly as small.
 
-Training uses a bounded sample of labelled rows: for each language at most ``sample_docs`` distinct texts, those with the smallest hash of
-the text, as long as those before hold less than ``dict_bytes``. Sampled texts are used whole; texts longer than ``dict_bytes`` aren't
-sampled. Sample texts whose label the other half of the sample contradicts are left out, unless the other half hasn't that language. The
-sample is chosen by hashes alone, then its texts are fetched. Only texts and languages are learned from, never ids or sources. Prediction reads
-whole texts.
+Training uses a bounded sample of labelled rows. Texts are cut into pieces of at most PIECE characters, so that very long ones take part, and for each language at most
+``sample_docs`` distinct pieces are taken, those with the smallest hash, as long as those before hold less than ``dict_bytes``. The ``most_langs`` languages with the most
+distinct pieces are learned, so a dirty column makes no more dictionaries than that. Pieces whose label the other half of the sample contradicts are left out, unless the other half
+hasn't that language; of a language whose pieces are all contradicted the least contradicted half stays. The sample is chosen by hashes alone, then its texts are fetched. Only texts and languages are learned from,
+never ids or sources. Prediction reads whole texts.
 
 Edge cases: a null text or one without any letter is ``und``, score 0, rejected. Without any labelled row
 everything is ``und``. Ties go to the language first in order. Repeated rows are predicted one by one. Extra
-columns of the input are ignored; null languages are never learned. A language whose sampled texts are all contradicted isn't learned.
+columns of the input are ignored; null languages are never learned.
 """
 
 from __future__ import annotations
@@ -27,14 +27,19 @@ from pyspark.sql import Window as W
 from spikeloom.llm.common import per_worker
 
 UNDETERMINED = "und"
+#: Characters of a piece of a training text.
+PIECE = 16_384
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 256, dict_bytes: int = 262_144, level: int = 6) -> dict[str, bytes]:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 256, dict_bytes: int = 262_144, level: int = 6, most_langs: int = 256) -> dict[str, bytes]:
     """Dictionary content by language, from a bounded sample of labelled rows."""
     text = F.lower(text_col)
-    rows = docs.where(F.col(lang_col).isNotNull() & F.octet_length(text).between(1, dict_bytes)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("key"), F.octet_length(text).alias("size"), text.alias("text"))
+    cuts = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / PIECE).cast("int"))
+    pieces = F.when(F.length(text) <= PIECE, F.array(text)).otherwise(F.transform(cuts, lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE))))
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.explode(pieces).alias("text"))
+    rows = rows.select("lang", F.xxhash64("text").alias("key"), F.octet_length("text").alias("size"), "text")
     # a threshold on the hash leaves about four times the sample for each language, wherever its rows lie
-    there = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"))  # a row for each language
+    there = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)  # a row for each language
     share = F.least(F.lit(1.0), 4.0 * sample_docs / F.col("n"))
     some = rows.drop("text").join(F.broadcast(there), "lang").where(F.shiftrightunsigned("key", 11) < share * float(1 << 53)).groupBy("lang", "key").agg(F.max("size").alias("size"))
     order = W.partitionBy("lang").orderBy(F.shiftrightunsigned("key", 11), "key")
@@ -45,8 +50,17 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     # labels err: a sample text stays if the dictionary from the other half of the sample agrees with its label
     halves = [_content(sample, half) for half in (0, 1)]
     tools = [compressors(h, level) for h in halves]
-    kept = [(lang, n, raw) for lang, n, raw in sample if lang not in halves[1 - n % 2] or smallest(raw, tools[1 - n % 2])[0] == lang]
-    return _content(kept)
+    kept, against = [], {}
+    for lang, n, raw in sample:
+        other = tools[1 - n % 2]
+        best, sizes = smallest(raw, other)
+        if lang not in halves[1 - n % 2] or best == lang:
+            kept.append((lang, n, raw))
+        else:
+            against.setdefault(lang, []).append((sizes[[x for x, _ in other].index(lang)] / min(sizes), n, raw))
+    for lang in against.keys() - {k[0] for k in kept}:
+        kept += [(lang, n, raw) for _, n, raw in sorted(against[lang])[: (len(against[lang]) + 1) // 2]]
+    return _content(sorted(kept))
 
 
 def _content(sample: list[tuple[str, int, bytes]], half: int | None = None) -> dict[str, bytes]:

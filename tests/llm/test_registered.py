@@ -135,6 +135,17 @@ def test_languages_are_learned_from_whole_texts_and_never_lost(spark):
     assert langid.learn(spark.createDataFrame(other, SCHEMA), dict_bytes=50_000)["en"] == content  # ids play no part
 
 
+def test_long_and_contradicted_texts_are_learned(spark):
+    rows = [(i, " ".join(np.random.default_rng(i).permutation(WORDS["en"])), "en", None, None) for i in range(8)]
+    rows += [(20 + i, " ".join(np.random.default_rng(i).choice(WORDS["de"], 60_000)), "de", None, None) for i in range(5)]  # all longer than a dictionary
+    content = langid.learn(spark.createDataFrame(rows, SCHEMA))
+    assert set(content) == {"en", "de"} and len(content["de"]) < 2 * 262_144
+    wrong = rows[:8] + [(40 + i, " ".join(np.random.default_rng(50 + i).permutation(WORDS["en"])), "xx", None, None) for i in range(4)]
+    assert "xx" in langid.learn(spark.createDataFrame(wrong, SCHEMA))  # contradicted throughout, not lost
+    many = rows + [(100 + i, f"word {i}", f"l{i}", None, None) for i in range(30)]
+    assert len(langid.learn(spark.createDataFrame(many, SCHEMA), most_langs=2)) == 2 and set(langid.learn(spark.createDataFrame(many, SCHEMA), most_langs=2)) == {"en", "de"}
+
+
 def brute_fingerprint(text):
     import re
 
