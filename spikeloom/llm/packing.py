@@ -109,6 +109,10 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 2048, ke
     return src.mapInArrow(run, schema)
 
 
+#: Buckets of a class whose offsets are summed together.
+OFFSETS = 4096
+
+
 def best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """Unbounded knapsack: the pattern (count of each size 1..capacity) of greatest value, by dynamic programming."""
     best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
@@ -224,7 +228,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, unit: int = 8, bucket_rows: in
     buckets = F.array(*(F.lit(max(1, -(-n // bucket_rows))) for n in counted))
     dealt = sized.withColumn("_bucket", F.pmod(F.xxhash64("_number"), F.get(buckets, F.col("_class"))))
     before = dealt.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("_class", "_bucket", (F.sum("n").over(W.partitionBy("_class").orderBy("_bucket")) - F.col("n")).alias("_before"))
+    # offsets in two levels, so that no class's buckets are one window
+    before = before.withColumn("_block", F.floor(F.col("_bucket") / OFFSETS))
+    blocks = before.groupBy("_class", "_block").agg(F.sum("n").alias("m"))
+    blocks = blocks.select("_class", "_block", (F.sum("m").over(W.partitionBy("_class").orderBy("_block")) - F.col("m")).alias("_base"))
+    inside = F.sum("n").over(W.partitionBy("_class", "_block").orderBy("_bucket")) - F.col("n")
+    before = before.withColumn("_inside", inside).join(blocks, ["_class", "_block"]).select("_class", "_bucket", (F.col("_base") + F.col("_inside")).alias("_before"))
     order = W.partitionBy("_class", "_bucket").orderBy(F.desc("length"), "_id", "start", "_number")
     # only slim rows are ranked; what a piece carries (its ids) is joined at the end, by the row's number
     dealt = dealt.select("_id", "start", "length", "_class", "_number", "_bucket")

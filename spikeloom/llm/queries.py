@@ -102,6 +102,27 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def _op11_sql(least: int = 13, levels: int = 12) -> str:
+    """Windows as texts at the first level, as pairs of hashes of halves at the others."""
+    steps = [f"l0 AS MATERIALIZED (SELECT doc_id, i, hash(s) AS id FROM g), r0 AS MATERIALIZED (SELECT * FROM l0 WHERE id IN (SELECT id FROM l0 GROUP BY id HAVING count(DISTINCT doc_id) > 1)), n0 AS (SELECT DISTINCT doc_id, {least} AS n FROM r0)"]
+    for k in range(1, levels):
+        step = least << k - 1
+        steps.append(f"l{k} AS MATERIALIZED (SELECT a.doc_id, a.i, hash(a.id, b.id) AS id FROM r{k - 1} a JOIN r{k - 1} b ON a.doc_id = b.doc_id AND b.i = a.i + {step}), r{k} AS MATERIALIZED (SELECT * FROM l{k} WHERE id IN (SELECT id FROM l{k} GROUP BY id HAVING count(DISTINCT doc_id) > 1)), n{k} AS (SELECT DISTINCT doc_id, {2 * step} AS n FROM r{k})")
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + {least - 1}], ' ') AS s FROM d, unnest(range(1, len(w) - {least - 2})) u(i)),
+m AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s),
+gone AS MATERIALIZED (SELECT DISTINCT g.doc_id, g.i + k AS p FROM g JOIN m USING (s), range({least}) r(k) WHERE least < doc_id),
+words AS (SELECT doc_id, w[p] AS word, p FROM d, unnest(range(1, len(w) + 1)) u(p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+{", ".join(steps)},
+most AS (SELECT doc_id, max(n) AS n FROM ({" UNION ALL ".join(f"SELECT * FROM n{k}" for k in range(levels))}) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(m.n, 0)::BIGINT AS longest
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN removed r USING (doc_id) LEFT JOIN most m USING (doc_id)
+"""
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -135,4 +156,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op6_secret_scan": OP6_SQL, "op13_plane_clusters": _op13_sql()}
+    return {"op2_url_filter": OP2_SQL, "op6_secret_scan": OP6_SQL, "op11_substring_dedup": _op11_sql(), "op13_plane_clusters": _op13_sql()}

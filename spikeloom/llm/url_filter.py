@@ -82,6 +82,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     spark = pages.sparkSession
     listed = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).groupBy("host", "path").agg(F.max(F.col("verdict")).alias("verdict"))
     n_rules, lengths = listed.count(), sorted(r[0] for r in listed.select(F.length("path")).distinct().collect())  # as many as path lengths
+    depths = sorted(r[0] for r in listed.select(F.size(F.split("host", r"\.")).alias("d")).distinct().collect())  # as many as label counts
     host, path = split_url(F.col(url_col))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     out = pages.select(F.struct(*kept).alias("row"), host.alias("host"), path.alias("path"))
@@ -101,8 +102,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         ok = ((words[block_of(h, blocks)] & mask) == mask).all(axis=1)
         return type(hashes)(np.split(ok, np.cumsum(sizes)[:-1])) if len(sizes) else hashes
 
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # only suffixes of as many labels as some rule has, so a host of very many labels stays cheap
+    parts = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
+    suffixes = F.filter(F.array(*(F.when(parts >= d, F.substring_index("host", ".", -d)) for d in depths)), lambda s: s.isNotNull())
     prefixes = F.transform(F.filter(F.array(*(F.lit(n) for n in lengths)), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.when(F.col("host") != "", F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("k_host"), p.alias("k_path"))))))
     keys = F.coalesce(keys, F.array().cast("array<struct<k_host:string,k_path:string>>"))

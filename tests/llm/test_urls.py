@@ -49,3 +49,11 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {k: v for k, v in root.items() if any(k in l and l[0] != l[1] for l in links)}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_hosts_of_very_many_labels(spark):
+    long = "a." * 20_000 + "example.com"
+    pages = spark.createDataFrame([(1, f"http://{long}/en/x"), (2, "http://com/"), (3, "http://.com/"), (4, "http://www.example.com./")], "page_id bigint, url string")
+    rules = spark.createDataFrame([("com", "/", "allow"), ("example.com", "/en/", "block")], "host string, path string, verdict string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert found == {1: ("example.com/en/", "block"), 2: ("com/", "allow"), 3: ("com/", "allow"), 4: (None, "allow")}
