@@ -522,13 +522,29 @@ def lockstep(asking: list[Generator], answer: Callable[[list[int], list[np.ndarr
     return out
 
 
+def broken_rows(rows: DataFrame, spec: Spec) -> dict[str, int]:
+    """Numbers of rows by the rule they break: y finite, and whole where it counts (negative ones are censored); a finite weight; a neuron of the model; as many linear regressors as it has."""
+    def finite(c):
+        x = F.col(c).cast("double")
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != math.inf)
+
+    y, ix = F.col("y").cast("double"), F.col("neuron_ix")
+    rules = {"y": finite("y"), "weight": finite("w"), "neuron": ix.isNotNull() & (ix >= 0) & (ix < spec.neurons), "count": F.lit(spec.kind == "sq_err") | ~finite("y") | (y == F.floor(y))}
+    if spec.linear:
+        rules["linear"] = F.coalesce(F.size("x_lin") == spec.linear, F.lit(False))
+    return {k: v for k, v in rows.agg(*(F.count_if(~ok).alias(k) for k, ok in rules.items())).first().asDict().items() if v}
+
+
 class Model:
-    """A model over rows, which it holds in memory until ``close``."""
+    """A model over rows, which it checks once and holds in memory until ``close``."""
 
     def __init__(self, rows: DataFrame, spec: Spec, priors: Iterable[Prior] = (), scaling: tuple | None = None):
         """scaling: (forward, backward) between the parameters that are fitted or sampled and the natural ones, as ``horseshoe.chain`` makes it."""
         self.spec, self.priors, self.scaling, self.rows = spec, list(priors), scaling, rows.persist()
         self.forward, self.backward = scaling or (lambda p: p, lambda p, g: g)
+        if broken := broken_rows(self.rows, spec):
+            self.close()
+            raise ValueError(f"rows break rules: {broken}")
 
     def close(self) -> None:
         self.rows.unpersist()

@@ -165,6 +165,17 @@ def test_normalization_and_loadings():
     assert np.allclose(q["m.T0"] @ q["m.V"].T, p["m.T0"] @ p["m.V"].T)
 
 
+def test_models_check_their_rows(spark):
+    spec = gmlm.Spec(2, 1)
+    good = [(0, 1.0, 1.0, [0.5]), (1, -1.0, 0.0, [0.5])]
+    schema = "neuron_ix bigint, y double, w double, x_lin array<double>"
+    gmlm.Model(spark.createDataFrame(good, schema), spec).close()
+    for rule, row in (("y", (0, float("nan"), 1.0, [0.5])), ("count", (0, 0.5, 1.0, [0.5])), ("weight", (0, 1.0, None, [0.5])), ("neuron", (2, 1.0, 1.0, [0.5])), ("linear", (0, 1.0, 1.0, []))):
+        assert gmlm.broken_rows(spark.createDataFrame([*good, row], schema), spec) == {rule: 1}
+        with pytest.raises(ValueError):
+            gmlm.Model(spark.createDataFrame([*good, row], schema), spec)
+
+
 def test_loadings_of_stored_draws(spark):
     spec, _, _ = made(SCENARIOS[2], "poiss_exp", rank=2, neurons=9)
     blocks = ["g.V", "g.T0", "g.T1"]
