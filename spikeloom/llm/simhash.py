@@ -17,13 +17,12 @@ links reach.
    forest of them, at most one link for each fingerprint, not all pairs.
 5. Components of those links are found by star joins and joined back to the documents.
 
-With ``least`` a link is a pair within ``radius`` whose texts' shingle sets have at least that Jaccard similarity. Every such pair is either
-checked or lies in one component already: in each round a fingerprint's home gives its next partners of other components (START in each group,
-then GROWTH times as many), they are checked, and the components grow, until no home has partners left. A second sketch beside the fingerprint, ROUNDS * 64
+With ``least`` a link is a pair within ``radius`` whose texts' shingle sets have at least that Jaccard similarity. A second sketch beside the fingerprint, ROUNDS * 64
 minimum hashes of one bit each, estimates a pair's similarity: pairs whose estimate is more than SPREADS standard deviations below ``least``
-(at that similarity one pair in some hundred thousand) are dropped before their texts are sent. Partners near the middle of the group come first, so the copies of one text, which
-are more like it than like each other, meet at that text. So a family of copies costs a few checks
-for each member, and no pair that could join two components is passed over. With ``size_ratio`` pairs must also have shingle counts within that ratio: fingerprints are
+(at that similarity one pair in some hundred thousand) can't be links. What the other pairs join is a family: the groups return spanning forests of them, so every link lies in one family.
+Then a family's shingle sets meet, each sent once (families of more than BLOCK_ROWS rows or BLOCK_SHINGLES shingles are cut into blocks, and after the blocks themselves
+pairs of blocks meet), and all its pairs that no link has joined yet are compared exactly, those of its middle first, where the copies of one text meet. A spanning forest of the links comes
+out, so no pair that could join two components is passed over, and no table of pairs is written. With ``size_ratio`` pairs must also have shingle counts within that ratio: fingerprints are
 dealt to logarithmic size bands first, and visit the bands below that the ratio reaches. Without pruning (a large radius) the work is quadratic within a
 band, spread evenly over tasks.
 
@@ -38,7 +37,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,12 +113,6 @@ def centrality(fps: np.ndarray, order: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def ranked(pairs, central: np.ndarray):
-    """The pairs of within() with a rank in place of the distance: the distance and how far the partner is from the middle of its group."""
-    for a, b, d in pairs:
-        yield a, b, np.round(4 * (d + central[b])).astype(np.int64)
-
-
 def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> tuple[list[int], int, int, bytes]:
     """The signed 64-bit words of the fingerprint, one for each seed, the number of shingles, and with ``distinct``, where each
     shingle counts once, a hash of their set (else 0) and their second sketch (else nothing)."""
@@ -242,8 +234,12 @@ def within(fps: np.ndarray, home: np.ndarray, radius: int, size: np.ndarray | No
             yield a, b, d
 
 
-def forest(n: int, pairs) -> np.ndarray:
-    """For each of ``n`` rows the index of its component's representative, over the pairs of within()."""
+#: Pairs that are taken up at once, so that later ones of joined rows need no test.
+PIECE = 1 << 14
+
+
+def forest(n: int, pairs, test=None) -> np.ndarray:
+    """For each of ``n`` rows the index of its component's representative, over the pairs of within() that ``test`` (of a, b) lets pass."""
     root = np.arange(n)
 
     def find(i: int) -> int:
@@ -252,35 +248,25 @@ def forest(n: int, pairs) -> np.ndarray:
             i = root[i]
         return i
 
-    for a, b, _ in pairs:
-        p, q = root[a], root[b]
-        if (p != q).any():
-            for p, q in np.unique(np.stack([p, q], axis=1)[p != q], axis=0).tolist():
-                p, q = find(p), find(q)
-                root[max(p, q)] = min(p, q)
-            while not np.array_equal(flat := root[root], root):
-                root[:] = flat
+    for all_a, all_b, _ in pairs:
+        for i in range(0, len(all_a), PIECE):
+            a, b = all_a[i : i + PIECE], all_b[i : i + PIECE]
+            apart = root[a] != root[b]
+            if test is not None and apart.any():
+                apart[apart] = test(a[apart], b[apart])
+            if apart.any():
+                for p, q in np.unique(np.stack([root[a[apart]], root[b[apart]]], axis=1), axis=0).tolist():
+                    p, q = find(p), find(q)
+                    root[max(p, q)] = min(p, q)
+                while not np.array_equal(flat := root[root], root):
+                    root[:] = flat
     return root
 
 
-def nearest(pairs, order: np.ndarray, root: np.ndarray, past: np.ndarray, past_order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, rank): for each home the first ``most`` partners of other roots by (rank, order) that come after (past, past_order)."""
-    out = []
-    for a, b, d in pairs:
-        take = (root[a] != root[b]) & ((d > past[a]) | ((d == past[a]) & (order[b] > past_order[a])))
-        a, b, d = a[take], b[take], d[take]
-        by = np.lexsort((order[b], d, a))
-        a, b, d = a[by], b[by], d[by]
-        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
-        take = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)])) < most
-        out.append((a[take], b[take], d[take].astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-
-
 #: Size bands for each factor of ``size_ratio``.
 BANDS = 2
-#: Partners of a fingerprint that the first round checks, and how many times as many each later round.
-START, GROWTH = 4, 8
+#: Of a block of a family whose pairs are compared exactly.
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 19
 GROUP = ["shard", "low", "high"]
 
 
@@ -327,62 +313,95 @@ def pairs_in(pdf: pd.DataFrame, fp: list[str], radius: int, size_ratio: float |
     return within(pdf[fp].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(bool), radius, pdf["size"].to_numpy(), size_ratio, side)
 
 
-def link(distinct: DataFrame, radius: int, words: int, size_ratio: float | None = None, **options) -> DataFrame:
-    """Links (a, b) of keys that span the components of the fingerprints within ``radius``; ``distinct`` and options as in deal_out()."""
+def link(distinct: DataFrame, radius: int, words: int, size_ratio: float | None = None, least: float | None = None, **options) -> DataFrame:
+    """Links (a, b) of keys that span the components of the fingerprints within ``radius``; ``distinct`` and options as in deal_out(). With ``least`` only pairs count whose
+    sketches don't exclude that similarity."""
     fp, kind = [f"f{w}" for w in range(words)], distinct.schema["key"].dataType.simpleString()
 
     def span(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")
-        keys = pdf["key"].to_numpy()
-        to = forest(len(pdf), pairs_in(pdf, fp, radius, size_ratio))
+        keys, test = pdf["key"].to_numpy(), None
+        if least:
+            sketch = np.frombuffer(b"".join(pdf["sketch"]), "<u8").reshape(len(pdf), -1)
+            test = lambda a, b: likely(a, b, sketch, least)
+        to = forest(len(pdf), pairs_in(pdf, fp, radius, size_ratio), test)
         return pd.DataFrame({"a": keys, "b": keys[to]})[to != np.arange(len(to))]
 
     spread = deal_out(distinct, radius, words, size_ratio=size_ratio, **options)
     return spread.groupBy(*GROUP).applyInPandas(span, f"a {kind}, b {kind}").where("a <> b").distinct()
 
 
-def checked_links(groups: DataFrame, docs: DataFrame, width: int, radius: int, words: int, least: float, size_ratio: float | None = None, **options) -> DataFrame:
+def alike(fps: np.ndarray, size: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], radius: int, ratio: float | None, least: float, root: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links of rows that join all components of ``root`` which pairs within ``radius`` and the size ratio join whose shingle sets have a similarity of at least ``least``.
+
+    Pairs of rows of one side count, if there is but one side, else pairs of rows of different sides.
+    """
+    order = np.argsort(centrality(fps, np.arange(len(fps)), radius), kind="stable")
+    fps, size, sketch, root, side = fps[order], size[order], sketch[order], np.unique(root[order], return_inverse=True)[1], side[order]
+    lengths = np.array([len(sets[i]) for i in order.tolist()])
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    distinct, ids = np.unique(np.concatenate([sets[i] for i in order.tolist()]), return_inverse=True)
+    mask, two_sided, out = np.zeros(len(distinct), bool), side.any() and not side.all(), []
+    for i in range(len(fps) - 1):
+        to = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        if two_sided:
+            to = to[side[to] != side[i]]
+        to = to[distance(fps[to], fps[i]) <= radius]
+        if ratio:
+            to = to[np.minimum(size[to], size[i]) >= ratio * np.maximum(size[to], size[i])]
+        if not len(to):
+            continue
+        to = to[likely(np.full(len(to), i), to, sketch, least)]
+        many = lengths[to]
+        upto = np.cumsum(many)
+        mask[ids[starts[i] : ends[i]]] = True
+        hits = np.r_[0, np.cumsum(mask[ids[np.repeat(starts[to] - upto + many, many) + np.arange(many.sum())]])]
+        mask[ids[starts[i] : ends[i]]] = False
+        shared = hits[upto] - hits[upto - many]
+        to = to[shared / np.maximum(1, lengths[i] + many - shared) >= least]
+        if len(to):
+            joined, first = np.unique(root[to], return_index=True)
+            out += [(int(order[i]), int(order[k])) for k in to[first].tolist()]
+            root[np.isin(root, joined)] = root[i]
+    return out
+
+
+def checked_links(groups: DataFrame, docs: DataFrame, width: int, radius: int, words: int, least: float, size_ratio: float | None = None, block_rows: int = BLOCK_ROWS, **options) -> DataFrame:
     """Links (a, b) of keys that span the components of the pairs within ``radius`` whose texts have a Jaccard similarity of at least ``least``.
 
-    groups: key, f0, f1, ..., size, sketch, rep (doc_id, text_key), the document that stands for a fingerprint. docs: doc_id, text. A home that gives
-    as many partners of a group as it may is open: it goes on behind the last one. Texts are fetched once, for the fingerprints that
-    have any partner: the first round names them all.
+    groups: key, f0, f1, ..., size, sketch, rep (doc_id, text_key), the document that stands for a fingerprint. docs: doc_id, text.
     """
     fp, kind = [f"f{w}" for w in range(words)], groups.schema["key"].dataType.simpleString()
-    spread = cut(deal_out(groups.select("key", *fp, "size", "sketch"), radius, words, size_ratio=size_ratio, **options))
-    now, most, kept, texts = spread.withColumns({"root": F.col("key"), "past": F.lit(-1), "past_order": F.lit(0).cast("bigint")}), START, None, None
-    roots = None
-    while True:
-        def search(pdf: pd.DataFrame) -> pd.DataFrame:
-            keys, order = pdf["key"].to_numpy(), pdf["order"].to_numpy()
-            root = pd.factorize(pdf["root"])[0]
-            sketch = np.frombuffer(b"".join(pdf["sketch"]), "<u8").reshape(len(pdf), -1)
-            central = centrality(pdf[fp].to_numpy(np.int64).view(np.uint64), order, radius)
-            a, b, d = nearest(ranked(pairs_in(pdf, fp, radius, size_ratio), central), order, root, pdf["past"].to_numpy(), pdf["past_order"].to_numpy(), most)
-            at = [pdf[c].iloc[0] for c in ("low", "high")]
-            return pd.DataFrame({"a": keys[a], "b": keys[b], "d": d, "b_order": order[b], "likely": likely(a, b, sketch, least), "low": np.full(len(a), at[0]), "high": np.full(len(a), at[1])})
-
-        found = cut(now.withColumn("order", F.xxhash64("key")).groupBy(*GROUP).applyInPandas(search, f"a {kind}, b {kind}, d bigint, b_order bigint, likely boolean, low int, high int"))
-        fresh = found.where("likely").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        ends = fresh.select("a").union(fresh.select("b")).distinct().toDF("key")
-        if texts is None:
-            texts = fetched(ends, groups, docs)
-        elif not (missing := cut(ends.join(texts, "key", "left_anti"))).isEmpty():
-            texts = texts.unionByName(fetched(missing, groups, docs))
-        new = cut(verified(fresh, texts, width, least))
-        kept = new if kept is None else kept.union(new)
-        more = found.groupBy("a", "low", "high").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("d", "b_order")).alias("last")).where(F.col("n") == most)
-        more = more.groupBy(F.col("a").alias("key")).agg(F.min("last").alias("last"))  # no group of the home has been searched less far
-        more = cut(more.select("key", F.col("last.d").cast("int").alias("past"), F.col("last.b_order").alias("past_order")))
-        if more.isEmpty():
-            return kept
-        if roots is None or not new.isEmpty():  # else the components are those of the round before
-            roots = cut(components(kept).toDF("key", "_root"))
-        # only groups that hold an open home
-        busy = spread.join(spread.where("home").join(more, "key", "left_semi").select(*GROUP).distinct(), GROUP, "left_semi")
-        ahead = busy.join(more, "key", "left").join(roots, "key", "left")
-        now = ahead.select("key", *fp, "size", "sketch", *GROUP, "own", (F.col("home") & F.col("past").isNotNull()).alias("home"), F.coalesce("_root", "key").alias("root"), F.coalesce("past", F.lit(-1)).alias("past"), F.coalesce("past_order", F.lit(0)).cast("bigint").alias("past_order"))
-        most *= GROWTH
+    families = cut(components(link(groups.select("key", *fp, "size", "sketch"), radius, words, size_ratio, least, **options)).toDF("key", "family"))
+    rows = cut(families.join(groups.select("key", *fp, "size", "sketch"), "key").join(sets_of(families.select("key"), groups, docs, width), "key"))
+    blocks = rows.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_rows, F.sum(F.length("shingles")) / (8 * BLOCK_SHINGLES))).cast("int").alias("blocks"), F.sum(F.length("shingles")).alias("bytes"))
+    blocks = cut(blocks)
+    total, most = (x or 0 for x in blocks.agg(F.sum("bytes"), F.max("blocks")).first())
+    # small families share a group of the size of a block
+    bins = 1 + total // (8 * BLOCK_SHINGLES)
+    dealt = rows.join(blocks.drop("bytes"), "family").withColumns({"bin": F.pmod(F.xxhash64("family"), F.lit(bins)), "own": F.pmod(F.xxhash64("key"), F.greatest("blocks", F.lit(1))).cast("int")})
+
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in pdf.sort_values(["family", "key"], kind="stable").groupby("family", sort=False):
+            if len(own) > 1:
+                keys, sketch = own["key"].to_list(), np.frombuffer(b"".join(own["sketch"]), "<u8").reshape(len(own), -1)
+                sets = [np.frombuffer(x, "<u8") for x in own["shingles"]]
+                found = alike(own[fp].to_numpy(np.int64).view(np.uint64), own["size"].to_numpy(), sketch, sets, radius, size_ratio, least, pd.factorize(own["root"])[0], own["own"].to_numpy() == own["high"].iloc[0])
+                out += [(keys[a], keys[b]) for a, b in found]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    def checked(rows: DataFrame) -> DataFrame:
+        return cut(rows.select("family", "key", *fp, "size", "sketch", "shingles", "bin", "low", "high", "own", "root").groupBy("bin", "low", "high").applyInPandas(check, f"a {kind}, b {kind}"))
+
+    kept = checked(dealt.withColumns({"low": F.col("own"), "high": F.col("own"), "root": F.col("key")}))
+    if most > 1:  # pairs of blocks, whose rows know what their own block has joined
+        roots = cut(components(kept).toDF("key", "_root"))
+        pairs = dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> own")
+        pairs = pairs.join(roots, "key", "left").withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "root": F.coalesce("_root", "key")})
+        kept = kept.union(checked(pairs))
+    return kept
 
 
 def shingle_set(text: str | None, width: int) -> set[int]:
@@ -397,51 +416,17 @@ def jaccard(a: str | None, b: str | None, width: int) -> float:
     return likeness(shingle_set(a, width), shingle_set(b, width))
 
 
-def fetched(ends: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """(key, text) of the ends of links, the text as compressed bytes: it is sent along with each link."""
-    reps = groups.join(ends, "key").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_text"))
+def sets_of(keys: DataFrame, groups: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(key, shingles) of fingerprints: the distinct hashes of the text that stands for each, 8 bytes each."""
+    reps = groups.join(keys, "key").select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_text"))
     texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_text")))
     once = texts.groupBy("key").agg(F.any_value("text").alias("text"))
 
     def run(batches):
-        tool = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tool.compress(x.as_py().encode()) for x in b.column(1)], pa.binary())], names=["key", "text"])
-
-    return cut(once.select("key", "text").mapInArrow(run, f"key {groups.schema['key'].dataType.simpleString()}, text binary"))
-
-
-def with_text(links: DataFrame, texts: DataFrame, end: str, to: str, most: int = 256) -> DataFrame:
-    """``links`` with the text of one end; an end of very many links is cut into salts of about ``most`` links, so no task gets them all."""
-    busy = cut(links.groupBy(end).agg(F.count(F.lit(1)).alias("n"))).select(F.col(end).alias("key"), F.ceil(F.col("n") / most).cast("int").alias("salts"))
-    salted = texts.join(busy, "key").select(F.col("key").alias(end), F.col("text").alias(to), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    dealt = links.join(busy.where("salts > 1").withColumnRenamed("key", end), end, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    return dealt.join(salted, [end, "salt"]).drop("salt")
-
-
-def verified(links: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The links whose texts (key, compressed text) have a Jaccard similarity of their shingle sets of at least ``least``."""
-    kind = links.schema["a"].dataType.simpleString()
-    pairs = with_text(with_text(links, texts, "a", "ta"), texts, "b", "tb")
-
-    def run(batches):
-        sets, tool = {}, zstandard.ZstdDecompressor()
-
-        def of(key, text: pa.Scalar) -> set[int]:
-            if key not in sets:
-                if len(sets) >= 64:
-                    sets.clear()
-                sets[key] = shingle_set(tool.decompress(text.as_py()).decode(), width)
-            return sets[key]
-
         for b in batches:
-            like = []
-            for i, j, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                x, y = of(i, x), of(j, y)
-                like.append(likeness(x, y) >= least)
-            yield b.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(x.as_py(), width, (42,))).astype("<u8").tobytes() for x in b.column(1)], pa.binary())], names=["key", "shingles"])
 
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+    return once.select("key", "text").mapInArrow(run, f"key {groups.schema['key'].dataType.simpleString()}, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 46, seeds: tuple[int, ...] = (42, 43, 44), size_ratio: float | None = 0.8, least: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

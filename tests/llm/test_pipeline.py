@@ -50,6 +50,20 @@ def test_family_of_variants_keeps_its_links(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_pairs_of_a_crowded_family_are_not_written(spark, monkeypatch):
+    """Variants under and just over 0.8, all within the radius: each is compared with all others, but no table grows with their pairs."""
+    texts = family(200, 6) + family(100, 3, seed=12)
+    want, sizes = linked(texts), []
+    assert len(set(want)) > 50
+    cut = simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: sizes.append((out := cut(df)).count()) or out)
+    for block_rows in (4096, 60):  # whole families, and blocks and pairs of them
+        found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), radius=80, block_rows=block_rows)
+        got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert max(sizes) <= 4 * len(texts)
+
+
 def test_repeated_passages_and_the_radius(spark):
     rng = np.random.default_rng(4)
     texts = []
