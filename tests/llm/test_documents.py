@@ -342,6 +342,18 @@ def test_context_mixing(spark, docs, empty):
     assert sum(r["score"] for r in small) == pytest.approx(sum(r["score"] for r in rows), rel=0.1)
 
 
+def test_words_are_counted_over_chunks(spark, docs):
+    rows = [(i, t) for i, (_, t) in enumerate(every(docs))]
+    c, m = Counter(), Counter()
+    for i, t in rows:
+        m.update(own := [*words(t), b"\n"])
+        c.update(own if i % 3 else [])
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").select("text", (F.col("doc_id") % 3 != 0).alias("train"))
+    for chunk in (1, 1 << 24):
+        found = {bytes(r["word"]): (r["c"], r["m"]) for r in context_mixing.count_all(table, chunk).where("word IS NOT NULL").collect()}
+        assert found == {w: (c[w], n) for w, n in m.items()}
+
+
 def model_of(spark, words_, border=()):
     vocabulary = spark.createDataFrame([(w, c, c) for w, c in words_.items()], "word binary, c bigint, m bigint")
     return context_mixing.train(vocabulary, bits=16, block_words=5 if border else 1000)
