@@ -265,3 +265,13 @@ def test_stream_of_bins(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("bins").agg(F.sum("y")).first()[0] == events.count()
+
+
+def test_bins_are_never_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")  # Spark's estimates would have bins or the index sent to the driver
+    try:
+        rows = queries.QUERIES["gmlm_builder"](spark, SF)
+        assert len(rows.collect()) and "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in queries.general(spark, SF)[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
