@@ -279,3 +279,18 @@ def test_regressors_of_neurons_and_modes(scenario, kind):
     for s in range(len(spec.groups[0].modes)):
         m = by_neuron.mode_features(spec, params, block, parts, theta, 0, s)
         assert np.allclose((m.T @ (slope * block.w)).reshape(sums[f"g.T{s}"].shape, order="F"), sums[f"g.T{s}"])
+
+
+def test_fit_by_neuron_broadcasts_no_bins(spark):
+    from spikeloom.plans import by_neuron
+
+    spec, block, truth = made(SCENARIOS[3], "poiss_exp", rank=1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        own = by_neuron.Fit(frame(spark, spec, block), spec, truth)
+        own.neurons(True)
+        plan = own.joined()
+        assert len(plan.collect()) and "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+        own.close()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
