@@ -294,3 +294,55 @@ def test_fit_by_neuron_broadcasts_no_bins(spark):
         own.close()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_chunks_hold_each_kind_of_bin_once(spark):
+    spec, block, params = made(SCENARIOS[3], "poiss_exp")
+    block.w[5:9] = 0.0
+    fold = [None if i % 7 == 0 else i % 3 for i in range(60)]
+    rows = frame(spark, spec, block, {"fold": fold})
+    rows = rows.unionByName(rows).unionByName(rows.withColumn("w", rows["w"] * 2))
+    chunks = gmlm.packed(rows, spec, ["trial"], True, chunk=50).persist()
+    held = [1, None]
+    for known in (None, held):
+        for (a, g), (b, h) in zip(gmlm.evaluate(rows, spec, [params, params], None, known), gmlm.evaluate(chunks, spec, [params, params], None, known), strict=True):
+            assert a == pytest.approx(b) and all(np.allclose(g[k], h[k]) for k in g)
+    whole = gmlm.packed(rows.coalesce(1), spec, ["trial"], True).collect()
+    assert len(gmlm.Packed.loaded(pa.scalar(whole[0]["packed"], pa.binary())).block.y) <= 56
+    sums = {r["trial"]: r["ll"] for r in gmlm.unit_sums(chunks, spec, [params], ["trial"], ["bigint"]).collect()}
+    want = {r["trial"]: r["ll"] for r in gmlm.trial_ll(rows, spec, params, ["trial"]).collect()}
+    assert sums == pytest.approx(want)
+    chunks.unpersist()
+
+
+@pytest.mark.parametrize("values", [[0.0, 3.0], [0.5, 1.0], [-0.0, 1.0], [np.nan, 1.0], [2.0**40, 0.0], [200.0, -1.0], [70000.0, 1.0]])
+def test_lean_arrays_come_back(values):
+    a, kind = gmlm.lean(np.array(values))
+    out = a if kind is None else a.astype(kind)
+    assert out.dtype == np.float64 and out.tobytes() == np.array(values).tobytes()
+
+
+def test_scales_are_inverse_blocks_of_the_hessian(spark):
+    spec, block, params = made(SCENARIOS[3], "poiss_exp", rank=2, n=400)
+    block.w[:] = 1.0
+    model = gmlm.Model(frame(spark, spec, block), spec, [gmlm.gaussian_prior({k: 0.0 for k in spec.shapes() if k != "H"})])
+    for blocks in ({"W", "B", "g.V"}, {"g.T0"}, {"g.T1"}):  # given the rest, each is a linear model: the scale is the whole inverse
+        hessian = model.hessian(params, blocks=blocks)
+        scale = model.scales([params], blocks, None, True)[0]
+        found = np.stack([scale(e) for e in np.eye(len(hessian))])
+        assert np.allclose(found @ -hessian, np.eye(len(hessian)), atol=1e-3)
+    model.close()
+
+
+def test_fits_in_turn_take_few_jobs(spark, monkeypatch):
+    spec, block, truth = made(SCENARIOS[3], "poiss_exp", rank=1, n=600)
+    block.w[:] = 1.0
+    block.y = np.random.default_rng(2).poisson(np.exp(gmlm.Prepared(spec, truth).rate(block)[0]) * spec.dt).astype(float)
+    model = gmlm.Model(frame(spark, spec, block), spec, [gmlm.gaussian_prior({k: 1.0 for k in spec.shapes() if k != "H"})])
+    calls, evaluate = [], gmlm.evaluate
+    monkeypatch.setattr(gmlm, "evaluate", lambda *a: calls.append(1) or evaluate(*a))
+    turned = model.alternate(gmlm.random_params(spec, 5), prior=True, sweeps=2, steps=20, tolerance=1e-9)
+    few = len(calls)
+    plain = model.alternate(gmlm.random_params(spec, 5), prior=True, sweeps=2, steps=20, tolerance=1e-9, scaled=False)
+    assert few < 0.7 * (len(calls) - few) and turned["value"] > plain["value"] - 0.5
+    model.close()
