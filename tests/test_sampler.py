@@ -317,3 +317,22 @@ def test_unit_draws_do_not_depend_on_partitions(spark):
     make = lambda rng, a, b: sampler.dirichlet(rng, np.array([a, b]))
     one, two = (sorted(map(tuple, sampler.unit_draws(rows.repartition(k), ["unit"], ["a", "b"], 3, make, ["p", "q"]).collect())) for k in (1, 5))
     assert one == two and len(one) == 60 and all(r[2] + r[3] == pytest.approx(1.0) for r in one)
+
+
+def test_sinks_come_out_of_chunks(spark, tmp_path, monkeypatch):
+    """A run reads its rows once, when they are packed; a trial's bins are summed before they leave a task."""
+    rows = spark.createDataFrame([(p, t, float((p * t + b) % 3), 1.0) for p in range(2) for t in range(5) for b in range(40)], "neuron_ix bigint, trial int, y double, w double")
+    seen, run = [], sampler.gmlm.unit_sums
+    model = gmlm.Model(rows, gmlm.Spec(2, 0), [gmlm.gaussian_prior({"W": 0.0})], keys=["neuron_ix", "trial"])
+    monkeypatch.setattr(sampler.gmlm, "unit_sums", lambda chunks, *a: seen.append(chunks is model.chunks) or run(chunks, *a))
+    monkeypatch.setattr(sampler.gmlm, "rates", lambda *a: pytest.fail("a job read the rows"))
+    own = sampler.settings(2, 3, schedule=[(1, 2)], mass=[], block=5, first_step=0.01, least_step=0.01, length=0.02, most_steps=2)
+    found = sampler.sample(model, [gmlm.empty_params(model.spec)] * 2, own, str(tmp_path / "c"), ["neuron_ix", "trial"])
+    assert seen == [True] and found["trial_ll"].count() == 2 * 3 * 10
+    last = {r["row"]: r["value"] for r in found["draws"].where("chain = 1 AND iter = 5 AND block = 'W'").collect()}
+    lls = {(r["neuron_ix"], r["trial"]): r["ll"] for r in found["trial_ll"].where("chain = 1 AND iter = 5").collect()}
+    for p in range(2):
+        for t in range(5):
+            y = np.array([(p * t + b) % 3 for b in range(40)])
+            assert lls[p, t] == pytest.approx((y * last[p] - np.exp(last[p])).sum())
+    model.close()
