@@ -336,3 +336,16 @@ def test_sinks_come_out_of_chunks(spark, tmp_path, monkeypatch):
             y = np.array([(p * t + b) % 3 for b in range(40)])
             assert lls[p, t] == pytest.approx((y * last[p] - np.exp(last[p])).sum())
     model.close()
+
+
+def test_noise_steps_read_distinct_bins(spark):
+    rows = spark.range(4000).selectExpr("id % 3 AS neuron_ix", "cast(id % 10 AS double) AS y", "1.0D AS w").coalesce(1)
+    model = gmlm.Model(rows, gmlm.Spec(3, 0, kind="sq_err"), [gmlm.gaussian_prior({"W": 3.0}), sampler.noise_prior()], keys=["neuron_ix"])
+    import pyarrow as pa
+
+    held = [gmlm.Packed.loaded(pa.scalar(r["packed"], pa.binary())) for r in model.chunks.collect()]
+    assert sum(len(h.block.y) for h in held) <= 30 and sum(len(h.bin) for h in held) <= 30
+    n, s = gmlm.squared_errors(model.chunks, model.spec, gmlm.empty_params(model.spec) | {"W": np.array([1.0, 2.0, 3.0])})
+    y, p = np.arange(4000) % 10, np.arange(4000) % 3
+    assert np.allclose(n, np.bincount(p)) and np.allclose(s, np.bincount(p, weights=(y - p - 1.0) ** 2))
+    model.close()
