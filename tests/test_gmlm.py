@@ -346,3 +346,17 @@ def test_fits_in_turn_take_few_jobs(spark, monkeypatch):
     plain = model.alternate(gmlm.random_params(spec, 5), prior=True, sweeps=2, steps=20, tolerance=1e-9, scaled=False)
     assert few < 0.7 * (len(calls) - few) and turned["value"] > plain["value"] - 0.5
     model.close()
+
+
+def test_folds_are_scored_in_one_pass(spark, monkeypatch):
+    spec, block, _ = made(SCENARIOS[3], "poiss_exp", rank=1)
+    block.w[:] = 1.0
+    rows = frame(spark, spec, block, {"fold": (np.arange(60) // 6 % 3).tolist()})
+    model = gmlm.Model(rows, spec, [gmlm.gaussian_prior({k: 0.0 for k in spec.shapes() if k != "H"})], keys=["trial"])
+    start = gmlm.random_params(spec, 5)
+    monkeypatch.setattr(gmlm, "rates", lambda *a: pytest.fail("a job read the rows"))
+    found = {r["trial"]: (r["fold"], r["ll"]) for r in model.cross_validate(start, 3, ["trial"], prior=True, steps=0).collect()}
+    ll, _ = gmlm.numeric(spec.kind, gmlm.Prepared(spec, start).rate(block)[0], block.y, spec.dt)
+    want = np.bincount(np.arange(60) // 6, weights=ll)
+    assert all(found[t] == (t % 3, pytest.approx(want[t])) for t in range(10))
+    model.close()
