@@ -360,3 +360,17 @@ def test_folds_are_scored_in_one_pass(spark, monkeypatch):
     want = np.bincount(np.arange(60) // 6, weights=ll)
     assert all(found[t] == (t % 3, pytest.approx(want[t])) for t in range(10))
     model.close()
+
+
+def test_joint_fits_begin_with_blocks(spark, monkeypatch):
+    spec, block, truth = made(SCENARIOS[3], "poiss_exp", rank=1, n=600)
+    block.w[:] = 1.0
+    block.y = np.random.default_rng(2).poisson(np.exp(gmlm.Prepared(spec, truth).rate(block)[0]) * spec.dt).astype(float)
+    model = gmlm.Model(frame(spark, spec, block), spec, [gmlm.gaussian_prior({k: 0.0 for k in spec.shapes() if k != "H"})])
+    asked, curvatures = [], gmlm.curvatures
+    monkeypatch.setattr(gmlm, "curvatures", lambda rows, spec, sets, blocks, *a: asked.append(frozenset(blocks)) or curvatures(rows, spec, sets, blocks, *a))
+    start = gmlm.random_params(spec, 5)
+    best = model.fit([start], prior=True, steps=60, tolerance=1e-9)[0]
+    assert best["converged"] and asked[0] == {"W", "B", "g.V"} and frozenset({"W", "B", "g.V", "g.T0", "g.T1"}) in asked
+    assert best["value"] > model.fit([start], prior=True, steps=60, tolerance=1e-9, scaled=False)[0]["value"] - 0.1
+    model.close()
